@@ -63,3 +63,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a row's id and text: rows alike in both have equal results, so they may share it. Nulls count as empty."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))

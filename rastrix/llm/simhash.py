@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, chunks, written
+from .common import as_batch, chunks, row_key, written
 from .components import components
 
 BITS = 64
+ID, KEY = "_kept_id", "_kept_key"
 #: Fingerprints looked at to group bits and estimate candidates.
 SAMPLE = 2000
 #: What verifying a candidate costs, in probes.
@@ -167,3 +168,13 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, id_col: str
     classes = nodes.join(degree, "fp", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
     classes = classes.select("fp", F.coalesce("root", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, most: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the smallest id of each group, one of repeated ids; all rows with a null id stay. Columns are unchanged."""
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), most, width, id_col, text_col)
+    # of rows that share an id one text stays: that of the smallest key
+    one = found.where("doc_id = component_id").select(F.col("doc_id").alias(ID)).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).withColumn(KEY, row_key(id_col, text_col))
+    first = written(known.groupBy(F.col(id_col).alias(ID)).agg(F.min(KEY).alias(KEY)).join(one, ID), "kept")
+    return known.join(first, (known[id_col] == first[ID]) & (known[KEY] == first[KEY]), "left_semi").dropDuplicates([id_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
