@@ -111,6 +111,8 @@ class Models:
         self.context: list[np.ndarray] = []  # sorted hashes of contexts of 0..order-1 characters
         self.rest: list[np.ndarray] = []  # mass left for the lower order, for each language
         self.limits = np.full((k, 2), np.inf)
+        if not counts:
+            return
         for n in range(1, order + 1):
             grams, values, contexts, rests = [], [], [], []
             for lang in self.langs:

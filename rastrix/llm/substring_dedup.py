@@ -230,9 +230,10 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, hot: int) -> DataFra
                 yield as_batch(schema, low=low, w1=w1, w2=w2, **{c: [row[c]] * len(w1) for c in ("gram", "k1", "k2", "n")})
 
     many = with_text(mixed.where(F.col("contexts") > hot)).mapInArrow(take, kinds).mapInArrow(windows, "gram long, k1 long, k2 long, n long, low int, w1 long, w2 long")
-    # a window lies at the same place under its anchor wherever it occurs: other places in the same context are other windows
-    twice = many.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
-    spread = many.where("n = 1").join(twice, ["w1", "w2"], "left_semi").groupBy(*KEYS).agg(F.min("low").alias("low"), (F.max("low") + length).cast("int").alias("high"))
+    # contexts of neighbouring anchors overlap, so windows are told apart by anchor and place under it as well
+    same = ["gram", "low", "w1", "w2"]
+    twice = many.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1").select(*same)
+    spread = many.where("n = 1").join(twice, same, "left_semi").groupBy(*KEYS).agg(F.min("low").alias("low"), (F.max("low") + length).cast("int").alias("high"))
     spans = spans.union(spread).union(contexts.where("n > 1").select(*KEYS, (-F.col("before")).alias("low"), F.col("size").alias("high")))
     spans = written(spans.where(F.col("high") - F.col("low") >= length).groupBy(*KEYS).agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans")
     hits = found.select("row", "pos", *KEYS).join(spans, KEYS)

@@ -1,16 +1,17 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-Two words are alike by the subsequences of three characters they share, gaps allowed: a subsequence that spans s characters
+Two words are alike by the subsequences of four characters they share, gaps allowed: a subsequence that spans s characters
 weighs DECAY**s, up to SPAN. Words get a mark at either end; characters that are no letter or digit are left out, and runs of
 single characters ("i d i o t") are read as one word, so gapped and spelled-out insults look like plain ones, and an inserted
 letter only weakens the likeness. Landmark words give the Nyström map: kernel values with the landmarks, whitened by the
 landmarks' own kernel. A linear machine (squared hinge) on it judges words. As the kernel's features can be written down,
-machine, landmarks and map fold into one table of weights per subsequence, and a word costs a few look-ups.
+machine, landmarks and map fold into one table of weights per subsequence (hashed), and a word costs a few look-ups.
 
 Labels are of texts, so training is on several instances: a toxic text's insult has to be found. Words that occur in toxic
 texts far more often than chance, in different surroundings (copies of a text show the same ones and count once), are taken as
 insults, along with variants that have a character inserted; words of texts that aren't toxic are the other class. Each round
-then adds, for toxic texts without such a word, the word that the machine finds most toxic, if it is clearly so. A text
+then adds the words of the other class that the machine finds most toxic, as examples and landmarks, and, for toxic texts
+without an insult, the word that it finds most toxic, if it is clearly so. A text
 scores as its most toxic word, and a logistic curve fitted on training texts kept apart maps that to 0..1.
 
 Training uses at most `per_class` labelled texts of either class, those of the smallest hash of their id, whole.
@@ -33,15 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import as_batch, chunks, written
 
-DECAY, SPAN, CLASSES = 0.6, 6, 64
-LANDMARKS, PER_CLASS = 192, 3000
-#: Words that stand for either class in training at most.
-MOST_WORDS = 6000
+DECAY, SPAN, SLOTS = 0.5, 7, 1 << 20
+LANDMARKS, PER_CLASS = 1000, 3000
+#: Words that stand for either class in training at most, and clean words that each round looks through.
+MOST_WORDS, LOOKED_AT = 4000, 60_000
 #: An insult is so many times as frequent in toxic texts as in others, and at most this share of such words may be there by chance.
-TIMES, BY_CHANCE = 20.0, 0.1
+TIMES, BY_CHANCE = 20.0, 0.03
 MEMO = 1_500_000
 FLOOR = -3.0
-SPELLED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+SPELLED = re.compile(r"(?<=\s)\w(?:\s\w){2,}(?!\S)")
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -49,64 +50,66 @@ def words_of(text: str) -> list[str]:
     """Lower-case words as they stand, and runs of single characters as one word each."""
     low = text.lower()
     found = low.split()
-    if m := SPELLED.findall(low):
+    if m := SPELLED.findall(f" {low}"):
         found += ["".join(x.split()) for x in m]
     return found
 
 
-def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (1..CLASSES-1) of the words with marks, SPAN - 1 zeros after each, and where each word begins."""
-    gap = "\0" * (SPAN - 1)
-    clean = [f"\1{OTHER.sub('', w)}\2{gap}" for w in words]
-    points = np.frombuffer("".join(clean).encode("utf-32-le", "replace"), np.uint32)
-    symbols = np.where(points < 3, points, points % (CLASSES - 3) + 3).astype(np.int32)
-    return symbols, np.cumsum([0, *map(len, clean)])[:-1]
+PATTERNS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 
 
-def _patterns() -> list[tuple[int, int]]:
-    return [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+def by_length(words: list[str]):
+    """(places in the list, code points of the words there between the marks 1 and 2, a row each) for each length of word."""
+    if not words:
+        return
+    clean = [OTHER.sub("", w) for w in words]
+    lengths = np.fromiter(map(len, clean), np.int64, len(clean))
+    order = np.argsort(lengths, kind="stable")
+    bounds = np.flatnonzero(np.append(True, np.diff(lengths[order]) > 0))
+    for at, end in zip(bounds, [*bounds[1:], len(words)], strict=True):
+        rows = order[at:end]
+        points = np.frombuffer("".join(f"\1{clean[k]}\2" for k in rows).encode("utf-32-le", "replace"), np.uint32)
+        yield rows, points.reshape(len(rows), -1)
 
 
-def subsequences(symbols: np.ndarray):
-    """For each pattern of gaps: the code of the subsequence that begins at each symbol (codes with a zero hold none) and its weight."""
-    s = np.append(symbols, np.zeros(SPAN, np.int32))
-    n = len(symbols)
-    first = s[:n] * (CLASSES * CLASSES)
-    for a, b in _patterns():
-        two, three = s[a : a + n], s[b : b + n]
-        yield np.where((s[:n] > 0) & (two > 0) & (three > 0), first + two * CLASSES + three, 0), DECAY ** (b + 1)
+def subsequences(points: np.ndarray):
+    """For each pattern of gaps: the slots of the subsequences of each row, and their weight."""
+    one, two, three = (np.ascontiguousarray(points.T) * np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    one7 = one >> np.uint32(7)
+    for a, b, c in PATTERNS:
+        if (n := len(one) - c) > 0:
+            h = (one[:n] ^ two[a : a + n]) * np.uint32(0x27D4EB2F) + (three[b : b + n] ^ one7[c : c + n])
+            h ^= h >> np.uint32(15)
+            yield (h * np.uint32(0x2C1B3C6D)) >> np.uint32(12), np.float32(DECAY ** (c + 1))
 
 
-def sizes(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The length of each word in feature space, had it no subsequence twice."""
-    total = sum(((code > 0) * weight**2 for code, weight in subsequences(symbols)), np.zeros(len(symbols)))
-    return np.sqrt(np.maximum(np.add.reduceat(total, begins), 1e-9))
+def size(width: int) -> float:
+    """The length in feature space of a word with so many symbols, had it no subsequence twice."""
+    return max(1e-9, sum(max(0, width - c) * DECAY ** (2 * c + 2) for _, _, c in PATTERNS)) ** 0.5
 
 
 class Landmarks:
     """Landmark words: the subsequences they hold, and the weight of each in each landmark."""
 
     def __init__(self, words: list[str]):
-        symbols, begins = laid_out(words)
-        word = np.repeat(np.arange(len(words)), np.diff(np.append(begins, len(symbols))))
-        found = [(code, weight) for code, weight in subsequences(symbols)]
-        self.codes = np.unique(np.concatenate([[0], *(code for code, _ in found)]))
-        self.weights = np.zeros((len(self.codes), len(words)), np.float32)
-        for code, weight in found:
-            np.add.at(self.weights, (np.searchsorted(self.codes, code), word), weight)
-        self.weights[0] = 0
-        self.weights /= sizes(symbols, begins).astype(np.float32)
+        found = [(rows, slots, weight / size(points.shape[1])) for rows, points in by_length(words) for slots, weight in subsequences(points)]
+        self.slots = np.unique(np.concatenate([np.zeros(1, np.uint32), *(slots.ravel() for _, slots, _ in found)]))
+        self.weights = np.zeros((len(self.slots), len(words)), np.float32)
+        for rows, slots, weight in found:
+            np.add.at(self.weights, (np.searchsorted(self.slots, slots), np.broadcast_to(rows, slots.shape)), weight)
+        self.place = np.full(SLOTS, len(self.slots), np.int32)
+        self.place[self.slots] = np.arange(len(self.slots))
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of words (rows) with the landmarks."""
-        place = np.zeros(CLASSES**3, np.int32)
-        place[self.codes] = np.arange(len(self.codes))
-        out = []
-        for k in range(0, len(words), 500):
-            symbols, begins = laid_out(words[k : k + 500])
-            total = sum(self.weights[place[code]] * np.float32(weight) for code, weight in subsequences(symbols))
-            out.append(np.add.reduceat(total, begins, axis=0) / sizes(symbols, begins)[:, None])
-        return np.concatenate(out) if out else np.zeros((0, self.weights.shape[1]))
+        padded = np.append(self.weights, np.zeros((1, self.weights.shape[1]), np.float32), axis=0)
+        out = np.zeros((len(words), self.weights.shape[1]), np.float32)
+        for rows, points in by_length(words):
+            for k in range(0, len(rows), 200):
+                for slots, weight in subsequences(points[k : k + 200]):
+                    out[rows[k : k + 200]] += padded[self.place[slots]].sum(axis=0) * weight
+            out[rows] /= size(points.shape[1])
+        return out
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
@@ -139,7 +142,8 @@ class ToxicModel:
         self.memo: dict[str, float] = {}
 
     def fit(self, insults: list[str], others: list[str], landmarks: int = LANDMARKS) -> None:
-        marks = list(dict.fromkeys(insults[: landmarks * 2 // 3] + others[: landmarks - min(len(insults), landmarks * 2 // 3)]))
+        """The first words of either class are the landmarks."""
+        marks = insults[: landmarks // 2] + others[: landmarks - min(len(insults), landmarks // 2)]
         basis = Landmarks(marks)
         values, vectors = np.linalg.eigh((basis.weights.T @ basis.weights).astype(float))
         keep = values > 1e-4
@@ -149,21 +153,18 @@ class ToxicModel:
         y = np.repeat([1.0, -1.0], [len(positive), len(others)])
         weight = np.where(y > 0, 0.5 / len(positive), 0.5 / max(1, len(others))) * 2000
         w = machine(x, y, weight)
-        self.table = np.zeros(CLASSES**3, np.float32)
-        self.table[basis.codes] = basis.weights @ (whiten @ w[:-1])
+        self.table = np.zeros(SLOTS, np.float32)
+        self.table[basis.slots] = basis.weights @ (whiten @ w[:-1])
         self.offset = float(w[-1])
         self.memo = {}
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        out = []
-        for k in range(0, len(words), 20_000):
-            symbols, begins = laid_out(words[k : k + 20_000])
-            total, length = np.zeros(len(symbols), np.float32), np.zeros(len(symbols), np.float32)
-            for code, weight in subsequences(symbols):
-                total += self.table[code] * np.float32(weight)
-                length += (code > 0) * np.float32(weight**2)
-            out.append(np.add.reduceat(total, begins) / np.sqrt(np.maximum(np.add.reduceat(length, begins), 1e-9)) + self.offset)
-        return np.concatenate(out) if out else np.zeros(0)
+        out = np.full(len(words), self.offset, np.float32)
+        for rows, points in by_length(words):
+            for k in range(0, len(rows), 20_000):
+                total = sum((self.table[slots].sum(axis=0) * weight for slots, weight in subsequences(points[k : k + 20_000])), np.float32(0))
+                out[rows[k : k + 20_000]] += total / np.float32(size(points.shape[1]))
+        return out
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """The decision on each text's most toxic word, FLOOR at least."""
@@ -215,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
         for batch, texts in chunks(batches):
             for label, text in zip(batch.column(batch.schema.get_field_index("label")).to_pylist(), texts, strict=True):
                 words = words_of(text)
-                around = [xxhash.xxh64_intdigest(f"{a} {b}") >> 1 for a, b in zip(["", *words], [*words[1:], ""])]
+                around = [xxhash.xxh64_intdigest(f"{a} {b}") >> 1 for a, b in zip(["", *words[:-1]], [*words[1:], ""])][: len(words)]
                 both = list(dict.fromkeys((c, x) for w, x in zip(words, around, strict=True) if len(c := OTHER.sub("", w)) > 1))
                 yield as_batch(schema, word=[x[0] for x in both], around=[x[1] for x in both], label=[label] * len(both))
 
@@ -226,27 +227,28 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     least = least_places(counted, (all_bad or 0) / max(1, (all_bad or 0) + (all_good or 0)))
     insults = [r[0] for r in counted.where((F.col("bad") >= least) & (odds >= TIMES)).orderBy(F.desc("bad"), "word").limit(MOST_WORDS // 4).collect()]
     clean = counted.where("good > 0")
-    others = [r[0] for r in clean.orderBy(F.desc("good"), "word").limit(MOST_WORDS // 4).collect()]
-    others += [r[0] for r in clean.orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect()]
-    others = [w for w in dict.fromkeys(others) if w not in set(insults)]
+    common = [r[0] for r in clean.orderBy(F.desc("good"), "word").limit(MOST_WORDS // 4).collect()]
+    looked = [r[0] for r in clean.orderBy(F.xxhash64("word"), "word").limit(LOOKED_AT).collect()]
     model = ToxicModel(sum(r["label"] for r in few) / len(few))
-    if not insults or not others:
+    if not insults or not looked:
         return model
     bad = [r[0] for r in rows.where("fold <> 0 and label = 1").select("text").collect()]
-    for _ in range(2):
+    hard: list[str] = []
+    for last in (False, False, True):
+        others = [w for w in dict.fromkeys(hard + common + looked[:MOST_WORDS]) if w not in set(insults)]
         model.fit(insults, others)
-        have = set(insults)
+        if last:
+            break
+        d = model.decisions(looked)
+        hard = list(dict.fromkeys(hard + [looked[k] for k in np.argsort(-d, kind="stable")[: MOST_WORDS // 4] if d[k] > -1]))
         found: dict[str, int] = {}
         for text in bad:
-            words = [c for w in set(words_of(text)) if (c := OTHER.sub("", w))]
-            if words and not have.intersection(words):
+            words = sorted({c for w in words_of(text) if (c := OTHER.sub("", w))})
+            if words and not set(insults).intersection(words):
                 d = model.decisions(words)
-                if d.max() > 0:
+                if d.max() > 0.5:
                     found[words[int(d.argmax())]] = found.get(words[int(d.argmax())], 0) + 1
-        more = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])) if w not in set(others)][:200]
-        if not more:
-            break
-        insults += more
+        insults += [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n > 1 and w not in set(looked)][:200]
     apart = rows.where("fold = 0").select("text", "label").collect()
     if len({r["label"] for r in apart}) == 2:
         model.calibrate(model.margins([r["text"] for r in apart]), np.array([r["label"] for r in apart]))
