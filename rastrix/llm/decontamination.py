@@ -6,7 +6,8 @@ document at an offset), which is verified: of some `window` neighbouring words o
 at least `similarity` must be equal. The four masks together hit every window of 16 words with at most 3 substituted words,
 so up to there none is missed.
 
-Words are runs of letters and digits, lower-cased. The hashes of a benchmark of up to SMALL places are broadcast (24 MB at
+Words are runs of letters and digits, lower-cased. As all masks begin and end with a word they look at, a bit map of the
+items' words leaves most places out before they are hashed. The hashes of a benchmark of up to SMALL places are broadcast (24 MB at
 most); a larger one is joined by a shuffle. Documents are hashed in one pass that shuffles nothing; only hits are, and they
 are few: a diagonal of a row counts once, however many seeds it has.
 
@@ -27,6 +28,8 @@ SPAN = len(MASKS[0])
 WINDOW, SIMILARITY = 16, 0.8
 #: Seeds of a benchmark that are broadcast at most.
 SMALL = 1_000_000
+#: Bits of the map of the words that items have.
+BITS = 1 << 17
 KEY = "_overlap_key"
 APART = r"[^\p{L}\p{N}]+"
 
@@ -35,17 +38,32 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), APART)
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """The rows of docs (with an array column `words`) exploded to (mask, place, seed); `words` goes."""
+def word_bits(items: DataFrame) -> Column:
+    """A bit map of BITS bits, as a constant array of longs, of the hashes of all words of the items; its size is fixed."""
+    h = items.select(F.explode("words").alias("w")).select(F.xxhash64("w").bitwiseAND(BITS - 1).alias("h"))
+    each = h.groupBy(F.shiftright("h", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()
+    found = {r["slot"]: r["bits"] for r in each}
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(BITS >> 6))), ",").cast("array<long>")
+
+
+def seeds(docs: DataFrame, bits: Column | None = None) -> DataFrame:
+    """The rows of docs (with an array column `words`) exploded to (place, seed), a row for each mask and place; `words` goes.
+
+    With `bits` (from word_bits), places whose first or last word no item has are left out: no mask can hit there.
+    """
     rest = [c for c in docs.columns if c != "words"]
-    hashed = docs.where(F.size("words") >= SPAN).select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    places = F.sequence(F.lit(0), F.size("h") - SPAN)
+    found = docs.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    places = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN))
+    if bits is not None:
+        held = F.transform("h", lambda w: F.getbit(F.get(bits, F.shiftright(w.bitwiseAND(BITS - 1), 6).cast("int")), w.bitwiseAND(63).cast("int")))
+        found = found.select(*rest, "h", held.alias("held"))
+        places = F.filter(places, lambda p: (F.get("held", p) == 1) & (F.get("held", p + SPAN - 1) == 1))
 
     def look(mask: str) -> Column:
-        return F.transform(places, lambda p: F.xxhash64(F.lit(mask), *[F.get("h", p + k) for k, c in enumerate(mask) if c == "1"]))
+        return F.transform("places", lambda p: F.struct(p.alias("place"), F.xxhash64(F.lit(mask), *[F.get("h", p + k) for k, c in enumerate(mask) if c == "1"]).alias("seed")))
 
-    found = hashed.select(*rest, (F.size("h") - SPAN + 1).alias("n"), F.posexplode(F.flatten(F.array(*map(look, MASKS)))).alias("at", "seed"))
-    return found.select(*rest, (F.col("at") % F.col("n")).alias("place"), "seed")
+    found = found.select(*rest, "h", places.alias("places"))
+    return found.select(*rest, F.explode(F.flatten(F.array(*map(look, MASKS)))).alias("s")).select(*rest, "s.place", "s.seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -56,12 +74,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row_key(id_col, text_col).alias("key"))
     if index.count() <= SMALL:
         index = F.broadcast(index)
-    hits = seeds(rows.select("key", words(F.col("text")).alias("words"))).join(index, "seed")
+    hits = seeds(rows.select("key", words(F.col("text")).alias("words")), word_bits(items)).join(index, "seed")
     hits = written(hits.select("key", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "hits")
     laid = rows.join(hits, "key").join(items.withColumnRenamed("words", "own"), "item").select("key", "doc_id", "item_id", "own", "shift", words(F.col("text")).alias("words"))
-    size = F.size("own")
-    equal = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.when(F.get("own", k) == F.get("words", k + F.col("shift")), 1).otherwise(0))
-    laid = laid.select("key", "doc_id", "item_id", equal.alias("equal"), F.least(F.lit(window), size).alias("width"))
+    before = F.greatest(-F.col("shift"), F.lit(0))  # words of the item that lie before the text
+    under = F.concat(F.array_repeat(F.lit(""), before), F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("own") - before, F.lit(0))))
+    equal = F.zip_with("own", under, lambda a, b: F.when(a == b, 1).otherwise(0))
+    laid = laid.select("key", "doc_id", "item_id", equal.alias("equal"), F.least(F.lit(window), F.size("own")).alias("width"))
     share = F.array_max(F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("width")), lambda k: F.aggregate(F.slice("equal", k + 1, F.col("width")), F.lit(0), lambda a, b: a + b)))
     laid = laid.select("key", "doc_id", "item_id", F.aggregate("equal", F.lit(0), lambda a, b: a + b).alias("n"), (share / F.col("width")).alias("share")).where(F.col("share") >= similarity)
     return laid.groupBy("key", "doc_id", "item_id").agg(F.max("n").cast("long").alias("n_matched"), F.max("share").alias("similarity"))

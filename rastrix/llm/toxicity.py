@@ -94,7 +94,7 @@ class Landmarks:
     def __init__(self, words: list[str]):
         found = [(rows, slots, weight / size(points.shape[1])) for rows, points in by_length(words) for slots, weight in subsequences(points)]
         self.slots = np.unique(np.concatenate([np.zeros(1, np.uint32), *(slots.ravel() for _, slots, _ in found)]))
-        self.weights = np.zeros((len(self.slots), len(words)), np.float32)
+        self.weights = np.zeros((len(self.slots) + 1, len(words)), np.float32)  # the last row: slots that no landmark holds
         for rows, slots, weight in found:
             np.add.at(self.weights, (np.searchsorted(self.slots, slots), np.broadcast_to(rows, slots.shape)), weight)
         self.place = np.full(SLOTS, len(self.slots), np.int32)
@@ -102,12 +102,11 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of words (rows) with the landmarks."""
-        padded = np.append(self.weights, np.zeros((1, self.weights.shape[1]), np.float32), axis=0)
         out = np.zeros((len(words), self.weights.shape[1]), np.float32)
         for rows, points in by_length(words):
             for k in range(0, len(rows), 200):
                 for slots, weight in subsequences(points[k : k + 200]):
-                    out[rows[k : k + 200]] += padded[self.place[slots]].sum(axis=0) * weight
+                    out[rows[k : k + 200]] += self.weights[self.place[slots]].sum(axis=0) * weight
             out[rows] /= size(points.shape[1])
         return out
 
@@ -154,7 +153,7 @@ class ToxicModel:
         weight = np.where(y > 0, 0.5 / len(positive), 0.5 / max(1, len(others))) * 2000
         w = machine(x, y, weight)
         self.table = np.zeros(SLOTS, np.float32)
-        self.table[basis.slots] = basis.weights @ (whiten @ w[:-1])
+        self.table[basis.slots] = basis.weights[:-1] @ (whiten @ w[:-1])
         self.offset = float(w[-1])
         self.memo = {}
 
