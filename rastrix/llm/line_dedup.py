@@ -30,7 +30,8 @@ BLANK = "[ \t\r\u000b\u000c]+"
 
 def masked(text: Column) -> Column:
     """The text with words that hold a digit as variable fields."""
-    return F.regexp_replace(text, "[^ \t\r\n\u000b\u000c]*[0-9][^ \t\r\n\u000b\u000c]*", FIELD)
+    blank = " \t\r\n\u000b\u000c"
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, f"(?<![^{blank}])[^{blank}0-9]*+[0-9][^{blank}]*+", FIELD)).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
