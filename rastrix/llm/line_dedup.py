@@ -8,8 +8,9 @@ the others and is its own template. A template of lines in `min_docs` different
 documents but the one of the smallest id, so no wording is lost from the corpus. Lines of fewer than `min_words` words stay.
 The tree doesn't depend on the order of lines, as online parsers' trees do.
 
-Exact copies of a text count once, so that a group of copies doesn't make its own lines recur. A line's text is shuffled only
-if its leaf recurs, and then once for each different line; counts are combined before each shuffle.
+Exact copies of a text count once, so that a group of copies doesn't make its own lines recur. Lines travel
+as hashes; those in leaves that recur are parsed again, each different one in one document. Counts are combined before each
+shuffle.
 
 Defined results: null texts stay null and empty ones empty; if all lines of a text go, an empty text stays; lines end at a line feed, and what
 is left is joined by line feeds; repeated rows get equal results; the other columns pass unchanged; an empty table gives an
@@ -41,13 +42,17 @@ def line_words(line: Column) -> Column:
 def recurring_lines(docs: DataFrame, min_docs: int, leading: int, share: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(key, place) of the lines that go: the row's key and the line's number from 0."""
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = rows.select("doc_id", "key", F.xxhash64("text").alias("copy"), F.transform(F.split(masked(F.col("text")), "\n"), lambda x: line_words(x)).alias("lines"))
-    lines = rows.select("doc_id", "key", "copy", F.posexplode("lines").alias("place", "words")).where(F.size("words") >= min_words)
-    lines = lines.withColumn("leaf", F.xxhash64(F.size("words"), F.slice("words", 1, leading))).withColumn("line", F.xxhash64("words"))
+    split = rows.select("doc_id", "key", F.xxhash64("text").alias("copy"), F.transform(F.split(masked(F.col("text")), "\n"), lambda x: line_words(x)).alias("lines"))
+    lines = split.select("doc_id", "key", "copy", F.posexplode("lines").alias("place", "words")).where(F.size("words") >= min_words)
+    lines = written(lines.select("doc_id", "key", "copy", "place", F.xxhash64(F.size("words"), F.slice("words", 1, leading)).alias("leaf"), F.xxhash64("words").alias("line")), "lines")
     leaves = lines.groupBy("leaf", "copy").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("copies")).where(F.col("copies") >= min_docs).select("leaf")
-    live = written(lines.join(written(leaves, "leaves"), "leaf", "left_semi"), "lines")
+    live = written(lines.join(written(leaves, "leaves"), "leaf", "left_semi"), "live")
     times = live.groupBy("leaf", "line", "copy").agg(F.min("doc_id").alias("first"))
-    kinds = times.groupBy("leaf", "line").agg(F.count("*").alias("copies")).join(live.groupBy("leaf", "line").agg(F.first("words").alias("words")), ["leaf", "line"])
+    # each different line is parsed again in one document that has it
+    one = live.groupBy("leaf", "line").agg(F.min(F.struct("key", "place")).alias("at")).groupBy("at.key").agg(F.collect_list(F.struct("at.place", "leaf", "line")).alias("places"))
+    parsed = rows.select("key", "text").join(written(one, "one"), "key").select("places", F.split(masked(F.col("text")), "\n").alias("lines"))
+    parsed = parsed.select(F.explode(F.when(F.size("lines") > 0, F.transform("places", lambda p: F.struct(p.leaf.alias("leaf"), p.line.alias("line"), line_words(F.get("lines", p.place)).alias("words"))))).alias("p")).select("p.*")
+    kinds = times.groupBy("leaf", "line").agg(F.count("*").alias("copies")).join(parsed.groupBy("leaf", "line").agg(F.first("words").alias("words")), ["leaf", "line"])
     tokens = kinds.select("leaf", "line", "copies", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     agreed = tokens.groupBy("leaf", "at", "word").agg(F.sum("copies").alias("support")).where(F.col("support") >= min_docs).select("leaf", "at", "word")
     kept = tokens.join(agreed, ["leaf", "at", "word"]).where(F.col("word") != FIELD).groupBy("leaf", "line", "n").agg(F.count("*").alias("same"), F.xxhash64(F.array_sort(F.collect_list(F.struct("at", "word")))).alias("shape"))
