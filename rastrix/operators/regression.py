@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import kernel
+from ..functions.kernels import kernel, space_time_distance
 from .spatial import within_distance
 
 
@@ -73,8 +73,23 @@ def _pairs(points: DataFrame, columns: list[str], width: float, kind: str) -> Da
 
 def weighted_regression(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
     """(id, beta: array with the intercept first, yhat, residual): weighted least squares at each point; singular systems get 1e-6 on the diagonal."""
+    return _fitted(points, _pairs(points, [y, *columns], width, kind), y, columns)
+
+
+def space_time_regression(points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float = 0.05, kind: str = "bisquare") -> DataFrame:
+    """As weighted_regression, by distance in space and time; what comes later than a point takes no part. The kernel must end (bisquare, tricube, boxcar) and share be over 0, which bounds the distance in space."""
+    if kind not in ("bisquare", "tricube", "boxcar") or not 0 < share <= 1:
+        raise ValueError("a kernel that ends and a share over 0 up to 1")
+    near = within_distance(points, points.withColumn("v", F.struct(F.col(time).alias("_tj"), y, *columns)), width / share)
+    late = near.join(points.select(F.col("id").alias("i"), F.col(time).alias("_ti")), "i").withColumn("ago", (F.col("_ti") - F.col("vj._tj")).cast("double")).where("ago >= 0")
+    apart = space_time_distance(F.col("d"), F.col("ago"), share)
+    pairs = late.withColumn("w", kernel(apart, width, kind)).where("w > 0").select("i", "w", *[F.col(f"vj.{c}").alias(c) for c in (y, *columns)])
+    return _fitted(points, pairs, y, columns)
+
+
+def _fitted(points: DataFrame, pairs: DataFrame, y: str, columns: list[str]) -> DataFrame:
     x = _design(columns)
-    local = _pairs(points, [y, *columns], width, kind).groupBy("i").agg(*_sums(x, F.col(y).cast("double"), F.col("w")))
+    local = pairs.groupBy("i").agg(*_sums(x, F.col(y).cast("double"), F.col("w")))
     own = points.select(F.col("id").alias("i"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
     k = len(x)
     kind_of_id = points.schema["id"].dataType.simpleString()
@@ -116,3 +131,101 @@ def weighted_correlation(points: DataFrame, a: str, b: str, width: float, kind:
     cov = lambda u, v, uv: F.col(uv) / s - F.col(u) / s * F.col(v) / s
     vx, vy = cov("x", "x", "xx"), cov("y", "y", "yy")
     return m.select(F.col("i").alias("id"), F.try_divide(cov("x", "y", "xy"), 1 - F.col("q") / s / s).alias("covariance"), F.when((vx > 1e-9) & (vy > 1e-9), cov("x", "y", "xy") / F.sqrt(vx * vy)).alias("r"))
+
+
+def weighted_quantiles(points: DataFrame, y: str, width: float, kind: str = "bisquare", shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(id, one column q<percent> a share): the least value at which the neighbours' weights come to the share."""
+    p = _pairs(points, [y], width, kind)
+    upto = p.groupBy("i", F.col(y).alias("v")).agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(Window.partitionBy("i").orderBy("v")))
+    whole = upto.withColumn("all", F.sum("w").over(Window.partitionBy("i")))
+    return whole.groupBy(F.col("i").alias("id")).agg(*[F.min(F.when(F.col("upto") >= F.col("all") * q - 1e-12, F.col("v"))).alias(f"q{round(q * 100)}") for q in shares])
+
+
+def _moment_sums(columns: list[str]) -> list[Column]:
+    k, w = range(len(columns)), F.col("w")
+    x = [F.col(c).cast("double") for c in columns]
+    return [F.sum(w).alias("s"), F.count("*").alias("n"), *[F.sum(w * x[a]).alias(f"m{a}") for a in k], *[F.sum(w * x[a] * x[b]).alias(f"c{a}_{b}") for a in k for b in k if b >= a]]
+
+
+def _mean_covariance(t: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    s = t["s"].to_numpy()
+    mean = np.stack([t[f"m{a}"] for a in range(k)], axis=1).reshape(len(t), k) / s[:, None]
+    cov = np.array([[t[f"c{min(a, b)}_{max(a, b)}"] / s for b in range(k)] for a in range(k)]).transpose(2, 0, 1)
+    return mean, cov - mean[:, :, None] * mean[:, None, :]
+
+
+def weighted_components(points: DataFrame, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
+    """(id, variances, loadings): principal components of the neighbours, largest first; a loading's largest entry is positive. Five neighbours or fewer give zeros."""
+    k, kind_of_id = len(columns), points.schema["id"].dataType.simpleString()
+    local = _pairs(points, columns, width, kind).groupBy("i").agg(*_moment_sums(columns))
+
+    def solve(batches):
+        for t in batches:
+            values, vectors = np.linalg.eigh(_mean_covariance(t, k)[1])
+            values, vectors = values[:, ::-1], vectors[:, :, ::-1].transpose(0, 2, 1)
+            top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)
+            few = (t["n"] <= 5).to_numpy()
+            values, vectors = np.where(few[:, None], 0.0, values), np.where(few[:, None, None], 0.0, vectors * np.sign(top))
+            yield pd.DataFrame({"id": t["i"], "variances": list(values), "loadings": [[list(r) for r in v] for v in vectors]})
+
+    return local.mapInPandas(solve, f"id {kind_of_id}, variances array<double>, loadings array<array<double>>")
+
+
+def weighted_discriminant(points: DataFrame, label: str, columns: list[str], width: float, kind: str = "bisquare", quadratic: bool = False) -> DataFrame:
+    """(id, predicted, share, entropy): the class that the neighbours' weighted priors, means and covariances (one, or one a class) make likeliest, ties to the first in order, with its probability and the bits of entropy of all."""
+    k = len(columns)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    local = _pairs(points, [label, *columns], width, kind).groupBy("i", F.col(label).alias("label")).agg(*_moment_sums(columns))
+    fields = [c for c in local.columns if c != "i"]
+    each = local.groupBy("i").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("classes"))  # one entry a class
+    own = points.select(F.col("id").alias("i"), F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
+
+    def judged(classes, at) -> tuple:
+        t = pd.DataFrame([c if isinstance(c, dict) else c.asDict() for c in classes])
+        mean, cov = _mean_covariance(t, k)
+        prior = t["s"].to_numpy() / t["s"].sum()
+        second = np.trace(cov, axis1=1, axis2=2) + (mean * mean).sum(axis=1)
+        if not quadratic:
+            cov, second = np.broadcast_to((cov * prior[:, None, None]).sum(axis=0), cov.shape), np.full(len(prior), second @ prior)
+        cov = cov + 1e-6 * np.eye(k) * np.maximum(1.0, second)[:, None, None]  # a class of one point has none
+        off = np.asarray(at) - mean
+        score = np.log(prior) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ca,ca->c", off, np.linalg.solve(cov, off[:, :, None])[:, :, 0])
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        return t["label"][int(p.argmax())], float(p.max()), float(-(p[p > 0] * np.log2(p[p > 0])).sum())
+
+    def solve(batches):
+        for t in batches:
+            found = [judged(c, a) for c, a in zip(t["classes"], t["at"])]
+            yield pd.DataFrame({"id": t["i"], "predicted": [f[0] for f in found], "share": [f[1] for f in found], "entropy": [f[2] for f in found]})
+
+    return each.join(own, "i").mapInPandas(solve, f"id {kinds['id']}, predicted {kinds[label]}, share double, entropy double")
+
+
+def weighted_generalised(points: DataFrame, y: str, columns: list[str], width: float, family: str = "poisson", kind: str = "bisquare", rounds: int = 6) -> DataFrame:
+    """(id, beta): a Poisson or logistic model at each point, by that many rounds of weighted least squares; a round joins the last coefficients to the pairs, which are dealt by location once."""
+    k, kind_of_id = len(columns) + 1, points.schema["id"].dataType.simpleString()
+    pairs = _pairs(points, [y, *columns], width, kind).repartition("i")
+    x, t = _design(columns), F.col(y).cast("double")
+
+    def solve(batches):
+        for b in batches:
+            a = np.array([[b[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]).transpose(2, 0, 1)
+            right = np.stack([b[f"b{i}"] for i in range(k)], axis=1)
+            a = a + 1e-9 * np.maximum(1e-9, np.trace(a, axis1=1, axis2=2))[:, None, None] * np.eye(k)
+            yield pd.DataFrame({"i": b["i"], "beta": list(np.linalg.solve(a, right[:, :, None])[:, :, 0])})
+
+    beta = None
+    for _ in range(rounds):
+        if beta is None:
+            now, mean = pairs, t + 0.1 if family == "poisson" else (t + 0.5) / 2
+            eta = F.log(mean) if family == "poisson" else F.log(mean / (1 - mean))
+        else:
+            now = pairs.join(beta, "i")
+            eta = sum((x[c] * F.col("beta")[c] for c in range(k)), F.lit(0.0))
+            eta = F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))
+            mean = F.exp(eta) if family == "poisson" else 1 / (1 + F.exp(-eta))
+        curve = mean if family == "poisson" else mean * (1 - mean)
+        sums = now.groupBy("i").agg(*_sums(x, eta + (t - mean) / curve, F.col("w") * curve))
+        beta = sums.mapInPandas(solve, f"i {kind_of_id}, beta array<double>")
+    return beta.withColumnRenamed("i", "id")

@@ -38,6 +38,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False, side: float
     k = min(k, box[0] - same)
     here = a.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     reach = max(wide, *(abs(p - q) for p, q in ((here[0], box[2]), (here[1], box[1]), (here[2], box[4]), (here[3], box[3])))) * 1.5 if here[0] is not None else wide
+    wide = max(wide, reach / 64)  # points in one place are far from most of a: few rounds get there
     side = side or wide * (2.0 * (k + 1) / box[0]) ** 0.5
     done, left = None, a
     while True:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import coverage, cube, feature, regression, spatial, statistics
+from .operators import autoregression, composite, coverage, cube, feature, interpolation, regression, spatial, statistics, terrain
 from .plans.expression import compile_graph
 from .sources import fixtures as fx
 from .streaming import windows
@@ -179,3 +179,55 @@ NDVI_GRAPH = """{"0": {"functionInvocationValue": {"functionName": "Coverage.div
 "4": {"functionInvocationValue": {"functionName": "Coverage.toDouble", "arguments": {"a": {"functionInvocationValue": {"functionName": "Service.getCoverage", "arguments": {"id": {"constantValue": "two"}}}}}}}}"""
 query("dag_normalised", f"{AB} SELECT a.band, a.px, a.py, {_r('(a.value - b.value) / nullif(a.value + b.value, 0)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: compile_graph(NDVI_GRAPH, {"one": year(s, d, 1995), "two": year(s, d, 1996)}))
 query("flagship_ndvi", f"{W} SELECT px, py, round(avg((NIR - Red) / nullif(NIR + Red, 0)), 6) AS value FROM wide GROUP BY ALL", lambda s, d: cube.ndvi(fx.cube(s, d)).groupBy("px", "py").agg(F.avg("value").alias("value")))
+
+_win = "c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1"
+_g = f"{AB}, f AS (SELECT band, px, py, floor(value) AS value FROM a), g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) / 8 AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) / 8 AS gy FROM f c JOIN f n ON {_win} GROUP BY ALL)"
+query("terrain_aspect", f"{_g}, t AS (SELECT band, px, py, CASE WHEN gx <> 0 OR gy <> 0 THEN degrees(atan2(-gx, gy)) END AS v FROM g) SELECT band, px, py, {_r('CASE WHEN v < 0 THEN v + 360 ELSE abs(v) END')} AS value FROM t", lambda s, d: terrain.aspect(whole(year(s, d, 1995))))
+query("terrain_hillshade", f"{_g}, l AS (SELECT band, px, py, (sin(radians(45)) + cos(radians(45)) * (gy * cos(radians(315)) - gx * sin(radians(315)))) / sqrt(1 + gx * gx + gy * gy) AS v FROM g) SELECT band, px, py, {_r('CASE WHEN v > 0 THEN 1 + 254 * v ELSE 1.0 END')} AS value FROM l", lambda s, d: terrain.hillshade(whole(year(s, d, 1995))))
+for _n, _f, _e in (("ruggedness", terrain.ruggedness, "avg(abs(n.value - c.value))"), ("position", terrain.position_index, "any_value(c.value) - avg(n.value)"), ("roughness", terrain.roughness, "greatest(max(n.value), any_value(c.value)) - least(min(n.value), any_value(c.value))")):
+    query(f"terrain_{_n}", f"{AB} SELECT c.band, c.px, c.py, {_r(_e)} AS value FROM a c JOIN a n ON {_win} AND (c.px <> n.px OR c.py <> n.py) GROUP BY ALL", lambda s, d, f=_f: f(year(s, d, 1995)))
+query("resample_coarser", f"{AB} SELECT band, px // 4 AS px, py // 4 AS py, {_r('avg(value)')} AS value FROM a GROUP BY ALL", lambda s, d: terrain.coarser(year(s, d, 1995), 4))
+query("resample_finer", f"{AB} SELECT band, px * 2 + i AS px, py * 2 + j AS py, {_r('value')} AS value FROM a, range(2) t(i), range(2) u(j) WHERE band = 'Red'", lambda s, d: terrain.finer(year(s, d, 1995).where("band = 'Red'"), 2))
+query("map_patch", f"{AB}, e AS (SELECT * FROM a WHERE px % 2 = 0) SELECT band, px, py, {_r('coalesce(e.value, b.value)')} AS value FROM e FULL JOIN b USING (band, px, py)", lambda s, d: terrain.patch(year(s, d, 1995).where("px % 2 = 0"), year(s, d, 1996)))
+query("map_cross", f"{AB} SELECT a.band, px, py, dense_rank() OVER (ORDER BY floor(a.value), floor(b.value)) - 1 AS value FROM a JOIN b USING (band, px, py) WHERE a.band = 'Green'", lambda s, d: terrain.cross(whole(year(s, d, 1995).where("band = 'Green'")), whole(year(s, d, 1996))))
+query("map_blend", f"{AB} SELECT a.band, px, py, {_r('a.value * 0.3 + b.value * (1 - 0.3)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.blend(year(s, d, 1995), year(s, d, 1996), 30))
+query("map_shade", f"{AB} SELECT a.band, px, py, {_r('least(255, greatest(0, a.value / 255 * b.value * 1.2))')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.shade(year(s, d, 1995), year(s, d, 1996), 20))
+query("map_rgb", f"{AB}, l AS (SELECT px, py, band, floor(least(255, greatest(0, value)) * 32 / 256) AS v FROM a) SELECT px, py, CAST(max(v) FILTER (WHERE band = 'Red') * 1024 + max(v) FILTER (WHERE band = 'NIR') * 32 + max(v) FILTER (WHERE band = 'Green') AS BIGINT) AS value FROM l GROUP BY ALL", lambda s, d: terrain.rgb(year(s, d, 1995), ["Red", "NIR", "Green"]))
+query("cov_add_bands", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE band IN ('NIR', 'Red') UNION ALL SELECT band, px, py, {_r('value')} FROM b WHERE band = 'Green'", lambda s, d: terrain.add_bands(year(s, d, 1995).where("band in ('NIR', 'Red')"), year(s, d, 1996), ["Red", "Green"]))
+query("cov_rename_bands", f"{AB} SELECT CASE band WHEN 'Red' THEN 'B4' WHEN 'NIR' THEN 'B5' ELSE band END AS band, px, py, {_r('value')} AS value FROM a", lambda s, d: terrain.rename_bands(year(s, d, 1995), {"Red": "B4", "NIR": "B5"}))
+query("ard_reflectance", f"{AB} SELECT band, px, py, {_r('(CASE WHEN value <> 0 THEN value * 0.5 - 1.5 END - 0.25) * (pi() * 0.98 * 0.98 / (150.0 * cos(radians(35))))')} AS value FROM a", lambda s, d: terrain.reflectance(year(s, d, 1995), 0.5, -1.5, 150.0, 35.0, 0.98, 0.25))
+_scenes = f"{W}, sc AS (SELECT * FROM wide WHERE Red IS NOT NULL AND NIR IS NOT NULL AND Green IS NOT NULL)"
+query("composite_medoid", f"{_scenes}, t AS (SELECT p.px, p.py, p.instant, any_value(p.Red) AS Red, any_value(p.NIR) AS NIR, any_value(p.Green) AS Green, round(sum(sqrt((p.Red - q.Red) * (p.Red - q.Red) + (p.NIR - q.NIR) * (p.NIR - q.NIR) + (p.Green - q.Green) * (p.Green - q.Green))), 9) AS total FROM sc p JOIN sc q ON p.px = q.px AND p.py = q.py GROUP BY ALL) SELECT px, py, instant, {_r('Red')} AS Red, {_r('NIR')} AS NIR, {_r('Green')} AS Green FROM t QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY total, instant) = 1", lambda s, d: composite.medoid(fx.cube(s, d), ["Red", "NIR", "Green"]))
+query("composite_geomedian", None, lambda s, d: composite.geometric_median(fx.cube(s, d), ["Red", "NIR", "Green"]))
+quality = lambda s, d: fx.cube(s, d).where("band = 'Green'").select("instant", "px", "py", F.floor("value").alias("code"))
+query("cloud_free_median", f"{W} SELECT band, px, py, {_r('median(value) FILTER (WHERE floor(wide.Green) NOT IN (5, 6))')} AS value FROM cube JOIN wide USING (instant, px, py) GROUP BY ALL", lambda s, d: coverage.mosaic(composite.masked(fx.cube(s, d), quality(s, d), [5, 6]), "median"))
+
+query("variogram", f"{_all} SELECT CAST(least(floor(d / 2.0), 9) AS BIGINT) AS bin, count(*) AS n, {_r('avg(d)')} AS d, round(avg((b.v - a.v) * (b.v - a.v)) / 2, 2) AS gamma FROM pairs JOIN pts a ON a.id = i JOIN pts b ON b.id = j WHERE i < j AND d <= 20 GROUP BY 1", lambda s, d: interpolation.variogram(fx.suppliers(s, d), 20.0, 10).withColumn("gamma", F.round("gamma", 2)))
+
+
+def kriged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = fx.suppliers(spark, sf_dir)
+    found = interpolation.fitted_variogram(pts, 40.0)
+    return interpolation.kriging(pts, cells(spark, sf_dir), 16, "Sph", found["nugget"], found["sill"], found["range"])
+
+
+query("kriging", None, kriged)
+query("thin_plate", None, lambda s, d: interpolation.thin_plate(fx.suppliers(s, d), cells(s, d)))
+query("spatial_lag_model", None, lambda s, d: autoregression.lag_model(fx.suppliers(s, d), weights(s, d), "v", ["x"]))
+query("spatial_error_model", None, lambda s, d: autoregression.error_model(fx.suppliers(s, d), weights(s, d), "v", ["x"]))
+query("gw_quantiles", f"{_gw}, g AS (SELECT id, y, sum(w) AS w FROM p GROUP BY ALL), u AS (SELECT id, y, sum(w) OVER (PARTITION BY id ORDER BY y) AS upto, sum(w) OVER (PARTITION BY id) AS total FROM g) SELECT id, {', '.join(f'round(min(y) FILTER (WHERE upto >= total * {q / 100} - 1e-12), 6) AS q{q}' for q in (25, 50, 75))} FROM u GROUP BY id", lambda s, d: regression.weighted_quantiles(fx.suppliers(s, d), "v", 40.0))
+query("gw_components", f"{P}, p AS (SELECT a.id, b.x, b.y, pow(1 - pow({_d} / 40, 2), 2) AS w FROM pts a, pts b WHERE {_d} < 40), m AS (SELECT id, count(*) AS n, sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2) AS a, sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2) AS c, sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w) AS b FROM p GROUP BY id), e AS (SELECT id, CASE WHEN n > 5 THEN (a + c) / 2 ELSE 0 END AS h, CASE WHEN n > 5 THEN sqrt((a - c) * (a - c) / 4 + b * b) ELSE 0 END AS r FROM m) SELECT id, round(h + r, 4) AS largest, round(h - r, 4) AS smallest FROM e", lambda s, d: regression.weighted_components(fx.suppliers(s, d), ["x", "y"], 40.0).select("id", F.round(F.col("variances")[0], 4).alias("largest"), F.round(F.col("variances")[1], 4).alias("smallest")))
+query("gw_discriminant", f"{C}, p AS (SELECT a.id, a.v AS here, b.g, b.v, pow(1 - pow({_d} / 800, 2), 2) AS w FROM pts a JOIN pts b ON abs(a.x - b.x) < 800 AND abs(a.y - b.y) < 800 WHERE {_d} < 800), k AS (SELECT id, g, any_value(here) AS here, sum(w) AS s, sum(w * v) / sum(w) AS m, sum(w * v * v) / sum(w) AS q FROM p GROUP BY ALL), c AS (SELECT *, s / sum(s) OVER i AS share, sum(s * (q - m * m)) OVER i / sum(s) OVER i + 1e-6 * greatest(1, sum(s * q) OVER i / sum(s) OVER i) AS s2 FROM k WINDOW i AS (PARTITION BY id)), l AS (SELECT id, g, ln(share) - (here - m) * (here - m) / s2 / 2 AS score FROM c), z AS (SELECT id, g, score, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM l) SELECT id, g AS predicted, round(e / sum(e) OVER (PARTITION BY id), 4) AS share FROM z QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, g) = 1", lambda s, d: regression.weighted_discriminant(fx.customers(s, d), "g", ["v"], 800.0).select("id", "predicted", F.round("share", 4).alias("share")))
+query("gw_poisson", None, lambda s, d: regression.weighted_generalised(fx.suppliers(s, d).withColumn("n", F.col("id") % 5), "n", ["x"], 40.0))
+query("gw_logistic", None, lambda s, d: regression.weighted_generalised(fx.suppliers(s, d).withColumn("n", F.col("id") % 2), "n", ["x"], 40.0, "logistic"))
+_ev = "pts AS (SELECT event_id AS id, CAST(user_id * 37 % 101 AS DOUBLE) AS x, CAST(event_id * 53 % 97 AS DOUBLE) AS y, date_diff('day', DATE '2024-01-01', ts::DATE) AS t, value AS v FROM events)"
+
+
+def space_time_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x, y, t, v"""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") * 37 % 101).cast("double").alias("x"), (F.col("event_id") * 53 % 97).cast("double").alias("y"), day.alias("t"), F.col("value").alias("v"))
+
+
+query("gtwr_level", f"WITH {_ev}, p AS (SELECT a.id, b.v, 0.5 * {_d} + 0.5 * (a.t - b.t) + 2 * sqrt(0.25 * {_d} * (a.t - b.t)) AS d FROM pts a JOIN pts b ON b.t <= a.t AND a.t - b.t <= 8 AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8) SELECT id, round(sum(v * pow(1 - d * d / 16, 2)) / sum(pow(1 - d * d / 16, 2)), 4) AS yhat FROM p WHERE d < 4 GROUP BY id", lambda s, d: regression.space_time_regression(space_time_events(s, d), "v", [], "t", 4.0, 0.5).select("id", F.round("yhat", 4).alias("yhat")))
+query("gtwr_1var", None, lambda s, d: regression.space_time_regression(space_time_events(s, d), "v", ["x"], "t", 8.0, 0.5))
