@@ -6,6 +6,8 @@ recurs and end there. In the others, a word stays in the template if at least `m
 at its place, and becomes a variable field if not; a line whose template keeps less than `share` of its words is too far from
 the others and is its own template. A template of lines in `min_docs` different texts or more recurs: its lines go from all
 documents but the one of the smallest id, so no wording is lost from the corpus. Lines of fewer than `min_words` words stay.
+drop_recurring_lines also takes out lines of over `long_words` words that stand word for word in `long_docs` different texts or more,
+from all but the text (and its exact copies) of the smallest id; the query's report (and its SQL) has the templates alone.
 The tree doesn't depend on the order of lines, as online parsers' trees do.
 
 Exact copies of a text count once, so that a group of copies doesn't make its own lines recur. Lines travel
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import row_key, written
 
 MIN_DOCS, LEADING, SHARE, MIN_WORDS = 10, 3, 0.75, 5
+LONG_WORDS, LONG_DOCS = 50, 2
 FIELD = "<*>"
 BLANK = "[ \t\r\u000b\u000c]+"
 
@@ -64,16 +67,34 @@ def recurring_lines(docs: DataFrame, min_docs: int, leading: int, share: float,
     return live.join(goes, "line").where(F.coalesce(F.col("doc_id") != F.col("first"), F.lit(True))).select("key", "place")
 
 
+def long_lines(docs: DataFrame, gone: DataFrame, long_words: int, long_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, place) of the lines of over `long_words` words that stand word for word in `long_docs` different texts or more, but for those of one text: that of the smallest id, then key.
+
+    Lines that are `gone` (key, place) don't count, and texts are as those leave them; exact copies stay exact copies.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
+    lines = rows.where(F.length("raw") > 2 * long_words).withColumn("words", line_words(F.col("raw"))).where(F.size("words") > long_words)
+    lines = written(lines.select("doc_id", "key", "copy", "place", F.xxhash64("words").alias("line")), "long")
+    took = gone.groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("took"))
+    lines = lines.join(took, "key", "left").withColumn("took", F.coalesce("took", F.array().cast("array<int>"))).where(~F.array_contains("took", F.col("place")))
+    lines = lines.select("doc_id", "key", "place", "line", F.xxhash64("copy", "took").alias("copy"))
+    often = lines.select("line", "copy").distinct().groupBy("line").agg(F.count("*").alias("copies")).where(F.col("copies") >= long_docs).select("line")
+    live = written(lines.join(often, "line", "left_semi"), "long-live")
+    first = live.groupBy("line").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copy")).alias("first"))
+    return live.join(first, "line").where(F.col("copy") != F.col("first.copy")).select("key", "place")
+
+
 KEY, GONE, LINES = "_line_key", "_lines_gone", "_lines"
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with the recurring lines taken out of its texts; all rows and columns stay."""
-    return _without(docs, min_docs, leading, share, min_words, id_col, text_col).select(docs.columns)
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """The table with the recurring lines and the repeated long ones taken out of its texts; all rows and columns stay."""
+    gone = written(recurring_lines(docs, min_docs, leading, share, min_words, id_col, text_col), "recurring")
+    return _without(docs, gone.union(long_lines(docs, gone, long_words, long_docs, id_col, text_col)), id_col, text_col).select(docs.columns)
 
 
-def _without(docs: DataFrame, min_docs: int, leading: int, share: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    gone = recurring_lines(docs, min_docs, leading, share, min_words, id_col, text_col)
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = written(gone.groupBy(F.col("key").alias(KEY)).agg(F.collect_set("place").alias(GONE)), "gone")
     joined = docs.withColumn(LINES, F.split(F.col(text_col).cast("string"), "\n")).join(gone, row_key(id_col, text_col) == F.col(KEY), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(LINES) - 1), F.col(GONE))
@@ -84,7 +105,7 @@ def _without(docs: DataFrame, min_docs: int, leading: int, share: float, min_wor
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 (of the text that stays) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _without(rows, min_docs, leading, share, min_words, "doc_id", "text").select(
+    return _without(rows, recurring_lines(rows, min_docs, leading, share, min_words, "doc_id", "text"), "doc_id", "text").select(
         "doc_id",
         F.when(F.col(LINES).isNull(), 0).otherwise(F.size(LINES)).cast("long").alias("n_lines"),
         F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).cast("long").alias("n_dropped"),
