@@ -42,6 +42,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return SharedTable(df, label).df
 
 
+#: Bits of the maps of hashes that are broadcast, 64 in a row: 4 MB whatever the input.
+MAP_BITS = 1 << 24
+
+
+def bit_map(values: DataFrame, column: str) -> DataFrame:
+    """The hashes of a column as a map of MAP_BITS bits: at most MAP_BITS / 64 rows (slot, bits), so it may always be broadcast."""
+    bit = F.pmod(F.col(column), F.lit(MAP_BITS))
+    return values.select(F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def perhaps_in(df: DataFrame, column: str, held: DataFrame, name: str) -> DataFrame:
+    """The rows with a boolean column `name`: false where the map `held` (from bit_map, broadcast) lacks the hash in the column; a full map leaves more true, never less."""
+    own = held.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits"))
+    found = df.join(F.broadcast(own), F.shiftright(F.pmod(F.col(column), F.lit(MAP_BITS)), 6) == F.col("_slot"), "left")
+    return found.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod(F.col(column), F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_slot", "_bits")
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds (null ids: fold 0)."""
     return F.coalesce(F.crc32(id_col.cast("string")) % folds, F.lit(0)).cast("int")

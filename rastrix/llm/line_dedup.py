@@ -11,8 +11,9 @@ from all but the text (and its exact copies) of the smallest id; the query's rep
 The tree doesn't depend on the order of lines, as online parsers' trees do.
 
 Exact copies of a text count once, so that a group of copies doesn't make its own lines recur. Lines travel
-as hashes; those in leaves that recur are parsed again, each different one in one document. Counts are combined before each
-shuffle.
+as hashes; a second reading brings the words of each different line whose leaf a broadcast bit map (of fixed size) holds. Texts
+aren't shuffled but those that lose lines: a like map of their keys leaves all others where they are. Counts are combined before
+each shuffle, and joins are merge joins at every size.
 
 Defined results: null texts stay null and empty ones empty; if all lines of a text go, an empty text stays; lines end at a line feed, and what
 is left is joined by line feeds; repeated rows get equal results; the other columns pass unchanged; an empty table gives an
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import bit_map, perhaps_in, row_key, written
 
 MIN_DOCS, LEADING, SHARE, MIN_WORDS = 10, 3, 0.75, 5
 LONG_WORDS, LONG_DOCS = 50, 2
@@ -42,29 +43,35 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(line, BLANK), lambda w: w != "")
 
 
+def split_lines(docs: DataFrame, leading: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, copy, place, words, leaf, line) of every line of `min_words` words or more."""
+    text = F.col(text_col).cast("string")
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.xxhash64(text).alias("copy"), F.transform(F.split(masked(text), "\n"), lambda x: line_words(x)).alias("lines"))
+    lines = rows.select("doc_id", "key", "copy", F.posexplode("lines").alias("place", "words")).where(F.size("words") >= min_words)
+    return lines.select("*", F.xxhash64(F.size("words"), F.slice("words", 1, leading)).alias("leaf"), F.xxhash64("words").alias("line"))
+
+
 def recurring_lines(docs: DataFrame, min_docs: int, leading: int, share: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(key, place) of the lines that go: the row's key and the line's number from 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    split = rows.select("doc_id", "key", F.xxhash64("text").alias("copy"), F.transform(F.split(masked(F.col("text")), "\n"), lambda x: line_words(x)).alias("lines"))
-    lines = split.select("doc_id", "key", "copy", F.posexplode("lines").alias("place", "words")).where(F.size("words") >= min_words)
-    lines = written(lines.select("doc_id", "key", "copy", "place", F.xxhash64(F.size("words"), F.slice("words", 1, leading)).alias("leaf"), F.xxhash64("words").alias("line")), "lines")
+    split = split_lines(docs, leading, min_words, id_col, text_col)
+    lines = written(split.drop("words"), "lines")
     leaves = lines.groupBy("leaf", "copy").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("copies")).where(F.col("copies") >= min_docs).select("leaf")
-    live = written(lines.join(written(leaves, "leaves"), "leaf", "left_semi"), "live")
+    leaves = written(leaves, "leaves")
+    held = written(bit_map(leaves, "leaf"), "leaf-map")
+    live = written(perhaps_in(lines, "leaf", held, "maybe").where("maybe").drop("maybe").join(leaves.hint("merge"), "leaf", "left_semi"), "live")
     times = live.groupBy("leaf", "line", "copy").agg(F.min("doc_id").alias("first"))
-    # each different line is parsed again in one document that has it
-    one = live.groupBy("leaf", "line").agg(F.min(F.struct("key", "place")).alias("at")).groupBy("at.key").agg(F.collect_list(F.struct("at.place", "leaf", "line")).alias("places"))
-    parsed = rows.select("key", "text").join(written(one, "one"), "key").select("places", F.split(masked(F.col("text")), "\n").alias("lines"))
-    parsed = parsed.select(F.explode(F.when(F.size("lines") > 0, F.transform("places", lambda p: F.struct(p.leaf.alias("leaf"), p.line.alias("line"), line_words(F.get("lines", p.place)).alias("words"))))).alias("p")).select("p.*")
-    kinds = times.groupBy("leaf", "line").agg(F.count("*").alias("copies")).join(parsed.groupBy("leaf", "line").agg(F.first("words").alias("words")), ["leaf", "line"])
+    # the words of each different line come from a second reading, of lines whose leaf is in the map
+    parsed = perhaps_in(split.select("leaf", "line", "words"), "leaf", held, "maybe").where("maybe").groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    kinds = written(times.groupBy("leaf", "line").agg(F.count("*").alias("copies")).hint("merge").join(parsed, ["leaf", "line"]), "kinds")
     tokens = kinds.select("leaf", "line", "copies", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     agreed = tokens.groupBy("leaf", "at", "word").agg(F.sum("copies").alias("support")).where(F.col("support") >= min_docs).select("leaf", "at", "word")
-    kept = tokens.join(agreed, ["leaf", "at", "word"]).where(F.col("word") != FIELD).groupBy("leaf", "line", "n").agg(F.count("*").alias("same"), F.xxhash64(F.array_sort(F.collect_list(F.struct("at", "word")))).alias("shape"))
+    kept = tokens.join(agreed.hint("merge"), ["leaf", "at", "word"]).where(F.col("word") != FIELD).groupBy("leaf", "line", "n").agg(F.count("*").alias("same"), F.xxhash64(F.array_sort(F.collect_list(F.struct("at", "word")))).alias("shape"))
     templates = kept.where(F.col("same") >= F.col("n") * share).select("leaf", "line", F.xxhash64("leaf", "shape").alias("shape"))
-    named = times.join(templates, ["leaf", "line"], "left").select("line", "copy", "first", F.coalesce("shape", F.xxhash64(F.lit("line"), "line")).alias("template"))
+    named = times.join(templates.hint("merge"), ["leaf", "line"], "left").select("line", "copy", "first", F.coalesce("shape", F.xxhash64(F.lit("line"), "line")).alias("template"))
     named = written(named, "templates")
     often = named.groupBy("template", "copy").agg(F.min("first").alias("first")).groupBy("template").agg(F.count("*").alias("copies"), F.min("first").alias("first")).where(F.col("copies") >= min_docs)
-    goes = named.select("line", "template").distinct().join(often.select("template", "first"), "template").select("line", "first")
-    return live.join(goes, "line").where(F.coalesce(F.col("doc_id") != F.col("first"), F.lit(True))).select("key", "place")
+    goes = named.select("line", "template").distinct().join(often.select("template", "first").hint("merge"), "template").select("line", "first")
+    return live.join(goes.hint("merge"), "line").where(F.coalesce(F.col("doc_id") != F.col("first"), F.lit(True))).select("key", "place")
 
 
 def long_lines(docs: DataFrame, gone: DataFrame, long_words: int, long_docs: int, id_col: str, text_col: str) -> DataFrame:
@@ -85,7 +92,7 @@ def long_lines(docs: DataFrame, gone: DataFrame, long_words: int, long_docs: int
     return live.join(first, "line").where(F.col("copy") != F.col("first.copy")).select("key", "place")
 
 
-KEY, GONE, LINES = "_line_key", "_lines_gone", "_lines"
+KEY, GONE, LINES, MAYBE = "_line_key", "_lines_gone", "_lines", "_lines_maybe"
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, long_docs: int = LONG_DOCS) -> DataFrame:
@@ -95,8 +102,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int
 
 
 def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with LINES and GONE, and the lines taken out of the text. Rows that the map of the keys lacks stay where they are; the others meet their lines by a join."""
     gone = written(gone.groupBy(F.col("key").alias(KEY)).agg(F.collect_set("place").alias(GONE)), "gone")
-    joined = docs.withColumn(LINES, F.split(F.col(text_col).cast("string"), "\n")).join(gone, row_key(id_col, text_col) == F.col(KEY), "left")
+    keyed = perhaps_in(docs.withColumn(KEY, row_key(id_col, text_col)), KEY, written(bit_map(gone, KEY), "gone-map"), MAYBE)
+    whole = keyed.where(~F.col(MAYBE)).drop(KEY, MAYBE).withColumn(GONE, F.lit(None).cast("array<int>"))
+    joined = keyed.where(MAYBE).join(gone.hint("merge"), KEY, "left").drop(KEY, MAYBE)
+    joined = joined.unionByName(whole).withColumn(LINES, F.split(F.col(text_col).cast("string"), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(LINES) - 1), F.col(GONE))
     left = F.array_join(F.transform(stay, lambda i: F.get(LINES, i)), "\n")
     return joined.withColumn(text_col, F.when(F.col(GONE).isNotNull(), left).otherwise(F.col(text_col)))
