@@ -4,7 +4,8 @@ A byte-level BPE splits text into pieces with a fixed pattern and merges bytes w
 tokens is the encoding exactly when each neighbouring pair is stable (encoding the pair's bytes gives the pair back). So the
 last token of every prefix follows from shorter prefixes: of the tokens that end there, exactly one is stable next to the
 last token before it. One pass stores the count and the last token at every prefix; truncation and budget questions are then
-look-ups. Spark deals out the texts; a task keeps the counts of the pieces it has met in a bounded memo.
+look-ups. Spark deals out the texts; a task keeps the counts of the pieces it has met in a memo bounded in bytes, which goes at
+the end of each partition.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; strings of special tokens inside texts count as one token;
 repeated rows are counted each; other columns are ignored; an empty table gives an empty result.
@@ -24,7 +25,8 @@ from .common import as_batch, chunks
 
 #: The pattern of byte-level BPE pieces; a fixed value of the public vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 900_000
+#: Bytes of memo at most, about, and pairs of tokens whose stability is kept.
+MEMO_BYTES, PAIRS = 64 << 20, 250_000
 FOREVER = 1 << 60
 
 
@@ -55,10 +57,14 @@ class PrefixCounter:
         #: Lengths of tokens, the longest first, that fit a prefix of 0, 1, 2, ... bytes; the last entry holds for all longer ones.
         self.fitting = [[n for n in lengths if n <= end] for end in range(lengths[0] + 1)]
         self.pieces = regex.compile(PIECES)
-        self.memo: dict[str | None, int] = {}
+        self.forget()
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.edges: dict[tuple[bytes, int], list[tuple[bytes, int, int]]] = {}
 
+    def forget(self) -> None:
+        self.memo: dict[str | None, int] = {}
+        self.memo_bytes = 0
+
     def lengths(self, end: int) -> list[int]:
         return self.fitting[min(end, len(self.fitting) - 1)]
 
@@ -83,8 +89,9 @@ class PrefixCounter:
                 for y, born_y, end_y in self._edge(b, 0):
                     if born_x < end_y and born_y < end_x and (r := self.rank.get((x, y))) is not None and r < end_x and r <= end_y:
                         found = False
-            if len(self.pairs) > MEMO:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
+                self.edges.clear()
             self.pairs[a, b] = found
         return found
 
@@ -126,8 +133,8 @@ class PrefixCounter:
             n = self.prefixes(piece.encode("utf-8", "replace"))[-1]
         return n
 
-    def spans(self, text: str) -> list[str | None]:
-        """Pieces of a text in order; None stands for a special token."""
+    def spans(self, text: str, sizes: list[int] | None = None) -> list[str | None]:
+        """Pieces of a text in order; None stands for a special token. The characters of those are added to `sizes`."""
         if self.special is None or not self.special.search(text):
             return self.pieces.findall(text)
         found: list[str | None] = []
@@ -135,18 +142,21 @@ class PrefixCounter:
         for m in self.special.finditer(text):
             found += [*self.pieces.findall(text[at : m.start()]), None]
             at = m.end()
+            if sizes is not None:
+                sizes.append(at - m.start())
         return found + self.pieces.findall(text[at:])
 
     def learn(self, pieces: set[str | None]) -> None:
         """Counts the pieces that the memo lacks, in sorted order, so that common prefixes are worked out once."""
         new = pieces.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        if self.memo_bytes > MEMO_BYTES:
+            self.forget()
             new = pieces
         known: tuple[bytes, list[int], list[bytes]] = (b"", [0], [b""])
         for code, p in sorted((p.encode("utf-8", "replace"), p) for p in new if p is not None):
             known = (code, *self.states(code, known))
             self.memo[p] = known[1][-1]
+            self.memo_bytes += 150 + len(code)
         self.memo[None] = 1
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -160,10 +170,14 @@ class PrefixCounter:
 
     def cut(self, text: str, budget: int) -> int:
         """UTF-8 bytes of the longest run of leading whole tokens within the budget."""
-        used = at = 0
-        for p in self.spans(text):
+        used = at = chars = 0
+        sizes: list[int] = []
+        spans = self.spans(text, sizes)
+        special = iter(sizes)
+        for p in spans:
             n = 1 if p is None else self.piece(p)
-            size = len((p if p is not None else self.special.match(text.encode()[at:].decode("utf-8", "ignore"))[0]).encode("utf-8", "replace"))
+            before, chars = chars, chars + (len(p) if p is not None else next(special))
+            size = len(text[before:chars].encode("utf-8", "replace"))
             if used + n > budget:
                 if p is not None and used < budget:
                     at += self.ends(p.encode("utf-8", "replace"))[budget - used]
@@ -204,6 +218,7 @@ class PrefixTable:
         return self.before[-1]
 
 
+#: The last counter's tables stay in the worker, its memo doesn't.
 _counters: dict[int, PrefixCounter] = {}
 
 
@@ -220,12 +235,14 @@ def token_counts(docs: DataFrame, content: str, limit: int = 512, id_col: str =
     def run(batches):
         counter = _counters.get(hash(held.value))
         if counter is None:
+            _counters.clear()
             counter = _counters[hash(held.value)] = PrefixCounter(held.value)
-        for batch, texts in chunks(batches, limit=4 << 20):
+        for batch, texts in chunks(batches, limit=2 << 20):
             n = counter.counts(texts)
             size = [len(t.encode("utf-8", "replace")) for t in texts]
             kept = [s if k <= limit else counter.cut(t, limit) for t, k, s in zip(texts, n, size, strict=True)]
             schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("kept_bytes", pa.int64())])
             yield as_batch(schema, doc_id=batch.column(0), n_bytes=size, n_tokens=n, over_limit=[k > limit for k in n], kept_bytes=kept)
+        counter.forget()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, kept_bytes long")
