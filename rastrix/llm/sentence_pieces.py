@@ -5,7 +5,12 @@ holds a mark after another character. The words of a chunk that the memo lacks a
 round finds the best pair of every word by a segmented minimum, merges its occurrences from the left, all words at once, and
 compacts the arrays; words without a pair leave. Merging all occurrences of the best pair in one round gives the same result as
 one at a time where no pair with the merged piece ranks before that piece; of other pairs a round merges the leftmost only.
-Symbols outside the vocabulary become byte pieces. Spark deals out the texts; words' ids are kept in a bounded memo.
+Words of over LONG symbols (text without spaces) merge, in each round, every pair that ranks before all pairs within `reach`
+symbols to its left (or alike, if it leaves no better pair) and before or alike those to its right, where `reach` is the length of the longest piece: no piece can grow
+from beyond that to one of its symbols, so nothing comes before it. So a round works on all parts of the word at once, and the
+number of rounds doesn't grow with its length.
+Symbols outside the vocabulary become byte pieces. Spark deals out the texts; words' ids are kept in a memo bounded in bytes, which
+goes at the end of each partition.
 
 Defined results: null and empty texts give the end id alone and decode to an empty text; repeated rows are encoded each;
 other columns are ignored; an empty table gives an empty result.
@@ -25,7 +30,12 @@ from .common import as_batch, chunks
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO = 600_000
+#: Characters of text that a task takes up at once.
+AT_ONCE = 2 << 20
+#: Bytes of memo at most, about.
+MEMO_BYTES = 64 << 20
+#: Symbols from which a word is merged by neighbourhoods.
+LONG = 64
 NONE = np.int64(1) << 40
 
 
@@ -83,7 +93,41 @@ class PieceModel:
         for s, i in symbols.items():
             if len(s) == 1:
                 self.of_point[ord(s)] = i
+        self.reach = max(map(len, normal), default=1)
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, tuple[str, int, str]] = {}
+        self.memo_bytes = 0
+
+    def _long_rounds(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of one long word after all merges, and the code point at which each begins."""
+        sym = self.of_point[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        at = np.arange(len(sym))
+        while len(sym) > 1:
+            slot = self._slots(sym[:-1], sym[1:], np.ones(len(sym) - 1, bool))
+            rank = self.ranks[slot]
+            before, after = self._least_near(rank), self._least_near(rank[::-1])[::-1]
+            safe = (rank < NONE) & (rank <= before) & (rank <= after)
+            starts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))  # of alike neighbours every second one, from the left, where that leaves no better pair
+            start = np.repeat(starts, np.diff(np.append(starts, len(rank))))
+            run = np.flatnonzero(safe & ((rank < before) | self.calm[slot] & safe[start] & ((np.arange(len(rank)) - start) % 2 == 0)))
+            if not len(run):
+                break
+            sym[run] = self.merged[slot[run]]
+            keep = np.ones(len(sym), bool)
+            keep[run + 1] = False
+            sym, at = sym[keep], at[keep]
+        return sym, at
+
+    def _least_near(self, rank: np.ndarray) -> np.ndarray:
+        """The least of the `reach` values before each one."""
+        out, width = np.append(NONE, rank[:-1]), 1
+        while width < self.reach:  # a window of twice the width is two windows
+            step = min(width, self.reach - width)
+            out = np.minimum(out, np.append(np.full(min(step, len(out)), NONE), out[:-step]))
+            width += step
+        return out
 
     def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols after all merges, the code point at which each begins, and each one's word, in order."""
@@ -128,10 +172,14 @@ class PieceModel:
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        if self.memo_bytes > MEMO_BYTES:
+            self.forget()
             new = words
-        new = sorted(new)
+        for w in [w for w in new if len(w) > LONG]:
+            sym, at = self._long_rounds(w)
+            ids = [i for s, a in zip(sym.tolist(), at.tolist(), strict=True) for i in ([s] if s < len(self.names) else self._bytes(w[a]))]
+            self._keep(w, ids, self.pieces_text(ids))
+        new = sorted(w for w in new if len(w) <= LONG)
         if not new:
             return
         sym, at, word = self._rounds(new)
@@ -139,14 +187,18 @@ class PieceModel:
         offsets = np.cumsum([0, *map(len, new)])
         plain = np.logical_and.reduceat(sym < len(self.names), bounds[:-1]).tolist()
         syms, ats, ends = sym.tolist(), at.tolist(), bounds.tolist()
-        name, form, memo = self.names.__getitem__, self.forms.__getitem__, self.memo
+        form = self.forms.__getitem__
         for k, w in enumerate(new):
             ids = syms[ends[k] : ends[k + 1]]
             if plain[k]:
-                memo[w] = (" ".join(map(name, ids)), len(ids), "".join(map(form, ids)))
+                self._keep(w, ids, "".join(map(form, ids)))
             else:  # characters outside the vocabulary
                 ids = [i for s, a in zip(ids, ats[ends[k] : ends[k + 1]], strict=True) for i in ([s] if s < len(self.names) else self._bytes(w[a - offsets[k]]))]
-                memo[w] = (" ".join(map(name, ids)), len(ids), self.pieces_text(ids))
+                self._keep(w, ids, self.pieces_text(ids))
+
+    def _keep(self, word: str, ids: list[int], form: str) -> None:
+        self.memo[word] = (" ".join(map(self.names.__getitem__, ids)), len(ids), form)
+        self.memo_bytes += 300 + 3 * len(word) + 6 * len(ids)
 
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
@@ -206,6 +258,7 @@ def _utf8(data: bytes) -> str:
     return "".join(found)
 
 
+#: The last model's tables stay in the worker (20 MB), its memo doesn't.
 _models: dict[int, PieceModel] = {}
 
 
@@ -227,6 +280,7 @@ def _encode(docs: DataFrame, content: bytes, id_col: str, text_col: str, keep: l
 
     def model() -> PieceModel:
         if (found := _models.get(hash(held.value))) is None:
+            _models.clear()
             found = _models[hash(held.value)] = PieceModel(held.value)
         return found
 
@@ -234,17 +288,18 @@ def _encode(docs: DataFrame, content: bytes, id_col: str, text_col: str, keep: l
         place = keep.index(text_col)
 
         def replace(batches):
-            for batch, texts in chunks(batches, text_col, 4 << 20):
+            for batch, texts in chunks(batches, text_col, AT_ONCE):
                 was = batch.column(place).is_null().to_pylist()
                 new = [None if gone else x[2] for gone, x in zip(was, model().encode(texts), strict=True)]
                 yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
+            model().forget()
 
         return docs.mapInArrow(replace, docs.schema)
 
     kinds = {"doc_id": docs.schema[id_col].dataType.simpleString(), "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_texts else {})
 
     def run(batches):
-        for batch, texts in chunks(batches, limit=4 << 20):
+        for batch, texts in chunks(batches, limit=AT_ONCE):
             ids, n, decoded = (list(x) for x in zip(*model().encode(texts), strict=True))
             columns = {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in decoded]}
             types = {"doc_id": batch.schema.field(0).type, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -252,5 +307,6 @@ def _encode(docs: DataFrame, content: bytes, id_col: str, text_col: str, keep: l
                 columns |= {"ids": [list(map(int, x.split())) for x in ids], "decoded": decoded}
                 types |= {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
             yield as_batch(pa.schema(list(types.items())), **columns)
+        model().forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))

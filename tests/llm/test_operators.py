@@ -140,6 +140,58 @@ def test_language_id_messy(spark, messy, no_docs):
     assert language_id.identify(no_docs, models).count() == 0
 
 
+def kneser_ney(counts, order, text):
+    """The log-probability of each character of a text, by dictionaries and the formulas as they are written."""
+
+    def prob(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / language_id.ALPHABET
+        if n == order:
+            c = dict(counts)
+        else:
+            longer = {g[-(n + 1) :] for g in counts}
+            c = Counter(g[1:] for g in longer)
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        total = sum(v for g, v in c.items() if g[:-1] == gram[:-1])
+        if not total:
+            return prob(gram[1:])
+        kinds = sum(g[:-1] == gram[:-1] for g in c)
+        return max(c.get(gram, 0) - d, 0) / total + d * kinds / total * prob(gram[1:])
+
+    padded = "\0" * (order - 1) + text
+    return [math.log(prob(padded[k : k + order])) for k in range(len(text))]
+
+
+def test_kneser_ney_by_dictionaries():
+    rng = np.random.default_rng(2)
+    texts = {x: ["".join(rng.choice(list(letters), 60)) for _ in range(4)] for x, letters in (("x", "abcd"), ("y", "cdef"))}
+    counts = {}
+    for x, own in texts.items():
+        padded = [f"\0\0\0{t}\0" for t in own]
+        counts[x] = Counter(t[k : k + 4] for t in padded for k in range(len(t) - 3))
+    arrays = {x: (np.array([[ord(c) for c in reversed(g)] for g in c]), np.array(list(c.values()))) for x, c in counts.items()}
+    models = language_id.Models(arrays, 4)
+    asked = ["abcabd", "fedcab", "aq", "cdcdcdcd"]
+    n, found = models.entropies(asked)
+    for t, size, row in zip(asked, n, found):
+        assert size == len(t)
+        for j, x in enumerate("xy"):
+            assert row[j] * (len(t) + 1) == pytest.approx(-sum(kneser_ney(counts[x], 4, f"{t}\0")), rel=1e-4)
+
+
+def test_language_id_rejects(spark, sf_dir):
+    models = language_id.train(queries.table(spark, sf_dir, "documents"), F.lit(True))
+    bad = ["Это обычный русский текст о погоде и природе, ничего больше.", "これは日本語の文章です。今日は天気がいいですね。", "qxzj vvkw zzqp xkcd jjqq wvxz qqqz xjwk zkvv qpzx", "12345 !!", ""]
+    good = ["Then the anin of theon erly and in it therer", "the"]
+    table = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in language_id.identify(table, models).collect()}
+    assert [found[k]["rejected"] for k in range(7)] == [True] * 5 + [False] * 2
+    assert all(found[k]["score"] < 0.01 for k in range(5)) and found[5]["score"] > 0.9
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(table, models).collect()) == [5, 6]
+
+
 def test_kneser_ney_sums_to_one():
     grams = np.array([[ord(c) for c in g] for g in ("bca", "cba", "abc", "aab")])
     m = language_id.Models({"x": (grams, np.array([3, 1, 1, 2]))}, 3)
@@ -264,6 +316,30 @@ def test_sentence_pieces(spark, sf_dir, texts, messy, no_docs):
     assert sentence_pieces.round_trip(messy, content).columns == messy.columns
 
 
+def test_sentence_pieces_without_spaces():
+    import time
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(tokenizer_file(PIECE_BPE)))
+    model = sentence_pieces.PieceModel(tokenizer_file(PIECE_BPE).read_bytes())
+    rng = np.random.default_rng(4)
+    vocab = [lib.id_to_piece(i).strip("▁") for i in range(300, 32_000)]
+    texts = ["".join(rng.choice(list(a), int(rng.integers(65, 300)))) for a in ("abcdefghijklmnopqrstuvwxyz", "aet", "a", "é日aa") for _ in range(60)]
+    texts += ["".join(rng.choice(vocab, 60)) for _ in range(60)]
+    for t, (ids, n, decoded) in zip(texts, model.encode(texts)):
+        truth = lib.encode(t, add_eos=True)
+        assert (ids, n, decoded) == (" ".join(map(str, truth)), len(truth), lib.decode(truth)), t
+    seconds = []
+    for n in (40_000, 160_000):
+        text = "".join(rng.choice(list("etaoinshr"), n))
+        began = time.process_time()
+        ids = model.encode([text])[0][0]
+        seconds.append(time.process_time() - began)
+        assert ids == " ".join(map(str, lib.encode(text, add_eos=True)))
+    assert seconds[1] < 12 * seconds[0] + 1  # four times the text
+
+
 # simhash
 
 
