@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +19,11 @@ CHUNK_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see. A cluster names it in spark.checkpoint.dir; only where that is unset (tests) a temporary one is made."""
+    """The folder that all executors see. A cluster names it in spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests) a temporary one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rastrix-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -26,8 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
 class SharedTable:
     """A DataFrame written to the shared folder: it cuts the lineage and outlives any executor."""
 
+    #: Tables that aren't dropped yet, in the order in which they were made.
+    standing: ClassVar[list[SharedTable]] = []
+
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
+        self.standing.append(self)
         self.path = f"{shared_folder(self.spark)}/rastrix/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -36,6 +46,20 @@ class SharedTable:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.standing.remove(self)
+
+
+def drop_tables(since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the tables made after the first `since` ones, for when all results that read them are written; that of the DataFrame `but` stays."""
+    for table in SharedTable.standing[since:]:
+        if table.df is not but:
+            table.drop()
+
+
+@atexit.register
+def _drop_rest() -> None:
+    with contextlib.suppress(Exception):  # Spark may be gone
+        drop_tables()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
