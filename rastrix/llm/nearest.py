@@ -8,11 +8,14 @@ whose centroid's distance is within a ratio of the nearest's. Nearness is the co
 
 Equal vectors are folded before anything is shuffled: only their smallest ids can be among the nearest, so a group of copies
 is one entry. Lists are cut into blocks of vectors, and a list's queries into blocks, so that a large list is many rows; block
-pairs meet by a join on the list, and each pair is one matrix product that returns each query's best. The centroids (at most
-MOST_LISTS) and their graph are broadcast: 64 dimensions take 4 MB and 1 MB.
+pairs meet by a join on list, block and a group of query blocks, and each pair is one matrix product that returns each query's best.
+Queries that find fewer than they could (their few lists hold less) read all lists. The centroids (at most
+MOST_LISTS) and their graph are broadcast: 64 dimensions take 4 MB and 1 MB. Beyond MOST_LISTS times LIST_SIZE vectors the lists grow
+with the table instead of their number, so a query's share of the table stays PROBES / MOST_LISTS.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most, take no
-part, and rows with a null id neither; rows repeated with the same id count once; ties go to the smaller id; with fewer
+part, and rows with a null id neither; rows repeated with the same id count once, and if their vectors differ that of the least hash
+counts; components may be as large or small as doubles are; ties go to the smaller id; with fewer
 candidates than `k` all found are returned; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, written
+from .common import as_batch, bit_map, perhaps_in, written
 
 #: Vectors a list is meant to hold, lists at most, and vectors looked at for each list to place its centroid.
 LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 100, 8192, 8
@@ -31,8 +34,8 @@ LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 100, 8192, 8
 LINKS, BEAM = 24, 64
 #: Lists a vector stands in at most, how much farther they may be, lists a query reads at most, and how much farther those may be.
 COPIES, NEAR, PROBES, RATIO = 4, 1.15, 48, 1.6
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 512, 128
+#: Vectors and queries in a block, and query blocks that meet a block of vectors in one task.
+BLOCK, QUERY_BLOCK, ASKS = 512, 128, 16
 
 
 def balanced_centroids(x: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
@@ -141,9 +144,20 @@ def lists_of_query(graph: CentroidGraph, x: np.ndarray, probes: int = PROBES, ra
     return [lists[:probes][d[:probes] <= ratio * d[0]].astype(np.int32) for lists, d in zip(found, apart, strict=True)]
 
 
-def folded(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
-    """(vec: the components as bytes, ids: the `keep` smallest ids, dim) of each different valid vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v: array of doubles) of the rows that take part, one vector for each id."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))  # -0.0 becomes 0.0
+    rows = rows.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    # ids with different vectors are few: only their rows are looked at again
+    several = rows.groupBy("id").agg(F.min(F.xxhash64("v")).alias("keep"), F.max(F.xxhash64("v")).alias("most")).where("keep <> most").select("id", "keep")
+    several = written(several, "several")
+    flagged = perhaps_in(rows, "id", written(bit_map(several, "id"), "several-map"), "maybe")
+    chosen = flagged.where("maybe").join(several, "id", "left").where(F.coalesce(F.xxhash64("v") == F.col("keep"), F.lit(True)))
+    return flagged.where("not maybe").select("id", "v").union(chosen.select("id", "v"))
+
+
+def folded(rows: DataFrame, keep: int) -> DataFrame:
+    """(vec: the components as bytes, ids: the `keep` smallest ids, dim) of each different vector of rows (id, v)."""
     schema = pa.schema([("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("dim", pa.int32())])
 
     def local(batches):
@@ -155,7 +169,7 @@ def folded(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataF
         for batch in batches:
             sizes = np.array(batch.column(1).value_lengths())
             ends = np.cumsum(sizes)
-            flat = np.array(batch.column(1).flatten()) + 0.0  # -0.0 becomes 0.0
+            flat = np.array(batch.column(1).flatten())
             for i, a, b in zip(batch.column(0).to_pylist(), ends - sizes, ends, strict=True):
                 ids = held.setdefault(flat[a:b].tobytes(), [])
                 ids.append(i)
@@ -172,9 +186,14 @@ def folded(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataF
     return few.groupBy("vec", "dim", "part").agg(least).groupBy("vec", "dim").agg(least)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: no cosine changes, and no square overflows."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -power)
+
+
 def _units(batch: pa.RecordBatch) -> np.ndarray:
-    x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(len(batch), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(len(batch), -1))
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -195,38 +214,54 @@ def _placed(nodes: DataFrame, graph, chooser) -> DataFrame:
     return nodes.select("vec", "ids").mapInArrow(run, "list int, vec binary, ids array<long>")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: for each query row its k nearest other rows found."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST_SIZE, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: for each query row its k nearest other rows found. is_query is a condition on the id column."""
     keep = k + 1
-    spark = vectors.sparkSession
-    nodes = written(folded(vectors, id_col, vector_col, keep), "nodes")
-    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    dim, n = (sizes["dim"], sizes["n"]) if sizes else (0, 0)
+    rows = valid(vectors, id_col, vector_col)
+    nodes = written(folded(rows, keep), "nodes")
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, n, known = (sizes["dim"], sizes["n"], sizes["ids"]) if sizes else (0, 0, 0)
     nodes = nodes.where(F.col("dim") == dim)
-    lists = int(np.clip(-(-n // LIST_SIZE), 1, MOST_LISTS))
+    lists = int(np.clip(-(-n // list_size), 1, MOST_LISTS))
     sample = nodes.orderBy(F.xxhash64("vec"), "vec").limit(lists * SAMPLE_PER_LIST).select("vec").toArrow().combine_chunks()
+    graph = None
     if n:
         units = _units(sample.to_batches()[0])
         graph = CentroidGraph(balanced_centroids(units, max(1, round(len(units) / lists))))
-    else:
-        graph = None
+        lists = len(graph.centroids)
     members = written(_placed(nodes, graph, lists_of_vector), "members")
-    count = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = members.join(F.broadcast(count), "list").withColumn("block", F.pmod(F.xxhash64("vec"), "blocks"))  # a row for each list: MOST_LISTS at most, as leaves are not smaller than half a list's sample
-    blocks = blocks.groupBy("list", "block").agg(F.collect_list("vec").alias("vecs"), F.collect_list("ids").alias("ids"))
-    queries = vectors.where(is_query).select(F.col(id_col), F.col(vector_col))
-    asked = written(folded(queries, id_col, vector_col, 1).where(F.col("dim") == dim), "asked")
-    reads = _placed(asked, graph, lists_of_query).select("list", "vec")
+    parts = written(members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "parts")  # a row for each list: a few times MOST_LISTS at most
+    blocks = members.join(F.broadcast(parts), "list").withColumn("block", F.pmod(F.xxhash64("vec"), "blocks"))
+    blocks = written(blocks.groupBy("list", "block").agg(F.collect_list("vec").alias("vecs"), F.collect_list("ids").alias("ids")), "blocks")
+    named = written(rows.withColumnRenamed("id", id_col).where(is_query).select(F.col(id_col).alias("id"), "v"), "queries")
+    asked = written(folded(named, 1).where(F.col("dim") == dim), "asked")
+    reads = _placed(asked, graph, lambda g, x: lists_of_query(g, x, probes, ratio)).select("list", "vec")
+    best = written(best_of(blocks, parts, reads, dim, keep), "best")
+    few = asked.join(best.where(F.size("best") >= min(keep, known)), "vec", "left_anti").select("vec")
+    rest = written(few, "few")
+    if rest.count():
+        every = best_of(blocks, parts, rest.select(F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), "vec"), dim, keep)
+        best = best.join(rest, "vec", "left_anti").unionByName(every)
+    answers = _with_bytes(named).join(best, "vec").select("query_id", F.slice(F.filter("best", lambda b: b.id != F.col("query_id")), 1, k).alias("best"))
+    return answers.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score"))
+
+
+def best_of(blocks: DataFrame, parts: DataFrame, reads: DataFrame, dim: int, keep: int) -> DataFrame:
+    """(vec, best: array of score and id) of the queries in reads (list, vec): the `keep` nearest in the lists they read."""
     reads = written(reads, "reads")
-    count = reads.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    asks = reads.join(F.broadcast(count), "list").withColumn("ask", F.pmod(F.xxhash64("vec"), "blocks")).groupBy("list", "ask").agg(F.collect_list("vec").alias("asks"))
+    count = reads.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("asks"))
+    count = written(count.join(F.broadcast(parts), "list").select("list", "blocks", "asks"), "asks")  # a row for each list
+    asks = reads.join(F.broadcast(count), "list").withColumn("ask", F.pmod(F.xxhash64("vec"), "asks")).groupBy("list", "ask", "blocks").agg(F.collect_list("vec").alias("asks"))
+    # each query block goes to each block of its list, and each block to each group of query blocks
+    asks = asks.select("list", F.floor(F.col("ask") / ASKS).cast("int").alias("group"), "asks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    laid = blocks.join(F.broadcast(count.select("list", F.col("asks").alias("n"))), "list").select("list", F.col("block").cast("int").alias("block"), "vecs", "ids", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / ASKS).cast("int"))).alias("group"))
     schema = pa.schema([("vec", pa.binary()), ("best", pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))])
 
     def look(batches):
         for batch in batches:
             for vecs, ids, asks in zip(*(batch.column(c) for c in range(3)), strict=True):
                 names = ids.as_py()
-                x, q = (np.frombuffer(b"".join(b.as_py()), np.float64).reshape(len(b.as_py()), dim) for b in (vecs, asks))
+                x, q = (scaled(np.frombuffer(b"".join(b.as_py()), np.float64).reshape(len(b.as_py()), dim)) for b in (vecs, asks))
                 nx, nq = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 near = (q / nq[:, None]) @ (x / nx[:, None]).T
                 limit = np.partition(near, max(0, near.shape[1] - keep), axis=1)[:, max(0, near.shape[1] - keep)] - 1e-9
@@ -238,21 +273,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                     out.append([{"score": -s, "id": i} for s, i in pairs[:keep]])
                 yield as_batch(schema, vec=asks.as_py(), best=out)
 
-    looked = blocks.join(asks, "list").select("vecs", "ids", "asks").mapInArrow(look, "vec binary, best array<struct<score:double,id:long>>")
+    looked = laid.join(asks, ["list", "block", "group"]).select("vecs", "ids", "asks").mapInArrow(look, "vec binary, best array<struct<score:double,id:long>>")
     order = F.transform(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("best"))), lambda b: F.struct((-b.score).alias("far"), b.id.alias("id")))), lambda b: F.struct((-b.far).alias("score"), b.id.alias("id")))
-    best = written(looked.groupBy("vec").agg(F.slice(order, 1, keep).alias("best")), "best")
-    bytes_of = _with_bytes(queries, id_col, vector_col)
-    answers = bytes_of.join(best, "vec").select("query_id", F.slice(F.filter("best", lambda b: b.id != F.col("query_id")), 1, k).alias("best"))
-    return answers.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score"))
+    return looked.groupBy("vec").agg(F.slice(order, 1, keep).alias("best"))
 
 
-def _with_bytes(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, vec) with the vector as the bytes that folded() has; rows repeated with an id once."""
+def _with_bytes(rows: DataFrame) -> DataFrame:
+    """(query_id, vec) of rows (id, v), with the vector as the bytes that folded() has."""
     schema = pa.schema([("query_id", pa.int64()), ("vec", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            yield as_batch(schema, query_id=batch.column(0), vec=[(np.array(v, np.float64) + 0.0).tobytes() for v in batch.column(1).to_pylist()])
+            yield as_batch(schema, query_id=batch.column(0), vec=[np.array(v, np.float64).tobytes() for v in batch.column(1).to_pylist()])
 
-    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
-    return good.mapInArrow(run, "query_id long, vec binary").distinct()
+    return rows.mapInArrow(run, "query_id long, vec binary").distinct()

@@ -63,6 +63,39 @@ def test_nearest_messy(spark):
     assert nearest.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_extremes(spark):
+    v = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [0.1, 1.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 2.0]), (50, [1.0, 1.0])]
+    table = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in nearest.nearest(table, F.col("vec_id") % 50 == 0).collect()}
+    assert len(found) == 10 and found[0, 4] == 1.0
+    assert found[0, 1] == pytest.approx(1 / math.sqrt(1.01), rel=1e-12) and found[0, 2] == pytest.approx(0.1 / math.sqrt(1.01), rel=1e-12)
+    assert found[50, 3] in (pytest.approx(1.0, rel=1e-12), pytest.approx(3 / math.sqrt(10), rel=1e-12))
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_nearest_recall_where_lists_are_pruned(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(24_000, 32))
+    if kind == "clustered":
+        x = rng.normal(size=(300, 32))[rng.integers(0, 300, len(x))] + 0.3 * x
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found = defaultdict(set)
+    for r in nearest.nearest(table, F.col("vec_id") % 50 == 0).collect():  # 240 lists, of which a query reads 48
+        found[r["query_id"]].add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(len(near)), np.arange(0, len(x), 50)] = -2
+    truth = np.argpartition(-near, 5, axis=1)[:, :5]
+    assert sum(len(found[50 * k] & set(t.tolist())) for k, t in enumerate(truth)) >= 0.9 * truth.size
+
+
+def test_nearest_fills_up(spark):
+    rng = np.random.default_rng(13)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    found = Counter(r["query_id"] for r in nearest.nearest(table, F.col("vec_id") % 50 == 0, list_size=2, probes=1).collect())
+    assert found == {k: 5 for k in range(0, 600, 50)}
+
+
 def test_graph_and_lists():
     x = np.random.default_rng(0).normal(size=(3000, 16))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
