@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import ClassVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,17 +93,24 @@ def fold_of(id_col: Column, folds: int) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with at most about `limit` bytes of text (one text at least), with null texts as empty."""
+    """Slices of the batches with at most about `limit` bytes of text (one text at least), with null texts as empty. At the end, memory that is free goes back."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < limit):
-                size += len(texts[end] or "")
-                end += 1
-            yield batch.slice(at, end - at), [x or "" for x in texts[at:end]]
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, end - at), [x or "" for x in column.slice(at, end - at).to_pylist()]
             at = end
+    release()
+
+
+def release() -> None:
+    """Gives free memory of a Python worker back, as workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, chunks
+from .common import as_batch, chunks, release
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Characters of text that a task takes up at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Bytes of memo at most, about.
 MEMO_BYTES = 64 << 20
 #: Symbols from which a word is merged by neighbourhoods.
@@ -293,6 +293,7 @@ def _encode(docs: DataFrame, content: bytes, id_col: str, text_col: str, keep: l
                 new = [None if gone else x[2] for gone, x in zip(was, model().encode(texts), strict=True)]
                 yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
             model().forget()
+            release()
 
         return docs.mapInArrow(replace, docs.schema)
 
@@ -308,5 +309,6 @@ def _encode(docs: DataFrame, content: bytes, id_col: str, text_col: str, keep: l
                 types |= {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
             yield as_batch(pa.schema(list(types.items())), **columns)
         model().forget()
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, chunks
+from .common import as_batch, chunks, release
 
 #: The pattern of byte-level BPE pieces; a fixed value of the public vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -237,12 +237,13 @@ def token_counts(docs: DataFrame, content: str, limit: int = 512, id_col: str =
         if counter is None:
             _counters.clear()
             counter = _counters[hash(held.value)] = PrefixCounter(held.value)
-        for batch, texts in chunks(batches, limit=2 << 20):
+        for batch, texts in chunks(batches, limit=1 << 20):
             n = counter.counts(texts)
             size = [len(t.encode("utf-8", "replace")) for t in texts]
             kept = [s if k <= limit else counter.cut(t, limit) for t, k, s in zip(texts, n, size, strict=True)]
             schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("kept_bytes", pa.int64())])
             yield as_batch(schema, doc_id=batch.column(0), n_bytes=size, n_tokens=n, over_limit=[k > limit for k in n], kept_bytes=kept)
         counter.forget()
+        release()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, kept_bytes long")
