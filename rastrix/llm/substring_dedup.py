@@ -3,17 +3,19 @@
 A byte goes if a string of `length` bytes over it also starts anywhere else. Three steps find those strings without shuffling
 texts by their suffixes:
 
-1. Anchors. Of the `gram`-byte strings inside each window of `length` bytes, the one of the smallest hash (the leftmost of
-   equals) is its anchor. Equal windows have equal anchors at equal places, so equal windows meet under one anchor. All
-   windows with an anchor lie in the context of `length - gram` bytes before and `length` bytes from its start. Contexts are
-   counted by a 128-bit hash; those that occur twice are repeated as a whole, so copies cost one row.
+1. Anchors. Of the `gram`-byte strings inside each window of `least` bytes, the one of the smallest hash (the leftmost of
+   equals) is its anchor; that of a window of `length` bytes is among these. Equal windows have equal anchors at equal places, so
+   equal windows meet under one anchor. All windows with an anchor lie in the context of `length - gram` bytes before and `length`
+   bytes from its start. Contexts are counted by their 128-bit XXH3; those that occur twice are repeated as a whole, so copies cost
+   one row.
 2. Columns. The different contexts of an anchor are a collection of documents aligned at the anchor. Their suffix order is
    built by inserting one symbol per document each round, from the last column to the first: a stable sort of the former order
    by the new symbol; the common prefix of two neighbours is one more than the least common prefix between their former
    places. Only the order, the common prefixes and one column are looked at in a round; the columns stand one after another
    and are read in sequence. A window is repeated if a neighbour shares `length` bytes or more. Spark's sorted shuffle files
    take the place of the method's external files: they bring the collections to a task one at a time, sorted by anchor.
-3. Spans. Each occurrence of a context takes its spans over; a text's spans are merged and cut out.
+3. Spans. Each occurrence of a context takes its spans over; a text's spans are merged and cut out. Shorter repeats, of `least`
+   bytes or more, are found alike; they stay, and n_repeated says how many bytes they cover.
 
 Anchors with over `hot` different contexts don't go to one task: their windows are counted by 128-bit hashes over all tasks,
 which gives the same result.
@@ -28,15 +30,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_batch, chunks, written
 
-LENGTH, GRAM, HOT = 400, 100, 20_000
+LENGTH, LEAST, GRAM, HOT = 400, 280, 60, 20_000
 #: Contexts that a task takes up before it builds their order.
 BLOCK = 30_000
-#: Two odd multipliers of the rolling hashes; their inverses modulo 2**64 follow.
+#: Two odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -69,14 +72,13 @@ class Rolling:
         return _mixed((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
 
 
-def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the texts data[begins:ends]: text number, place, hash of the gram, two hashes of the context, bytes before and from the anchor."""
+def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the texts data[begins:ends]: text number, place, hash of the gram, the context's two hashes, bytes before and from the anchor."""
     empty = (np.array([], np.int64),) * 2 + (np.array([], np.uint64),) * 3 + (np.array([], np.int64),) * 2
-    if len(data) < length:
+    if len(data) < least:
         return empty
-    first = Rolling(data, BASES[0])
-    hashes = first.all(gram)
-    width = length - gram + 1
+    hashes = Rolling(data, BASES[0]).all(gram)
+    width = least - gram + 1
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     place = (np.uint64(1) << bits) - np.uint64(1)
     packed = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
@@ -85,34 +87,33 @@ def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int,
     blocks = full.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = len(data) - length + 1
-    least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
+    starts = len(data) - least + 1
+    lowest = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
     whole = np.zeros(len(data) + 1, np.int64)  # 1 where a window lies within one text
-    long = ends - begins >= length
+    long = ends - begins >= least
     np.add.at(whole, begins[long], 1)
-    np.add.at(whole, ends[long] - length + 1, -1)
-    least = least[np.cumsum(whole)[:starts] > 0]
-    if not len(least):
+    np.add.at(whole, ends[long] - least + 1, -1)
+    lowest = lowest[np.cumsum(whole)[:starts] > 0]
+    if not len(lowest):
         return empty
-    at = (least & place).astype(np.int64)
+    at = (lowest & place).astype(np.int64)
     at = at[np.append(True, at[1:] != at[:-1])]
     text = np.searchsorted(begins, at, side="right") - 1
     left = np.minimum(at - begins[text], length - gram)
     right = np.minimum(ends[text] - at, length)
-    second = Rolling(data, BASES[1])
-    size = (left * (length + 1) + right).astype(np.uint64)
-    keys = [_mixed(r.of(at - left, at + right) + size * np.uint64(b)) for r, b in ((first, BASES[1]), (second, BASES[0]))]
-    return text, at - begins[text], hashes[at], *keys, left, right
+    raw = memoryview(data)
+    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b], seed=s) for a, b, s in zip((at - left).tolist(), (at + right).tolist(), left.tolist(), strict=True)), ">u8").reshape(-1, 2)
+    return text, at - begins[text], hashes[at], *(k.astype(np.uint64) for k in keys.T), left, right
 
 
-def column_order(group: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last column from which `length` symbols of each row also occur in another row of its group; -1: none.
+def column_order(group: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The first and the last column from which `length` symbols of each row also occur in another row of its group, and the same for `least`; -1: none.
 
     Rows are sorted by group; columns (one array per column) are aligned at the anchor; a row has symbols in the columns from
     length - gram - left to length - gram + right only.
     """
     n, total = len(group), 2 * length - gram
-    first, last = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    found = [(size, np.full(n, -1, np.int32), np.full(n, -1, np.int32)) for size in (length, least)]
     order, shared = np.arange(n), np.zeros(n + 1, np.int32)
     base = group.astype(np.int64) * 257
     apart = group[1:] != group[:-1]
@@ -127,18 +128,19 @@ def column_order(group: np.ndarray, columns: np.ndarray, left: np.ndarray, right
             moved = np.arange(n)
         equal = np.flatnonzero((symbol[1:] == symbol[:-1]) & ~apart & (symbol[1:] < 256))
         before, here = moved[equal], moved[equal + 1]
-        least = shared[here]
+        common = shared[here]
         far = np.flatnonzero(here - before > 1)
         if len(far):  # the least common prefix between the former places
             bounds = np.stack([before[far] + 1, here[far] + 1], axis=1).ravel()
-            least[far] = np.minimum.reduceat(shared, bounds)[::2]
+            common[far] = np.minimum.reduceat(shared, bounds)[::2]
         shared = np.zeros(n + 1, np.int32)
-        shared[equal + 1] = least + 1
-        if j <= length - gram:
-            rows = order[(shared[:-1] >= length) | (shared[1:] >= length)]
-            first[rows] = j
-            last[rows[last[rows] < 0]] = j
-    return first, last
+        shared[equal + 1] = common + 1
+        for size, first, last in found:
+            if length - size <= j <= length - gram:  # the window holds the anchor
+                rows = order[(shared[:-1] >= size) | (shared[1:] >= size)]
+                first[rows] = j
+                last[rows[last[rows] < 0]] = j
+    return tuple(x for _, *pair in found for x in pair)
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,22 +152,24 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 KEYS = ["gram", "k1", "k2"]
 
 
-def repeated_spans(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """(row, spans: array of start and end) of the texts in rows (row, text) that hold repeated strings."""
+def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int) -> DataFrame:
+    """(row, spans: array of start, end and whether it has `length` bytes) of the texts in rows (row, text) that hold repeated strings of `least` bytes."""
 
     def find(batches):
         schema = pa.schema([("row", pa.int64()), ("pos", pa.int64()), ("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("before", pa.int32()), ("size", pa.int32())])
         for batch, texts in chunks(batches, limit=1 << 20):
             data, begins, ends = _bytes(texts)
-            text, pos, *keys, left, right = anchors(data, begins, ends, length, gram)
+            text, pos, *keys, left, right = anchors(data, begins, ends, length, least, gram)
             row = batch.column(0).to_numpy(zero_copy_only=False)[text]
             g, k1, k2 = (k.view(np.int64) for k in keys)
             yield as_batch(schema, row=row, pos=pos, gram=g, k1=k1, k2=k2, before=left.astype(np.int32), size=right.astype(np.int32))
 
     found = written(rows.mapInArrow(find, "row long, pos long, gram long, k1 long, k2 long, before int, size int"), "anchors")
     contexts = found.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "before", "size")).alias("at"))
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).where("all > 1")
-    contexts = written(contexts.join(grams, "gram").select(*KEYS, "n", "at.*", "contexts"), "contexts")
+    contexts = written(contexts, "different")
+    # a stage of its own, so that the join may split the contexts of a frequent anchor
+    grams = written(contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).where("all > 1"), "grams")
+    contexts = written(contexts.join(grams.hint("merge"), "gram").select(*KEYS, "n", "at.*", "contexts"), "contexts")
     # contexts that occur once need their bytes held against the others of their anchor
     mixed = contexts.where("contexts > 1")
 
@@ -187,7 +191,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, hot: int) -> DataFra
 
     def order(batches):
         wide, room = 2 * length - gram, length - gram
-        schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+        schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("high", pa.int32())])
 
         def built(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
@@ -196,9 +200,12 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, hot: int) -> DataFra
             group = np.cumsum(np.append(0, g[1:] != g[:-1]))
             right = np.array([len(c) for c in codes]) - left
             table = np.frombuffer(b"".join(b"\0" * (room - x) + c + b"\0" * (length - y) for c, x, y in zip(codes, left, right, strict=True)), np.uint8)
-            first, last = column_order(group, np.ascontiguousarray(table.reshape(-1, wide).T), left, right, length, gram)
-            hit = np.flatnonzero((first >= 0) & (n == 1))
-            return as_batch(schema, gram=g[hit], k1=t["k1"].to_numpy()[hit], k2=t["k2"].to_numpy()[hit], low=(first[hit] - room).astype(np.int32), high=(last[hit] - room + length).astype(np.int32))
+            ends = column_order(group, np.ascontiguousarray(table.reshape(-1, wide).T), left, right, length, least, gram)
+            out = []
+            for size, first, last in ((length, *ends[:2]), (least, *ends[2:])):
+                hit = np.flatnonzero((first >= 0) & (n == 1))
+                out.append(as_batch(schema, gram=g[hit], k1=t["k1"].to_numpy()[hit], k2=t["k2"].to_numpy()[hit], whole=np.full(len(hit), size == length), low=(first[hit] - room).astype(np.int32), high=(last[hit] - room + size).astype(np.int32)))
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(map(len, out)) else out[0]
 
         held: list[pa.RecordBatch] = []
         count = 0
@@ -216,28 +223,32 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, hot: int) -> DataFra
         if count:
             yield built([b for b in held if len(b)])
 
-    spans = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(order, "gram long, k1 long, k2 long, low int, high int")
+    spans = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(order, "gram long, k1 long, k2 long, whole boolean, low int, high int")
 
     def windows(batches):
-        schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+        schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
         for batch in batches:
             for row in batch.to_pylist():
-                code = np.frombuffer(row["context"], np.uint8)
-                if len(code) < length:
-                    continue
-                w1, w2 = (Rolling(code, b).all(length).view(np.int64) for b in BASES)
-                low = np.arange(len(w1), dtype=np.int32) - row["before"]
-                yield as_batch(schema, low=low, w1=w1, w2=w2, **{c: [row[c]] * len(w1) for c in ("gram", "k1", "k2", "n")})
-
-    many = with_text(mixed.where(F.col("contexts") > hot)).mapInArrow(take, kinds).mapInArrow(windows, "gram long, k1 long, k2 long, n long, low int, w1 long, w2 long")
+                code, before = np.frombuffer(row["context"], np.uint8), row["before"]
+                for size in (length, least):
+                    begin, end = max(0, before + gram - size), min(len(code) - size, before)  # windows that hold the anchor
+                    if begin > end:
+                        continue
+                    w1, w2 = (Rolling(code, b).all(size)[begin : end + 1].view(np.int64) for b in BASES)
+                    low = np.arange(begin, end + 1, dtype=np.int32) - before
+                    yield as_batch(schema, low=low, w1=w1, w2=w2, whole=[size == length] * len(w1), **{c: [row[c]] * len(w1) for c in ("gram", "k1", "k2", "n")})
+
+    many = with_text(mixed.where(F.col("contexts") > hot)).mapInArrow(take, kinds).mapInArrow(windows, "gram long, k1 long, k2 long, n long, whole boolean, low int, w1 long, w2 long")
     # contexts of neighbouring anchors overlap, so windows are told apart by anchor and place under it as well
-    same = ["gram", "low", "w1", "w2"]
+    same = ["gram", "whole", "low", "w1", "w2"]
     twice = many.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1").select(*same)
-    spread = many.where("n = 1").join(twice, same, "left_semi").groupBy(*KEYS).agg(F.min("low").alias("low"), (F.max("low") + length).cast("int").alias("high"))
-    spans = spans.union(spread).union(contexts.where("n > 1").select(*KEYS, (-F.col("before")).alias("low"), F.col("size").alias("high")))
-    spans = written(spans.where(F.col("high") - F.col("low") >= length).groupBy(*KEYS).agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans")
+    size = F.when(F.col("whole"), length).otherwise(least)
+    spread = many.where("n = 1").join(twice, same, "left_semi").groupBy(*KEYS, "whole").agg(F.min("low").alias("low"), F.max(F.col("low") + size).cast("int").alias("high"))
+    copied = contexts.where("n > 1").select(*KEYS, F.explode(F.array(F.lit(True), F.lit(False))).alias("whole"), (-F.col("before")).alias("low"), F.col("size").alias("high"))
+    spans = spans.union(spread).union(copied)
+    spans = written(spans.where(F.col("high") - F.col("low") >= size).groupBy(*KEYS, "whole").agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans")
     hits = found.select("row", "pos", *KEYS).join(spans, KEYS)
-    return hits.groupBy("row").agg(F.collect_set(F.struct((F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"))).alias("spans"))
+    return hits.groupBy("row").agg(F.collect_set(F.struct((F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"), "whole")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,28 +262,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes that stay) unless with_texts=False."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, least: int = LEAST, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes under repeats of `least` bytes), and kept (the bytes that stay) unless with_texts=False."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = named.withColumn("row", F.xxhash64("doc_id", "text"))  # rows that are alike in both have the same result
-    spans = repeated_spans(named.select("row", "text"), length, gram, hot)
+    spans = repeated_spans(named.select("row", "text"), length, least, gram, hot)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         for batch, texts in chunks(batches):
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_repeated": [], "kept": []}
             for text, found in zip(texts, batch.column(2).to_pylist(), strict=True):
                 code = text.encode("utf-8", "replace")
-                runs = merged([(s["start"], s["end"]) for s in found or []])
+                runs = merged([(s["start"], s["end"]) for s in found or [] if s["whole"]])
+                repeated = sum(b - a for a, b in merged([(s["start"], s["end"]) for s in found or []]))
                 at, kept = 0, []
                 for a, b in runs:
                     kept.append(code[at:a])
                     at = b
                 rest = b"".join([*kept, code[at:]])
-                for name, value in zip(out, (len(code), len(code) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                for name, value in zip(out, (len(code), len(code) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), repeated, rest), strict=True):
                     out[name].append(value)
-            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.binary())] if with_texts else []))
+            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64())] + ([("kept", pa.binary())] if with_texts else []))
             yield as_batch(schema, **{f: out[f] if f in out else batch.column(0) for f in schema.names})
 
-    kinds = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_texts
+    kinds = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept binary" * with_texts
     return named.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(cut, kinds)

@@ -267,35 +267,46 @@ def test_kneser_ney_sums_to_one():
 # substring dedup
 
 
-def removed(texts, length):
+def removed(texts, length, least):
     codes = [(t or "").encode() for t in texts]
-    seen = Counter(c[k : k + length] for c in codes for k in range(len(c) - length + 1))
+    seen = {size: Counter(c[k : k + size] for c in codes for k in range(len(c) - size + 1)) for size in (length, least)}
     out = []
     for c in codes:
-        gone = np.zeros(len(c), bool)
-        for k in range(len(c) - length + 1):
-            if seen[c[k : k + length]] > 1:
-                gone[k : k + length] = True
+        gone, shared = np.zeros(len(c), bool), np.zeros(len(c), bool)
+        for size, flags in ((length, gone), (least, shared)):
+            for k in range(len(c) - size + 1):
+                if seen[size][c[k : k + size]] > 1:
+                    flags[k : k + size] = True
         kept = bytes(np.frombuffer(c, np.uint8)[~gone])
-        out.append((len(c), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(c), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest(), int(shared.sum())))
     return out
 
 
-@pytest.mark.parametrize("length,gram,hot", [(40, 10, 20_000), (40, 10, 3), (40, 20, 20_000)])
-def test_substring_dedup(spark, length, gram, hot):
+SPANS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+
+
+@pytest.mark.parametrize("length,least,gram,hot", [(40, 40, 10, 20_000), (40, 25, 10, 3), (40, 30, 20, 20_000)])
+def test_substring_dedup(spark, length, least, gram, hot):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abé "), n))
     parts = [word(n) for n in (30, 45, 60, 90, 200)]
     docs = ["".join(parts[j] if rng.random() < 0.5 else word(int(rng.integers(0, 60))) for j in rng.integers(0, 5, 6)) for _ in range(60)]
     docs += ["a" * 200, "ab" * 90, None, "", docs[0], docs[0], word(39), word(40)]
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("row", F.lit("r")).withColumn("gram", F.lit(1))
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(table, length, gram, hot, with_texts=False).collect()}
-    assert [found[k] for k in range(len(docs))] == removed(docs, length)
+    found = {r["doc_id"]: tuple(r[c] for c in SPANS) for r in substring_dedup.remove_repeats(table, length, least, gram, hot, with_texts=False).collect()}
+    assert [found[k] for k in range(len(docs))] == removed(docs, length, least)
 
 
 def test_substring_dedup_documents(spark, sf_dir, texts):
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op5_substring_dedup(spark, sf_dir).collect()}
-    assert [found[k] for k in texts] == removed(texts.values(), 400)
+    found = {r["doc_id"]: tuple(r[c] for c in SPANS) for r in queries.op5_substring_dedup(spark, sf_dir).collect()}
+    assert [found[k] for k in texts] == removed(texts.values(), 400, 280)
+
+
+def test_substring_dedup_rows_of_one_id(spark):
+    a, b = "x".join(map(str, range(300))), "y".join(map(str, range(300, 600)))
+    table = spark.createDataFrame([(1, a), (1, b), (2, b + "z"), (3, "q" * 5000)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(table).collect())
+    assert found == [(1, 0), (1, len(b)), (2, len(b)), (3, 5000)]
 
 
 def test_substring_dedup_messy(messy, no_docs):
