@@ -7,14 +7,15 @@ letter only weakens the likeness. Landmark words give the Nyström map: kernel v
 landmarks' own kernel. A linear machine (squared hinge) on it judges words. As the kernel's features can be written down,
 machine, landmarks and map fold into one table of weights per subsequence (hashed), and a word costs a few look-ups.
 
-Labels are of texts, so training is on several instances: a toxic text's insult has to be found. Words that occur in toxic
-texts far more often than chance, in different surroundings (copies of a text show the same ones and count once), are taken as
-insults, along with variants that have a character inserted; words of texts that aren't toxic are the other class. Each round
-then adds the words of the other class that the machine finds most toxic, as examples and landmarks, and, for toxic texts
-without an insult, the word that it finds most toxic, if it is clearly so. A text
-scores as its most toxic word, and a logistic curve fitted on training texts kept apart maps that to 0..1.
+Labels are of texts, so training is on several instances: of a toxic text one word at least is at fault, of any other none is. A text
+scores as its most toxic word. The machine starts from words that occur in toxic texts far more often than chance, in different surroundings
+(copies of a text show the same ones and count once), along with variants that have a character inserted. Then, in each of ROUNDS rounds, Spark
+finds the word of every labelled text that the machine takes as most toxic (its witness): those of toxic texts are the one class,
+and those of the others join the other class. A word that speaks for one toxic text alone, below
+the margin, may be there by chance and stays out. A logistic curve fitted on training texts kept apart maps a text's score to 0..1.
 
-Training uses at most `per_class` labelled texts of either class, those of the smallest hash of their id, whole.
+Training uses at most `per_class` labelled texts of either class, those of the smallest hash of their id, whole; the Nyström map has at most
+`landmarks` words. The driver holds a few words for each of these texts, and the machine's matrix of landmarks times landmarks.
 
 Defined results: null and empty texts, and texts without a letter or digit, score as the least toxic word does; without
 training texts of both classes every score is the share of toxic ones (0 if there is none); labels other than 0 and 1 and rows
@@ -32,16 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, chunks, written
+from .common import as_batch, chunks, release, written
 
 DECAY, SPAN, SLOTS = 0.5, 7, 1 << 20
 LANDMARKS, PER_CLASS = 1000, 3000
-#: Words that stand for either class in training at most, and clean words that each round looks through.
-MOST_WORDS, LOOKED_AT = 4000, 60_000
+#: Rounds of finding witnesses, and words that each text of the other class gives in one.
+ROUNDS, HARDEST = 4, 3
 #: An insult is so many times as frequent in toxic texts as in others, and at most this share of such words may be there by chance.
 TIMES, BY_CHANCE = 20.0, 0.03
-MEMO = 1_500_000
-FLOOR = -3.0
+#: Bytes of memo at most, about; what texts without words score.
+MEMO_BYTES, FLOOR = 64 << 20, -3.0
 SPELLED = re.compile(r"(?<=\s)\w(?:\s\w){2,}(?!\S)")
 OTHER = re.compile(r"[\W_]+")
 
@@ -89,27 +90,34 @@ def size(width: int) -> float:
 
 
 class Landmarks:
-    """Landmark words: the subsequences they hold, and the weight of each in each landmark."""
+    """Landmark words: for each slot the landmarks that hold it and its weight in them, slot after slot."""
 
     def __init__(self, words: list[str]):
-        found = [(rows, slots, weight / size(points.shape[1])) for rows, points in by_length(words) for slots, weight in subsequences(points)]
-        self.slots = np.unique(np.concatenate([np.zeros(1, np.uint32), *(slots.ravel() for _, slots, _ in found)]))
-        self.weights = np.zeros((len(self.slots) + 1, len(words)), np.float32)  # the last row: slots that no landmark holds
-        for rows, slots, weight in found:
-            np.add.at(self.weights, (np.searchsorted(self.slots, slots), np.broadcast_to(rows, slots.shape)), weight)
-        self.place = np.full(SLOTS, len(self.slots), np.int32)
-        self.place[self.slots] = np.arange(len(self.slots))
+        found = [(slots, np.broadcast_to(rows, slots.shape), np.full(slots.shape, weight / size(points.shape[1]))) for rows, points in by_length(words) for slots, weight in subsequences(points)]
+        slot, row, weight = (np.concatenate([np.zeros(0, kind), *(f[k].ravel() for f in found)]) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        keys, back = np.unique(slot * len(words) + row, return_inverse=True)  # a slot twice in a word weighs twice
+        self.n, self.weight = len(words), np.bincount(back, weights=weight, minlength=len(keys))
+        self.slot, self.row = keys // max(1, len(words)), keys % max(1, len(words))
+        self.begin = np.searchsorted(self.slot, np.arange(SLOTS + 1)).astype(np.int32)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of words (rows) with the landmarks."""
-        out = np.zeros((len(words), self.weights.shape[1]), np.float32)
+        out = np.zeros((len(words), self.n))
         for rows, points in by_length(words):
-            for k in range(0, len(rows), 200):
-                for slots, weight in subsequences(points[k : k + 200]):
-                    out[rows[k : k + 200]] += self.weights[self.place[slots]].sum(axis=0) * weight
+            for k in range(0, len(rows), 500):
+                part = rows[k : k + 500]
+                for slots, weight in subsequences(points[k : k + 500]):
+                    begin, n = self.begin[slots.ravel()], np.diff(self.begin)[slots.ravel()]
+                    entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    at = np.repeat(np.tile(np.arange(len(part)), slots.shape[0]), n)
+                    out[part] += weight * np.bincount(at * self.n + self.row[entry], weights=self.weight[entry], minlength=len(part) * self.n).reshape(len(part), self.n)
             out[rows] /= size(points.shape[1])
         return out
 
+    def folded(self, beta: np.ndarray) -> np.ndarray:
+        """The weight of each slot in the sum of the landmarks, each times its beta."""
+        return np.bincount(self.slot, weights=self.weight * beta[self.row], minlength=SLOTS).astype(np.float32)
+
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Linear support vector machine with squared hinge loss by Newton steps; the last weight is the offset."""
@@ -138,24 +146,26 @@ class ToxicModel:
     def __init__(self, share: float = 0.0):
         self.table: np.ndarray | None = None
         self.offset, self.slope, self.middle, self.share = 0.0, 1.0, 0.0, share
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, float] = {}
+        self.memo_bytes = 0
 
-    def fit(self, insults: list[str], others: list[str], landmarks: int = LANDMARKS) -> None:
-        """The first words of either class are the landmarks."""
-        marks = insults[: landmarks // 2] + others[: landmarks - min(len(insults), landmarks // 2)]
+    def fit(self, insults: list[str], others: list[str], marks: list[str]) -> None:
+        """From words of either class, which weigh the same in all; marks: the landmarks."""
         basis = Landmarks(marks)
-        values, vectors = np.linalg.eigh((basis.weights.T @ basis.weights).astype(float))
+        values, vectors = np.linalg.eigh(basis.kernel(marks))
         keep = values > 1e-4
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        positive = insults + [v for w in insults for v in with_insertions(w)]
-        x = basis.kernel(positive + others) @ whiten
+        positive = list(dict.fromkeys([*insults, *(v for w in insults for v in with_insertions(w))]))
+        x = basis.kernel([*positive, *others]) @ whiten
         y = np.repeat([1.0, -1.0], [len(positive), len(others)])
-        weight = np.where(y > 0, 0.5 / len(positive), 0.5 / max(1, len(others))) * 2000
+        weight = np.append(np.full(len(positive), 1 / len(positive)), np.full(len(others), 1 / max(1, len(others)))) * 1000
         w = machine(x, y, weight)
-        self.table = np.zeros(SLOTS, np.float32)
-        self.table[basis.slots] = basis.weights[:-1] @ (whiten @ w[:-1])
+        self.table = basis.folded(whiten @ w[:-1])
         self.offset = float(w[-1])
-        self.memo = {}
+        self.forget()
 
     def decisions(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.offset, np.float32)
@@ -165,17 +175,28 @@ class ToxicModel:
                 out[rows[k : k + 20_000]] += total / np.float32(size(points.shape[1]))
         return out
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """The decision on each text's most toxic word, FLOOR at least."""
-        split = [set(words_of(t)) for t in texts]
-        new = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*split)
+    def learn(self, words: set[str]) -> None:
+        """Judges the words that the memo lacks."""
+        new = words.difference(self.memo)
+        if self.memo_bytes > MEMO_BYTES:
+            self.forget()
+            new = words
         new = list(new)
         self.memo.update(zip(new, self.decisions(new).tolist(), strict=True))
+        self.memo_bytes += sum(map(len, new)) + 150 * len(new)
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The decision on each text's most toxic word."""
+        split = [set(words_of(t)) for t in texts]
+        self.learn(set().union(*split))
         get = self.memo.__getitem__
-        return np.array([max(map(get, words), default=FLOOR) for words in split]).clip(FLOOR, 3.0)
+        return np.array([max(map(get, words), default=FLOOR) for words in split])
+
+    def witnesses(self, text: str, n: int) -> list[tuple[str, float]]:
+        """The `n` words of a text that it takes as most toxic, letters and digits only, and the decisions on them."""
+        words = sorted({c for w in words_of(text) if (c := OTHER.sub("", w))})
+        d = self.decisions(words)
+        return [(words[k], float(d[k])) for k in np.argsort(-d, kind="stable")[:n]]
 
     def calibrate(self, margins: np.ndarray, labels: np.ndarray) -> None:
         """Fits the logistic curve by Newton steps, with the labels drawn in by one count of either class."""
@@ -198,7 +219,7 @@ class ToxicModel:
         return 1 / (1 + np.exp(-(self.slope * self.margins(texts) + self.middle).clip(-500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """A model from labelled rows for which `learn` (a condition on the label table's id) holds."""
     spark = docs.sparkSession
     known = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -224,37 +245,59 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     all_bad, all_good = counted.agg(F.sum("bad"), F.sum("good")).first()
     odds = (F.col("bad") + 0.5) / F.lit((all_bad or 0) + 1.0) / ((F.col("good") + 0.5) / F.lit((all_good or 0) + 1.0))
     least = least_places(counted, (all_bad or 0) / max(1, (all_bad or 0) + (all_good or 0)))
-    insults = [r[0] for r in counted.where((F.col("bad") >= least) & (odds >= TIMES)).orderBy(F.desc("bad"), "word").limit(MOST_WORDS // 4).collect()]
+    start = {r[0]: float(r[1]) for r in counted.where((F.col("bad") >= least) & (odds >= TIMES)).select("word", "bad").collect()}  # words of the chosen texts
     clean = counted.where("good > 0")
-    common = [r[0] for r in clean.orderBy(F.desc("good"), "word").limit(MOST_WORDS // 4).collect()]
-    looked = [r[0] for r in clean.orderBy(F.xxhash64("word"), "word").limit(LOOKED_AT).collect()]
+    common = [r[0] for r in clean.orderBy(F.desc("good"), "word").limit(landmarks // 4).collect()]
+    spread = [r[0] for r in clean.orderBy(F.xxhash64("word"), "word").limit(landmarks // 2).collect()]
     model = ToxicModel(sum(r["label"] for r in few) / len(few))
-    if not insults or not looked:
+    if not start or not common:
         return model
-    bad = [r[0] for r in rows.where("fold <> 0 and label = 1").select("text").collect()]
-    hard: list[str] = []
-    for last in (False, False, True):
-        others = [w for w in dict.fromkeys(hard + common + looked[:MOST_WORDS]) if w not in set(insults)]
-        model.fit(insults, others)
-        if last:
-            break
-        d = model.decisions(looked)
-        hard = list(dict.fromkeys(hard + [looked[k] for k in np.argsort(-d, kind="stable")[: MOST_WORDS // 4] if d[k] > -1]))
-        found: dict[str, int] = {}
-        for text in bad:
-            words = sorted({c for w in words_of(text) if (c := OTHER.sub("", w))})
-            if words and not set(insults).intersection(words):
-                d = model.decisions(words)
-                if d.max() > 0.5:
-                    found[words[int(d.argmax())]] = found.get(words[int(d.argmax())], 0) + 1
-        insults += [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n > 1 and w not in set(looked)][:200]
-    apart = rows.where("fold = 0").select("text", "label").collect()
-    if len({r["label"] for r in apart}) == 2:
-        model.calibrate(model.margins([r["text"] for r in apart]), np.array([r["label"] for r in apart]))
-    model.memo = {}
+    insults, others = start, list(dict.fromkeys(common + spread))
+    for _ in range(ROUNDS):
+        others = [w for w in others if w not in insults]
+        most = sorted(insults, key=lambda w: (-insults[w], w))[: landmarks // 4]
+        # the newest words of the other class are the hardest
+        model.fit(list(insults), others, list(dict.fromkeys(most + others[::-1][: landmarks // 4] + common + spread))[:landmarks])
+        found = witness_table(rows.where("fold <> 0"), model)
+        bad = found.where("label = 1").groupBy("word").agg(F.count("*").alias("texts"), F.max("decision").alias("best")).where((F.col("texts") > 1) | (F.col("best") >= 1)).collect()  # a word for each chosen text at most
+        hard = found.where("label = 0 and decision > -1").groupBy("word").agg(F.max("decision").alias("best")).orderBy("best", "word").collect()  # HARDEST for each chosen text at most
+        seen = {r["word"] for r in hard}
+        insults = start | {r["word"]: float(r["texts"]) for r in bad if r["word"] not in seen or r["word"] in start}
+        others = list(dict.fromkeys(others + [r["word"] for r in hard]))
+    others = [w for w in others if w not in insults]
+    most = sorted(insults, key=lambda w: (-insults[w], w))[: landmarks // 4]
+    model.fit(list(insults), others, list(dict.fromkeys(most + others[::-1][: landmarks // 4] + common + spread))[:landmarks])
+    apart = margin_table(rows.where("fold = 0"), model).toPandas()
+    if apart["label"].nunique() == 2:
+        model.calibrate(apart["margin"].to_numpy(), apart["label"].to_numpy())
     return model
 
 
+def witness_table(rows: DataFrame, model: ToxicModel) -> DataFrame:
+    """(label, word, decision): of each different text of rows (text, label) the witness, of those that aren't toxic the HARDEST most toxic words."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("label", pa.int32()), ("word", pa.string()), ("decision", pa.float64())])
+
+    def run(batches):
+        for batch, texts in chunks(batches, limit=1 << 20):
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
+            found = [(y, w, d) for y, t in zip(labels, texts, strict=True) for w, d in held.value.witnesses(t, 1 if y else HARDEST)]
+            yield as_batch(schema, label=[f[0] for f in found], word=[f[1] for f in found], decision=[f[2] for f in found])
+
+    return rows.select("text", "label").distinct().mapInArrow(run, "label int, word string, decision double")
+
+
+def margin_table(rows: DataFrame, model: ToxicModel) -> DataFrame:
+    """(label, margin) of rows (text, label)."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, texts in chunks(batches, limit=1 << 20):
+            yield as_batch(pa.schema([("label", pa.int32()), ("margin", pa.float64())]), label=batch.column(batch.schema.get_field_index("label")), margin=held.value.margins(texts))
+
+    return rows.select("text", "label").mapInArrow(run, "label int, margin double")
+
+
 def least_places(counted: DataFrame, share: float, most: int = 30) -> int:
     """In how many different surroundings of toxic texts, and no others, a word must stand: the least number at which few words do so by chance."""
     total = dict(counted.groupBy((F.col("bad") + F.col("good")).alias("n")).count().where(F.col("n") <= most).collect())
@@ -268,9 +311,11 @@ def toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch, texts in chunks(batches, limit=4 << 20):
+        for batch, texts in chunks(batches, limit=1 << 20):
             score = held.value.scores(texts)
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("score", pa.float64()), ("predicted", pa.int32())])
             yield as_batch(schema, doc_id=batch.column(0), score=score, predicted=(score >= 0.5).astype(np.int32))
+        held.value.forget()
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
