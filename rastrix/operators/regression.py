@@ -229,3 +229,97 @@ def weighted_generalised(points: DataFrame, y: str, columns: list[str], width: f
         sums = now.groupBy("i").agg(*_sums(x, eta + (t - mean) / curve, F.col("w") * curve))
         beta = sums.mapInPandas(solve, f"i {kind_of_id}, beta array<double>")
     return beta.withColumnRenamed("i", "id")
+
+
+def linear_diagnostics(rows: DataFrame, y: str, columns: list[str]) -> DataFrame:
+    """(term, coefficient, error, t) and, in each row, r2, adjusted r2 and f of the model: the moments are taken about the means, in one aggregate after that of the means."""
+    means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{k}") for k, c in enumerate([y, *columns])]).first()
+    d = [F.col(c).cast("double") - F.lit(means[f"m{k}"]) for k, c in enumerate([y, *columns])]
+    size = range(len(d))
+    row = rows.agg(*[F.sum(d[i] * d[j]).alias(f"s{i}_{j}") for i in size for j in size if i <= j], F.count("*").alias("n")).first()
+    s = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in size] for i in size])
+    n, k = row["n"], len(columns)
+    inverse = np.linalg.pinv(s[1:, 1:])
+    beta = inverse @ s[1:, 0]
+    rss = max(0.0, s[0, 0] - beta @ s[1:, 0])
+    m = np.array([means[f"m{j}"] or 0.0 for j in range(1, k + 1)])
+    s2 = rss / max(1, n - k - 1)
+    coefficients = np.append((means["m0"] or 0.0) - beta @ m, beta)
+    errors = np.sqrt(np.append(s2 * (1 / max(1, n) + m @ inverse @ m), s2 * np.diag(inverse)))
+    r2 = 1 - rss / s[0, 0] if s[0, 0] else None
+    whole = (r2, 1 - (1 - r2) * (n - 1) / (n - k - 1), r2 / k / ((1 - r2) / (n - k - 1)) if r2 < 1 else None) if r2 is not None and n > k + 1 else (r2, None, None)
+    out = [(t, float(b), float(e), float(b / e) if e else None, *(v if v is None else float(v) for v in whole)) for t, b, e in zip(["intercept", *columns], coefficients, errors)]
+    return rows.sparkSession.createDataFrame(out, "term string, coefficient double, error double, t double, r2 double, adjusted double, f double")
+
+
+def predicted(rows: DataFrame, columns: list[str], model: DataFrame, id_col: str, family: str = "linear") -> DataFrame:
+    """(id, yhat) by a model's (term, coefficient)."""
+    beta = {r["term"]: r["coefficient"] for r in model.collect()}
+    eta = sum((F.col(c).cast("double") * beta[c] for c in columns), F.lit(beta["intercept"]))
+    return rows.select(id_col, (1 / (1 + F.exp(-eta)) if family == "logistic" else F.exp(eta) if family == "poisson" else eta).alias("yhat"))
+
+
+def deviance(rows: DataFrame, y: str, fitted: DataFrame, id_col: str, family: str, terms: int) -> DataFrame:
+    """(deviance, null_deviance, pseudo_r2, aic) of predictions (id, yhat) of a logistic or Poisson model with so many terms."""
+    both = rows.select(id_col, F.col(y).cast("double").alias("_y")).join(fitted, id_col)
+    both = both.join(F.broadcast(both.agg(F.avg("_y").alias("_m"))))  # one row
+
+    def of(m: Column) -> Column:
+        if family == "logistic":
+            return -2 * (F.when(F.col("_y") > 0, F.log(m)).otherwise(F.log(1 - m)))
+        return 2 * (F.when(F.col("_y") > 0, F.col("_y") * F.log(F.col("_y") / m)).otherwise(0.0) - F.col("_y") + m)
+
+    # twice the negative log-likelihood, with the factorials of a Poisson model
+    like = of(F.col("yhat")) if family == "logistic" else -2 * (F.col("_y") * F.log("yhat") - F.col("yhat") - F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_y").cast("int"), F.lit(1))), F.lit(0.0), lambda s, k: s + F.log(k.cast("double"))))
+    sums = both.agg(F.sum(of(F.col("yhat"))).alias("deviance"), F.sum(of(F.col("_m"))).alias("null_deviance"), (F.sum(like) + 2 * terms).alias("aic"))
+    return sums.select("deviance", "null_deviance", (1 - F.try_divide("deviance", "null_deviance")).alias("pseudo_r2"), "aic")
+
+
+def weighted_prediction(points: DataFrame, places: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
+    """(id, beta, yhat) at places (id, x, y and the columns) by the points around them; places out of reach of all go."""
+    far = width if kind in ("bisquare", "tricube", "boxcar") else 8 * width
+    near = within_distance(places, points.withColumn("v", F.struct(y, *columns)), far)
+    pairs = near.select("i", kernel(F.col("d"), width, kind).alias("w"), "vj.*").where("w > 0")
+    return _fitted(places.withColumn(y, F.lit(0.0)), pairs, y, columns).select("id", "beta", "yhat")
+
+
+def bandwidth_scores(points: DataFrame, y: str, columns: list[str], widths: list[float], kind: str = "bisquare") -> DataFrame:
+    """(width, cv): for each width the sum of squares of what each point's neighbours without itself miss it by; one job for all widths.
+
+    A width at which a point has too few neighbours for a fit (singular) has no score there.
+    """
+    far = max(widths) if kind in ("bisquare", "tricube", "boxcar") else 8 * max(widths)
+    near = within_distance(points, points.withColumn("v", F.struct(y, *columns)), far).where("i <> j")
+    each = near.select("i", "d", "vj.*", F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"))
+    weight = kernel_of_column(F.col("d"), F.col("width"), kind)
+    pairs = each.withColumn("w", weight).where("w > 0").select(F.struct("i", "width").alias("i"), "w", y, *columns)
+    asked = points.select(F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"), "id", y, *columns).select(F.struct(F.col("id").alias("i"), "width").alias("id"), y, *columns)
+    fit = _fitted(asked, pairs, y, columns)
+    return fit.groupBy(F.col("id.width").alias("width")).agg(F.sum(F.col("residual") ** 2).alias("cv"))
+
+
+def kernel_of_column(d: Column, width: Column, kind: str) -> Column:
+    """A kernel whose width is a column."""
+    u = d / width
+    inside = {"bisquare": (1 - u * u) ** 2, "tricube": (1 - u * u * u) ** 3, "boxcar": F.lit(1.0)}
+    if kind in inside:
+        return F.when(u <= 1, inside[kind]).otherwise(0.0)
+    return F.exp(-0.5 * u * u) if kind == "gaussian" else F.exp(-u)
+
+
+def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, high: float, kind: str = "bisquare", rounds: int = 12) -> float:
+    """The width between two bounds with the least cross-validation score, by golden section; each round is one job."""
+    share = (5**0.5 - 1) / 2
+    score = lambda w: bandwidth_scores(points, y, columns, [w], kind).first()["cv"]
+    a, b = high - share * (high - low), low + share * (high - low)
+    fa, fb = score(a), score(b)
+    for _ in range(rounds):
+        if fa < fb:
+            high, b, fb = b, a, fa
+            a = high - share * (high - low)
+            fa = score(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + share * (high - low)
+            fb = score(b)
+    return a if fa < fb else b

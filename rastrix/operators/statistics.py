@@ -196,3 +196,47 @@ def path_length(points: DataFrame) -> DataFrame:
     """The length of each path of points (path, k, x, y) in the order of k."""
     step = distance(F.col("x"), F.col("y"), F.lag("x").over(Window.partitionBy("path").orderBy("k")), F.lag("y").over(Window.partitionBy("path").orderBy("k")))
     return points.withColumn("d", step).groupBy("path").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("length"))
+
+
+def ecological_detector(rows: DataFrame, y: str, factors: list[str]) -> DataFrame:
+    """(a, b, f): for each pair of factors the ratio of their variances within strata; over 1: a leaves more unexplained than b."""
+    long = rows.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])).alias("f")).select("y", "f.*")
+    within = long.groupBy("factor", "level").agg((F.count("y") * F.var_pop("y")).alias("ss"), F.count("y").alias("n")).groupBy("factor").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n"))
+    a, b = (within.select(*[F.col(c).alias(f"{c}_{side}") for c in within.columns], F.lit(1).alias("k")) for side in "ab")  # a row for each factor
+    ratio = F.try_divide(F.col("n_a") * (F.col("n_b") - 1) * F.col("ss_a"), F.col("n_b") * (F.col("n_a") - 1) * F.col("ss_b"))
+    return a.join(b, "k").where("factor_a < factor_b").select(F.col("factor_a").alias("a"), F.col("factor_b").alias("b"), ratio.alias("f"))
+
+
+def random_sample(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The n rows (id) that come first in `order` (an SQL expression), ties by id."""
+    return rows.select("id", F.expr(order).alias("_o")).orderBy("_o", "id").limit(n).select("id")
+
+
+def sandwich(samples: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """(unit, mean, variance): of samples (zone, v) and the shares (unit, zone, share) that zones have of reporting units, each unit's estimate and its variance."""
+    zones = samples.groupBy("zone").agg(F.avg("v").alias("m"), (F.var_samp("v") / F.count("v")).alias("s2"))
+    return overlaps.join(zones, "zone").groupBy("unit").agg((F.sum(F.col("share") * F.col("m")) / F.sum("share")).alias("mean"), (F.sum(F.col("share") ** 2 * F.col("s2")) / F.sum("share") ** 2).alias("variance"))
+
+
+def principal_components(rows: DataFrame, columns: list[str], scaled: bool = True) -> DataFrame:
+    """(component, value, share, and a weight for each column): of the correlations (or covariances), from one aggregate; a component's largest weight is positive."""
+    import numpy as np
+
+    k = range(len(columns))
+    pair = F.corr if scaled else F.covar_samp
+    row = rows.agg(*[pair(columns[i], columns[j]).alias(f"c{i}_{j}") for i in k for j in k if i <= j]).first()
+    matrix = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(-values)
+    out = []
+    for c, at in enumerate(order):
+        v = vectors[:, at] * (1 if vectors[np.argmax(np.abs(vectors[:, at])), at] > 0 else -1)
+        out.append((c + 1, float(values[at]), float(values[at] / values.sum()), *map(float, v)))
+    return rows.sparkSession.createDataFrame(out, "component int, value double, share double, " + ", ".join(f"`{c}` double" for c in columns))
+
+
+def component_scores(rows: DataFrame, columns: list[str], components: DataFrame, id_col: str, scaled: bool = True) -> DataFrame:
+    """(id, pc1, pc2, ...): centred (and scaled) values on the components."""
+    row = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    unit = {c: (F.col(c) - row[f"m_{c}"]) / (row[f"s_{c}"] if scaled else 1.0) for c in columns}
+    return rows.select(id_col, *[sum((unit[c] * r[c] for c in columns), F.lit(0.0)).alias(f"pc{r['component']}") for r in components.orderBy("component").collect()])

@@ -6,12 +6,14 @@ references to the parameter of an enclosing function that is mapped over a colle
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from ..operators import coverage
+from . import catalogue
 
 FUNCTIONS: dict[str, Callable] = {
     **{f"Coverage.{op}": (lambda op: lambda a, b: coverage.binary(a, b, op))(op) for op in coverage.BINARY},
@@ -21,9 +23,22 @@ FUNCTIONS: dict[str, Callable] = {
     "Coverage.selectBands": coverage.select_bands,
     "Coverage.binarization": coverage.binarization,
     "Coverage.normalizedDifference": lambda a, names: coverage.normalized_difference(a, *names),
+    # styles say how a result is drawn; its values stay
+    **{f"{kind}.addStyles": (lambda a, *_, **__: a) for kind in ("Coverage", "CoverageCollection", "Cube")},
+    **{f"Filter.{op}": (lambda op: lambda leftField, rightValue: {op: [leftField, rightValue]})(op) for op in catalogue.COMPARISONS},
+    **{f"Filter.{op}": (lambda op: lambda filters: {op: filters})(op) for op in ("and", "or")},
+    "CoverageCollection.filter": lambda collection, filter: catalogue.filtered(collection, filter),
 }
 
 
+def _bound(function: Callable, arguments: dict) -> list:
+    """Arguments in the order of a function's parameters, if they are called as these are; else in the order given."""
+    names = [n for n, p in inspect.signature(function).parameters.items() if p.kind is p.POSITIONAL_OR_KEYWORD]
+    if set(arguments) <= set(names) and set(names[: len(arguments)]) == set(arguments):
+        return [arguments[n] for n in names[: len(arguments)]]
+    return list(arguments.values())
+
+
 def compile_graph(text: str, sources: dict[str, DataFrame], root: str = "0", functions: dict[str, Callable] | None = None) -> DataFrame:
     """The DataFrame of the graph's root; sources are the tables that `Service.getCoverage` names. Cycles and unknown functions are errors."""
     graph, known = json.loads(text), FUNCTIONS | (functions or {})
@@ -52,14 +67,15 @@ def compile_graph(text: str, sources: dict[str, DataFrame], root: str = "0", fun
             made = node["functionDefinitionValue"]
             return lambda *args: value(graph[made["body"]], bound | dict(zip(made["argumentNames"], args, strict=True)))
         call = node["functionInvocationValue"]
-        args = [value(v, bound) for v in call["arguments"].values()]
+        given = {k: value(v, bound) for k, v in call["arguments"].items()}
+        args = list(given.values())
         name = call["functionName"]
-        if name == "Service.getCoverage":
+        if name in ("Service.getCoverage", "Service.getCoverageCollection", "Service.getCube"):
             return sources[args[0]]
         if name.endswith(".map"):
             return args[1](args[0])
         if name not in known:
             raise ValueError(f"unknown function {name}")
-        return known[name](*args)
+        return known[name](*_bound(known[name], given))
 
     return value({"valueReference": root}, {})

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import autoregression, composite, coverage, cube, feature, interpolation, regression, spatial, statistics, terrain
+from .operators import autoregression, composite, coverage, cube, feature, image, interpolation, overlay, regression, spatial, statistics, terrain
+from .plans import catalogue
 from .plans.expression import compile_graph
+from .sources import files
 from .sources import fixtures as fx
 from .streaming import windows
 
@@ -50,12 +52,12 @@ def _r(x: str) -> str:
 
 for _op in coverage.BINARY:
     if _op in SQL_BINARY:
-        query(f"cov_{_op}", f"{AB} SELECT a.band, a.px, a.py, {_r(SQL_BINARY[_op])} AS value FROM a JOIN b USING (band, px, py) WHERE a.band IN ('Green', 'SWIR1')", lambda s, d, op=_op: coverage.binary(year(s, d, 1995), year(s, d, 1996), op).where("band in ('Green', 'SWIR1')"))
+        query(f"cov_{_op}", f"{AB} SELECT a.band, a.px, a.py, {_r(SQL_BINARY[_op])} AS value FROM a JOIN b USING (band, px, py)", lambda s, d, op=_op: coverage.binary(year(s, d, 1995), year(s, d, 1996), op))
     else:
         query(f"cov_{_op}", f"{AB}, af AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM a), bf AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM b) SELECT a.band, a.px, a.py, {SQL_WHOLE[_op]} AS value FROM af a JOIN bf b USING (band, px, py)", lambda s, d, op=_op: coverage.binary(whole(year(s, d, 1995)), whole(year(s, d, 1996)), op))
 for _op in coverage.UNARY:
     _sql = SQL_UNARY[_op]
-    query(f"cov_{_op}", f"{AB}, c AS (SELECT band, px, py, value / 6 - 0.3 AS v FROM a WHERE band = 'Green') SELECT band, px, py, {_r(_sql) if 'BIGINT' not in _sql else _sql} AS value FROM c", lambda s, d, op=_op: coverage.unary(year(s, d, 1995).where("band = 'Green'").withColumn("value", F.col("value") / 6 - 0.3), op))
+    query(f"cov_{_op}", f"{AB}, c AS (SELECT band, px, py, value / 8 - 0.25 AS v FROM a) SELECT band, px, py, {_r(_sql) if 'BIGINT' not in _sql else _sql} AS value FROM c", lambda s, d, op=_op: coverage.unary(year(s, d, 1995).withColumn("value", F.col("value") / 8 - 0.25), op))
 for _op in coverage.CASTS:
     query(f"cov_{_op}", f"{AB}, c AS (SELECT band, px, py, value * 7 AS v FROM a) SELECT band, px, py, {_r(SQL_CAST[_op]) if _op == 'toDouble' else SQL_CAST[_op]} AS value FROM c", lambda s, d, op=_op: coverage.cast(year(s, d, 1995).withColumn("value", F.col("value") * 7), op).withColumn("value", F.round("value", 3) if op == "toFloat" else F.col("value")))
 for _op, _sql in SQL_REDUCE.items():
@@ -67,7 +69,7 @@ for _op in ("or", "and"):
 query("cov_select_bands", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE band IN ('NIR', 'Red')", lambda s, d: coverage.select_bands(year(s, d, 1995), ["NIR", "Red"]))
 query("cov_binarization", f"{AB} SELECT band, px, py, CASE WHEN value > 25 THEN 255 ELSE 0 END AS value FROM a", lambda s, d: coverage.binarization(year(s, d, 1995), 25))
 query("cov_clamp", f"{AB} SELECT band, px, py, {_r('least(greatest(value, 5), 30)')} AS value FROM a", lambda s, d: coverage.clamp(year(s, d, 1995), 5, 30))
-query("cov_remap", f"{AB} SELECT band, px, py, CASE floor(value) WHEN 4 THEN 1.0 WHEN 5 THEN 2.0 END AS value FROM a WHERE band = 'Green'", lambda s, d: coverage.remap(year(s, d, 1995).where("band = 'Green'").withColumn("value", F.floor("value")), {4: 1, 5: 2}))
+query("cov_remap", f"{AB} SELECT band, px, py, CAST(CASE floor(value) WHEN 4 THEN 1 WHEN 5 THEN 2 END AS DOUBLE) AS value FROM a", lambda s, d: coverage.remap(year(s, d, 1995).withColumn("value", F.floor("value")), {4: 1, 5: 2}))
 query("cov_histogram", f"{AB} SELECT band, CAST(floor(value / 2) AS BIGINT) AS bin, count(*) AS n FROM a GROUP BY ALL", lambda s, d: coverage.histogram(year(s, d, 1995), 2.0))
 for _k, _rows in coverage.KERNELS.items():
     _terms = " ".join(f"WHEN n.px - c.px = {x - 1} AND n.py - c.py = {y - 1} THEN {w}" for y, r in enumerate(_rows) for x, w in enumerate(r))
@@ -187,10 +189,10 @@ query("terrain_hillshade", f"{_g}, l AS (SELECT band, px, py, (sin(radians(45))
 for _n, _f, _e in (("ruggedness", terrain.ruggedness, "avg(abs(n.value - c.value))"), ("position", terrain.position_index, "any_value(c.value) - avg(n.value)"), ("roughness", terrain.roughness, "greatest(max(n.value), any_value(c.value)) - least(min(n.value), any_value(c.value))")):
     query(f"terrain_{_n}", f"{AB} SELECT c.band, c.px, c.py, {_r(_e)} AS value FROM a c JOIN a n ON {_win} AND (c.px <> n.px OR c.py <> n.py) GROUP BY ALL", lambda s, d, f=_f: f(year(s, d, 1995)))
 query("resample_coarser", f"{AB} SELECT band, px // 4 AS px, py // 4 AS py, {_r('avg(value)')} AS value FROM a GROUP BY ALL", lambda s, d: terrain.coarser(year(s, d, 1995), 4))
-query("resample_finer", f"{AB} SELECT band, px * 2 + i AS px, py * 2 + j AS py, {_r('value')} AS value FROM a, range(2) t(i), range(2) u(j) WHERE band = 'Red'", lambda s, d: terrain.finer(year(s, d, 1995).where("band = 'Red'"), 2))
+query("resample_finer", f"{AB} SELECT band, px * 2 + i AS px, py * 2 + j AS py, {_r('value')} AS value FROM a, range(2) t(i), range(2) u(j)", lambda s, d: terrain.finer(year(s, d, 1995), 2))
 query("map_patch", f"{AB}, e AS (SELECT * FROM a WHERE px % 2 = 0) SELECT band, px, py, {_r('coalesce(e.value, b.value)')} AS value FROM e FULL JOIN b USING (band, px, py)", lambda s, d: terrain.patch(year(s, d, 1995).where("px % 2 = 0"), year(s, d, 1996)))
 query("map_cross", f"{AB} SELECT a.band, px, py, dense_rank() OVER (ORDER BY floor(a.value), floor(b.value)) - 1 AS value FROM a JOIN b USING (band, px, py) WHERE a.band = 'Green'", lambda s, d: terrain.cross(whole(year(s, d, 1995).where("band = 'Green'")), whole(year(s, d, 1996))))
-query("map_blend", f"{AB} SELECT a.band, px, py, {_r('a.value * 0.3 + b.value * (1 - 0.3)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.blend(year(s, d, 1995), year(s, d, 1996), 30))
+query("map_blend", f"{AB} SELECT a.band, px, py, {_r('a.value * 0.25 + b.value * (1 - 0.25)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.blend(year(s, d, 1995), year(s, d, 1996), 25))
 query("map_shade", f"{AB} SELECT a.band, px, py, {_r('least(255, greatest(0, a.value / 255 * b.value * 1.2))')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.shade(year(s, d, 1995), year(s, d, 1996), 20))
 query("map_rgb", f"{AB}, l AS (SELECT px, py, band, floor(least(255, greatest(0, value)) * 32 / 256) AS v FROM a) SELECT px, py, CAST(max(v) FILTER (WHERE band = 'Red') * 1024 + max(v) FILTER (WHERE band = 'NIR') * 32 + max(v) FILTER (WHERE band = 'Green') AS BIGINT) AS value FROM l GROUP BY ALL", lambda s, d: terrain.rgb(year(s, d, 1995), ["Red", "NIR", "Green"]))
 query("cov_add_bands", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE band IN ('NIR', 'Red') UNION ALL SELECT band, px, py, {_r('value')} FROM b WHERE band = 'Green'", lambda s, d: terrain.add_bands(year(s, d, 1995).where("band in ('NIR', 'Red')"), year(s, d, 1996), ["Red", "Green"]))
@@ -231,3 +233,84 @@ def space_time_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("gtwr_level", f"WITH {_ev}, p AS (SELECT a.id, b.v, 0.5 * {_d} + 0.5 * (a.t - b.t) + 2 * sqrt(0.25 * {_d} * (a.t - b.t)) AS d FROM pts a JOIN pts b ON b.t <= a.t AND a.t - b.t <= 8 AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8) SELECT id, round(sum(v * pow(1 - d * d / 16, 2)) / sum(pow(1 - d * d / 16, 2)), 4) AS yhat FROM p WHERE d < 4 GROUP BY id", lambda s, d: regression.space_time_regression(space_time_events(s, d), "v", [], "t", 4.0, 0.5).select("id", F.round("yhat", 4).alias("yhat")))
 query("gtwr_1var", None, lambda s, d: regression.space_time_regression(space_time_events(s, d), "v", ["x"], "t", 8.0, 0.5))
+
+
+# polygons: slanted triangles at the suppliers' places
+
+T = f"WITH {fx.TRIANGLES}"
+_cross = "EXISTS (SELECT 1 FROM edges e JOIN edges f ON e.id = a.id AND f.id = b.id WHERE sign((e.bx - e.ax) * (f.ay - e.ay) - (e.b_y - e.ay) * (f.ax - e.ax)) * sign((e.bx - e.ax) * (f.b_y - e.ay) - (e.b_y - e.ay) * (f.bx - e.ax)) < 0 AND sign((f.bx - f.ax) * (e.ay - f.ay) - (f.b_y - f.ay) * (e.ax - f.ax)) * sign((f.bx - f.ax) * (e.b_y - f.ay) - (f.b_y - f.ay) * (e.bx - f.ax)) < 0)"
+# the triangles' corners run against the clock, so a point is inside where it lies left of (or on) all three edges
+_holds = "(SELECT min((e.bx - e.ax) * ({q}.ay - e.ay) - (e.b_y - e.ay) * ({q}.ax - e.ax)) FROM edges e WHERE e.id = {t}.id) >= 0"
+_corner = "EXISTS (SELECT 1 FROM edges q WHERE q.id = {o}.id AND " + _holds.format(q="q", t="{t}") + ")"
+_meet = f"({_cross} OR {_corner.format(o='b', t='a')} OR {_corner.format(o='a', t='b')})"
+_near = "tri a JOIN tri b ON abs(a.x1 - b.x1) <= 9 AND abs(a.y1 - b.y1) <= 9"
+_every = "NOT EXISTS (SELECT 1 FROM edges q WHERE q.id = b.id AND NOT " + _holds.format(q="q", t="a") + ")"
+query("poly_intersects", f"{T} SELECT a.id AS i, b.id AS j FROM {_near} WHERE {_meet}", lambda s, d: overlay.polygon_join(fx.triangles(s, d), fx.triangles(s, d), 10.0))
+query("poly_covers", f"{T} SELECT a.id AS i, b.id AS j FROM {_near} WHERE {_every}", lambda s, d: overlay.polygon_join(fx.triangles(s, d), fx.triangles(s, d), 10.0, overlay.covers))
+query("poly_overlaps", f"{T} SELECT a.id AS i, b.id AS j FROM {_near} WHERE {_cross}", lambda s, d: overlay.polygon_join(fx.triangles(s, d), fx.triangles(s, d), 10.0, lambda a, b: overlay.overlaps(a, b) & overlay._any_cross(a, b)))
+_probe = "x0 AS (SELECT 50.5 AS px, 40.25 AS p_y)"
+query("poly_edge_distance", f"{T}, {_probe}, t AS (SELECT e.id, greatest(0, least(1, ((px - ax) * (bx - ax) + (p_y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS t, ax, ay, bx, b_y, px, p_y FROM edges e, x0) SELECT id, {_r('min(sqrt(pow(ax + t * (bx - ax) - px, 2) + pow(ay + t * (b_y - ay) - p_y, 2)))')} AS d FROM t GROUP BY id", lambda s, d: fx.triangles(s, d).select("id", F.array_min(F.transform(overlay.edges(F.col("ring")), lambda e: overlay._to_edge(e, F.struct(F.lit(50.5).alias("x"), F.lit(40.25).alias("y"))))).alias("d")))
+query("feat_irregular", f"{T} SELECT id, {_r('abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2')} AS area, {_r('sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) + sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) + sqrt(pow(x1 - x3, 2) + pow(y1 - y3, 2))')} AS length, {_r('(x1 + x2 + x3) / 3')} AS x, {_r('(y1 + y2 + y3) / 3')} AS y, x1 AS x0, least(y1, y2, y3) AS y0 FROM tri", lambda s, d: fx.triangles(s, d).select("id", feature.area(F.col("ring")).alias("area"), feature.length(F.col("ring")).alias("length"), feature.centroid(F.col("ring")).alias("c"), feature.bounds(F.col("ring")).alias("b")).select("id", "area", "length", "c.x", "c.y", "b.x0", "b.y0"))
+query("feat_buffer", f"{P} SELECT id, round(16 * 25 * sin(radians(360.0 / 32)), 6) AS area, round(x, 6) AS x, round(y, 6) AS y FROM pts", lambda s, d: fx.suppliers(s, d).select("id", overlay.buffer(F.col("x"), F.col("y"), 5.0).alias("ring")).select("id", feature.area(F.col("ring")).alias("area"), feature.centroid(F.col("ring")).alias("c")).select("id", "area", "c.x", "c.y"))
+query("feat_clip_box", f"{N} SELECT id, round(greatest(0, least(cx + 1, 3.25) - greatest(cx, 0.5)) * greatest(0, least(cy + 1, 2.75) - greatest(cy, 1.5)), 6) AS area FROM poly", lambda s, d: fx.nations(s, d).select("id", overlay.clipped_area(F.col("ring"), 0.5, 1.5, 3.25, 2.75).alias("area")))
+query("feat_convex_hull", None, lambda s, d: overlay.convex_hull(fx.customers(s, d), "g").select("g", feature.area(F.col("ring")).alias("area"), (F.size("ring") - 1).alias("corners")))
+query("feat_wkt", f"{T} SELECT id, 'POLYGON' AS kind, 4 AS n, {_r('abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2')} AS area FROM tri", lambda s, d: fx.triangles(s, d).select("id", files.to_wkt(F.col("ring")).alias("wkt")).select("id", files.geometry_type(F.col("wkt")).alias("kind"), F.size(files.from_wkt(F.col("wkt"))).alias("n"), feature.area(files.from_wkt(F.col("wkt"))).alias("area")))
+query("feat_geojson", f"{T} SELECT CAST(id AS VARCHAR) AS id, 'red' AS colour, {_r('abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2')} AS area FROM tri", lambda s, d: fx.triangles(s, d).select(files.from_geojson(files.to_geojson(F.col("id"), F.col("ring"), F.create_map(F.lit("colour"), F.lit("red")))).alias("f")).select("f.id", F.col("f.props")["colour"].alias("colour"), feature.area(F.col("f.ring")).alias("area")))
+
+# catalogue: orders as images of products
+
+images = lambda s, d: fx.table(s, d, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderpriority").alias("product_key"), F.col("o_orderdate").alias("time"), (F.col("o_custkey") % 360 - 180).cast("double").alias("x0"), (F.col("o_custkey") % 170 - 85).cast("double").alias("y0"), (F.col("o_custkey") % 360 - 178).cast("double").alias("x1"), (F.col("o_custkey") % 170 - 83).cast("double").alias("y1"))
+products = lambda s, d: fx.table(s, d, "orders").select(F.col("o_orderpriority").alias("product_key")).distinct().withColumn("product", F.substring("product_key", 1, 1)).withColumn("sensor", F.when(F.col("product") < "3", "OLI").otherwise("ETM"))
+_img = "WITH img AS (SELECT o_orderkey AS image, o_orderpriority AS product_key, o_orderdate AS time, o_custkey % 360 - 180.0 AS x0, o_custkey % 170 - 85.0 AS y0 FROM orders)"
+query("catalogue_collection", f"{_img} SELECT image, product_key FROM img WHERE substring(product_key, 1, 1) = '2' AND time BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1995-06-30' AND x0 <= 20 AND x0 + 2 >= -30 AND y0 <= 40 AND y0 + 2 >= 0", lambda s, d: catalogue.collection(images(s, d), products(s, d), product="2", sensor="OLI", start="1994-01-01", end="1995-06-30", box=(-30.0, 0.0, 20.0, 40.0)).select("image", "product_key"))
+query("catalogue_filter", f"{_img} SELECT image FROM img WHERE product_key <> '1-URGENT' AND (x0 > 100 OR NOT y0 < 0) AND product_key IN ('2-HIGH', '5-LOW', '1-URGENT')", lambda s, d: catalogue.filtered(images(s, d), {"and": [{"notEquals": ["product_key", "1-URGENT"]}, {"or": [{"greaterThan": ["x0", 100.0]}, {"not": {"lessThan": ["y0", 0.0]}}]}, {"inList": ["product_key", ["2-HIGH", "5-LOW", "1-URGENT"]]}]}).select("image"))
+#: The collection requests: two filters joined by "and", arguments by name in any order, and a style.
+FILTER_GRAPH = """{"0": {"functionInvocationValue": {"functionName": "CoverageCollection.addStyles", "arguments": {"coverageCollection": {"valueReference": "1"}, "min": {"constantValue": 0}, "max": {"constantValue": 255}}}},
+"1": {"functionInvocationValue": {"functionName": "CoverageCollection.filter", "arguments": {"filter": {"functionInvocationValue": {"functionName": "Filter.and", "arguments": {"filters": {"arrayValue": {"values": [{"valueReference": "2"}, {"valueReference": "3"}]}}}}}, "collection": {"functionInvocationValue": {"functionName": "Service.getCoverageCollection", "arguments": {"productID": {"constantValue": "all"}}}}}}},
+"2": {"functionInvocationValue": {"functionName": "Filter.equals", "arguments": {"rightValue": {"constantValue": "5-LOW"}, "leftField": {"constantValue": "product_key"}}}},
+"3": {"functionInvocationValue": {"functionName": "Filter.lessThan", "arguments": {"leftField": {"constantValue": "x0"}, "rightValue": {"constantValue": -100.0}}}}}"""
+query("dag_collection_filter", f"{_img} SELECT image FROM img WHERE product_key = '5-LOW' AND x0 < -100", lambda s, d: compile_graph(FILTER_GRAPH, {"all": images(s, d)}).select("image"))
+SWAPPED_GRAPH = """{"0": {"functionInvocationValue": {"functionName": "Coverage.subtract", "arguments": {"b": {"functionInvocationValue": {"functionName": "Service.getCoverage", "arguments": {"id": {"constantValue": "two"}}}}, "a": {"functionInvocationValue": {"functionName": "Service.getCoverage", "arguments": {"id": {"constantValue": "one"}}}}}}}}"""
+query("dag_named_arguments", f"{AB} SELECT a.band, a.px, a.py, {_r('a.value - b.value')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: compile_graph(SWAPPED_GRAPH, {"one": year(s, d, 1995), "two": year(s, d, 1996)}))
+
+# colours, masks, distances, gaps, resolutions
+
+_rgb = f"{AB}, c AS (SELECT px, py, Red / 255 AS r, NIR / 255 AS g, Green / 255 AS b FROM wide WHERE instant = 1995), h AS (SELECT px, py, r, g, b, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS df FROM c), v AS (SELECT px, py, CASE WHEN df = 0 THEN 0.0 WHEN mx = r THEN CASE WHEN g >= b THEN 60 * (g - b) / df ELSE 60 * (g - b) / df + 360 END WHEN mx = g THEN 60 * (b - r) / df + 120 ELSE 60 * (r - g) / df + 240 END AS hue, CASE WHEN mx = 0 THEN 0.0 ELSE df / mx END AS saturation, mx AS value FROM h)"
+hsv = lambda s, d: image.rgb_to_hsv(year(s, d, 1995), "Red", "NIR", "Green")
+query("cov_rgb_to_hsv", f"{_rgb} SELECT px, py, 'hue' AS band, {_r('hue')} AS value FROM v UNION ALL SELECT px, py, 'saturation', {_r('saturation')} FROM v UNION ALL SELECT px, py, 'value', {_r('value')} FROM v", hsv)
+query("cov_hsv_to_rgb", f"{AB} SELECT px, py, CASE band WHEN 'Red' THEN 'red' WHEN 'NIR' THEN 'green' ELSE 'blue' END AS band, {_r('value')} AS value FROM a WHERE band IN ('Red', 'NIR', 'Green')", lambda s, d: image.hsv_to_rgb(hsv(s, d)))
+query("cov_entropy", f"{AB}, k AS (SELECT band, floor(value / 2) AS bin, count(*) AS n FROM a GROUP BY ALL) SELECT band, {_r('log2(sum(n)) - sum(n * log2(n)) / sum(n)')} AS entropy FROM k GROUP BY band", lambda s, d: image.entropy(year(s, d, 1995), 2.0))
+query("cov_focal_mode", f"{AB}, f AS (SELECT band, px, py, CAST(floor(value) AS BIGINT) AS value FROM a), k AS (SELECT c.band, c.px, c.py, n.value, count(*) AS n FROM f c JOIN f n ON {_win} GROUP BY ALL) SELECT band, px, py, value FROM k QUALIFY row_number() OVER (PARTITION BY band, px, py ORDER BY n DESC, value) = 1", lambda s, d: image.focal_mode(whole(year(s, d, 1995))))
+query("cov_gradient", f"{AB}, g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) AS gy FROM a c JOIN a n ON {_win} GROUP BY ALL) SELECT band, px, py, {_r('sqrt(gx * gx + gy * gy)')} AS value FROM g", lambda s, d: image.gradient(year(s, d, 1995)))
+query("cov_near_black", f"{AB} SELECT band, px, py, {_r('CASE WHEN abs(value) <= 4 THEN 0 ELSE value END')} AS value FROM a", lambda s, d: image.near_black(year(s, d, 1995), 4.0))
+_ring = lambda: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 1.0), (14.0, 3.0), (4.0, 13.0), (1.0, 1.0))])
+query("cov_clip_polygon", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE 13 * (py - 0.5) - 2 * (px - 0.5) > 0 AND -10 * (py - 2.5) - 10 * (px - 13.5) > 0 AND -3 * (py - 12.5) + 12 * (px - 3.5) > 0", lambda s, d: image.clip(year(s, d, 1995), _ring()))
+_tgt = "t AS (SELECT DISTINCT px, py FROM a WHERE band = 'Red' AND value > 27), u AS (SELECT DISTINCT px, py FROM a), p AS (SELECT u.px, u.py, min(sqrt((u.px - t.px) * (u.px - t.px) + (u.py - t.py) * (u.py - t.py))) AS d FROM u, t GROUP BY ALL)"
+targets = lambda s, d: year(s, d, 1995).where("band = 'Red' and value > 27")
+query("cov_proximity", f"{AB}, {_tgt} SELECT px, py, {_r('d')} AS value FROM p", lambda s, d: image.proximity(year(s, d, 1995), targets(s, d)))
+query("map_buffer", f"{AB}, {_tgt} SELECT px, py, CASE WHEN d = 0 THEN 1 WHEN d <= 1 THEN 2 WHEN d <= 2.5 THEN 3 END AS value FROM p WHERE d <= 2.5", lambda s, d: image.buffered(year(s, d, 1995), targets(s, d), [1.0, 2.5]))
+query("cov_fill_gaps", f"{AB}, e AS (SELECT * FROM a WHERE (px + 2 * py) % 5 <> 0), gaps AS (SELECT DISTINCT e.band, a.px, a.py FROM a, (SELECT DISTINCT band FROM e) e ANTI JOIN e f ON f.band = e.band AND f.px = a.px AND f.py = a.py), near AS (SELECT g.band, g.px, g.py, e.value, sqrt((g.px - e.px) * (g.px - e.px) + (g.py - e.py) * (g.py - e.py)) AS d FROM gaps g JOIN e ON e.band = g.band AND abs(g.px - e.px) <= 2 AND abs(g.py - e.py) <= 2) SELECT band, px, py, {_r('value')} AS value FROM e UNION ALL SELECT band, px, py, {_r('sum(value / (d * d)) / sum(1 / (d * d))')} FROM near WHERE d <= 2 GROUP BY ALL", lambda s, d: image.filled(year(s, d, 1995).where("(px + 2 * py) % 5 <> 0"), year(s, d, 1995), 2.0))
+query("cov_add_aligned", f"{AB}, c AS (SELECT band, px // 2 AS px, py // 2 AS py, avg(value) AS value FROM a GROUP BY ALL) SELECT b.band, b.px, b.py, {_r('c.value + b.value')} AS value FROM b JOIN c ON c.band = b.band AND c.px = b.px // 2 AND c.py = b.py // 2", lambda s, d: coverage.binary(*image.aligned(image.to_resolution(year(s, d, 1995), 1, 2), 2, year(s, d, 1996), 1), "add"))
+query("cov_metadata", f"{AB} SELECT band, min(px) AS px0, min(py) AS py0, max(px) AS px1, max(py) AS py1, count(value) AS n, {_r('min(value)')} AS least, {_r('max(value)')} AS most FROM a GROUP BY band", lambda s, d: image.metadata(year(s, d, 1995)))
+
+# detectors, samples, components, model output
+
+_ss = "(SELECT sum(n * s2) AS ss FROM (SELECT count(*) AS n, var_pop(l_extendedprice) AS s2 FROM lineitem GROUP BY {k}))"
+query("geodetector_ecological", f"SELECT 'l_linenumber' AS a, 'l_returnflag' AS b, round({_ss.format(k='l_linenumber')} / {_ss.format(k='l_returnflag')}, 6) AS f", lambda s, d: statistics.ecological_detector(fx.table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linenumber"]))
+query("sample_random", f"{C} SELECT id FROM pts ORDER BY id * 7919 % 10007, id LIMIT 40", lambda s, d: statistics.random_sample(fx.customers(s, d), 40, "id * 7919 % 10007"))
+query("sample_sandwich", f"{C}, z AS (SELECT g AS zone, avg(v) AS m, var_samp(v) / count(v) AS s2 FROM pts GROUP BY g), o AS (SELECT CAST(floor(x / 2500) AS BIGINT) AS unit, g AS zone, CAST(count(*) AS DOUBLE) AS share FROM pts GROUP BY ALL) SELECT unit, {_r('sum(share * m) / sum(share)')} AS mean, {_r('sum(share * share * s2) / pow(sum(share), 2)')} AS variance FROM o JOIN z USING (zone) GROUP BY unit", lambda s, d: statistics.sandwich(fx.customers(s, d).select(F.col("g").alias("zone"), "v"), fx.customers(s, d).groupBy(F.floor(F.col("x") / 2500).alias("unit"), F.col("g").alias("zone")).agg(F.count("*").cast("double").alias("share"))))
+query("pca", "WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) SELECT 1 AS component, round(1 + abs(r), 6) AS value, round((1 + abs(r)) / 2, 6) AS share FROM r UNION ALL SELECT 2, round(1 - abs(r), 6), round((1 - abs(r)) / 2, 6) FROM r", lambda s, d: statistics.principal_components(fx.table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("component", "value", "share"))
+_lm = "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_avgx(l_extendedprice, l_quantity) AS mx, count(*) AS n FROM lineitem), e AS (SELECT *, syy * (1 - r2) / (n - 2) AS s2 FROM m)"
+query("ols_diagnostics", f"{_lm} SELECT 'intercept' AS term, round(a, 3) AS coefficient, round(sqrt(s2 * (1 / n + mx * mx / sxx)), 3) AS error, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adjusted FROM e UNION ALL SELECT 'l_quantity', round(b, 3), round(sqrt(s2 / sxx), 3), round(r2, 6), round(1 - (1 - r2) * (n - 1) / (n - 2), 6) FROM e", lambda s, d: regression.linear_diagnostics(fx.table(s, d, "lineitem"), "l_extendedprice", ["l_quantity"]).select("term", F.round("coefficient", 3).alias("coefficient"), F.round("error", 3).alias("error"), "r2", "adjusted"))
+query("ols_predict", "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT p_partkey AS id, round(a + b * p_size, 2) AS yhat FROM part, m", lambda s, d: regression.predicted(fx.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("l_quantity")), ["l_quantity"], regression.linear(fx.table(s, d, "lineitem"), "l_extendedprice", ["l_quantity"]), "id").select("id", F.round("yhat", 2).alias("yhat")))
+query("logistic_deviance", None, lambda s, d: _logistic(s, d))
+_gwp = f"{_grid}, w AS (SELECT near.id, c.x AS x0, pts.v AS y, pts.x, pow(1 - pow(d / 40, 2), 2) AS w FROM near JOIN pts ON pts.id = near.j JOIN cells c ON c.id = near.id WHERE d < 40), s AS (SELECT id, any_value(x0) AS x0, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY id), f AS (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b FROM s)"
+query("gwr_predict", f"{_gwp} SELECT id, round((sy - b * sx) / s + b * x0, 3) AS yhat FROM f", lambda s, d: regression.weighted_prediction(fx.suppliers(s, d), cells(s, d), "v", ["x"], 40.0).select("id", F.round("yhat", 3).alias("yhat")))
+_cv = " UNION ALL ".join(f"SELECT {w}.0::DOUBLE AS width, round(sum(pow(y0 - ((sy - b * sx) / s + b * x0), 2)), 0) AS cv FROM (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b FROM (SELECT a.id, any_value(a.v) AS y0, any_value(a.x) AS x0, sum(w) AS s, sum(w * bx) AS sx, sum(w * bv) AS sy, sum(w * bx * bx) AS sxx, sum(w * bx * bv) AS sxy FROM (SELECT a.*, b.x AS bx, b.v AS bv, pow(1 - pow({_d} / {w}, 2), 2) AS w FROM pts a JOIN pts b ON a.id <> b.id AND {_d} < {w}) a GROUP BY a.id))" for w in (40, 60, 90))
+query("gwr_bandwidth_cv", f"{P} {_cv}", lambda s, d: regression.bandwidth_scores(fx.suppliers(s, d), "v", ["x"], [40.0, 60.0, 90.0]).select("width", F.round("cv", 0).alias("cv")))
+
+
+def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "lineitem").withColumn("late", (F.col("l_returnflag") == "R").cast("int")).withColumn("id", F.struct("l_orderkey", "l_linenumber"))
+    fit = regression.generalised(rows, "late", ["l_quantity", "l_discount"], "logistic")
+    return regression.deviance(rows, "late", regression.predicted(rows, ["l_quantity", "l_discount"], fit, "id", "logistic"), "id", "logistic", 3)

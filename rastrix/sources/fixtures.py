@@ -11,18 +11,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """band, instant (year), px, py, value: a 16 x 16 raster of four bands a year."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") % 16).alias("px"), (F.col("l_suppkey") % 16).alias("py"), F.year("l_shipdate").alias("instant"),
-        F.col("l_quantity").alias("Red"), (F.col("l_extendedprice") / 1000).alias("NIR"), (F.col("l_discount") * 100).alias("Green"), (F.col("l_tax") * 100).alias("SWIR1"),
-    )
-    wide = rows.groupBy("px", "py", "instant").agg(*[F.avg(b).alias(b) for b in ("Red", "NIR", "Green", "SWIR1")])
+    """band, instant (year), px, py, value: a 16 x 16 raster of four bands a year, means rounded down to 64ths, so that sums are exact."""
+    cents = lambda c, by: F.sum(F.round(F.col(c) * by).cast("long"))
+    rows = table(spark, sf_dir, "lineitem").select("*", (F.col("l_partkey") % 16).alias("px"), (F.col("l_suppkey") % 16).alias("py"), F.year("l_shipdate").alias("instant"))
+    sums = rows.groupBy("px", "py", "instant").agg(F.count("*").alias("n"), cents("l_quantity", 1).alias("Red"), cents("l_extendedprice", 100).alias("NIR"), cents("l_discount", 100).alias("Green"), cents("l_tax", 100).alias("SWIR1"))
+    wide = sums.select("instant", "px", "py", *[F.expr(f"({b} * 64 div ({by} * n)) / 64d").alias(b) for b, by in (("Red", 1), ("NIR", 100000), ("Green", 1), ("SWIR1", 1))])
     return wide.unpivot(["instant", "px", "py"], ["Red", "NIR", "Green", "SWIR1"], "band", "value")
 
 
 CUBE = """
-wide AS (SELECT l_partkey % 16 AS px, l_suppkey % 16 AS py, year(l_shipdate) AS instant, avg(l_quantity) AS Red, avg(l_extendedprice / 1000) AS NIR, avg(l_discount * 100) AS Green, avg(l_tax * 100) AS SWIR1 FROM lineitem GROUP BY ALL),
-cube AS (UNPIVOT wide ON Red, NIR, Green, SWIR1 INTO NAME band VALUE value)"""
+wide AS (SELECT l_partkey % 16 AS px, l_suppkey % 16 AS py, year(l_shipdate) AS instant, sum(CAST(round(l_quantity) AS BIGINT)) * 64 // count(*) / 64 AS Red, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) * 64 // (100000 * count(*)) / 64 AS NIR, sum(CAST(round(l_discount * 100) AS BIGINT)) * 64 // count(*) / 64 AS Green, sum(CAST(round(l_tax * 100) AS BIGINT)) * 64 // count(*) / 64 AS SWIR1 FROM lineitem GROUP BY ALL),
+cube AS (UNPIVOT (SELECT px, py, instant, Red::DOUBLE AS Red, NIR::DOUBLE AS NIR, Green::DOUBLE AS Green, SWIR1::DOUBLE AS SWIR1 FROM wide) ON Red, NIR, Green, SWIR1 INTO NAME band VALUE value)"""
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ring: a slanted triangle at each supplier's place, its size by the id."""
+    k = F.col("id").cast("double")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    sized = suppliers(spark, sf_dir).withColumn("k", k % 4 + 3)
+    a, b, c = corner(F.lit(0.0), F.lit(0.0)), corner(F.col("k") + 2, F.lit(1.0)), corner(F.lit(1.0), F.col("k"))
+    return sized.select("id", F.array(a, b, c, a).alias("ring"))
+
+
+TRIANGLES = f"""pts0 AS (SELECT s_suppkey AS id, CAST(s_suppkey * 37 % 101 AS DOUBLE) AS x, CAST(s_suppkey * 53 % 97 AS DOUBLE) AS y, s_suppkey % 4 + 3 AS k FROM supplier),
+tri AS (SELECT id, x AS x1, y AS y1, x + k + 2 AS x2, y + 1.0 AS y2, x + 1.0 AS x3, y + k AS y3 FROM pts0),
+edges AS (SELECT id, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS b_y FROM tri UNION ALL SELECT id, x2, y2, x3, y3 FROM tri UNION ALL SELECT id, x3, y3, x1, y1 FROM tri)"""
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
