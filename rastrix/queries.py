@@ -252,7 +252,7 @@ _probe = "x0 AS (SELECT 50.5 AS px, 40.25 AS p_y)"
 query("poly_edge_distance", f"{T}, {_probe}, t AS (SELECT e.id, greatest(0, least(1, ((px - ax) * (bx - ax) + (p_y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS t, ax, ay, bx, b_y, px, p_y FROM edges e, x0) SELECT id, {_r('min(sqrt(pow(ax + t * (bx - ax) - px, 2) + pow(ay + t * (b_y - ay) - p_y, 2)))')} AS d FROM t GROUP BY id", lambda s, d: fx.triangles(s, d).select("id", F.array_min(F.transform(overlay.edges(F.col("ring")), lambda e: overlay._to_edge(e, F.struct(F.lit(50.5).alias("x"), F.lit(40.25).alias("y"))))).alias("d")))
 query("feat_irregular", f"{T} SELECT id, {_r('abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2')} AS area, {_r('sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) + sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) + sqrt(pow(x1 - x3, 2) + pow(y1 - y3, 2))')} AS length, {_r('(x1 + x2 + x3) / 3')} AS x, {_r('(y1 + y2 + y3) / 3')} AS y, x1 AS x0, least(y1, y2, y3) AS y0 FROM tri", lambda s, d: fx.triangles(s, d).select("id", feature.area(F.col("ring")).alias("area"), feature.length(F.col("ring")).alias("length"), feature.centroid(F.col("ring")).alias("c"), feature.bounds(F.col("ring")).alias("b")).select("id", "area", "length", "c.x", "c.y", "b.x0", "b.y0"))
 query("feat_buffer", f"{P} SELECT id, round(16 * 25 * sin(radians(360.0 / 32)), 6) AS area, round(x, 6) AS x, round(y, 6) AS y FROM pts", lambda s, d: fx.suppliers(s, d).select("id", overlay.buffer(F.col("x"), F.col("y"), 5.0).alias("ring")).select("id", feature.area(F.col("ring")).alias("area"), feature.centroid(F.col("ring")).alias("c")).select("id", "area", "c.x", "c.y"))
-query("feat_clip_box", f"{N} SELECT id, round(greatest(0, least(cx + 1, 3.25) - greatest(cx, 0.5)) * greatest(0, least(cy + 1, 2.75) - greatest(cy, 1.5)), 6) AS area FROM poly", lambda s, d: fx.nations(s, d).select("id", overlay.clipped_area(F.col("ring"), 0.5, 1.5, 3.25, 2.75).alias("area")))
+query("feat_clip_box", f"{N} SELECT id, CAST(greatest(0, least(cx + 1, 3.25) - greatest(cx, 0.5)) * greatest(0, least(cy + 1, 2.75) - greatest(cy, 1.5)) AS DOUBLE) AS area FROM poly", lambda s, d: fx.nations(s, d).select("id", overlay.clipped_area(F.col("ring"), 0.5, 1.5, 3.25, 2.75).alias("area")))
 query("feat_convex_hull", None, lambda s, d: overlay.convex_hull(fx.customers(s, d), "g").select("g", feature.area(F.col("ring")).alias("area"), (F.size("ring") - 1).alias("corners")))
 query("feat_wkt", f"{T} SELECT id, 'POLYGON' AS kind, 4 AS n, {_r('abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2')} AS area FROM tri", lambda s, d: fx.triangles(s, d).select("id", files.to_wkt(F.col("ring")).alias("wkt")).select("id", files.geometry_type(F.col("wkt")).alias("kind"), F.size(files.from_wkt(F.col("wkt"))).alias("n"), feature.area(files.from_wkt(F.col("wkt"))).alias("area")))
 query("feat_geojson", f"{T} SELECT CAST(id AS VARCHAR) AS id, 'red' AS colour, {_r('abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2')} AS area FROM tri", lambda s, d: fx.triangles(s, d).select(files.from_geojson(files.to_geojson(F.col("id"), F.col("ring"), F.create_map(F.lit("colour"), F.lit("red")))).alias("f")).select("f.id", F.col("f.props")["colour"].alias("colour"), feature.area(F.col("f.ring")).alias("area")))
@@ -306,8 +306,8 @@ query("ols_predict", "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity)
 query("logistic_deviance", None, lambda s, d: _logistic(s, d))
 _gwp = f"{_grid}, w AS (SELECT near.id, c.x AS x0, pts.v AS y, pts.x, pow(1 - pow(d / 40, 2), 2) AS w FROM near JOIN pts ON pts.id = near.j JOIN cells c ON c.id = near.id WHERE d < 40), s AS (SELECT id, any_value(x0) AS x0, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY id), f AS (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b FROM s)"
 query("gwr_predict", f"{_gwp} SELECT id, round((sy - b * sx) / s + b * x0, 3) AS yhat FROM f", lambda s, d: regression.weighted_prediction(fx.suppliers(s, d), cells(s, d), "v", ["x"], 40.0).select("id", F.round("yhat", 3).alias("yhat")))
-_cv = " UNION ALL ".join(f"SELECT {w}.0::DOUBLE AS width, round(sum(pow(y0 - ((sy - b * sx) / s + b * x0), 2)), 0) AS cv FROM (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b FROM (SELECT a.id, any_value(a.v) AS y0, any_value(a.x) AS x0, sum(w) AS s, sum(w * bx) AS sx, sum(w * bv) AS sy, sum(w * bx * bx) AS sxx, sum(w * bx * bv) AS sxy FROM (SELECT a.*, b.x AS bx, b.v AS bv, pow(1 - pow({_d} / {w}, 2), 2) AS w FROM pts a JOIN pts b ON a.id <> b.id AND {_d} < {w}) a GROUP BY a.id))" for w in (40, 60, 90))
-query("gwr_bandwidth_cv", f"{P} {_cv}", lambda s, d: regression.bandwidth_scores(fx.suppliers(s, d), "v", ["x"], [40.0, 60.0, 90.0]).select("width", F.round("cv", 0).alias("cv")))
+_cv = " UNION ALL ".join(f"SELECT {w}.0::DOUBLE AS width, round(sum(pow(y0 - ((sy - b * sx) / s + b * x0), 2)), 0) AS cv FROM (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b FROM (SELECT a.id, any_value(a.v) AS y0, any_value(a.x) AS x0, sum(w) AS s, sum(w * bx) AS sx, sum(w * bv) AS sy, sum(w * bx * bx) AS sxx, sum(w * bx * bv) AS sxy FROM (SELECT a.*, b.x AS bx, b.v AS bv, pow(1 - pow({_d} / {w}, 2), 2) AS w FROM pts a JOIN pts b ON a.id <> b.id AND {_d} < {w}) a GROUP BY a.id))" for w in (70, 90, 120))
+query("gwr_bandwidth_cv", f"{P} {_cv}", lambda s, d: regression.bandwidth_scores(fx.suppliers(s, d), "v", ["x"], [70.0, 90.0, 120.0]).select("width", F.round("cv", 0).alias("cv")))
 
 
 def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
