@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import distance, kernel
@@ -45,7 +45,9 @@ def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False, side: float
         pairs = within_distance(left, b, side)
         if same:
             pairs = pairs.where("i <> j")
-        best = pairs.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, k).alias("best")).where(F.size("best") >= k)
+        # the first k of each point before the shuffle already, so no point's candidates stand in one row
+        first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
+        best = first.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("best")).where(F.size("best") >= k)
         last = side >= reach
         done = best if done is None else done.union(best)
         if last or k < 1:

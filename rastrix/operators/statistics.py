@@ -32,6 +32,15 @@ def ranks(rows: DataFrame, column: str) -> DataFrame:
     return parted.withColumn("upto", local).join(F.broadcast(before.select("part", "before")), "part").select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))  # a row for each partition
 
 
+def numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The different values of the columns and `number`, their place from 0 in order: range-partitioned and sorted; only the partitions' sizes meet in one task."""
+    kinds = rows.select(*columns).distinct().repartitionByRange(*columns)
+    parted = kinds.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*columns)))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parted.join(F.broadcast(before.select("_part", "_before")), "_part").select(*columns, (F.col("_before") + F.col("_row") - 1).cast("long").alias("number"))  # a row for each partition
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     one = rows.join(ranks(rows, a).select(F.col("value").alias(a), F.col("rank").alias("ra")), a).join(ranks(rows, b).select(F.col("value").alias(b), F.col("rank").alias("rb")), b)
     return one.agg(F.corr("ra", "rb").alias("rho"))
@@ -78,6 +87,17 @@ def moran_local(values: DataFrame, weights: DataFrame) -> DataFrame:
     return one.select("id", (F.col("z") / F.lit(m["s2"]) * F.col("lag")).alias("i"))
 
 
+def moran_local_test(values: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, i, expected, variance, z) of the local statistic, with its moments under random permutation of the values (Anselin)."""
+    one, m = _lag(values, weights)
+    n = float(m["n"])
+    b2 = _centred(values)[0].agg(F.avg(F.col("z") ** 4)).first()[0] / m["s2"] ** 2
+    expected = -F.col("w") / (n - 1)
+    variance = F.col("w2") * (n - b2) / (n - 1) + (F.col("w") ** 2 - F.col("w2")) * (2 * b2 - n) / ((n - 1) * (n - 2)) - (F.col("w") / (n - 1)) ** 2
+    i = F.col("z") / F.lit(m["s2"]) * F.col("lag")
+    return one.select("id", i.alias("i"), expected.alias("expected"), variance.alias("variance"), ((i - expected) / F.sqrt(variance)).alias("z"))
+
+
 def geary_global(values: DataFrame, weights: DataFrame) -> DataFrame:
     z, m = _centred(values)
     cross = weights.join(z.select(F.col("id").alias("i"), F.col("z").alias("zi")), "i").join(z.select(F.col("id").alias("j"), F.col("z").alias("zj")), "j")
@@ -115,9 +135,11 @@ def ripley(points: DataFrame, steps: int = 10) -> DataFrame:
     box = points.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
     step = max(box["w"], box["h"]) / 4 / steps
     pairs = within_distance(points, points.withColumn("v", F.lit(0.0)), step * steps).where("i <> j")
-    per = pairs.select(F.explode(F.array(*[F.lit(k) for k in range(1, steps + 1)])).alias("k"), "d").where(F.col("d") < F.col("k") * step).groupBy("k").agg(F.count("*").alias("n"))
+    # each pair counts once, at the first distance over its own; the steps' counts are added up
+    first = pairs.groupBy((F.floor(F.col("d") / step) + 1).cast("int").alias("k")).agg(F.count("*").alias("n"))
     every = points.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("k"))
-    return every.join(per, "k", "left").select((F.col("k") * step).alias("d"), F.sqrt(box["w"] * box["h"] * F.coalesce("n", F.lit(0)) / (pi * box["n"] * (box["n"] - 1))).alias("l"))
+    upto = every.join(first, "k", "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("k")))  # a row for each step
+    return upto.select((F.col("k") * step).alias("d"), F.sqrt(box["w"] * box["h"] * F.coalesce("n", F.lit(0)) / (pi * box["n"] * (box["n"] - 1))).alias("l"))
 
 
 # stratified heterogeneity

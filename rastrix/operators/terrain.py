@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coverage import CELL, KERNELS, REDUCERS, convolve, neighbours
+from .statistics import numbered
 
 
 def _gradient(cells: DataFrame, size: float) -> DataFrame:
@@ -82,11 +83,10 @@ def patch(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def cross(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The pairs of categories that meet, numbered from 0 in their order; the numbers come from the different pairs alone, which are few."""
+    """The pairs of categories that meet, numbered from 0 in their order."""
     pairs = _both(a, b)
-    few = F.sort_array(F.collect_set(F.struct("a", "b")))
-    numbers = pairs.where("a is not null and b is not null").agg(few.alias("all")).select(F.posexplode("all").alias("value", "p")).select("p.a", "p.b", F.col("value").cast("long").alias("value"))
-    return pairs.join(numbers, ["a", "b"]).select(*CELL, "value")
+    numbers = numbered(pairs.where("a is not null and b is not null"), ["a", "b"])
+    return pairs.join(numbers, ["a", "b"]).select(*CELL, F.col("number").alias("value"))
 
 
 def blend(a: DataFrame, b: DataFrame, percent: float) -> DataFrame:

@@ -191,7 +191,7 @@ for _n, _f, _e in (("ruggedness", terrain.ruggedness, "avg(abs(n.value - c.value
 query("resample_coarser", f"{AB} SELECT band, px // 4 AS px, py // 4 AS py, {_r('avg(value)')} AS value FROM a GROUP BY ALL", lambda s, d: terrain.coarser(year(s, d, 1995), 4))
 query("resample_finer", f"{AB} SELECT band, px * 2 + i AS px, py * 2 + j AS py, {_r('value')} AS value FROM a, range(2) t(i), range(2) u(j)", lambda s, d: terrain.finer(year(s, d, 1995), 2))
 query("map_patch", f"{AB}, e AS (SELECT * FROM a WHERE px % 2 = 0) SELECT band, px, py, {_r('coalesce(e.value, b.value)')} AS value FROM e FULL JOIN b USING (band, px, py)", lambda s, d: terrain.patch(year(s, d, 1995).where("px % 2 = 0"), year(s, d, 1996)))
-query("map_cross", f"{AB} SELECT a.band, px, py, dense_rank() OVER (ORDER BY floor(a.value), floor(b.value)) - 1 AS value FROM a JOIN b USING (band, px, py) WHERE a.band = 'Green'", lambda s, d: terrain.cross(whole(year(s, d, 1995).where("band = 'Green'")), whole(year(s, d, 1996))))
+query("map_cross", f"{AB} SELECT a.band, px, py, dense_rank() OVER (ORDER BY floor(a.value), floor(b.value)) - 1 AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.cross(whole(year(s, d, 1995)), whole(year(s, d, 1996))))
 query("map_blend", f"{AB} SELECT a.band, px, py, {_r('a.value * 0.25 + b.value * (1 - 0.25)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.blend(year(s, d, 1995), year(s, d, 1996), 25))
 query("map_shade", f"{AB} SELECT a.band, px, py, {_r('least(255, greatest(0, a.value / 255 * b.value * 1.2))')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.shade(year(s, d, 1995), year(s, d, 1996), 20))
 query("map_rgb", f"{AB}, l AS (SELECT px, py, band, floor(least(255, greatest(0, value)) * 32 / 256) AS v FROM a) SELECT px, py, CAST(max(v) FILTER (WHERE band = 'Red') * 1024 + max(v) FILTER (WHERE band = 'NIR') * 32 + max(v) FILTER (WHERE band = 'Green') AS BIGINT) AS value FROM l GROUP BY ALL", lambda s, d: terrain.rgb(year(s, d, 1995), ["Red", "NIR", "Green"]))
@@ -314,3 +314,6 @@ def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "lineitem").withColumn("late", (F.col("l_returnflag") == "R").cast("int")).withColumn("id", F.struct("l_orderkey", "l_linenumber"))
     fit = regression.generalised(rows, "late", ["l_quantity", "l_discount"], "logistic")
     return regression.deviance(rows, "late", regression.predicted(rows, ["l_quantity", "l_discount"], fit, "id", "logistic"), "id", "logistic", 3)
+
+
+query("moran_local_test", f"{_z}, b AS (SELECT avg(pow(z, 4)) / pow(any_value(s2), 2) AS b2 FROM z), m AS (SELECT i AS id, any_value(zi) / any_value(s2) * sum(w * zj) AS i, sum(w) AS w, sum(w * w) AS w2, any_value(n) AS n FROM wz GROUP BY wz.i), v AS (SELECT m.*, -w / (n - 1) AS e, w2 * (n - b2) / (n - 1) + (w * w - w2) * (2 * b2 - n) / ((n - 1) * (n - 2)) - pow(w / (n - 1), 2) AS var FROM m, b) SELECT id, {_r('i')} AS i, {_r('e')} AS expected, {_r('var')} AS variance, {_r('(i - e) / sqrt(var)')} AS z FROM v", lambda s, d: statistics.moran_local_test(values(s, d), weights(s, d)))
