@@ -114,6 +114,7 @@ def allocate(costs: list[list[float]], need: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, rows: int, most: int) -> list[tuple[int, int, list[int]]]:
     """(partition mask, threshold, flips to probe with) of the cheapest split into two or more partitions."""
+    sample = sample if len(sample) else np.zeros(1, np.uint64)  # an empty table has any plan
     choices = []
     for parts in range(2, most + 2):
         groups = partitions(sample, parts)
