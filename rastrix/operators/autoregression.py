@@ -74,3 +74,10 @@ def lag_model(rows: DataFrame, weights: DataFrame, y: str, columns: list[str], s
 def error_model(rows: DataFrame, weights: DataFrame, y: str, columns: list[str], step: float = 0.001) -> DataFrame:
     """(term, coefficient, log_likelihood) of y = X b + u, u = lambda W u + e."""
     return _fit(rows, weights, y, columns, True, step)
+
+
+def durbin_model(values: DataFrame, weights: DataFrame, y: str, columns: list[str]) -> DataFrame:
+    """The spatial lag model with the neighbours' weighted means of the columns (as w_<column>) beside the columns themselves."""
+    means = weights.join(values.select(F.col("id").alias("j"), *columns), "j").groupBy(F.col("i").alias("id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"w_{c}") for c in columns])
+    lagged = values.join(means, "id", "left").fillna(0.0, [f"w_{c}" for c in columns])
+    return lag_model(lagged, weights, y, [*columns, *[f"w_{c}" for c in columns]])

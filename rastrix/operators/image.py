@@ -121,3 +121,29 @@ def aligned(a: DataFrame, a_size: int, b: DataFrame, b_size: int) -> tuple[DataF
 def metadata(cells: DataFrame) -> DataFrame:
     """Of each band: the extent in cells, the number of cells with data, and the range of values."""
     return cells.groupBy("band").agg(F.min("px").alias("px0"), F.min("py").alias("py0"), F.max("px").alias("px1"), F.max("py").alias("py1"), F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def texture(cells: DataFrame, dx: int = 1, dy: int = 0) -> DataFrame:
+    """(band, contrast, energy, homogeneity, entropy) of the co-occurrence of whole values with those a step away."""
+    left = cells.select("band", "px", "py", F.floor("value").alias("a"))
+    right = cells.select("band", (F.col("px") - dx).alias("px"), (F.col("py") - dy).alias("py"), F.floor("value").alias("b"))
+    pairs = left.join(right, CELL).groupBy("band", "a", "b").agg(F.count("*").alias("n"))
+    total = pairs.groupBy("band").agg(F.sum("n").alias("all"))
+    p, gap = F.col("n") / F.col("all"), F.col("a") - F.col("b")
+    return pairs.join(total, "band").groupBy("band").agg(F.sum(p * gap * gap).alias("contrast"), F.sum(p * p).alias("energy"), F.sum(p / (1 + gap * gap)).alias("homogeneity"), (-F.sum(p * F.log2(p))).alias("entropy"))
+
+
+def latitude(cells: DataFrame, top: float, size: float) -> DataFrame:
+    """Each cell's value is the latitude of its middle."""
+    return cells.withColumn("value", F.lit(top) - (F.col("py") + 0.5) * size)
+
+
+def cube_facts(cubes: DataFrame) -> DataFrame:
+    """Of a cube (band, instant, px, py, value): bands, instants, the span of time and the extent, in one row."""
+    facts = cubes.agg(F.array_join(F.array_sort(F.collect_set("band")), ",").alias("bands"), F.count_distinct("instant").alias("instants"), F.min("instant").alias("first"), F.max("instant").alias("last"), F.min("px").alias("px0"), F.min("py").alias("py0"), F.max("px").alias("px1"), F.max("py").alias("py1"))
+    return facts.withColumn("columns", F.col("px1") - F.col("px0") + 1).withColumn("rows", F.col("py1") - F.col("py0") + 1)
+
+
+def mosaic_latest(cubes: DataFrame) -> DataFrame:
+    """The value of the last instant that each cell has."""
+    return cubes.where("value is not null").groupBy(*CELL).agg(F.max_by("value", "instant").alias("value"))

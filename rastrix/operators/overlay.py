@@ -189,3 +189,49 @@ def convex_hull(points: DataFrame, group: str) -> DataFrame:
 
     few = points.select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null").mapInPandas(local, f"{group} {kind}, x double, y double")
     return few.groupBy(group).applyInPandas(whole, f"{group} {kind}, ring array<struct<x:double,y:double>>")
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """The part of a polygon inside a convex one, cut along one edge of that after another; a ring without points if they share no area."""
+    turn = F.signum(F.aggregate(edges(b), F.lit(0.0), lambda t, e: t + e.p.x * e.q.y - e.q.x * e.p.y))
+    point = lambda p: F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def cut(ring: Column, line: Column) -> Column:
+        height = lambda p: ((line.q.x - line.p.x) * (p.y - line.p.y) - (line.q.y - line.p.y) * (p.x - line.p.x)) * turn
+
+        def at(e: Column) -> Column:
+            share = height(e.p) / (height(e.p) - height(e.q))
+            return F.struct((e.p.x + share * (e.q.x - e.p.x)).alias("x"), (e.p.y + share * (e.q.y - e.p.y)).alias("y"))
+
+        step = lambda e: F.when((height(e.p) >= 0) & (height(e.q) >= 0), F.array(point(e.q))).when(height(e.p) >= 0, F.array(at(e))).when(height(e.q) >= 0, F.array(at(e), point(e.q))).otherwise(none)
+        return _once(F.flatten(F.transform(edges(ring), step)), lambda c: F.when(F.size(c) > 0, F.concat(c, F.slice(c, 1, 1))).otherwise(c))
+
+    return F.aggregate(edges(b), F.transform(a, point), cut)
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    """The area of what a polygon and a convex one share; with either's own area it gives those of union and differences."""
+    return _once(intersection(a, b), lambda c: F.when(F.size(c) > 3, area(c)).otherwise(0.0))
+
+
+def dissolved(features: DataFrame, group: str) -> DataFrame:
+    """(group, ax, ay, bx, by): the outer edges of the union of each group of gap-free polygons: those that one of them alone has."""
+    each = features.select(group, F.explode(edges(F.col("ring"))).alias("e")).select(group, F.least("e.p", "e.q").alias("p"), F.greatest("e.p", "e.q").alias("q"))
+    once = each.groupBy(group, "p", "q").agg(F.count("*").alias("n")).where("n = 1")
+    return once.select(group, F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+
+
+def along(ring: Column, n: int) -> Column:
+    """n points on each edge, evenly from its start on."""
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.flatten(F.transform(edges(ring), lambda e: F.transform(steps, lambda k: F.struct((e.p.x + (e.q.x - e.p.x) * k / n).alias("x"), (e.p.y + (e.q.y - e.p.y) * k / n).alias("y")))))
+
+
+def rasterised(polygons: DataFrame, size: float) -> DataFrame:
+    """(px, py, value) of the cells of a size whose middle lies in a polygon (id, ring, v); of several polygons the one of the largest id counts."""
+    box = bounds(F.col("ring"))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"box.{low}") / size), F.floor(F.col(f"box.{high}") / size)))
+    cells = polygons.withColumn("box", box).withColumn("px", span("x0", "x1")).withColumn("py", span("y0", "y1"))
+    hit = cells.where(contains(F.col("ring"), (F.col("px") + 0.5) * size, (F.col("py") + 0.5) * size))
+    return hit.groupBy("px", "py").agg(F.max_by("v", "id").alias("value"))

@@ -323,3 +323,36 @@ def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, hi
             b = low + share * (high - low)
             fb = score(b)
     return a if fa < fb else b
+
+
+def weighted_diagnostics(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
+    """(rss, trace, aicc, r2) of a geographically weighted regression: the trace of its hat matrix is the sum of what each point weighs in its own fit."""
+    k, kind_of_id = len(columns) + 1, points.schema["id"].dataType.simpleString()
+    sums = _pairs(points, [y, *columns], width, kind).groupBy("i").agg(*_sums(_design(columns), F.col(y).cast("double"), F.col("w")))
+    own = points.select(F.col("id").alias("i"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(columns)])
+
+    def run(batches):
+        for t in batches:
+            a = np.stack([np.stack([t[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)], axis=1) for i in range(k)], axis=1).astype(float)
+            b = np.stack([t[f"b{i}"] for i in range(k)], axis=1).astype(float)
+            a[np.linalg.cond(a) > 1e14] += 1e-6 * np.eye(k)
+            x = np.concatenate([np.ones((len(t), 1)), t[[f"_x{j}" for j in range(k - 1)]].to_numpy(float)], axis=1)
+            both = np.linalg.solve(a, np.stack([b, x], axis=2))
+            yhat, hat = (x * both[:, :, 0]).sum(axis=1), (x * both[:, :, 1]).sum(axis=1)
+            yield pd.DataFrame({"id": t["i"], "y": t["_y"], "residual": t["_y"] - yhat, "hat": hat})
+
+    each = sums.join(own, "i").mapInPandas(run, f"id {kind_of_id}, y double, residual double, hat double")
+    one = each.agg(F.count("*").alias("n"), F.sum(F.col("residual") ** 2).alias("rss"), F.sum("hat").alias("trace"), (F.var_pop("y") * F.count("y")).alias("tss"))
+    aicc = F.col("n") * F.log(F.col("rss") / F.col("n")) + F.col("n") * float(np.log(2 * np.pi)) + F.col("n") * (F.col("n") + F.col("trace")) / (F.col("n") - 2 - F.col("trace"))
+    return one.select("rss", "trace", aicc.alias("aicc"), (1 - F.col("rss") / F.col("tss")).alias("r2"))
+
+
+def forward_selection(points: DataFrame, y: str, candidates: list[str], width: float, kind: str = "bisquare") -> DataFrame:
+    """(step, column, aicc): columns in the order in which each lowers the corrected criterion most; candidates are few, and each fit is one job."""
+    chosen, out = [], []
+    while len(chosen) < len(candidates):
+        scores = [(weighted_diagnostics(points, y, [*chosen, c], width, kind).first()["aicc"], c) for c in candidates if c not in chosen]
+        best = min((s, c) for s, c in scores if s is not None and s == s)
+        chosen.append(best[1])
+        out.append((len(chosen), best[1], float(best[0])))
+    return points.sparkSession.createDataFrame(out, "step int, column string, aicc double")

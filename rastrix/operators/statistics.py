@@ -262,3 +262,9 @@ def component_scores(rows: DataFrame, columns: list[str], components: DataFrame,
     row = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     unit = {c: (F.col(c) - row[f"m_{c}"]) / (row[f"s_{c}"] if scaled else 1.0) for c in columns}
     return rows.select(id_col, *[sum((unit[c] * r[c] for c in columns), F.lit(0.0)).alias(f"pc{r['component']}") for r in components.orderBy("component").collect()])
+
+
+def grid_metrics(points: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
+    """(id, n, mean, least, most, spread, distance) of the points within a radius of each cell: how many, their values, and how far they are on average."""
+    near = within_distance(cells, points, radius)
+    return near.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"), F.avg("vj").alias("mean"), F.min("vj").alias("least"), F.max("vj").alias("most"), (F.max("vj") - F.min("vj")).alias("spread"), F.avg("d").alias("distance"))

@@ -317,3 +317,26 @@ def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("moran_local_test", f"{_z}, b AS (SELECT avg(pow(z, 4)) / pow(any_value(s2), 2) AS b2 FROM z), m AS (SELECT i AS id, any_value(zi) / any_value(s2) * sum(w * zj) AS i, sum(w) AS w, sum(w * w) AS w2, any_value(n) AS n FROM wz GROUP BY wz.i), v AS (SELECT m.*, -w / (n - 1) AS e, w2 * (n - b2) / (n - 1) + (w * w - w2) * (2 * b2 - n) / ((n - 1) * (n - 2)) - pow(w / (n - 1), 2) AS var FROM m, b) SELECT id, {_r('i')} AS i, {_r('e')} AS expected, {_r('var')} AS variance, {_r('(i - e) / sqrt(var)')} AS z FROM v", lambda s, d: statistics.moran_local_test(values(s, d), weights(s, d)))
+
+query("poly_shared_area", f"{N} SELECT a.id AS i, b.id AS j, {_r('CAST(greatest(0, least(a.cx + 1, b.cx + 1.3) - greatest(a.cx, b.cx + 0.3)) * greatest(0, least(a.cy + 1, b.cy + 1.4) - greatest(a.cy, b.cy + 0.4)) AS DOUBLE)')} AS area FROM poly a JOIN poly b ON a.cx >= b.cx AND a.cx <= b.cx + 1 AND a.cy >= b.cy AND a.cy <= b.cy + 1", lambda s, d: shared_areas(s, d))
+query("poly_dissolve", f"{N}, e AS (SELECT p.id, n_regionkey AS region, unnest([[cx, cy, cx + 1, cy], [cx + 1, cy, cx + 1, cy + 1], [cx, cy + 1, cx + 1, cy + 1], [cx, cy, cx, cy + 1]]) AS e FROM poly p JOIN nation ON n_nationkey = p.id), o AS (SELECT region, e FROM e GROUP BY ALL HAVING count(*) = 1) SELECT region, count(*) AS n FROM o GROUP BY region", lambda s, d: overlay.dissolved(fx.nations(s, d).join(fx.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region")), "id"), "region").groupBy("region").agg(F.count("*").alias("n")))
+query("poly_points_along", f"{T} SELECT id, {_r('ax + (bx - ax) * k / 4')} AS x, {_r('ay + (b_y - ay) * k / 4')} AS y FROM edges, range(4) r(k)", lambda s, d: fx.triangles(s, d).select("id", F.explode(overlay.along(F.col("ring"), 4)).alias("p")).select("id", "p.x", "p.y"))
+query("poly_rasterise", f"{T}, t2 AS (SELECT id, x1 + 0.137 AS x1, y1 + 0.211 AS y1, x2 + 0.137 AS x2, y2 + 0.211 AS y2, x3 + 0.137 AS x3, y3 + 0.211 AS y3 FROM tri), c AS (SELECT id, px, py FROM t2, range(110) a(px), range(110) b(py) WHERE px >= x1 - 1 AND px <= x1 + 10 AND py >= y1 - 1 AND py <= y1 + 10 AND (x2 - x1) * (py + 0.5 - y1) - (y2 - y1) * (px + 0.5 - x1) > 0 AND (x3 - x2) * (py + 0.5 - y2) - (y3 - y2) * (px + 0.5 - x2) > 0 AND (x1 - x3) * (py + 0.5 - y3) - (y1 - y3) * (px + 0.5 - x3) > 0) SELECT px, py, max(id) * 2.0::DOUBLE AS value FROM c GROUP BY ALL", lambda s, d: overlay.rasterised(fx.triangles(s, d).select("id", F.transform("ring", lambda p: F.struct((p.x + 0.137).alias("x"), (p.y + 0.211).alias("y"))).alias("ring"), (F.col("id") * 2.0).alias("v")), 1.0))
+query("cov_texture", f"{AB}, p AS (SELECT a.band, floor(a.value) AS x, floor(n.value) AS y, count(*) AS n FROM a JOIN a n ON a.band = n.band AND n.px = a.px + 1 AND n.py = a.py GROUP BY ALL), q AS (SELECT *, n / sum(n) OVER (PARTITION BY band) AS p FROM p) SELECT band, {_r('sum(p * (x - y) * (x - y))')} AS contrast, {_r('sum(p * p)')} AS energy, {_r('sum(p / (1 + (x - y) * (x - y)))')} AS homogeneity, {_r('-sum(p * log2(p))')} AS entropy FROM q GROUP BY band", lambda s, d: image.texture(year(s, d, 1995)))
+query("cov_latitude", f"{AB} SELECT band, px, py, {_r('60 - (py + 0.5) * 0.25::DOUBLE')} AS value FROM a", lambda s, d: image.latitude(year(s, d, 1995), 60.0, 0.25))
+query("cube_facts", f"{W} SELECT 'Green,NIR,Red,SWIR1' AS bands, count(DISTINCT instant) AS instants, min(instant) AS first, max(instant) AS last, min(px) AS px0, min(py) AS py0, max(px) AS px1, max(py) AS py1, max(px) - min(px) + 1 AS columns, max(py) - min(py) + 1 AS rows FROM cube", lambda s, d: image.cube_facts(fx.cube(s, d)))
+query("mosaic_latest", f"{W} SELECT band, px, py, {_r('arg_max(value, instant)')} AS value FROM cube GROUP BY ALL", lambda s, d: image.mosaic_latest(fx.cube(s, d)))
+query("grid_metrics", f"{_grid} SELECT id, count(*) AS n, {_r('avg(v)')} AS mean, {_r('min(v)')} AS least, {_r('max(v)')} AS most, {_r('max(v) - min(v)')} AS spread, {_r('avg(d)')} AS distance FROM near WHERE d <= 15 GROUP BY id", lambda s, d: statistics.grid_metrics(fx.suppliers(s, d), cells(s, d), 15.0))
+_gwd = f"{P}, p AS (SELECT a.id, a.v AS y0, a.x AS x0, b.v AS y, b.x AS x, pow(1 - pow({_d} / 90, 2), 2) AS w FROM pts a, pts b WHERE {_d} < 90), s AS (SELECT id, any_value(y0) AS y0, any_value(x0) AS x0, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM p GROUP BY id), f AS (SELECT *, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b, (sxx - 2 * x0 * sx + x0 * x0 * s) / (s * sxx - sx * sx) AS hat FROM s), g AS (SELECT count(*) AS n, sum(pow(y0 - ((sy - b * sx) / s + b * x0), 2)) AS rss, sum(hat) AS tr, var_pop(y0) * count(*) AS tss FROM f)"
+query("gwr_diagnostics", f"{_gwd} SELECT round(rss, 0) AS rss, round(tr, 6) AS trace, round(n * ln(rss / n) + n * ln(2 * pi()) + n * (n + tr) / (n - 2 - tr), 4) AS aicc, round(1 - rss / tss, 6) AS r2 FROM g", lambda s, d: regression.weighted_diagnostics(fx.suppliers(s, d), "v", ["x"], 90.0).select(F.round("rss", 0).alias("rss"), "trace", F.round("aicc", 4).alias("aicc"), "r2"))
+query("gwr_forward", None, lambda s, d: regression.forward_selection(fx.suppliers(s, d).withColumn("east", F.col("x")).withColumn("north", F.col("y")), "v", ["east", "north"], 90.0))
+query("spatial_durbin_model", None, lambda s, d: autoregression.durbin_model(fx.suppliers(s, d), weights(s, d), "v", ["x"]))
+
+
+def shared_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each nation's square shares with the squares moved by (0.3, 0.4)."""
+    own = fx.nations(spark, sf_dir)
+    moved = own.select("id", F.transform("ring", lambda p: F.struct((p.x + 0.3).alias("x"), (p.y + 0.4).alias("y"))).alias("ring"))
+    pairs = overlay.polygon_join(own, moved, 2.0)
+    laid = pairs.join(own.select(F.col("id").alias("i"), F.col("ring").alias("a")), "i").join(moved.select(F.col("id").alias("j"), F.col("ring").alias("b")), "j")
+    return laid.select("i", "j", overlay.shared_area(F.col("a"), F.col("b")).alias("area"))
