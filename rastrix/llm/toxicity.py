@@ -26,6 +26,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import as_batch, chunks, release, written
 
 DECAY, SPAN, SLOTS = 0.5, 7, 1 << 20
-LANDMARKS, PER_CLASS = 1000, 3000
+LANDMARKS, PER_CLASS = 400, 3000
 #: Rounds of finding witnesses, and words that each text of the other class gives in one.
-ROUNDS, HARDEST = 4, 3
+ROUNDS, HARDEST = 3, 2
 #: An insult is so many times as frequent in toxic texts as in others, and at most this share of such words may be there by chance.
 TIMES, BY_CHANCE = 20.0, 0.03
 #: Bytes of memo at most, about; what texts without words score.
@@ -192,11 +193,11 @@ class ToxicModel:
         get = self.memo.__getitem__
         return np.array([max(map(get, words), default=FLOOR) for words in split])
 
-    def witnesses(self, text: str, n: int) -> list[tuple[str, float]]:
-        """The `n` words of a text that it takes as most toxic, letters and digits only, and the decisions on them."""
-        words = sorted({c for w in words_of(text) if (c := OTHER.sub("", w))})
-        d = self.decisions(words)
-        return [(words[k], float(d[k])) for k in np.argsort(-d, kind="stable")[:n]]
+    def witnesses(self, texts: list[str], most: list[int]) -> list[list[tuple[str, float]]]:
+        """The most toxic words of each text, so many at most, letters and digits only, and the decisions on them."""
+        split = [sorted({c for w in words_of(t) if (c := OTHER.sub("", w))}) for t in texts]
+        self.learn(set().union(*split))
+        return [sorted(((w, self.memo[w]) for w in words), key=lambda x: -x[1])[:n] for words, n in zip(split, most, strict=True)]
 
     def calibrate(self, margins: np.ndarray, labels: np.ndarray) -> None:
         """Fits the logistic curve by Newton steps, with the labels drawn in by one count of either class."""
@@ -258,12 +259,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
         most = sorted(insults, key=lambda w: (-insults[w], w))[: landmarks // 4]
         # the newest words of the other class are the hardest
         model.fit(list(insults), others, list(dict.fromkeys(most + others[::-1][: landmarks // 4] + common + spread))[:landmarks])
-        found = witness_table(rows.where("fold <> 0"), model)
-        bad = found.where("label = 1").groupBy("word").agg(F.count("*").alias("texts"), F.max("decision").alias("best")).where((F.col("texts") > 1) | (F.col("best") >= 1)).collect()  # a word for each chosen text at most
-        hard = found.where("label = 0 and decision > -1").groupBy("word").agg(F.max("decision").alias("best")).orderBy("best", "word").collect()  # HARDEST for each chosen text at most
-        seen = {r["word"] for r in hard}
-        insults = start | {r["word"]: float(r["texts"]) for r in bad if r["word"] not in seen or r["word"] in start}
-        others = list(dict.fromkeys(others + [r["word"] for r in hard]))
+        found = witness_table(rows.where("fold <> 0"), model).collect()  # a few rows for each chosen text
+        texts, best, hard = Counter(), {}, {}
+        for label, word, decision in found:
+            if label:
+                texts[word] += 1
+                best[word] = max(decision, best.get(word, decision))
+            elif decision > -1:
+                hard[word] = max(decision, hard.get(word, decision))
+        insults = start | {w: float(n) for w, n in sorted(texts.items()) if (n > 1 or best[w] >= 1) and (w not in hard or w in start)}
+        others = list(dict.fromkeys(others + sorted(hard, key=lambda w: (hard[w], w))))
     others = [w for w in others if w not in insults]
     most = sorted(insults, key=lambda w: (-insults[w], w))[: landmarks // 4]
     model.fit(list(insults), others, list(dict.fromkeys(most + others[::-1][: landmarks // 4] + common + spread))[:landmarks])
@@ -281,7 +286,8 @@ def witness_table(rows: DataFrame, model: ToxicModel) -> DataFrame:
     def run(batches):
         for batch, texts in chunks(batches, limit=1 << 20):
             labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
-            found = [(y, w, d) for y, t in zip(labels, texts, strict=True) for w, d in held.value.witnesses(t, 1 if y else HARDEST)]
+            best = held.value.witnesses(texts, [1 if y else HARDEST for y in labels])
+            found = [(y, w, d) for y, words in zip(labels, best, strict=True) for w, d in words]
             yield as_batch(schema, label=[f[0] for f in found], word=[f[1] for f in found], decision=[f[2] for f in found])
 
     return rows.select("text", "label").distinct().mapInArrow(run, "label int, word string, decision double")
