@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, chunks, written
+from .common import SharedTable, as_batch, chunks, written
 
 LENGTH, LEAST, GRAM, HOT = 400, 280, 60, 20_000
 #: Contexts that a task takes up before it builds their order.
@@ -166,10 +166,11 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
 
     found = written(rows.mapInArrow(find, "row long, pos long, gram long, k1 long, k2 long, before int, size int"), "anchors")
     contexts = found.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "before", "size")).alias("at"))
-    contexts = written(contexts, "different")
+    different = SharedTable(contexts, "different")
     # a stage of its own, so that the join may split the contexts of a frequent anchor
-    grams = written(contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).where("all > 1"), "grams")
-    contexts = written(contexts.join(grams.hint("merge"), "gram").select(*KEYS, "n", "at.*", "contexts"), "contexts")
+    grams = written(different.df.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).where("all > 1"), "grams")
+    contexts = written(different.df.join(grams.hint("merge"), "gram").select(*KEYS, "n", "at.*", "contexts"), "contexts")
+    different.drop()  # all that is read from it is written
     # contexts that occur once need their bytes held against the others of their anchor
     mixed = contexts.where("contexts > 1")
 
