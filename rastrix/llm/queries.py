@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, nearest, sentence_pieces, simhash, substring_dedup, token_counts, toxicity
+from . import decontamination, language_id, line_dedup, lm_scoring, nearest, prefix_trie, quality, sentence_pieces, simhash, substring_dedup, token_counts, toxicity, whitening
 from .common import fold_of
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -73,6 +73,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, _ = prefix_trie.encoded(table(spark, sf_dir, "conversations"))
+    return prefix_trie.with_digests(*prefix_trie.trie(*prefix_trie.rebuilt(turns)))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = fold_of(F.col("doc_id"), 4)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold != 2)
+    return quality.quality(docs, model).select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality": op12_quality,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
