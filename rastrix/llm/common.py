@@ -70,21 +70,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return SharedTable(df, label).df
 
 
-#: Bits of the maps of hashes that are broadcast, 64 in a row: 4 MB whatever the input.
-MAP_BITS = 1 << 24
-
-
-def bit_map(values: DataFrame, column: str) -> DataFrame:
-    """The hashes of a column as a map of MAP_BITS bits: at most MAP_BITS / 64 rows (slot, bits), so it may always be broadcast."""
-    bit = F.pmod(F.col(column), F.lit(MAP_BITS))
-    return values.select(F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-
-
-def perhaps_in(df: DataFrame, column: str, held: DataFrame, name: str) -> DataFrame:
-    """The rows with a boolean column `name`: false where the map `held` (from bit_map, broadcast) lacks the hash in the column; a full map leaves more true, never less."""
-    own = held.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits"))
-    found = df.join(F.broadcast(own), F.shiftright(F.pmod(F.col(column), F.lit(MAP_BITS)), 6) == F.col("_slot"), "left")
-    return found.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod(F.col(column), F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_slot", "_bits")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes for no column to have it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Bits of a map for each hash in it, and bits at least and at most (8 MB, a million rows), so a map may always be broadcast.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
+
+
+class KeyFilter:
+    """A map of the 64-bit hashes in a column of a written table, as a table of rows (slot, 64 bits) to be broadcast: it tells which rows surely have no partner there, so that only
+    the others are shuffled. The map is as large as the number of hashes asks for, up to MOST_BITS; beyond that it lets more through, which costs a shuffle of more rows and changes no result."""
+
+    def __init__(self, values: DataFrame, column: str, label: str):
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (values.count() * BITS_EACH - 1).bit_length()))
+        bit = F.pmod(F.col(column), F.lit(self.bits))
+        slots = values.select(F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("bit"))
+        self.held = written(slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")), f"{label}-map")
+
+    def mark(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """The rows with a boolean column `name`: false where the map lacks the hash in the column."""
+        slot, bits = free_name(df, "slot"), free_name(df, "bits")
+        own = self.held.select(F.col("slot").alias(slot), F.col("bits").alias(bits))
+        found = df.join(F.broadcast(own), F.shiftright(F.pmod(F.col(column), F.lit(self.bits)), 6) == F.col(slot), "left")
+        return found.withColumn(name, F.coalesce(F.getbit(bits, F.pmod(F.col(column), F.lit(64)).cast("int")) == 1, F.lit(False))).drop(slot, bits)
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows that may have a partner, and those that have none."""
+        name = free_name(df, "maybe")
+        marked = self.mark(df, column, name)
+        return marked.where(name).drop(name), marked.where(~F.col(name)).drop(name)
 
 
 def fold_of(id_col: Column, folds: int) -> Column:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import KeyFilter, free_name, row_key, written
 
 #: From so many words of an item on, these masks; those of a tier have one span. Found by trying sets of masks.
 TIERS = ((16, ("100110111", "111100011", "100101111", "111010101")), (9, ("111001", "110101")), (5, ("1101", "1011")))
@@ -34,7 +34,6 @@ WINDOW, SIMILARITY = 16, 0.8
 SMALL = 1_000_000
 #: Bits of the map of the words that a tier's items have.
 BITS = 1 << 17
-KEY = "_overlap_key"
 APART = r"[^\p{L}\p{N}]+"
 
 
@@ -96,7 +95,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
         index = F.broadcast(index)
     hits = seeds(rows.select("key", words(F.col("text")).alias("words")), [(masks, word_bits(own)) for _, masks, own in tiers]).join(index, "seed")
     hits = written(hits.select("key", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "hits")
-    laid = rows.join(hits, "key").join(items.withColumnRenamed("words", "own"), "item").select("key", "doc_id", "item_id", "own", "shift", words(F.col("text")).alias("words"))
+    # items go to the hits, and only texts with a hit are shuffled, once
+    asked = hits.join(items.select("item", "item_id", F.col("words").alias("own")), "item").drop("item")
+    laid = KeyFilter(hits, "key", "hits").split(rows, "key")[0].join(asked, "key").select("key", "doc_id", "item_id", "own", "shift", words(F.col("text")).alias("words"))
     before = F.greatest(-F.col("shift"), F.lit(0))  # words of the item that lie before the text
     under = F.concat(F.array_repeat(F.lit(""), before), F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("own") - before, F.lit(0))))
     equal = F.zip_with("own", under, lambda a, b: F.when(a == b, 1).otherwise(0))
@@ -114,8 +115,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that overlap no benchmark item, with all their columns."""
-    found = written(overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("key").alias(KEY)).distinct(), "overlaps")
-    return docs.join(found, row_key(id_col, text_col) == F.col(KEY), "left_anti")
+    key = free_name(docs, "key")
+    found = written(overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("key").alias(key)).distinct(), "overlaps")
+    maybe, clean = KeyFilter(found, key, "overlaps").split(docs.withColumn(key, row_key(id_col, text_col)), key)
+    return clean.unionByName(maybe.join(found, key, "left_anti")).select(docs.columns)
 
 
 #: In DuckDB's SQL without masks: by the pigeonhole principle each overlap has 4 equal words in a row (3 for items of 6 to 15 words, 2 for 5), whose diagonals are verified.

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, perhaps_in, row_key, written
+from .common import KeyFilter, free_name, row_key, written
 
 MIN_DOCS, LEADING, SHARE, MIN_WORDS = 10, 3, 0.75, 5
 LONG_WORDS, LONG_DOCS = 50, 2
@@ -57,11 +57,11 @@ def recurring_lines(docs: DataFrame, min_docs: int, leading: int, share: float,
     lines = written(split.drop("words"), "lines")
     leaves = lines.groupBy("leaf", "copy").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("copies")).where(F.col("copies") >= min_docs).select("leaf")
     leaves = written(leaves, "leaves")
-    held = written(bit_map(leaves, "leaf"), "leaf-map")
-    live = written(perhaps_in(lines, "leaf", held, "maybe").where("maybe").drop("maybe").join(leaves.hint("merge"), "leaf", "left_semi"), "live")
+    held = KeyFilter(leaves, "leaf", "leaf")
+    live = written(held.split(lines, "leaf")[0].join(leaves.hint("merge"), "leaf", "left_semi"), "live")
     times = live.groupBy("leaf", "line", "copy").agg(F.min("doc_id").alias("first"))
     # the words of each different line come from a second reading, of lines whose leaf is in the map
-    parsed = perhaps_in(split.select("leaf", "line", "words"), "leaf", held, "maybe").where("maybe").groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    parsed = held.split(split.select("leaf", "line", "words"), "leaf")[0].groupBy("leaf", "line").agg(F.first("words").alias("words"))
     kinds = written(times.groupBy("leaf", "line").agg(F.count("*").alias("copies")).hint("merge").join(parsed, ["leaf", "line"]), "kinds")
     tokens = kinds.select("leaf", "line", "copies", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     agreed = tokens.groupBy("leaf", "at", "word").agg(F.sum("copies").alias("support")).where(F.col("support") >= min_docs).select("leaf", "at", "word")
@@ -92,34 +92,32 @@ def long_lines(docs: DataFrame, gone: DataFrame, long_words: int, long_docs: int
     return live.join(first, "line").where(F.col("copy") != F.col("first.copy")).select("key", "place")
 
 
-KEY, GONE, LINES, MAYBE = "_line_key", "_lines_gone", "_lines", "_lines_maybe"
-
-
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, long_docs: int = LONG_DOCS) -> DataFrame:
     """The table with the recurring lines and the repeated long ones taken out of its texts; all rows and columns stay."""
     gone = written(recurring_lines(docs, min_docs, leading, share, min_words, id_col, text_col), "recurring")
-    return _without(docs, gone.union(long_lines(docs, gone, long_words, long_docs, id_col, text_col)), id_col, text_col).select(docs.columns)
+    return _without(docs, gone.union(long_lines(docs, gone, long_words, long_docs, id_col, text_col)), id_col, text_col)[0].select(docs.columns)
 
 
-def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with LINES and GONE, and the lines taken out of the text. Rows that the map of the keys lacks stay where they are; the others meet their lines by a join."""
-    gone = written(gone.groupBy(F.col("key").alias(KEY)).agg(F.collect_set("place").alias(GONE)), "gone")
-    keyed = perhaps_in(docs.withColumn(KEY, row_key(id_col, text_col)), KEY, written(bit_map(gone, KEY), "gone-map"), MAYBE)
-    whole = keyed.where(~F.col(MAYBE)).drop(KEY, MAYBE).withColumn(GONE, F.lit(None).cast("array<int>"))
-    joined = keyed.where(MAYBE).join(gone.hint("merge"), KEY, "left").drop(KEY, MAYBE)
-    joined = joined.unionByName(whole).withColumn(LINES, F.split(F.col(text_col).cast("string"), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(LINES) - 1), F.col(GONE))
-    left = F.array_join(F.transform(stay, lambda i: F.get(LINES, i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col(GONE).isNotNull(), left).otherwise(F.col(text_col)))
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with the lines taken out of the text, and the names of added columns: the lines, and the numbers of those that went. Rows that the map of the keys lacks stay where they are; the others meet their lines by a join."""
+    key, places, lines = (free_name(docs, x) for x in ("key", "gone", "lines"))
+    gone = written(gone.groupBy(F.col("key").alias(key)).agg(F.collect_set("place").alias(places)), "gone")
+    maybe, whole = KeyFilter(gone, key, "gone").split(docs.withColumn(key, row_key(id_col, text_col)), key)
+    joined = maybe.join(gone.hint("merge"), key, "left").drop(key)
+    joined = joined.unionByName(whole.drop(key).withColumn(places, F.lit(None).cast("array<int>"))).withColumn(lines, F.split(F.col(text_col).cast("string"), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
+    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(places).isNotNull(), left).otherwise(F.col(text_col))), lines, places
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, share: float = SHARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 (of the text that stays) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _without(rows, recurring_lines(rows, min_docs, leading, share, min_words, "doc_id", "text"), "doc_id", "text").select(
+    found, lines, places = _without(rows, recurring_lines(rows, min_docs, leading, share, min_words, "doc_id", "text"), "doc_id", "text")
+    return found.select(
         "doc_id",
-        F.when(F.col(LINES).isNull(), 0).otherwise(F.size(LINES)).cast("long").alias("n_lines"),
-        F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).cast("long").alias("n_dropped"),
+        F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
