@@ -3,15 +3,19 @@
 A bounded sample of the vectors is split again and again into balanced clusters until each is small; their centroids name the
 posting lists. Centroids are searched by an in-memory graph: each is linked to its nearest ones, and a search walks from fixed
 entry points along the links with a beam. Every vector is indexed under its nearest centroid and, as a boundary vector, under
-others that are hardly farther (unless a chosen centroid is nearer to that one than the vector is). A query reads the lists
-whose centroid's distance is within a ratio of the nearest's. Nearness is the cosine in double precision.
+others that are hardly farther (unless a chosen centroid is nearer to that one than the vector is). A query reads all lists
+whose centroid's distance is within a ratio of the nearest's, however many. Nearness is the cosine in double precision.
+
+The ratio follows the data: PROBED queries, those of the smallest hash, are answered exactly by one pass over all vectors, and the ratio is the
+least that would have led to the share AIM of their true neighbours. So recall doesn't fall as lists become more or dimensions higher;
+where no distance tells lists apart, more of them are read.
 
 Equal vectors are folded before anything is shuffled: only their smallest ids can be among the nearest, so a group of copies
 is one entry. Lists are cut into blocks of vectors, and a list's queries into blocks, so that a large list is many rows; block
 pairs meet by a join on list, block and a group of query blocks, and each pair is one matrix product that returns each query's best.
 Queries that find fewer than they could (their few lists hold less) read all lists. The centroids (at most
 MOST_LISTS) and their graph are broadcast: 64 dimensions take 4 MB and 1 MB. Beyond MOST_LISTS times LIST_SIZE vectors the lists grow
-with the table instead of their number, so a query's share of the table stays PROBES / MOST_LISTS.
+with the table instead of their number.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most, take no
 part, and rows with a null id neither; rows repeated with the same id count once, and if their vectors differ that of the least hash
@@ -26,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, bit_map, perhaps_in, written
+from .common import KeyFilter, as_batch, written
 
 #: Vectors a list is meant to hold, lists at most, and vectors looked at for each list to place its centroid.
 LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 100, 8192, 8
 #: Links of a centroid, and width of the beam.
 LINKS, BEAM = 24, 64
-#: Lists a vector stands in at most, how much farther they may be, lists a query reads at most, and how much farther those may be.
-COPIES, NEAR, PROBES, RATIO = 4, 1.15, 48, 1.6
+#: Lists a vector stands in at most, and how much farther they may be.
+COPIES, NEAR = 4, 1.15
+#: Queries that are answered exactly to find the ratio, and the share of their neighbours that it must lead to.
+PROBED, AIM = 200, 0.97
 #: Vectors and queries in a block, and query blocks that meet a block of vectors in one task.
 BLOCK, QUERY_BLOCK, ASKS = 512, 128, 16
 
@@ -137,11 +143,50 @@ def lists_of_vector(graph: CentroidGraph, x: np.ndarray, copies: int = COPIES, f
     return out
 
 
-def lists_of_query(graph: CentroidGraph, x: np.ndarray, probes: int = PROBES, ratio: float = RATIO) -> list[np.ndarray]:
-    """The lists that each unit query reads."""
-    found, near = graph.search(x, beam=max(BEAM, probes))
-    apart = _apart(near)
-    return [lists[:probes][d[:probes] <= ratio * d[0]].astype(np.int32) for lists, d in zip(found, apart, strict=True)]
+def lists_of_query(graph: CentroidGraph, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+    """The lists that each unit query reads: the beam widens until a list beyond the ratio is found."""
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
+    open_, beam = np.arange(len(x)), BEAM
+    while len(open_):
+        found, near = graph.search(x[open_], beam, step=max(4, beam // 16))
+        apart = _apart(near)
+        within = apart <= ratio * apart[:, :1]
+        full = within[:, -1] & (found.shape[1] == beam) & (beam < len(graph.centroids))
+        for k in np.flatnonzero(~full):
+            out[open_[k]] = found[k][within[k]].astype(np.int32)
+        open_, beam = open_[full], beam * 2
+    return out
+
+
+def ratio_for(nodes: DataFrame, asked: DataFrame, graph: CentroidGraph, dim: int, k: int, aim: float, probed: int) -> float:
+    """The least ratio of distances at which `probed` of the queries would meet the share `aim` of their k nearest vectors."""
+    few = [r["vec"] for r in asked.orderBy(F.xxhash64("vec"), "vec").select("vec").limit(probed).collect()]
+    if not few:
+        return 1.0
+    held = nodes.sparkSession.sparkContext.broadcast(_unit(few, dim))
+    schema = pa.schema([("query", pa.int32()), ("near", pa.float32()), ("vec", pa.binary())])
+
+    def look(batches):
+        """Each query's k + 1 nearest of each few batches."""
+        q = held.value
+        for batch in batches:
+            if len(batch):
+                near = _units(batch) @ q.T
+                top = np.argsort(-near, axis=0, kind="stable")[: k + 1]
+                rows, columns = top.T.ravel(), np.repeat(np.arange(len(q)), len(top))
+                yield as_batch(schema, query=columns, near=near[rows, columns], vec=batch.column(0).take(pa.array(rows)).cast(pa.binary()))
+
+    best = nodes.select("vec").mapInArrow(look, "query int, near float, vec binary").withColumn("part", F.spark_partition_id() % 512)
+    for keys in (["query", "part"], ["query"]):
+        best = best.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("near", "vec")), asc=False), 1, k + 1).alias("best"))
+        best = best.select(*keys, F.explode("best").alias("b")).select(*keys, "b.*")
+    pairs = [(r["query"], r["vec"]) for r in best.collect() if r["vec"] != few[r["query"]]]  # (k + 1) * probed rows
+    if not pairs:
+        return 1.0
+    lists = lists_of_vector(graph, _unit([v for _, v in pairs], dim))
+    apart = _apart(held.value @ graph.centroids.T)
+    need = sorted(float(apart[q, own].min() / apart[q].min()) for (q, _), own in zip(pairs, lists, strict=True))
+    return need[min(len(need) - 1, int(np.ceil(aim * len(need))))] * (1 + 1e-6)
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -151,9 +196,9 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     # ids with different vectors are few: only their rows are looked at again
     several = rows.groupBy("id").agg(F.min(F.xxhash64("v")).alias("keep"), F.max(F.xxhash64("v")).alias("most")).where("keep <> most").select("id", "keep")
     several = written(several, "several")
-    flagged = perhaps_in(rows, "id", written(bit_map(several, "id"), "several-map"), "maybe")
-    chosen = flagged.where("maybe").join(several, "id", "left").where(F.coalesce(F.xxhash64("v") == F.col("keep"), F.lit(True)))
-    return flagged.where("not maybe").select("id", "v").union(chosen.select("id", "v"))
+    maybe, plain = KeyFilter(several, "id", "several").split(rows, "id")
+    chosen = maybe.join(several, "id", "left").where(F.coalesce(F.xxhash64("v") == F.col("keep"), F.lit(True)))
+    return plain.select("id", "v").union(chosen.select("id", "v"))
 
 
 def folded(rows: DataFrame, keep: int) -> DataFrame:
@@ -192,11 +237,15 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -power)
 
 
-def _units(batch: pa.RecordBatch) -> np.ndarray:
-    x = scaled(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(len(batch), -1))
+def _unit(vecs: list[bytes], dim: int) -> np.ndarray:
+    x = scaled(np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), dim))
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _units(batch: pa.RecordBatch) -> np.ndarray:
+    return _unit(batch.column(0).to_pylist(), len(batch.column(0)[0].as_py()) // 8)
+
+
 def _placed(nodes: DataFrame, graph, chooser) -> DataFrame:
     """nodes (vec, ids), a row for each of its lists."""
     held = nodes.sparkSession.sparkContext.broadcast(graph)
@@ -214,8 +263,8 @@ def _placed(nodes: DataFrame, graph, chooser) -> DataFrame:
     return nodes.select("vec", "ids").mapInArrow(run, "list int, vec binary, ids array<long>")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST_SIZE, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: for each query row its k nearest other rows found. is_query is a condition on the id column."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST_SIZE, aim: float = AIM, probed: int = PROBED, ratio: float | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: for each query row its k nearest other rows found. is_query is a condition on the id column; `ratio` is found for `aim` unless given."""
     keep = k + 1
     rows = valid(vectors, id_col, vector_col)
     nodes = written(folded(rows, keep), "nodes")
@@ -235,7 +284,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     blocks = written(blocks.groupBy("list", "block").agg(F.collect_list("vec").alias("vecs"), F.collect_list("ids").alias("ids")), "blocks")
     named = written(rows.withColumnRenamed("id", id_col).where(is_query).select(F.col(id_col).alias("id"), "v"), "queries")
     asked = written(folded(named, 1).where(F.col("dim") == dim), "asked")
-    reads = _placed(asked, graph, lambda g, x: lists_of_query(g, x, probes, ratio)).select("list", "vec")
+    if n and ratio is None:
+        ratio = ratio_for(nodes, asked, graph, dim, k, aim, probed)
+    reads = _placed(asked, graph, lambda g, x: lists_of_query(g, x, ratio)).select("list", "vec")
     best = written(best_of(blocks, parts, reads, dim, keep), "best")
     few = asked.join(best.where(F.size("best") >= min(keep, known)), "vec", "left_anti").select("vec")
     rest = written(few, "few")
