@@ -14,8 +14,9 @@ texts by their suffixes:
    places. Only the order, the common prefixes and one column are looked at in a round; the columns stand one after another
    and are read in sequence. A window is repeated if a neighbour shares `length` bytes or more. Spark's sorted shuffle files
    take the place of the method's external files: they bring the collections to a task one at a time, sorted by anchor.
-3. Spans. Each occurrence of a context takes its spans over; a text's spans are merged and cut out. Shorter repeats, of `least`
-   bytes or more, are found alike; they stay, and n_repeated says how many bytes they cover.
+3. Spans. Each occurrence of a context takes its spans over; a text's spans are merged and cut out. If `least` is below `length`, shorter
+   repeats, of `least` bytes or more, are found alike; they stay, and n_repeated says how many bytes they cover. That takes anchors of
+   smaller windows, which are more.
 
 Anchors with over `hot` different contexts don't go to one task: their windows are counted by 128-bit hashes over all tasks,
 which gives the same result.
@@ -34,9 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, as_batch, chunks, written
+from .common import KeyFilter, SharedTable, as_batch, chunks, written
 
-LENGTH, LEAST, GRAM, HOT = 400, 280, 60, 20_000
+LENGTH, GRAM, HOT = 400, 60, 20_000
 #: Contexts that a task takes up before it builds their order.
 BLOCK = 30_000
 #: Two odd multipliers of the rolling hashes.
@@ -113,7 +114,7 @@ def column_order(group: np.ndarray, columns: np.ndarray, left: np.ndarray, right
     length - gram - left to length - gram + right only.
     """
     n, total = len(group), 2 * length - gram
-    found = [(size, np.full(n, -1, np.int32), np.full(n, -1, np.int32)) for size in (length, least)]
+    found = [(size, np.full(n, -1, np.int32), np.full(n, -1, np.int32)) for size in dict.fromkeys((length, least))]
     order, shared = np.arange(n), np.zeros(n + 1, np.int32)
     base = group.astype(np.int64) * 257
     apart = group[1:] != group[:-1]
@@ -164,6 +165,7 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
             g, k1, k2 = (k.view(np.int64) for k in keys)
             yield as_batch(schema, row=row, pos=pos, gram=g, k1=k1, k2=k2, before=left.astype(np.int32), size=right.astype(np.int32))
 
+    sizes = list(dict.fromkeys((length, least)))
     found = written(rows.mapInArrow(find, "row long, pos long, gram long, k1 long, k2 long, before int, size int"), "anchors")
     contexts = found.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "before", "size")).alias("at"))
     different = SharedTable(contexts, "different")
@@ -173,10 +175,11 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
     different.drop()  # all that is read from it is written
     # contexts that occur once need their bytes held against the others of their anchor
     mixed = contexts.where("contexts > 1")
+    needed = KeyFilter(mixed.select("row"), "row", "needed").split(rows, "row")[0]  # other texts aren't shuffled
 
     def with_text(part: DataFrame) -> DataFrame:
         places = part.groupBy("row").agg(F.collect_list(F.struct("pos", *KEYS, "n", "before", "size")).alias("places"))
-        return rows.join(places, "row").select("text", "places")
+        return needed.join(places, "row").select("text", "places")
 
     def take(batches):
         schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("before", pa.int32()), ("context", pa.binary())])
@@ -203,7 +206,7 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
             table = np.frombuffer(b"".join(b"\0" * (room - x) + c + b"\0" * (length - y) for c, x, y in zip(codes, left, right, strict=True)), np.uint8)
             ends = column_order(group, np.ascontiguousarray(table.reshape(-1, wide).T), left, right, length, least, gram)
             out = []
-            for size, first, last in ((length, *ends[:2]), (least, *ends[2:])):
+            for size, first, last in zip(sizes, ends[::2], ends[1::2], strict=True):
                 hit = np.flatnonzero((first >= 0) & (n == 1))
                 out.append(as_batch(schema, gram=g[hit], k1=t["k1"].to_numpy()[hit], k2=t["k2"].to_numpy()[hit], whole=np.full(len(hit), size == length), low=(first[hit] - room).astype(np.int32), high=(last[hit] - room + size).astype(np.int32)))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(map(len, out)) else out[0]
@@ -231,7 +234,7 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
         for batch in batches:
             for row in batch.to_pylist():
                 code, before = np.frombuffer(row["context"], np.uint8), row["before"]
-                for size in (length, least):
+                for size in sizes:
                     begin, end = max(0, before + gram - size), min(len(code) - size, before)  # windows that hold the anchor
                     if begin > end:
                         continue
@@ -245,7 +248,7 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
     twice = many.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1").select(*same)
     size = F.when(F.col("whole"), length).otherwise(least)
     spread = many.where("n = 1").join(twice, same, "left_semi").groupBy(*KEYS, "whole").agg(F.min("low").alias("low"), F.max(F.col("low") + size).cast("int").alias("high"))
-    copied = contexts.where("n > 1").select(*KEYS, F.explode(F.array(F.lit(True), F.lit(False))).alias("whole"), (-F.col("before")).alias("low"), F.col("size").alias("high"))
+    copied = contexts.where("n > 1").select(*KEYS, F.explode(F.array(*(F.lit(x == length) for x in sizes))).alias("whole"), (-F.col("before")).alias("low"), F.col("size").alias("high"))
     spans = spans.union(spread).union(copied)
     spans = written(spans.where(F.col("high") - F.col("low") >= size).groupBy(*KEYS, "whole").agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans")
     hits = found.select("row", "pos", *KEYS).join(spans, KEYS)
@@ -263,11 +266,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, least: int = LEAST, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes under repeats of `least` bytes), and kept (the bytes that stay) unless with_texts=False."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, least: int | None = None, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated (bytes under repeats of `least` bytes, by default `length`), and kept (the bytes that stay) unless with_texts=False."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = named.withColumn("row", F.xxhash64("doc_id", "text"))  # rows that are alike in both have the same result
-    spans = repeated_spans(named.select("row", "text"), length, least, gram, hot)
+    spans = repeated_spans(named.select("row", "text"), length, min(length, least or length), gram, hot)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
@@ -288,4 +291,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, least: int = LEAST, gr
             yield as_batch(schema, **{f: out[f] if f in out else batch.column(0) for f in schema.names})
 
     kinds = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + ", kept binary" * with_texts
-    return named.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(cut, kinds)
+    spans = written(spans, "spans-by-row")
+    maybe, whole = KeyFilter(spans, "row", "spans").split(named, "row")
+    both = maybe.join(spans, "row", "left").select("doc_id", "text", "spans").union(whole.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType)))
+    return both.mapInArrow(cut, kinds)
