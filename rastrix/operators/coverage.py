@@ -1,8 +1,8 @@
 """Cell-wise algebra, reducers and neighbourhoods of coverages.
 
 A coverage is a table of cells (band, px, py, value), a cube has an instant as well. Null is no data. Binary operators join the
-cells of two coverages on band and place, so that a cell missing on either side is missing in the result; reducers and
-neighbourhoods combine before the shuffle wherever the reducer allows it.
+cells of two coverages on band and place, so that a cell missing on either side is missing in the result; reducers combine
+before the shuffle wherever they can, and neighbourhoods work on tiles that exchange their borders.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
+
 CELL = ["band", "px", "py"]
 
 BINARY = {
@@ -76,8 +78,21 @@ def select_bands(cells: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def binary(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    joined = a.select(*CELL, F.col("value").alias("_a")).join(b.select(*CELL, F.col("value").alias("_b")), CELL)
-    return joined.select(*CELL, BINARY[op](F.col("_a"), F.col("_b")).alias("value"))
+    """The operator on the cells that both have, of the same instant if both are collections."""
+    keys = [*CELL, *(["instant"] if "instant" in a.columns and "instant" in b.columns else [])]
+    joined = a.select(*keys, F.col("value").alias("_a")).join(b.select(*keys, F.col("value").alias("_b")), keys)
+    return joined.select(*keys, BINARY[op](F.col("_a"), F.col("_b")).alias("value"))
+
+
+def paired(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
+    """binary() as requests mean it: bands of the same names meet by name; of as many other names, in the order of the names, called as in `a`. Another number of bands is an error. Reads the band columns first."""
+    one, two = (sorted(r[0] for r in x.select("band").distinct().collect()) for x in (a, b))
+    if len(one) != len(two):
+        raise ValueError(f"not as many bands: {one}, {two}")
+    if one != two:
+        named = F.create_map(*[F.lit(x) for pair in zip(two, one) for x in pair])
+        b = b.withColumn("band", named[F.col("band")]) if two else b
+    return binary(a, b, op)
 
 
 def unary(cells: DataFrame, op: str) -> DataFrame:
@@ -128,17 +143,10 @@ def histogram(cells: DataFrame, width: float) -> DataFrame:
     return cells.where("value is not null").groupBy("band", F.floor(F.col("value") / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def neighbours(cells: DataFrame, radius: int) -> DataFrame:
-    """Each cell's value under the places of the window around it: dx, dy say where it lies seen from there."""
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)])
-    spread = cells.select(*CELL, "value", F.explode(steps).alias("s"))
-    return spread.select("band", (F.col("px") - F.col("s.dx")).alias("px"), (F.col("py") - F.col("s.dy")).alias("py"), F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"), "value")
-
-
 def focal(cells: DataFrame, method: str, radius: int = 1) -> DataFrame:
     """A reducer over the window of each cell that is there; cells that are not there don't count."""
-    own = F.max((F.col("dx") == 0) & (F.col("dy") == 0))
-    return neighbours(cells, radius).groupBy(*CELL).agg(REDUCERS[method](F.col("value")).alias("value"), own.alias("own")).where("own").drop("own")
+    found = tiles.windows(cells, radius, tiles.REDUCERS[method])
+    return found.withColumn("value", F.col("value").cast("long")) if method in ("or", "and") else found
 
 
 #: Kernels by their rows, from the top (y = -1) down; fixed values.
@@ -154,18 +162,44 @@ KERNELS = {
 }
 
 
+def square_kernel(radius: int, value: float = 1.0, normalize: bool = False) -> list[list[float]]:
+    """A square of equal weights, that sum up to 1 if normalised."""
+    size = 2 * radius + 1
+    return [[1 / (size * size) if normalize else value] * size] * size
+
+
+def fixed_kernel(weights: list[list[float]], normalize: bool = False) -> list[list[float]]:
+    """A kernel by its rows, from the top down, whose weights sum up to 1 if normalised; an even number of rows or columns, or uneven rows, are an error."""
+    if len(weights) % 2 == 0 or any(len(r) != len(weights) for r in weights):
+        raise ValueError("a kernel is a square of an odd number of rows")
+    total = sum(map(sum, weights))
+    return [[w / total if normalize and total else float(w) for w in row] for row in weights]
+
+
+def add_kernels(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
+    """The sums of two kernels' weights, middle upon middle; beyond the smaller one's border the larger one's weights stay."""
+    if len(a) < len(b):
+        a, b = b, a
+    rim = (len(a) - len(b)) // 2
+    inside = lambda k: rim <= k < rim + len(b)
+    return [[w + (b[y - rim][x - rim] if inside(x) and inside(y) else 0) for x, w in enumerate(row)] for y, row in enumerate(a)]
+
+
 def convolve(cells: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """The kernel's sum over the window of each cell; cells that are not there count as 0."""
-    r = len(kernel) // 2
-    weight = F.lit(0.0)
-    for y, row in enumerate(kernel):
-        for x, w in enumerate(row):
-            weight = F.when((F.col("dx") == x - r) & (F.col("dy") == y - r), F.lit(float(w))).otherwise(weight)
-    own = F.max((F.col("dx") == 0) & (F.col("dy") == 0))
-    return neighbours(cells, r).groupBy(*CELL).agg(F.sum(F.col("value") * weight).alias("value"), own.alias("own")).where("own").drop("own")
+    return tiles.windows(cells, len(kernel) // 2, tiles.weighed({"value": kernel}))
+
+
+def sobel(cells: DataFrame) -> DataFrame:
+    """sobel_x and sobel_y of each cell, from one pass."""
+    names = ["sobel_x", "sobel_y"]
+    return tiles.windows(cells, 1, tiles.weighed({k: KERNELS[k] for k in names}), names)
+
+
+def scaled(cells: DataFrame, factor: float) -> DataFrame:
+    return cells.withColumn("value", F.col("value") * factor)
 
 
 def slope(cells: DataFrame, size: float = 1.0) -> DataFrame:
     """Degrees of slope by Horn's 3 x 3 differences."""
-    x, y = (convolve(cells, KERNELS[k]).withColumnRenamed("value", k) for k in ("sobel_x", "sobel_y"))
-    return x.join(y, CELL).select(*CELL, F.degrees(F.atan(F.sqrt(F.col("sobel_x") ** 2 + F.col("sobel_y") ** 2) / (8 * size))).alias("value"))
+    return sobel(cells).withColumn("value", F.degrees(F.atan(F.sqrt(F.col("sobel_x") ** 2 + F.col("sobel_y") ** 2) / (8 * size)))).drop("sobel_x", "sobel_y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .coverage import CELL, KERNELS, neighbours
+from .coverage import CELL, focal, sobel
 from .feature import contains
 from .spatial import nearest, within_distance
 
@@ -49,16 +49,12 @@ def entropy(cells: DataFrame, width: float = 1.0) -> DataFrame:
 
 def focal_mode(cells: DataFrame, radius: int = 1) -> DataFrame:
     """The most frequent value of each cell's window, the least of equals."""
-    own = F.max((F.col("dx") == 0) & (F.col("dy") == 0))
-    return neighbours(cells, radius).groupBy(*CELL).agg(F.mode("value", True).alias("value"), own.alias("own")).where("own").drop("own")
+    return focal(cells, "mode", radius)
 
 
 def gradient(cells: DataFrame) -> DataFrame:
-    """The length of the gradient by Sobel's kernels, both sums in one aggregate."""
-    weight = lambda k: sum((F.when((F.col("dx") == x - 1) & (F.col("dy") == y - 1), float(w)).otherwise(0.0) for y, row in enumerate(KERNELS[k]) for x, w in enumerate(row) if w), F.lit(0.0))
-    own = F.max((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own")
-    sums = neighbours(cells, 1).groupBy(*CELL).agg(F.sum(F.col("value") * weight("sobel_x")).alias("gx"), F.sum(F.col("value") * weight("sobel_y")).alias("gy"), own)
-    return sums.where("own").select(*CELL, F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("value"))
+    """The length of the gradient by Sobel's kernels, both sums from one pass."""
+    return sobel(cells).withColumn("value", F.sqrt(F.col("sobel_x") ** 2 + F.col("sobel_y") ** 2)).drop("sobel_x", "sobel_y")
 
 
 def near_black(cells: DataFrame, most: float) -> DataFrame:
@@ -92,7 +88,8 @@ def buffered(cells: DataFrame, targets: DataFrame, distances: list[float]) -> Da
 def filled(cells: DataFrame, places: DataFrame, radius: float, power: float = 2.0) -> DataFrame:
     """The coverage with the places (px, py) it lacks filled by the inverse-distance mean of cells within a radius; places without any stay away."""
     own = cells.select(*CELL, "value").where("value is not null")
-    gaps = own.select("band").distinct().join(F.broadcast(places.select("px", "py").distinct())).join(own, CELL, "left_anti")  # a coverage has a handful of bands
+    bands = sorted(r[0] for r in own.select("band").distinct().collect())  # a coverage has a handful
+    gaps = places.select("px", "py").distinct().select(F.explode(F.array(*map(F.lit, bands)) if bands else F.array().cast("array<string>")).alias("band"), "px", "py").join(own, CELL, "left_anti")
     left = gaps.select("px", "py").distinct().select(F.struct("px", "py").alias("id"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
     right = own.select(F.struct("px", "py").alias("id"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), F.struct("band", "value").alias("v"))
     near = within_distance(left, right, radius).where("d > 0").select(F.col("vj.band").alias("band"), "i.px", "i.py", F.col("vj.value").alias("near"), "d")

@@ -1,64 +1,62 @@
 """Terrain measures over 3 x 3 windows, resampling, overlays of category maps and colours, and sensor calibration.
 
-Coverages are tables of cells (band, px, py, value); rows of py go south. Windows come from the neighbour join of the coverage
-operators: every cell is sent to its eight neighbours, so a window's group never holds more than nine rows.
+Coverages are tables of cells (band, px, py, value), and cubes have an instant as well; rows of py go south. Windows work on tiles that
+exchange their borders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import cos, pi, radians, sin
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .coverage import CELL, KERNELS, REDUCERS, convolve, neighbours
+from . import tiles
+from .coverage import CELL, REDUCERS, sobel
 from .statistics import numbered
 
 
 def _gradient(cells: DataFrame, size: float) -> DataFrame:
     """gx (to the east) and gy (to the south) by Horn's differences; cells that are not there count as 0."""
-    x, y = (convolve(cells, KERNELS[k]).withColumnRenamed("value", k) for k in ("sobel_x", "sobel_y"))
-    return x.join(y, CELL).select(*CELL, (F.col("sobel_x") / (8 * size)).alias("gx"), (F.col("sobel_y") / (8 * size)).alias("gy"))
+    return sobel(cells).withColumns({"gx": F.col("sobel_x") / (8 * size), "gy": F.col("sobel_y") / (8 * size)}).drop("sobel_x", "sobel_y")
 
 
 def aspect(cells: DataFrame, size: float = 1.0) -> DataFrame:
     """The compass direction in which the ground falls, 0 (north) to under 360 degrees; null where it is flat."""
     east, north = -F.col("gx"), F.col("gy")
     turned = F.degrees(F.atan2(east, north))
-    return _gradient(cells, size).select(*CELL, F.when((F.col("gx") != 0) | (F.col("gy") != 0), F.when(turned < 0, turned + 360).otherwise(F.abs(turned))).alias("value"))
+    return _gradient(cells, size).withColumn("value", F.when((F.col("gx") != 0) | (F.col("gy") != 0), F.when(turned < 0, turned + 360).otherwise(F.abs(turned)))).drop("gx", "gy")
 
 
 def hillshade(cells: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, size: float = 1.0) -> DataFrame:
     """Light from 1 (shade) to 255 by the angle between the ground's normal and the sun."""
     sun = sin(radians(altitude)) + cos(radians(altitude)) * (F.col("gy") * cos(radians(azimuth)) - F.col("gx") * sin(radians(azimuth)))
     light = sun / F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return _gradient(cells, size).select(*CELL, F.when(light > 0, 1 + 254 * light).otherwise(1.0).alias("value"))
+    return _gradient(cells, size).withColumn("value", F.when(light > 0, 1 + 254 * light).otherwise(1.0)).drop("gx", "gy")
 
 
-def _window(cells: DataFrame) -> DataFrame:
-    """Each cell's own value and the values of the window's other cells."""
-    here = (F.col("dx") == 0) & (F.col("dy") == 0)
-    own, around = F.max(F.when(here, F.col("value"))).alias("own"), F.collect_list(F.when(~here, F.col("value"))).alias("around")
-    return neighbours(cells, 1).groupBy(*CELL).agg(own, around).where("own is not null and size(around) > 0")
-
-
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+def _window(cells: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """A measure of each cell's own value and those of the eight around it (NaN without data), where both are there."""
+    found = tiles.windows(cells, 1, lambda values, there: measure(values[4], np.delete(values, 4, axis=0)))
+    return found.where("value is not null")
 
 
 def ruggedness(cells: DataFrame) -> DataFrame:
     """The mean absolute difference from the eight cells around."""
-    return _window(cells).select(*CELL, _mean(F.transform("around", lambda v: F.abs(v - F.col("own")))).alias("value"))
+    return _window(cells, lambda own, around: np.nansum(np.abs(around - own), axis=0) / (~np.isnan(around - own)).sum(axis=0))
 
 
 def position_index(cells: DataFrame) -> DataFrame:
     """The value less the mean of the eight cells around."""
-    return _window(cells).select(*CELL, (F.col("own") - _mean(F.col("around"))).alias("value"))
+    return _window(cells, lambda own, around: own - np.nansum(around, axis=0) / (~np.isnan(around)).sum(axis=0))
 
 
 def roughness(cells: DataFrame) -> DataFrame:
     """The largest less the smallest value of the window."""
-    return _window(cells).select(*CELL, (F.greatest("own", F.array_max("around")) - F.least("own", F.array_min("around"))).alias("value"))
+    apart = lambda own, around: np.fmax(own, np.fmax.reduce(around, axis=0)) - np.fmin(own, np.fmin.reduce(around, axis=0))
+    return _window(cells, lambda own, around: np.where(np.isnan(own) | tiles.nothing(around), np.nan, apart(own, around)))
 
 
 def coarser(cells: DataFrame, factor: int, method: str = "mean") -> DataFrame:

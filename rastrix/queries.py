@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import grid
 from .operators import autoregression, composite, coverage, cube, feature, image, interpolation, overlay, regression, spatial, statistics, terrain
 from .plans import catalogue
-from .plans.expression import compile_graph
+from .plans.expression import Place, compile_graph
 from .sources import files
 from .sources import fixtures as fx
 from .streaming import windows
@@ -33,13 +34,20 @@ def year(spark: SparkSession, sf_dir: str, at: int) -> DataFrame:
     return fx.cube(spark, sf_dir).where(F.col("instant") == at).drop("instant")
 
 
+def every_year(spark: SparkSession, sf_dir: str, ahead: int = 0) -> DataFrame:
+    """All years of the cube, each a set of bands of its own; with ahead=1 each year has the next one's values."""
+    return fx.cube(spark, sf_dir).select(F.concat_ws("-", "band", F.col("instant") - ahead).alias("band"), "px", "py", "value")
+
+
 def whole(cells: DataFrame) -> DataFrame:
     return cells.withColumn("value", F.floor("value").cast("long"))
 
 
 W = f"WITH {fx.CUBE}"
 AB = f"{W}, a AS (SELECT * FROM cube WHERE instant = 1995), b AS (SELECT * FROM cube WHERE instant = 1996)"
-SQL_BINARY = {"add": "a.value + b.value", "subtract": "a.value - b.value", "multiply": "a.value * b.value", "divide": "a.value / nullif(b.value, 0)", "pow": "pow(a.value, b.value)", "mini": "least(a.value, b.value)", "maxi": "greatest(a.value, b.value)", "atan2": "atan2(a.value, b.value)"}
+#: The whole cube: bands are named by band and year; `b` has each year's next one under its name.
+ALL = f"{W}, a AS (SELECT band || '-' || instant AS band, px, py, value FROM cube), b AS (SELECT band || '-' || (instant - 1) AS band, px, py, value FROM cube)"
+SQL_BINARY = {"add": "a.value + b.value", "subtract": "a.value - b.value", "multiply": "a.value * b.value", "divide": "a.value / nullif(b.value, 0)", "pow": "pow(a.value, b.value / 32)", "mini": "least(a.value, b.value)", "maxi": "greatest(a.value, b.value)", "atan2": "atan2(a.value, b.value)"}
 SQL_WHOLE = {"eq": "CAST(a.v = b.v AS INT)", "neq": "CAST(a.v <> b.v AS INT)", "gt": "CAST(a.v > b.v AS INT)", "gte": "CAST(a.v >= b.v AS INT)", "lt": "CAST(a.v < b.v AS INT)", "lte": "CAST(a.v <= b.v AS INT)", "and": "a.v & b.v", "or": "a.v | b.v"}
 SQL_UNARY = {**{n: f"{n}(v)" for n in ("sin", "cos", "tan", "sinh", "cosh", "tanh", "atan", "abs", "cbrt")}, "ceil": "CAST(ceil(v) AS BIGINT)", "floor": "CAST(floor(v) AS BIGINT)", "signum": "CAST(sign(v) AS DOUBLE)", "asin": "CASE WHEN abs(v) <= 1 THEN asin(v) END", "acos": "CASE WHEN abs(v) <= 1 THEN acos(v) END", "log": "CASE WHEN v > 0 THEN ln(v) END", "log10": "CASE WHEN v > 0 THEN log10(v) END", "sqrt": "CASE WHEN v >= 0 THEN sqrt(v) END", "round": "CAST(floor(v + 0.5) AS BIGINT)", "not": "~CAST(trunc(v) AS BIGINT)"}
 SQL_CAST = {"toInt8": "(CAST(trunc(v) AS BIGINT) + 128 + 256) % 256 - 128", "toUint8": "CAST(trunc(v) AS BIGINT) % 256", "toInt16": "(CAST(trunc(v) AS BIGINT) + 32768) % 65536 - 32768", "toUint16": "CAST(trunc(v) AS BIGINT) % 65536", "toInt32": "CAST(trunc(v) AS INT)", "toFloat": "round(CAST(v AS FLOAT), 3)", "toDouble": "v"}
@@ -52,29 +60,29 @@ def _r(x: str) -> str:
 
 for _op in coverage.BINARY:
     if _op in SQL_BINARY:
-        query(f"cov_{_op}", f"{AB} SELECT a.band, a.px, a.py, {_r(SQL_BINARY[_op])} AS value FROM a JOIN b USING (band, px, py)", lambda s, d, op=_op: coverage.binary(year(s, d, 1995), year(s, d, 1996), op))
+        query(f"cov_{_op}", f"{ALL} SELECT a.band, a.px, a.py, {_r(SQL_BINARY[_op])} AS value FROM a JOIN b USING (band, px, py)", lambda s, d, op=_op: coverage.binary(every_year(s, d), every_year(s, d, 1).withColumn("value", F.col("value") / (32 if op == "pow" else 1)), op))
     else:
-        query(f"cov_{_op}", f"{AB}, af AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM a), bf AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM b) SELECT a.band, a.px, a.py, {SQL_WHOLE[_op]} AS value FROM af a JOIN bf b USING (band, px, py)", lambda s, d, op=_op: coverage.binary(whole(year(s, d, 1995)), whole(year(s, d, 1996)), op))
+        query(f"cov_{_op}", f"{ALL}, af AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM a), bf AS (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM b) SELECT a.band, a.px, a.py, {SQL_WHOLE[_op]} AS value FROM af a JOIN bf b USING (band, px, py)", lambda s, d, op=_op: coverage.binary(whole(every_year(s, d)), whole(every_year(s, d, 1)), op))
 for _op in coverage.UNARY:
     _sql = SQL_UNARY[_op]
-    query(f"cov_{_op}", f"{AB}, c AS (SELECT band, px, py, value / 8 - 0.25 AS v FROM a) SELECT band, px, py, {_r(_sql) if 'BIGINT' not in _sql else _sql} AS value FROM c", lambda s, d, op=_op: coverage.unary(year(s, d, 1995).withColumn("value", F.col("value") / 8 - 0.25), op))
+    query(f"cov_{_op}", f"{ALL}, c AS (SELECT band, px, py, value / 8 - 0.25 AS v FROM a) SELECT band, px, py, {_r(_sql) if 'BIGINT' not in _sql else _sql} AS value FROM c", lambda s, d, op=_op: coverage.unary(every_year(s, d).withColumn("value", F.col("value") / 8 - 0.25), op))
 for _op in coverage.CASTS:
-    query(f"cov_{_op}", f"{AB}, c AS (SELECT band, px, py, value * 7 AS v FROM a) SELECT band, px, py, {_r(SQL_CAST[_op]) if _op == 'toDouble' else SQL_CAST[_op]} AS value FROM c", lambda s, d, op=_op: coverage.cast(year(s, d, 1995).withColumn("value", F.col("value") * 7), op).withColumn("value", F.round("value", 3) if op == "toFloat" else F.col("value")))
+    query(f"cov_{_op}", f"{ALL}, c AS (SELECT band, px, py, value * 7 AS v FROM a) SELECT band, px, py, {_r(SQL_CAST[_op]) if _op == 'toDouble' else SQL_CAST[_op]} AS value FROM c", lambda s, d, op=_op: coverage.cast(every_year(s, d).withColumn("value", F.col("value") * 7), op).withColumn("value", F.round("value", 3) if op == "toFloat" else F.col("value")))
 for _op, _sql in SQL_REDUCE.items():
     query(f"mosaic_{_op}", f"{W} SELECT band, px, py, {_r(_sql)} AS value FROM cube GROUP BY ALL", lambda s, d, op=_op: coverage.mosaic(fx.cube(s, d), op))
-    query(f"cov_focal_{_op}", f"{AB} SELECT c.band, c.px, c.py, {_r(_sql.replace('value', 'n.value'))} AS value FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1 GROUP BY ALL", lambda s, d, op=_op: coverage.focal(year(s, d, 1995), op))
+    query(f"cov_focal_{_op}", f"{ALL} SELECT c.band, c.px, c.py, {_r(_sql.replace('value', 'n.value'))} AS value FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1 GROUP BY ALL", lambda s, d, op=_op: coverage.focal(every_year(s, d), op))
 query("mosaic_mode", f"{W}, k AS (SELECT band, px, py, CAST(floor(value) AS BIGINT) AS v, count(*) AS n FROM cube GROUP BY ALL) SELECT band, px, py, v AS value FROM k QUALIFY row_number() OVER (PARTITION BY band, px, py ORDER BY n DESC, v) = 1", lambda s, d: coverage.mosaic(whole(fx.cube(s, d)), "mode"))
 for _op in ("or", "and"):
     query(f"mosaic_{_op}", f"{W} SELECT band, px, py, bit_{_op}(CAST(floor(value) AS BIGINT)) AS value FROM cube GROUP BY ALL", lambda s, d, op=_op: coverage.mosaic(whole(fx.cube(s, d)), op))
 query("cov_select_bands", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE band IN ('NIR', 'Red')", lambda s, d: coverage.select_bands(year(s, d, 1995), ["NIR", "Red"]))
-query("cov_binarization", f"{AB} SELECT band, px, py, CASE WHEN value > 25 THEN 255 ELSE 0 END AS value FROM a", lambda s, d: coverage.binarization(year(s, d, 1995), 25))
-query("cov_clamp", f"{AB} SELECT band, px, py, {_r('least(greatest(value, 5), 30)')} AS value FROM a", lambda s, d: coverage.clamp(year(s, d, 1995), 5, 30))
-query("cov_remap", f"{AB} SELECT band, px, py, CAST(CASE floor(value) WHEN 4 THEN 1 WHEN 5 THEN 2 END AS DOUBLE) AS value FROM a", lambda s, d: coverage.remap(year(s, d, 1995).withColumn("value", F.floor("value")), {4: 1, 5: 2}))
-query("cov_histogram", f"{AB} SELECT band, CAST(floor(value / 2) AS BIGINT) AS bin, count(*) AS n FROM a GROUP BY ALL", lambda s, d: coverage.histogram(year(s, d, 1995), 2.0))
+query("cov_binarization", f"{ALL} SELECT band, px, py, CASE WHEN value > 25 THEN 255 ELSE 0 END AS value FROM a", lambda s, d: coverage.binarization(every_year(s, d), 25))
+query("cov_clamp", f"{ALL} SELECT band, px, py, {_r('least(greatest(value, 5), 30)')} AS value FROM a", lambda s, d: coverage.clamp(every_year(s, d), 5, 30))
+query("cov_remap", f"{ALL} SELECT band, px, py, CAST(CASE floor(value) WHEN 4 THEN 1 WHEN 5 THEN 2 END AS DOUBLE) AS value FROM a", lambda s, d: coverage.remap(every_year(s, d).withColumn("value", F.floor("value")), {4: 1, 5: 2}))
+query("cov_histogram", f"{ALL} SELECT band, CAST(floor(value / 2) AS BIGINT) AS bin, count(*) AS n FROM a GROUP BY ALL", lambda s, d: coverage.histogram(every_year(s, d), 2.0))
 for _k, _rows in coverage.KERNELS.items():
     _terms = " ".join(f"WHEN n.px - c.px = {x - 1} AND n.py - c.py = {y - 1} THEN {w}" for y, r in enumerate(_rows) for x, w in enumerate(r))
-    query(f"cov_convolve_{_k}", f"{AB} SELECT c.band, c.px, c.py, {_r(f'sum(n.value * CASE {_terms} END)')} AS value FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1 GROUP BY ALL", lambda s, d, k=_k: coverage.convolve(year(s, d, 1995), coverage.KERNELS[k]))
-query("terrain_slope", f"{AB}, g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) AS gy FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1 GROUP BY ALL) SELECT band, px, py, {_r('degrees(atan(sqrt(gx * gx + gy * gy) / 8))')} AS value FROM g", lambda s, d: coverage.slope(year(s, d, 1995)))
+    query(f"cov_convolve_{_k}", f"{ALL} SELECT c.band, c.px, c.py, {_r(f'sum(n.value * CASE {_terms} END)')} AS value FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1 GROUP BY ALL", lambda s, d, k=_k: coverage.convolve(every_year(s, d), coverage.KERNELS[k]))
+query("terrain_slope", f"{ALL}, g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) AS gy FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1 GROUP BY ALL) SELECT band, px, py, {_r('degrees(atan(sqrt(gx * gx + gy * gy) / 8))')} AS value FROM g", lambda s, d: coverage.slope(every_year(s, d)))
 
 _wide = f"{W}, w AS (SELECT * FROM wide)"
 _thr = "CASE WHEN v > {t} THEN 255 WHEN v >= -1 THEN 0 END"
@@ -183,21 +191,21 @@ query("dag_normalised", f"{AB} SELECT a.band, a.px, a.py, {_r('(a.value - b.valu
 query("flagship_ndvi", f"{W} SELECT px, py, round(avg((NIR - Red) / nullif(NIR + Red, 0)), 6) AS value FROM wide GROUP BY ALL", lambda s, d: cube.ndvi(fx.cube(s, d)).groupBy("px", "py").agg(F.avg("value").alias("value")))
 
 _win = "c.band = n.band AND abs(c.px - n.px) <= 1 AND abs(c.py - n.py) <= 1"
-_g = f"{AB}, f AS (SELECT band, px, py, floor(value) AS value FROM a), g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) / 8 AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) / 8 AS gy FROM f c JOIN f n ON {_win} GROUP BY ALL)"
-query("terrain_aspect", f"{_g}, t AS (SELECT band, px, py, CASE WHEN gx <> 0 OR gy <> 0 THEN degrees(atan2(-gx, gy)) END AS v FROM g) SELECT band, px, py, {_r('CASE WHEN v < 0 THEN v + 360 ELSE abs(v) END')} AS value FROM t", lambda s, d: terrain.aspect(whole(year(s, d, 1995))))
-query("terrain_hillshade", f"{_g}, l AS (SELECT band, px, py, (sin(radians(45)) + cos(radians(45)) * (gy * cos(radians(315)) - gx * sin(radians(315)))) / sqrt(1 + gx * gx + gy * gy) AS v FROM g) SELECT band, px, py, {_r('CASE WHEN v > 0 THEN 1 + 254 * v ELSE 1.0 END')} AS value FROM l", lambda s, d: terrain.hillshade(whole(year(s, d, 1995))))
+_g = f"{ALL}, f AS (SELECT band, px, py, floor(value) AS value FROM a), g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) / 8 AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) / 8 AS gy FROM f c JOIN f n ON {_win} GROUP BY ALL)"
+query("terrain_aspect", f"{_g}, t AS (SELECT band, px, py, CASE WHEN gx <> 0 OR gy <> 0 THEN degrees(atan2(-gx, gy)) END AS v FROM g) SELECT band, px, py, {_r('CASE WHEN v < 0 THEN v + 360 ELSE abs(v) END')} AS value FROM t", lambda s, d: terrain.aspect(whole(every_year(s, d))))
+query("terrain_hillshade", f"{_g}, l AS (SELECT band, px, py, (sin(radians(45)) + cos(radians(45)) * (gy * cos(radians(315)) - gx * sin(radians(315)))) / sqrt(1 + gx * gx + gy * gy) AS v FROM g) SELECT band, px, py, {_r('CASE WHEN v > 0 THEN 1 + 254 * v ELSE 1.0 END')} AS value FROM l", lambda s, d: terrain.hillshade(whole(every_year(s, d))))
 for _n, _f, _e in (("ruggedness", terrain.ruggedness, "avg(abs(n.value - c.value))"), ("position", terrain.position_index, "any_value(c.value) - avg(n.value)"), ("roughness", terrain.roughness, "greatest(max(n.value), any_value(c.value)) - least(min(n.value), any_value(c.value))")):
-    query(f"terrain_{_n}", f"{AB} SELECT c.band, c.px, c.py, {_r(_e)} AS value FROM a c JOIN a n ON {_win} AND (c.px <> n.px OR c.py <> n.py) GROUP BY ALL", lambda s, d, f=_f: f(year(s, d, 1995)))
-query("resample_coarser", f"{AB} SELECT band, px // 4 AS px, py // 4 AS py, {_r('avg(value)')} AS value FROM a GROUP BY ALL", lambda s, d: terrain.coarser(year(s, d, 1995), 4))
-query("resample_finer", f"{AB} SELECT band, px * 2 + i AS px, py * 2 + j AS py, {_r('value')} AS value FROM a, range(2) t(i), range(2) u(j)", lambda s, d: terrain.finer(year(s, d, 1995), 2))
-query("map_patch", f"{AB}, e AS (SELECT * FROM a WHERE px % 2 = 0) SELECT band, px, py, {_r('coalesce(e.value, b.value)')} AS value FROM e FULL JOIN b USING (band, px, py)", lambda s, d: terrain.patch(year(s, d, 1995).where("px % 2 = 0"), year(s, d, 1996)))
-query("map_cross", f"{AB} SELECT a.band, px, py, dense_rank() OVER (ORDER BY floor(a.value), floor(b.value)) - 1 AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.cross(whole(year(s, d, 1995)), whole(year(s, d, 1996))))
-query("map_blend", f"{AB} SELECT a.band, px, py, {_r('a.value * 0.25 + b.value * (1 - 0.25)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.blend(year(s, d, 1995), year(s, d, 1996), 25))
-query("map_shade", f"{AB} SELECT a.band, px, py, {_r('least(255, greatest(0, a.value / 255 * b.value * 1.2))')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.shade(year(s, d, 1995), year(s, d, 1996), 20))
+    query(f"terrain_{_n}", f"{ALL} SELECT c.band, c.px, c.py, {_r(_e)} AS value FROM a c JOIN a n ON {_win} AND (c.px <> n.px OR c.py <> n.py) GROUP BY ALL", lambda s, d, f=_f: f(every_year(s, d)))
+query("resample_coarser", f"{ALL} SELECT band, px // 4 AS px, py // 4 AS py, {_r('avg(value)')} AS value FROM a GROUP BY ALL", lambda s, d: terrain.coarser(every_year(s, d), 4))
+query("resample_finer", f"{ALL} SELECT band, px * 2 + i AS px, py * 2 + j AS py, {_r('value')} AS value FROM a, range(2) t(i), range(2) u(j)", lambda s, d: terrain.finer(every_year(s, d), 2))
+query("map_patch", f"{ALL}, e AS (SELECT * FROM a WHERE px % 2 = 0) SELECT band, px, py, {_r('coalesce(e.value, b.value)')} AS value FROM e FULL JOIN b USING (band, px, py)", lambda s, d: terrain.patch(every_year(s, d).where("px % 2 = 0"), every_year(s, d, 1)))
+query("map_cross", f"{ALL} SELECT a.band, px, py, dense_rank() OVER (ORDER BY floor(a.value), floor(b.value)) - 1 AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.cross(whole(every_year(s, d)), whole(every_year(s, d, 1))))
+query("map_blend", f"{ALL} SELECT a.band, px, py, {_r('a.value * 0.25 + b.value * (1 - 0.25)')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.blend(every_year(s, d), every_year(s, d, 1), 25))
+query("map_shade", f"{ALL} SELECT a.band, px, py, {_r('least(255, greatest(0, a.value / 255 * b.value * 1.2))')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: terrain.shade(every_year(s, d), every_year(s, d, 1), 20))
 query("map_rgb", f"{AB}, l AS (SELECT px, py, band, floor(least(255, greatest(0, value)) * 32 / 256) AS v FROM a) SELECT px, py, CAST(max(v) FILTER (WHERE band = 'Red') * 1024 + max(v) FILTER (WHERE band = 'NIR') * 32 + max(v) FILTER (WHERE band = 'Green') AS BIGINT) AS value FROM l GROUP BY ALL", lambda s, d: terrain.rgb(year(s, d, 1995), ["Red", "NIR", "Green"]))
 query("cov_add_bands", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE band IN ('NIR', 'Red') UNION ALL SELECT band, px, py, {_r('value')} FROM b WHERE band = 'Green'", lambda s, d: terrain.add_bands(year(s, d, 1995).where("band in ('NIR', 'Red')"), year(s, d, 1996), ["Red", "Green"]))
 query("cov_rename_bands", f"{AB} SELECT CASE band WHEN 'Red' THEN 'B4' WHEN 'NIR' THEN 'B5' ELSE band END AS band, px, py, {_r('value')} AS value FROM a", lambda s, d: terrain.rename_bands(year(s, d, 1995), {"Red": "B4", "NIR": "B5"}))
-query("ard_reflectance", f"{AB} SELECT band, px, py, {_r('(CASE WHEN value <> 0 THEN value * 0.5 - 1.5 END - 0.25) * (pi() * 0.98 * 0.98 / (150.0 * cos(radians(35))))')} AS value FROM a", lambda s, d: terrain.reflectance(year(s, d, 1995), 0.5, -1.5, 150.0, 35.0, 0.98, 0.25))
+query("ard_reflectance", f"{ALL} SELECT band, px, py, {_r('(CASE WHEN value <> 0 THEN value * 0.5 - 1.5 END - 0.25) * (pi() * 0.98 * 0.98 / (150.0 * cos(radians(35))))')} AS value FROM a", lambda s, d: terrain.reflectance(every_year(s, d), 0.5, -1.5, 150.0, 35.0, 0.98, 0.25))
 _scenes = f"{W}, sc AS (SELECT * FROM wide WHERE Red IS NOT NULL AND NIR IS NOT NULL AND Green IS NOT NULL)"
 query("composite_medoid", f"{_scenes}, t AS (SELECT p.px, p.py, p.instant, any_value(p.Red) AS Red, any_value(p.NIR) AS NIR, any_value(p.Green) AS Green, round(sum(sqrt((p.Red - q.Red) * (p.Red - q.Red) + (p.NIR - q.NIR) * (p.NIR - q.NIR) + (p.Green - q.Green) * (p.Green - q.Green))), 9) AS total FROM sc p JOIN sc q ON p.px = q.px AND p.py = q.py GROUP BY ALL) SELECT px, py, instant, {_r('Red')} AS Red, {_r('NIR')} AS NIR, {_r('Green')} AS Green FROM t QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY total, instant) = 1", lambda s, d: composite.medoid(fx.cube(s, d), ["Red", "NIR", "Green"]))
 query("composite_geomedian", None, lambda s, d: composite.geometric_median(fx.cube(s, d), ["Red", "NIR", "Green"]))
@@ -275,23 +283,23 @@ query("dag_named_arguments", f"{AB} SELECT a.band, a.px, a.py, {_r('a.value - b.
 
 # colours, masks, distances, gaps, resolutions
 
-_rgb = f"{AB}, c AS (SELECT px, py, Red / 255 AS r, NIR / 255 AS g, Green / 255 AS b FROM wide WHERE instant = 1995), h AS (SELECT px, py, r, g, b, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS df FROM c), v AS (SELECT px, py, CASE WHEN df = 0 THEN 0.0 WHEN mx = r THEN CASE WHEN g >= b THEN 60 * (g - b) / df ELSE 60 * (g - b) / df + 360 END WHEN mx = g THEN 60 * (b - r) / df + 120 ELSE 60 * (r - g) / df + 240 END AS hue, CASE WHEN mx = 0 THEN 0.0 ELSE df / mx END AS saturation, mx AS value FROM h)"
+_rgb = f"{ALL}, c AS (SELECT px, py, Red / 255 AS r, NIR / 255 AS g, Green / 255 AS b FROM wide WHERE instant = 1995), h AS (SELECT px, py, r, g, b, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS df FROM c), v AS (SELECT px, py, CASE WHEN df = 0 THEN 0.0 WHEN mx = r THEN CASE WHEN g >= b THEN 60 * (g - b) / df ELSE 60 * (g - b) / df + 360 END WHEN mx = g THEN 60 * (b - r) / df + 120 ELSE 60 * (r - g) / df + 240 END AS hue, CASE WHEN mx = 0 THEN 0.0 ELSE df / mx END AS saturation, mx AS value FROM h)"
 hsv = lambda s, d: image.rgb_to_hsv(year(s, d, 1995), "Red", "NIR", "Green")
 query("cov_rgb_to_hsv", f"{_rgb} SELECT px, py, 'hue' AS band, {_r('hue')} AS value FROM v UNION ALL SELECT px, py, 'saturation', {_r('saturation')} FROM v UNION ALL SELECT px, py, 'value', {_r('value')} FROM v", hsv)
 query("cov_hsv_to_rgb", f"{AB} SELECT px, py, CASE band WHEN 'Red' THEN 'red' WHEN 'NIR' THEN 'green' ELSE 'blue' END AS band, {_r('value')} AS value FROM a WHERE band IN ('Red', 'NIR', 'Green')", lambda s, d: image.hsv_to_rgb(hsv(s, d)))
-query("cov_entropy", f"{AB}, k AS (SELECT band, floor(value / 2) AS bin, count(*) AS n FROM a GROUP BY ALL) SELECT band, {_r('log2(sum(n)) - sum(n * log2(n)) / sum(n)')} AS entropy FROM k GROUP BY band", lambda s, d: image.entropy(year(s, d, 1995), 2.0))
-query("cov_focal_mode", f"{AB}, f AS (SELECT band, px, py, CAST(floor(value) AS BIGINT) AS value FROM a), k AS (SELECT c.band, c.px, c.py, n.value, count(*) AS n FROM f c JOIN f n ON {_win} GROUP BY ALL) SELECT band, px, py, value FROM k QUALIFY row_number() OVER (PARTITION BY band, px, py ORDER BY n DESC, value) = 1", lambda s, d: image.focal_mode(whole(year(s, d, 1995))))
-query("cov_gradient", f"{AB}, g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) AS gy FROM a c JOIN a n ON {_win} GROUP BY ALL) SELECT band, px, py, {_r('sqrt(gx * gx + gy * gy)')} AS value FROM g", lambda s, d: image.gradient(year(s, d, 1995)))
-query("cov_near_black", f"{AB} SELECT band, px, py, {_r('CASE WHEN abs(value) <= 4 THEN 0 ELSE value END')} AS value FROM a", lambda s, d: image.near_black(year(s, d, 1995), 4.0))
+query("cov_entropy", f"{ALL}, k AS (SELECT band, floor(value / 2) AS bin, count(*) AS n FROM a GROUP BY ALL) SELECT band, {_r('log2(sum(n)) - sum(n * log2(n)) / sum(n)')} AS entropy FROM k GROUP BY band", lambda s, d: image.entropy(every_year(s, d), 2.0))
+query("cov_focal_mode", f"{ALL}, f AS (SELECT band, px, py, CAST(floor(value) AS BIGINT) AS value FROM a), k AS (SELECT c.band, c.px, c.py, n.value, count(*) AS n FROM f c JOIN f n ON {_win} GROUP BY ALL) SELECT band, px, py, value FROM k QUALIFY row_number() OVER (PARTITION BY band, px, py ORDER BY n DESC, value) = 1", lambda s, d: image.focal_mode(whole(every_year(s, d))))
+query("cov_gradient", f"{ALL}, g AS (SELECT c.band, c.px, c.py, sum(n.value * (n.px - c.px) * (2 - abs(n.py - c.py))) AS gx, sum(n.value * (n.py - c.py) * (2 - abs(n.px - c.px))) AS gy FROM a c JOIN a n ON {_win} GROUP BY ALL) SELECT band, px, py, {_r('sqrt(gx * gx + gy * gy)')} AS value FROM g", lambda s, d: image.gradient(every_year(s, d)))
+query("cov_near_black", f"{ALL} SELECT band, px, py, {_r('CASE WHEN abs(value) <= 4 THEN 0 ELSE value END')} AS value FROM a", lambda s, d: image.near_black(every_year(s, d), 4.0))
 _ring = lambda: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 1.0), (14.0, 3.0), (4.0, 13.0), (1.0, 1.0))])
-query("cov_clip_polygon", f"{AB} SELECT band, px, py, {_r('value')} AS value FROM a WHERE 13 * (py - 0.5) - 2 * (px - 0.5) > 0 AND -10 * (py - 2.5) - 10 * (px - 13.5) > 0 AND -3 * (py - 12.5) + 12 * (px - 3.5) > 0", lambda s, d: image.clip(year(s, d, 1995), _ring()))
+query("cov_clip_polygon", f"{ALL} SELECT band, px, py, {_r('value')} AS value FROM a WHERE 13 * (py - 0.5) - 2 * (px - 0.5) > 0 AND -10 * (py - 2.5) - 10 * (px - 13.5) > 0 AND -3 * (py - 12.5) + 12 * (px - 3.5) > 0", lambda s, d: image.clip(every_year(s, d), _ring()))
 _tgt = "t AS (SELECT DISTINCT px, py FROM a WHERE band = 'Red' AND value > 27), u AS (SELECT DISTINCT px, py FROM a), p AS (SELECT u.px, u.py, min(sqrt((u.px - t.px) * (u.px - t.px) + (u.py - t.py) * (u.py - t.py))) AS d FROM u, t GROUP BY ALL)"
 targets = lambda s, d: year(s, d, 1995).where("band = 'Red' and value > 27")
 query("cov_proximity", f"{AB}, {_tgt} SELECT px, py, {_r('d')} AS value FROM p", lambda s, d: image.proximity(year(s, d, 1995), targets(s, d)))
 query("map_buffer", f"{AB}, {_tgt} SELECT px, py, CASE WHEN d = 0 THEN 1 WHEN d <= 1 THEN 2 WHEN d <= 2.5 THEN 3 END AS value FROM p WHERE d <= 2.5", lambda s, d: image.buffered(year(s, d, 1995), targets(s, d), [1.0, 2.5]))
 query("cov_fill_gaps", f"{AB}, e AS (SELECT * FROM a WHERE (px + 2 * py) % 5 <> 0), gaps AS (SELECT DISTINCT e.band, a.px, a.py FROM a, (SELECT DISTINCT band FROM e) e ANTI JOIN e f ON f.band = e.band AND f.px = a.px AND f.py = a.py), near AS (SELECT g.band, g.px, g.py, e.value, sqrt((g.px - e.px) * (g.px - e.px) + (g.py - e.py) * (g.py - e.py)) AS d FROM gaps g JOIN e ON e.band = g.band AND abs(g.px - e.px) <= 2 AND abs(g.py - e.py) <= 2) SELECT band, px, py, {_r('value')} AS value FROM e UNION ALL SELECT band, px, py, {_r('sum(value / (d * d)) / sum(1 / (d * d))')} FROM near WHERE d <= 2 GROUP BY ALL", lambda s, d: image.filled(year(s, d, 1995).where("(px + 2 * py) % 5 <> 0"), year(s, d, 1995), 2.0))
-query("cov_add_aligned", f"{AB}, c AS (SELECT band, px // 2 AS px, py // 2 AS py, avg(value) AS value FROM a GROUP BY ALL) SELECT b.band, b.px, b.py, {_r('c.value + b.value')} AS value FROM b JOIN c ON c.band = b.band AND c.px = b.px // 2 AND c.py = b.py // 2", lambda s, d: coverage.binary(*image.aligned(image.to_resolution(year(s, d, 1995), 1, 2), 2, year(s, d, 1996), 1), "add"))
-query("cov_metadata", f"{AB} SELECT band, min(px) AS px0, min(py) AS py0, max(px) AS px1, max(py) AS py1, count(value) AS n, {_r('min(value)')} AS least, {_r('max(value)')} AS most FROM a GROUP BY band", lambda s, d: image.metadata(year(s, d, 1995)))
+query("cov_add_aligned", f"{ALL}, c AS (SELECT band, px // 2 AS px, py // 2 AS py, avg(value) AS value FROM a GROUP BY ALL) SELECT b.band, b.px, b.py, {_r('c.value + b.value')} AS value FROM b JOIN c ON c.band = b.band AND c.px = b.px // 2 AND c.py = b.py // 2", lambda s, d: coverage.binary(*image.aligned(image.to_resolution(every_year(s, d), 1, 2), 2, every_year(s, d, 1), 1), "add"))
+query("cov_metadata", f"{ALL} SELECT band, min(px) AS px0, min(py) AS py0, max(px) AS px1, max(py) AS py1, count(value) AS n, {_r('min(value)')} AS least, {_r('max(value)')} AS most FROM a GROUP BY band", lambda s, d: image.metadata(every_year(s, d)))
 
 # detectors, samples, components, model output
 
@@ -322,8 +330,8 @@ query("poly_shared_area", f"{N} SELECT a.id AS i, b.id AS j, {_r('CAST(greatest(
 query("poly_dissolve", f"{N}, e AS (SELECT p.id, n_regionkey AS region, unnest([[cx, cy, cx + 1, cy], [cx + 1, cy, cx + 1, cy + 1], [cx, cy + 1, cx + 1, cy + 1], [cx, cy, cx, cy + 1]]) AS e FROM poly p JOIN nation ON n_nationkey = p.id), o AS (SELECT region, e FROM e GROUP BY ALL HAVING count(*) = 1) SELECT region, count(*) AS n FROM o GROUP BY region", lambda s, d: overlay.dissolved(fx.nations(s, d).join(fx.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region")), "id"), "region").groupBy("region").agg(F.count("*").alias("n")))
 query("poly_points_along", f"{T} SELECT id, {_r('ax + (bx - ax) * k / 4')} AS x, {_r('ay + (b_y - ay) * k / 4')} AS y FROM edges, range(4) r(k)", lambda s, d: fx.triangles(s, d).select("id", F.explode(overlay.along(F.col("ring"), 4)).alias("p")).select("id", "p.x", "p.y"))
 query("poly_rasterise", f"{T}, t2 AS (SELECT id, x1 + 0.137 AS x1, y1 + 0.211 AS y1, x2 + 0.137 AS x2, y2 + 0.211 AS y2, x3 + 0.137 AS x3, y3 + 0.211 AS y3 FROM tri), c AS (SELECT id, px, py FROM t2, range(110) a(px), range(110) b(py) WHERE px >= x1 - 1 AND px <= x1 + 10 AND py >= y1 - 1 AND py <= y1 + 10 AND (x2 - x1) * (py + 0.5 - y1) - (y2 - y1) * (px + 0.5 - x1) > 0 AND (x3 - x2) * (py + 0.5 - y2) - (y3 - y2) * (px + 0.5 - x2) > 0 AND (x1 - x3) * (py + 0.5 - y3) - (y1 - y3) * (px + 0.5 - x3) > 0) SELECT px, py, max(id) * 2.0::DOUBLE AS value FROM c GROUP BY ALL", lambda s, d: overlay.rasterised(fx.triangles(s, d).select("id", F.transform("ring", lambda p: F.struct((p.x + 0.137).alias("x"), (p.y + 0.211).alias("y"))).alias("ring"), (F.col("id") * 2.0).alias("v")), 1.0))
-query("cov_texture", f"{AB}, p AS (SELECT a.band, floor(a.value) AS x, floor(n.value) AS y, count(*) AS n FROM a JOIN a n ON a.band = n.band AND n.px = a.px + 1 AND n.py = a.py GROUP BY ALL), q AS (SELECT *, n / sum(n) OVER (PARTITION BY band) AS p FROM p) SELECT band, {_r('sum(p * (x - y) * (x - y))')} AS contrast, {_r('sum(p * p)')} AS energy, {_r('sum(p / (1 + (x - y) * (x - y)))')} AS homogeneity, {_r('-sum(p * log2(p))')} AS entropy FROM q GROUP BY band", lambda s, d: image.texture(year(s, d, 1995)))
-query("cov_latitude", f"{AB} SELECT band, px, py, {_r('60 - (py + 0.5) * 0.25::DOUBLE')} AS value FROM a", lambda s, d: image.latitude(year(s, d, 1995), 60.0, 0.25))
+query("cov_texture", f"{ALL}, p AS (SELECT a.band, floor(a.value) AS x, floor(n.value) AS y, count(*) AS n FROM a JOIN a n ON a.band = n.band AND n.px = a.px + 1 AND n.py = a.py GROUP BY ALL), q AS (SELECT *, n / sum(n) OVER (PARTITION BY band) AS p FROM p) SELECT band, {_r('sum(p * (x - y) * (x - y))')} AS contrast, {_r('sum(p * p)')} AS energy, {_r('sum(p / (1 + (x - y) * (x - y)))')} AS homogeneity, {_r('-sum(p * log2(p))')} AS entropy FROM q GROUP BY band", lambda s, d: image.texture(every_year(s, d)))
+query("cov_latitude", f"{ALL} SELECT band, px, py, {_r('60 - (py + 0.5) * 0.25::DOUBLE')} AS value FROM a", lambda s, d: image.latitude(every_year(s, d), 60.0, 0.25))
 query("cube_facts", f"{W} SELECT 'Green,NIR,Red,SWIR1' AS bands, count(DISTINCT instant) AS instants, min(instant) AS first, max(instant) AS last, min(px) AS px0, min(py) AS py0, max(px) AS px1, max(py) AS py1, max(px) - min(px) + 1 AS columns, max(py) - min(py) + 1 AS rows FROM cube", lambda s, d: image.cube_facts(fx.cube(s, d)))
 query("mosaic_latest", f"{W} SELECT band, px, py, {_r('arg_max(value, instant)')} AS value FROM cube GROUP BY ALL", lambda s, d: image.mosaic_latest(fx.cube(s, d)))
 query("grid_metrics", f"{_grid} SELECT id, count(*) AS n, {_r('avg(v)')} AS mean, {_r('min(v)')} AS least, {_r('max(v)')} AS most, {_r('max(v) - min(v)')} AS spread, {_r('avg(d)')} AS distance FROM near WHERE d <= 15 GROUP BY id", lambda s, d: statistics.grid_metrics(fx.suppliers(s, d), cells(s, d), 15.0))
@@ -340,3 +348,40 @@ def shared_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = overlay.polygon_join(own, moved, 2.0)
     laid = pairs.join(own.select(F.col("id").alias("i"), F.col("ring").alias("a")), "i").join(moved.select(F.col("id").alias("j"), F.col("ring").alias("b")), "j")
     return laid.select("i", "j", overlay.shared_area(F.col("a"), F.col("b")).alias("area"))
+
+
+# requests by their own argument names, in whatever order these stand
+
+
+def call(name: str, **arguments) -> dict:
+    return {"functionInvocationValue": {"functionName": name, "arguments": {k: v if isinstance(v, dict) else {"constantValue": v} for k, v in arguments.items()}}}
+
+
+ref = lambda node: {"valueReference": node}
+#: The vegetation index mapped over a collection, within the map's range.
+NDVI_REQUEST = {
+    "layerName": "ndvi",
+    "isBatch": "0",
+    "map": {"level": 8, "spatialRange": [2.5, 3.5, 9.2, 12.0]},
+    "3": call("Coverage.toDouble", coverage={"argumentReference": "_MAPPING_VAR_0_0"}),
+    "2": call("Coverage.selectBands", bands=["NIR"], coverage=ref("3")),
+    "4": call("Coverage.selectBands", bands="[Red]", coverage=ref("3")),
+    "1": call("Coverage.divide", coverage2=call("Coverage.add", coverage1=ref("2"), coverage2=ref("4")), coverage1=call("Coverage.subtract", coverage2=ref("4"), coverage1=ref("2"))),
+    "0": call("CoverageCollection.addStyles", coverageCollection=call("Collection.map", baseAlgorithm={"functionDefinitionValue": {"argumentNames": ["_MAPPING_VAR_0_0"], "body": "1"}}, collection=call("Service.getCoverageCollection", baseUrl="-", bbox=[0.0, 0.0, 16.0, 16.0], datetime=["1992-01-01 00:00:00", "1998-12-31 00:00:00"], productID="cube"))),
+}
+query("dag_request_ndvi", f"{_wide} SELECT 'NIR' AS band, instant, px, py, {_r('(NIR - Red) / nullif(NIR + Red, 0)')} AS value FROM w WHERE px < 9.2 AND px + 1 > 2.5 AND py < 12 AND py + 1 > 3.5", lambda s, d: compile_graph(json.dumps(NDVI_REQUEST), {"cube": fx.cube(s, d)}, place=Place(0.0, 0.0, 1.0)).select("band", "instant", "px", "py", "value"))
+WATER_REQUEST = {"map": {"level": 7, "spatialRange": [0, 0, 16, 16]}, "0": call("Coverage.addStyles", max=255, min=0, input=call("Coverage.binarization", threshold=0, coverage=call("Coverage.normalizedDifference", bandNames=["Green", "SWIR1"], coverage=call("Service.getCoverage", productID="p", baseUrl="-", coverageID="one"))))}
+query("dag_request_water", f"{AB}, w AS (PIVOT (SELECT * FROM a) ON band IN ('Green', 'SWIR1') USING max(value) GROUP BY px, py) SELECT px, py, CASE WHEN (Green - SWIR1) / nullif(Green + SWIR1, 0) > 0 THEN 255 ELSE 0 END AS value FROM w WHERE (Green - SWIR1) / nullif(Green + SWIR1, 0) IS NOT NULL", lambda s, d: compile_graph(json.dumps(WATER_REQUEST), {"one": year(s, d, 1995)}))
+query("dag_request_swapped", f"{AB} SELECT a.band, a.px, a.py, {_r('a.value - b.value')} AS value FROM a JOIN b USING (band, px, py)", lambda s, d: compile_graph(json.dumps({"0": call("Coverage.subtract", coverage2=call("Service.getCoverage", coverageID="two"), coverage1=call("Service.getCoverage", coverageID="one"))}), {"one": year(s, d, 1995), "two": year(s, d, 1996)}))
+query("dag_request_sum", f"{W} SELECT band, px, py, {_r('sum(value)')} AS value FROM cube GROUP BY ALL", lambda s, d: compile_graph(json.dumps({"0": call("Coverage.addStyles", coverage=call("CoverageCollection.sum", coverageCollection=call("Service.getCoverageCollection", productID="cube")), min=0, max=99)}), {"cube": fx.cube(s, d)}))
+KERNEL_REQUEST = {"0": call("Coverage.convolve", kernel=call("Kernel.add", kernel2=call("Kernel.square", radius=2, normalize="false", value=0.25), kernel1=call("Kernel.fixed", weights="[[0,1,0],[1,2,1],[0,1,0]]")), coverage=call("Service.getCoverage", coverageID="one"))}
+query("dag_request_kernel", f"{ALL} SELECT c.band, c.px, c.py, {_r('sum(n.value * (0.25 + CASE abs(c.px - n.px) + abs(c.py - n.py) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END))')} AS value FROM a c JOIN a n ON c.band = n.band AND abs(c.px - n.px) <= 2 AND abs(c.py - n.py) <= 2 GROUP BY ALL", lambda s, d: compile_graph(json.dumps(KERNEL_REQUEST), {"one": every_year(s, d)}))
+
+# a larger raster, of many tiles
+
+R = f"WITH {fx.RELIEF}"
+_near = "abs(c.px - n.px) <= {0} AND abs(c.py - n.py) <= {0}"
+relief_query = lambda name, radius, value, f: query(f"relief_{name}", f"{R} SELECT c.band, c.px, c.py, {_r(value)} AS value FROM relief c JOIN relief n ON {_near.format(radius)} GROUP BY ALL", lambda s, d: f(fx.relief(s, d)))
+relief_query("focal_mean", 2, "avg(n.value)", lambda r: coverage.focal(r, "mean", 2))
+relief_query("focal_median", 1, "median(n.value)", lambda r: coverage.focal(r, "median"))
+relief_query("laplacian", 1, "sum(n.value * CASE WHEN c.px = n.px AND c.py = n.py THEN -8 ELSE 1 END)", lambda r: coverage.convolve(r, coverage.KERNELS["laplacian8"]))

@@ -64,3 +64,13 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NATIONS = "poly AS (SELECT c_nationkey AS id, c_nationkey % 5 AS cx, c_nationkey // 5 AS cy, sum(c_acctbal) AS v FROM customer GROUP BY ALL)"
+
+
+def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """band, px, py, value: one band, 200 columns wide and as many rows as the orders fill, with gaps."""
+    k = F.col("l_orderkey")
+    at = table(spark, sf_dir, "lineitem").groupBy(F.lit("height").alias("band"), (k % 200).alias("px"), F.floor(k / 200).alias("py"))
+    return at.agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("value"))
+
+
+RELIEF = "relief AS (SELECT 'height' AS band, l_orderkey % 200 AS px, l_orderkey // 200 AS py, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"

@@ -3,11 +3,12 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rastrix import queries
-from rastrix.operators import coverage, feature, regression, spatial, statistics
+from rastrix.operators import coverage, feature, regression, spatial, statistics, tiles
 from rastrix.plans.expression import compile_graph
 from rastrix.streaming import windows
 
@@ -77,10 +78,43 @@ def test_graphs(spark):
     call = lambda name, **args: {"functionInvocationValue": {"functionName": name, "arguments": args}}
     source = call("Service.getCoverage", id={"constantValue": "c"})
     graph = {"0": call("CoverageCollection.map", c=source, f={"functionDefinitionValue": {"argumentNames": ["x"], "body": "1"}}), "1": call("Coverage.add", a={"argumentReference": "x"}, b={"argumentReference": "x"})}
+    wrong = [{"0": call("Coverage.add", coverage1=source)}, {"0": call("Coverage.add", coverage1=source, coverage2=source, coverage3=source)}, {"0": call("Coverage.add", a=source, coverage1=source, b=source)}, {"0": call("Service.getCoverage", coverageID={"constantValue": "d"})}]
     assert compile_graph(json.dumps(graph), {"c": cells}).first()["value"] == 4.0
-    for bad in ({"0": {"valueReference": "0"}}, {"0": call("No.such")}):
+    for bad in ({"0": {"valueReference": "0"}}, {"0": call("No.such")}, {"0": {"valueReference": "7"}}, *wrong):
         with pytest.raises(ValueError):
-            compile_graph(json.dumps(bad), {})
+            compile_graph(json.dumps(bad), {"c": cells})
+
+
+def test_bands_meet_by_name_or_by_order(spark):
+    make = lambda rows: spark.createDataFrame([(b, 0, 0, v) for b, v in rows], "band string, px int, py int, value double")
+    found = lambda a, b: sorted((r["band"], r["value"]) for r in coverage.paired(make(a), make(b), "subtract").collect())
+    assert found([("a", 5.0), ("b", 7.0)], [("b", 1.0), ("a", 2.0)]) == [("a", 3.0), ("b", 6.0)]
+    assert found([("a", 5.0), ("b", 7.0)], [("y", 1.0), ("x", 2.0)]) == [("a", 3.0), ("b", 6.0)]
+    with pytest.raises(ValueError):
+        found([("a", 5.0)], [("x", 1.0), ("y", 2.0)])
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_windows_over_many_tiles(spark, radius):
+    rng = np.random.default_rng(5)
+    held = {(int(x), int(y)): None if k % 9 == 0 else float(rng.integers(0, 6)) for k, (x, y) in enumerate(rng.integers(-9, 14, (260, 2)))}
+    cells = spark.createDataFrame([("b", t, x, y, v if v is None else v + t) for (x, y), v in held.items() for t in (1, 2)], "band string, instant int, px long, py long, value double").repartition(5)
+    around = lambda x, y, t: [v + t for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if (v := held.get((x + dx, y + dy))) is not None]
+    for method, f in (("mean", np.mean), ("median", np.median), ("min", min), ("max", max), ("sum", sum), ("mode", lambda v: min(v, key=lambda x: (-v.count(x), x)))):
+        got = {(r["px"], r["py"], r["instant"]): r["value"] for r in tiles.windows(cells, radius, tiles.REDUCERS[method], side=4).collect()}
+        assert got.keys() == {(x, y, t) for x, y in held for t in (1, 2)}
+        for (x, y, t), v in got.items():
+            near = around(x, y, t)
+            assert (v is None) == (not near) and (v is None or v == pytest.approx(f(near)))
+    back = tiles.untiled(tiles.tiled(cells, 4), 4)
+    assert sorted(map(str, back.select(cells.columns).collect())) == sorted(map(str, cells.collect()))
+
+
+def test_tiles_send_their_borders_only(spark):
+    cells = spark.range(64 * 64).select(F.lit("b").alias("band"), (F.col("id") % 64).alias("px"), F.floor(F.col("id") / 64).alias("py"), F.lit(1.0).alias("value"))
+    held = tiles.with_halo(tiles.tiled(cells, 16), 1, 16)
+    assert held.agg(F.sum(F.size("halo"))).first()[0] == 24 * 16 * 2 + 9 * 4  # both sides of 24 shared borders of 16 cells, and four corners at each of nine crossings
+    assert held._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
