@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import distance, kernel
+from ..functions.stored import stored
 
 
 def _cell(x: Column, side: float) -> Column:
@@ -26,37 +29,93 @@ def within_distance(a: DataFrame, b: DataFrame, d: float) -> DataFrame:
     return pairs.select("i", "j", "d", "vj")
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False, side: float | None = None) -> DataFrame:
-    """(i, j, d, rank) of the k rows of b nearest to each row of a, ties to the smaller id; same: a and b are one table, and a row isn't its own neighbour.
+#: Levels of cells that are tried at once, halving their sides; points that a cell should hold at most, and the finest level.
+LEVELS, CELL_POINTS, FINEST = 10, 512, 40
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int, same: bool = False) -> DataFrame:
+    """(i, j, d, rank) of the k rows of b nearest to each row of a, ties to the smaller id; same: a and b are one table, and a row isn't its own neighbour. Rows without a place take no part.
 
-    A point is settled when k candidates lie within a cell's side; the others go on with cells of twice the side.
+    Places that several rows share are looked up once, and of each place of b only the first rows count. Cells are those of a
+    quadtree over both tables. A place of a takes the finest cell around it that holds enough points of b: they lie no farther than that cell's
+    farthest corner, so it meets the cells of that level which reach as near, and no others. Places so far from most of b that no such cell
+    is near its size go down the tree from the root instead, with the cells that may hold one of their nearest, until these hold few points.
+    What is written between the steps is one row a place, or a few.
     """
-    box = b.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not box[0]:
-        return within_distance(a, b, 1.0).select("i", "j", "d", F.lit(1).alias("rank")).limit(0)
-    wide = max(box[2] - box[1], box[4] - box[3], 1e-9)
-    k = min(k, box[0] - same)
-    here = a.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    reach = max(wide, *(abs(p - q) for p, q in ((here[0], box[2]), (here[1], box[1]), (here[2], box[4]), (here[3], box[3])))) * 1.5 if here[0] is not None else wide
-    wide = max(wide, reach / 64)  # points in one place are far from most of a: few rounds get there
-    side = side or wide * (2.0 * (k + 1) / box[0]) ** 0.5
-    done, left = None, a
+    known = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    place = lambda t: t.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(known)
+    a, b = place(a), place(b)
+    extent = lambda t: (F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"))
+    n, *box = b.agg(*extent(b)).first()
+    _, *other = (n, *box) if same else a.agg(*extent(a)).first()
+    keep = min(k + same, n)
+    if keep < 1 + same or other[0] is None:
+        kind = {c: t for c, t in b.dtypes}["id"]
+        return a.select(F.col("id").alias("i"), F.lit(None).cast(kind).alias("j"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
+    x0, y0 = min(box[0], other[0]), min(box[2], other[2])
+    wide = max(max(box[1], other[1]) - x0, max(box[3], other[3]) - y0) * (1 + 1e-9) or 1.0
+    cell = lambda c, at, level: F.floor((F.col(c) - at) / (F.lit(wide) / F.pow(F.lit(2.0), level))).cast("long")
+    first = Window.partitionBy("x", "y").orderBy("id")
+    b = stored(b.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).drop("r"), "points")
+    places = a.select("x", "y").distinct()
+    # the level at which cells hold about as many as are sought, and what lies around it
+    middle = max(0, math.floor(math.log(max(1.0, n / (2 * keep)), 4)))
+    low = max(0, middle - LEVELS // 2)
+    levels, wanting, placed, used = list(range(low, low + LEVELS)), places, None, set()
     while True:
-        pairs = within_distance(left, b, side)
-        if same:
-            pairs = pairs.where("i <> j")
-        # the first k of each point before the shuffle already, so no point's candidates stand in one row
-        first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
-        best = first.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("best")).where(F.size("best") >= k)
-        last = side >= reach
-        done = best if done is None else done.union(best)
-        if last or k < 1:
+        spread = lambda t: t.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"cx": cell("x", x0, F.col("level")), "cy": cell("y", y0, F.col("level"))})
+        full = spread(b).groupBy("level", "cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") >= keep)
+        found = spread(wanting).join(full, ["level", "cx", "cy"], "left").groupBy("x", "y").agg(F.max(F.when(F.col("n").isNotNull(), F.struct("level", "n"))).alias("at"))
+        found = stored(found.select("x", "y", "at.*"), "placed")
+        dense = (F.col("level") == levels[-1]) & (F.col("n") > CELL_POINTS) & F.lit(levels[-1] < FINEST)
+        kept = found.where(F.coalesce(~dense, F.lit(True))) if levels[0] == low else found.where(F.coalesce(~dense, F.lit(True)) & F.col("level").isNotNull())
+        placed = kept if placed is None else placed.unionByName(kept)
+        counts = {r["level"]: (r["dense"], r["count"]) for r in found.groupBy("level").agg(F.count_if(dense).alias("dense"), F.count("*").alias("count")).collect()}  # a row a level
+        used |= {level for level in counts if level is not None}
+        if not counts.get(levels[-1], (0, 0))[0]:
             break
-        left = left.join(best.select(F.col("i").alias("id")), "id", "left_anti")
-        side *= 4
-        if side >= reach / 4:
-            side = reach
-    return done.select("i", F.posexplode("best").alias("rank", "b")).select("i", "b.j", "b.d", (F.col("rank") + 1).alias("rank"))
+        wanting, levels = found.where(dense).select("x", "y"), list(range(levels[-1], min(FINEST, levels[-1] + LEVELS) + 1))
+    far = placed.where("level is null").select("x", "y")
+    side = F.lit(wide) / F.pow(F.lit(2.0), F.col("level"))
+    corner = lambda c, at: F.greatest(F.col(c) - at - F.col(f"c{c}") * side, (F.col(f"c{c}") + 1) * side - F.col(c) + at)  # noqa: E731  the farther side of a cell
+    gap = lambda c, at: F.greatest(F.lit(0.0), F.lit(at) + F.col(f"c{c}") * side - F.col(c), F.col(c) - at - (F.col(f"c{c}") + 1) * side)  # noqa: E731  the nearer one
+    length = lambda u, v: F.sqrt(u * u + v * v)
+    near = placed.where("level is not null").withColumns({"cx": cell("x", x0, F.col("level")), "cy": cell("y", y0, F.col("level"))}).withColumn("reach", length(corner("x", x0), corner("y", y0)) * (1 + 1e-9))
+    around = lambda c, at: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach") - at) / side).cast("long"), F.floor((F.col(c) + F.col("reach") - at) / side).cast("long")))
+    near = near.withColumn("cx", around("x", x0)).withColumn("cy", around("y", y0)).where(length(gap("x", x0), gap("y", y0)) <= F.col("reach"))
+    asked = near.select("x", "y", "reach", "level", "cx", "cy")
+    if not far.isEmpty():
+        level, front, ends = 0, far.select("x", "y", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(n).cast("long").alias("n")), None
+        while True:
+            large = (F.col("n") > CELL_POINTS) & F.lit(level < FINEST)
+            ends = front.where(~large) if ends is None else ends.unionByName(front.where(~large))
+            wide_ones = front.where(large)
+            if wide_ones.isEmpty():
+                break
+            up = wide_ones.select("cx", "cy").distinct()
+            parent = {"cx": cell("x", x0, F.lit(level)), "cy": cell("y", y0, F.lit(level))}
+            level += 2
+            parts = b.withColumns(parent).join(up, ["cx", "cy"], "left_semi").groupBy("cx", "cy", cell("x", x0, F.lit(level)).alias("nx"), cell("y", y0, F.lit(level)).alias("ny")).agg(F.count("*").alias("m"))
+            down = wide_ones.drop("n", "level").join(parts, ["cx", "cy"]).select("x", "y", F.lit(level).alias("level"), F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.col("m").alias("n"))
+            every = down.unionByName(ends).withColumns({"most": length(corner("x", x0), corner("y", y0)), "least": length(gap("x", x0), gap("y", y0))})
+            # the bound: so many points surely lie that near
+            sure = Window.partitionBy("x", "y").orderBy("most").rowsBetween(Window.unboundedPreceding, 0)
+            bound = every.withColumn("sure", F.sum("n").over(sure)).groupBy("x", "y").agg((F.min(F.when(F.col("sure") >= keep, F.col("most"))) * (1 + 1e-9)).alias("reach"))
+            every = stored(every.join(bound, ["x", "y"]).where(F.col("least") <= F.col("reach")).select("x", "y", "reach", "level", "cx", "cy", "n"), "front")
+            front, ends = every.where(F.col("level") == level).drop("reach"), every.where(F.col("level") < level).drop("reach")
+        used |= set(range(0, level + 1, 2))
+        last = ends.withColumns({"most": length(corner("x", x0), corner("y", y0))})
+        sure = Window.partitionBy("x", "y").orderBy("most").rowsBetween(Window.unboundedPreceding, 0)
+        bound = last.withColumn("sure", F.sum("n").over(sure)).groupBy("x", "y").agg((F.min(F.when(F.col("sure") >= keep, F.col("most"))) * (1 + 1e-9)).alias("reach"))
+        asked = asked.unionByName(last.join(bound, ["x", "y"]).select("x", "y", "reach", "level", "cx", "cy"))
+    held = b.select(F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array(*map(F.lit, sorted(used))) if used else F.array(F.lit(0))).alias("level"))
+    held = held.withColumns({"cx": F.floor((F.col("bx") - x0) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))).cast("long"), "cy": F.floor((F.col("by") - y0) / (F.lit(wide) / F.pow(F.lit(2.0), F.col("level")))).cast("long")})
+    pairs = asked.join(held, ["level", "cx", "cy"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))).where("d <= reach")
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("x", "y").orderBy("d", "j"))).where(F.col("r") <= keep).select("x", "y", "j", "d", "r")
+    joined = a.select(F.col("id").alias("i"), "x", "y").join(best, ["x", "y"])
+    if not same:
+        return joined.select("i", "j", "d", F.col("r").alias("rank"))
+    return joined.where("i <> j").withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("r"))).where(F.col("rank") <= k).select("i", "j", "d", "rank")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, side: float) -> DataFrame:

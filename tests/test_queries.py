@@ -47,6 +47,24 @@ def test_nearest_goes_on_until_all_are_settled(spark):
     assert spatial.nearest(pts.limit(0), pts, 3).count() == spatial.nearest(pts, pts.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("levels,points", [(10, 512), (2, 6)])
+def test_nearest_of_uneven_points(spark, monkeypatch, levels, points):
+    """Clusters, shared places and far points, in a tree of many levels and in one that is cut often."""
+    monkeypatch.setattr(spatial, "LEVELS", levels)
+    monkeypatch.setattr(spatial, "CELL_POINTS", points)
+    rng = np.random.default_rng(8)
+    near = [(float(x), float(y)) for x, y in rng.normal(size=(120, 2)) * 1e-3 + 5] + [(float(x), float(y)) for x, y in rng.random((60, 2)) * 100] + [(7.0, 7.0)] * 25 + [(1e6, -1e6), (-4e5, 3e5)]
+    other = [(float(x), float(y)) for x, y in rng.random((40, 2)) * 300 - 100] + [(7.0, 7.0)] * 3 + [(5e6, 0.0)]
+    make = lambda p: spark.createDataFrame([(k, *q, 0.0) for k, q in enumerate(p)] + [(900, None, 1.0, 0.0)], "id long, x double, y double, v double").repartition(4)
+    for a, b, k, same in ((near, near, 4, True), (other, near, 3, False), (near, other, 60, False)):
+        got = {(r["i"], r["rank"]): (r["j"], round(r["d"], 9)) for r in spatial.nearest(make(a), make(b), k, same).collect()}
+        truth = {}
+        for i, p in enumerate(a):
+            order = sorted((((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5, j) for j, q in enumerate(b) if not same or i != j)[:k]
+            truth |= {(i, r + 1): (j, round(d, 9)) for r, (d, j) in enumerate(order)}
+        assert got == truth
+
+
 def test_bands_must_be_there(spark):
     cells = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 0, None)], "band string, px int, py int, value double")
     assert coverage.select_bands(cells, ["b"]).count() == 1
