@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import autoregression, composite, coverage, cube, feature, image, interpolation, overlay, regression, spatial, statistics, terrain
+from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, overlay, regression, spatial, statistics, terrain, zonal
 from .plans import catalogue
 from .plans.expression import Place, compile_graph
 from .sources import files
@@ -385,3 +385,21 @@ relief_query = lambda name, radius, value, f: query(f"relief_{name}", f"{R} SELE
 relief_query("focal_mean", 2, "avg(n.value)", lambda r: coverage.focal(r, "mean", 2))
 relief_query("focal_median", 1, "median(n.value)", lambda r: coverage.focal(r, "median"))
 relief_query("laplacian", 1, "sum(n.value * CASE WHEN c.px = n.px AND c.py = n.py THEN -8 ELSE 1 END)", lambda r: coverage.convolve(r, coverage.KERNELS["laplacian8"]))
+
+# polygons with holes: boundaries cut and put together, and rasters under them
+
+E = f"WITH {fx.ELLS}"
+_measured = "sized AS (SELECT g, count(*) AS n FROM cells GROUP BY g), beside AS (SELECT a.g, count(*) AS n FROM cells a JOIN cells b ON a.g = b.g AND ((b.cx = a.cx + 1 AND b.cy = a.cy) OR (b.cx = a.cx AND b.cy = a.cy + 1)) GROUP BY a.g)"
+_measures = "CAST(coalesce(s.n, 0) AS DOUBLE) AS area, CAST(4 * coalesce(s.n, 0) - 2 * coalesce(b.n, 0) AS DOUBLE) AS length"
+measured = lambda df, key: df.select(F.col(key).alias("g"), boundary.area_of(F.col("rings")).alias("area"), boundary.length_of(F.col("rings")).alias("length"))
+ring_pairs = lambda s, d: fx.ells(s, d).select("id", F.col("rings").alias("a")).join(fx.frames(s, d).select("id", F.col("rings").alias("b")), "id")
+for _op, _set in (("union", "SELECT * FROM ells UNION SELECT * FROM frames"), ("intersection", "SELECT * FROM ells INTERSECT SELECT * FROM frames"), ("difference", "SELECT * FROM ells EXCEPT SELECT * FROM frames"), ("symmetric_difference", "(SELECT * FROM ells UNION SELECT * FROM frames) EXCEPT (SELECT * FROM ells INTERSECT SELECT * FROM frames)")):
+    query(f"poly_{_op}", f"{E}, cells AS (SELECT id AS g, cx, cy FROM ({_set})), {_measured} SELECT p.id AS g, {_measures} FROM places p LEFT JOIN sized s ON s.g = p.id LEFT JOIN beside b ON b.g = p.id", lambda s, d, op=_op: measured(boundary.paired(ring_pairs(s, d), op), "id"))
+query("poly_dissolve", f"{E}, cells AS (SELECT DISTINCT id % 7 AS g, cx, cy FROM (SELECT * FROM ells UNION ALL SELECT * FROM frames)), {_measured} SELECT s.g, {_measures} FROM sized s LEFT JOIN beside b USING (g)", lambda s, d: measured(boundary.dissolved(fx.ells(s, d).withColumn("id", F.col("id") * 2).unionByName(fx.frames(s, d).withColumn("id", F.col("id") * 2 + 1)).withColumn("g", F.floor(F.col("id") / 2) % 7), "g"), "g"))
+_under = f"{E}, {fx.RELIEF}"
+frames = lambda s, d: fx.frames(s, d)
+query("zonal_statistics", f"{_under} SELECT band, id, count(*) AS n, {_r('sum(value)')} AS total, {_r('min(value)')} AS least, {_r('max(value)')} AS most, {_r('avg(value)')} AS mean FROM frames JOIN relief ON cx = px AND cy = py GROUP BY ALL", lambda s, d: zonal.zonal(fx.relief(s, d), frames(s, d)))
+query("zonal_mask", f"{_under} SELECT band, id, px, py, {_r('value')} AS value FROM ells JOIN relief ON cx = px AND cy = py", lambda s, d: zonal.masked(fx.relief(s, d), fx.ells(s, d)))
+query("zonal_histogram", f"{_under} SELECT band, id, CAST(floor(value / 50) AS BIGINT) AS bin, count(*) AS n FROM frames JOIN relief ON cx = px AND cy = py GROUP BY ALL", lambda s, d: zonal.histogram(fx.relief(s, d), frames(s, d), 50.0))
+query("zonal_facts", f"{_under}, zone AS (SELECT id, sum(value) AS total FROM frames JOIN relief ON cx = px AND cy = py GROUP BY id), fact AS (SELECT ps AS id, count(*) AS parts FROM (SELECT l_suppkey AS ps FROM lineitem) GROUP BY ps) SELECT id, parts, {_r('total / parts')} AS rate FROM zone JOIN fact USING (id)", lambda s, d: zonal.with_facts(zonal.zonal(fx.relief(s, d), frames(s, d)), fx.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("parts")), "parts").select("id", "parts", "rate"))
+query("zonal_rasterise", f"{E} SELECT cx AS px, cy AS py, max(id) AS value FROM frames GROUP BY ALL", lambda s, d: zonal.rasterised(frames(s, d).withColumn("v", F.col("id")), 1.0))

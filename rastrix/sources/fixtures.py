@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,26 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELIEF = "relief AS (SELECT 'height' AS band, l_orderkey % 200 AS px, l_orderkey // 200 AS py, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"
+
+
+def _ring(points: list[tuple]) -> Column:
+    return F.array(*[F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in [*points, points[0]]])
+
+
+def ells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, rings: an L of arms one wide and k long at each supplier's place."""
+    at = suppliers(spark, sf_dir).withColumn("k", F.col("id") % 4 + 3)
+    return at.select("id", F.array(_ring([("x", "y"), ("x + k", "y"), ("x + k", "y + 1"), ("x + 1", "y + 1"), ("x + 1", "y + k"), ("x", "y + k")])).alias("rings"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, rings: a square of side m with a square hole, one wide all around, that begins a step right of each supplier's place."""
+    at = suppliers(spark, sf_dir).withColumn("m", F.col("id") % 3 + 3).withColumn("x", F.col("x") + 1).withColumn("y", F.col("y") + F.col("id") % 2)
+    square = lambda a, b: _ring([(f"x + {a}", f"y + {a}"), (f"x + {b}", f"y + {a}"), (f"x + {b}", f"y + {b}"), (f"x + {a}", f"y + {b}")])
+    return at.select("id", F.array(square("0", "m"), square("1", "m - 1")).alias("rings"))
+
+
+#: The unit squares of both: (id, cx, cy).
+ELLS = """places AS (SELECT s_suppkey AS id, s_suppkey * 37 % 101 AS x, s_suppkey * 53 % 97 AS y, s_suppkey % 4 + 3 AS k, s_suppkey % 3 + 3 AS m FROM supplier),
+ells AS (SELECT id, x + i AS cx, y AS cy FROM places, range(7) t(i) WHERE i < k UNION SELECT id, x, y + i FROM places, range(7) t(i) WHERE i < k),
+frames AS (SELECT id, x + 1 + i AS cx, y + id % 2 + j AS cy FROM places, range(5) t(i), range(5) u(j) WHERE i < m AND j < m AND (i = 0 OR j = 0 OR i = m - 1 OR j = m - 1))"""
