@@ -1,35 +1,74 @@
-"""Spatial lag and spatial error models by maximum likelihood, from a few sums.
+"""Spatial lag and spatial error models by maximum likelihood, from a few sums, with standard errors and tests.
 
 For a given coefficient the residual sum of squares is a quadratic of the moments of y, X, Wy and WX, which one aggregate
-gives. The log-determinant of I - rho W comes from a Chebyshev expansion in the traces of W to W**4, which are sums over joins
-of the sparse weights: no matrix of n x n is formed. Weights (i, j, w) must be row-standardised, with no row its own neighbour.
+gives. The log-determinant of I - rho W is exact for up to DENSE rows: the driver takes the eigenvalues of the weights (DENSE * DENSE numbers
+at most). Beyond it comes from a Chebyshev expansion of ORDER terms whose traces are estimated with PROBES random vectors of signs, one
+join of the sparse weights with an array a row for each term: no matrix of n x n is formed, and the estimate's standard error is
+that of a mean of PROBES. Weights (i, j, w) must be row-standardised, with no row its own neighbour.
 """
 
 from __future__ import annotations
 
+from math import erfc, sqrt
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def traces(weights: DataFrame) -> list[float]:
-    """Traces of W, W**2, W**3 and W**4."""
-    w = weights.select("i", "j", "w")
-    back = w.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("v"))
-    two = w.select("i", F.col("j").alias("m"), "w").join(w.select(F.col("i").alias("m"), "j", F.col("w").alias("v")), "m").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("w"))
-    two_back = two.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("v"))
-    product = lambda a, b: a.join(b, ["i", "j"]).agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0
-    return [0.0, product(w, back), product(two, back), product(two, two_back)]
-
-
-def log_determinant(rho: np.ndarray, n: int, t: list[float]) -> np.ndarray:
-    """ln |I - rho W| by Chebyshev polynomials up to the fourth."""
-    q = 4
-    theta = np.pi * (np.arange(q + 1) + 0.5) / (q + 1)
-    log = np.log(1 - rho[:, None] * np.cos(theta))
-    of_w = [n, t[0], 2 * t[1] - n, 4 * t[2] - 3 * t[0], 8 * t[3] - 8 * t[1] + n]
-    c = [2 / (q + 1) * (log * np.cos(k * theta)).sum(axis=1) for k in range(q + 1)]
-    return sum(a * b for a, b in zip(c, of_w)) - c[0] * n / 2
+from ..functions.stored import stored
+
+#: Rows up to which eigenvalues are taken; terms of the expansion, and vectors of signs.
+DENSE, ORDER, PROBES = 2000, 40, 48
+
+
+class LogDeterminant:
+    """ln |I - rho W|: from eigenvalues, or from means of z T_k(W) z over vectors z of signs, with their standard errors."""
+
+    def __init__(self, weights: DataFrame, n: int, dense: int = DENSE, order: int = ORDER, probes: int = PROBES):
+        w = weights.select("i", "j", F.col("w").cast("double").alias("w"))
+        self.values = self.means = None
+        if n <= dense:
+            ids = sorted(r[0] for r in w.select(F.explode(F.array("i", "j"))).distinct().collect())  # dense rows at most
+            place = {k: p for p, k in enumerate(ids)}
+            full = np.zeros((max(n, len(ids)),) * 2)
+            for i, j, v in w.collect():
+                full[place[i], place[j]] += v
+            self.values = np.linalg.eigvals(full)
+            return
+        ids = w.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+        sign = F.transform(F.sequence(F.lit(1), F.lit(probes)), lambda k: F.when(F.xxhash64("id", k) % 2 == 0, 1.0).otherwise(-1.0))
+        now, last = stored(ids.select("id", sign.alias("z"), sign.alias("v")), "probes"), None
+        means = [np.full(probes, float(n))]
+        for k in range(1, order + 1):
+            spread = w.join(now.select(F.col("id").alias("j"), "v"), "j").select(F.col("i").alias("id"), F.posexplode(F.transform("v", lambda x: x * F.col("w"))).alias("p", "x"))
+            sums = spread.groupBy("id", "p").agg(F.sum("x").alias("x")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s.x).alias("wv"))
+            joined = now.join(sums, "id", "left").select("id", "z", "v", F.coalesce("wv", F.array_repeat(F.lit(0.0), probes)).alias("wv"))
+            if last is None:
+                joined = joined.select("id", "z", F.col("v").alias("u"), F.col("wv").alias("v"))
+            else:  # T_{k+1} = 2 W T_k - T_{k-1}
+                joined = joined.join(last, "id").select("id", "z", F.col("v").alias("u"), F.zip_with("wv", "u", lambda a, b: 2 * a - b).alias("v"))
+            done = stored(joined, "probes")
+            now, last = done.select("id", "z", "v"), done.select("id", "u")
+            row = now.select(F.posexplode(F.zip_with("z", "v", lambda a, b: a * b)).alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).orderBy("p").collect()
+            means.append(np.array([r["x"] for r in row]))
+        self.means = np.array(means)
+
+    def at(self, rho: np.ndarray) -> np.ndarray:
+        if self.values is not None:
+            return np.array([np.log(np.abs(1 - r * self.values)).sum() for r in rho])
+        return self._expanded(rho).mean(axis=1)
+
+    def error(self, rho: np.ndarray) -> np.ndarray:
+        """The standard error of at()."""
+        return np.zeros(len(rho)) if self.values is not None else self._expanded(rho).std(axis=1, ddof=1) / np.sqrt(self.means.shape[1])
+
+    def _expanded(self, rho: np.ndarray) -> np.ndarray:
+        q = 4 * len(self.means)
+        theta = np.pi * (np.arange(q) + 0.5) / q
+        log = np.log(1 - rho[:, None] * np.cos(theta))
+        c = np.stack([2 / q * (log * np.cos(k * theta)).sum(axis=1) for k in range(len(self.means))], axis=1)
+        c[:, 0] /= 2
+        return c @ self.means
 
 
 def _moments(rows: DataFrame, weights: DataFrame, y: str, columns: list[str]) -> tuple[np.ndarray, int]:
@@ -44,36 +83,67 @@ def _moments(rows: DataFrame, weights: DataFrame, y: str, columns: list[str]) ->
     return np.array([[row[f"m{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)]), row["n"]
 
 
-def _fit(rows, weights, y, columns, error: bool, step: float) -> DataFrame:
+def _fit(rows, weights, y, columns, error: bool, **how) -> DataFrame:
     m, n = _moments(rows, weights, y, columns)
     k, half = len(columns) + 1, len(columns) + 2
-    grid = np.arange(-0.99, 0.99 + step / 2, step)
+    determinant = LogDeterminant(weights, n, **how)
 
-    def at(r: float) -> tuple[np.ndarray, float]:
-        take = np.zeros((half, 2 * half))  # the design and y, less r times their lags
+    def products(r: float) -> np.ndarray:
+        """Sums of products of the design and y, less r times their lags (of y only, in the lag model)."""
+        take = np.zeros((half, 2 * half))
         take[:, :half] = np.eye(half)
         take[range(0 if error else k, half), range(half + (0 if error else k), 2 * half)] = -r
-        s = take @ m @ take.T
-        beta = np.linalg.lstsq(s[:k, :k], s[:k, k], rcond=None)[0]
-        return beta, max(s[k, k] - beta @ s[:k, k], 1e-300)
-
-    rss = np.array([at(r)[1] for r in grid])
-    likely = log_determinant(grid, n, traces(weights)) - n / 2 * (np.log(2 * np.pi * rss / max(1, n)) + 1)
-    best = int(likely.argmax())
-    beta = at(grid[best])[0]
-    name = "lambda" if error else "rho"
-    found = [(t, float(v), float(likely[best])) for t, v in zip(["intercept", *columns, name], [*beta, grid[best]])]
-    return rows.sparkSession.createDataFrame(found, "term string, coefficient double, log_likelihood double")
-
-
-def lag_model(rows: DataFrame, weights: DataFrame, y: str, columns: list[str], step: float = 0.001) -> DataFrame:
-    """(term, coefficient, log_likelihood) of y = rho W y + X b + e for rows (id, y, columns); rho is found to `step`."""
-    return _fit(rows, weights, y, columns, False, step)
-
-
-def error_model(rows: DataFrame, weights: DataFrame, y: str, columns: list[str], step: float = 0.001) -> DataFrame:
-    """(term, coefficient, log_likelihood) of y = X b + u, u = lambda W u + e."""
-    return _fit(rows, weights, y, columns, True, step)
+        return take @ m @ take.T
+
+    def squares(r: float, beta: np.ndarray) -> float:
+        s = products(r)
+        return max(s[k, k] - 2 * beta @ s[:k, k] + beta @ s[:k, :k] @ beta, 1e-300)
+
+    def best_beta(r: float) -> np.ndarray:
+        s = products(r)
+        return np.linalg.lstsq(s[:k, :k], s[:k, k], rcond=None)[0]
+
+    def likelihood(r: float, beta: np.ndarray, variance: float, log: float) -> float:
+        return log - n / 2 * np.log(2 * np.pi * variance) - squares(r, beta) / (2 * variance)
+
+    def profile(grid: np.ndarray) -> np.ndarray:
+        rss = np.array([squares(r, best_beta(r)) for r in grid])
+        return determinant.at(grid) - n / 2 * (np.log(2 * np.pi * rss / max(1, n)) + 1)
+
+    low, high = -0.999, 0.999
+    while high - low > 1e-9:  # finer and finer grids around the best point
+        grid = np.linspace(low, high, 41)
+        best = int(profile(grid).argmax())
+        low, high = grid[max(0, best - 1)], grid[min(40, best + 1)]
+    r = (low + high) / 2
+    beta = best_beta(r)
+    variance = squares(r, beta) / max(1, n)
+    logs = {d: float(determinant.at(np.array([r + d * 1e-4]))[0]) for d in (-1, 0, 1)}
+    likely = likelihood(r, beta, variance, logs[0])
+    # the curvature of the likelihood in all its parameters gives their errors
+    steps = np.array([*np.maximum(1e-4 * np.abs(beta), 1e-6), 1e-4, 1e-4 * variance])
+    at = lambda d: likelihood(r + d[k] * 1e-4, beta + d[:k] * steps[:k], variance + d[k + 1] * steps[k + 1], logs[int(d[k])])
+    unit = np.eye(k + 2)
+    mixed = lambda a, b: at(unit[a]) - 2 * likely + at(-unit[a]) if a == b else (at(unit[a] + unit[b]) - at(unit[a] - unit[b]) - at(unit[b] - unit[a]) + at(-unit[a] - unit[b])) / 4
+    scaled = np.array([[mixed(a, b) for b in range(k + 2)] for a in range(k + 2)])
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(-scaled)), 0)) * steps
+    plain = squares(0.0, best_beta(0.0))
+    ratio = 2 * (likely + n / 2 * (np.log(2 * np.pi * plain / max(1, n)) + 1))
+    name, tail = "lambda" if error else "rho", float(determinant.error(np.array([r]))[0])
+    terms = [*zip(["intercept", *columns], beta, errors[:k]), (name, r, errors[k])]
+    z = lambda v, e: v / e if e > 0 else None
+    found = [(t, float(v), float(e), z(float(v), float(e)), erfc(abs(v / e) / sqrt(2)) if e > 0 else None, float(likely), float(variance), float(ratio), erfc(sqrt(max(0.0, ratio) / 2)), tail) for t, v, e in terms]
+    return rows.sparkSession.createDataFrame(found, "term string, coefficient double, error double, z double, p double, log_likelihood double, variance double, likelihood_ratio double, ratio_p double, determinant_error double")
+
+
+def lag_model(rows: DataFrame, weights: DataFrame, y: str, columns: list[str], **how) -> DataFrame:
+    """Of y = rho W y + X b + e for rows (id, y, columns): each term's coefficient, standard error, z and p; the log-likelihood and variance; the likelihood-ratio test against rho = 0; the log-determinant's standard error."""
+    return _fit(rows, weights, y, columns, False, **how)
+
+
+def error_model(rows: DataFrame, weights: DataFrame, y: str, columns: list[str], **how) -> DataFrame:
+    """The same of y = X b + u, u = lambda W u + e."""
+    return _fit(rows, weights, y, columns, True, **how)
 
 
 def durbin_model(values: DataFrame, weights: DataFrame, y: str, columns: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import distance, kernel
+from ..functions.special import f_tail
+from ..functions.stored import stored
 from .spatial import nearest, within_distance
 
 
@@ -26,7 +28,7 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
 def ranks(rows: DataFrame, column: str) -> DataFrame:
     """(value, rank) of each different value, ties by their mean rank. Values are range-partitioned and sorted; only the partitions' totals meet in one task."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    parted = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    parted = stored(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ranges")
     before = parted.groupBy("part").agg(F.sum("n").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
     return parted.withColumn("upto", local).join(F.broadcast(before.select("part", "before")), "part").select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))  # a row for each partition
@@ -35,7 +37,7 @@ def ranks(rows: DataFrame, column: str) -> DataFrame:
 def numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The different values of the columns and `number`, their place from 0 in order: range-partitioned and sorted; only the partitions' sizes meet in one task."""
     kinds = rows.select(*columns).distinct().repartitionByRange(*columns)
-    parted = kinds.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*columns)))
+    parted = stored(kinds.withColumn("_part", F.spark_partition_id()), "ranges").withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*columns)))
     sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parted.join(F.broadcast(before.select("_part", "_before")), "_part").select(*columns, (F.col("_before") + F.col("_row") - 1).cast("long").alias("number"))  # a row for each partition
@@ -153,6 +155,22 @@ def factor_detector(rows: DataFrame, y: str, factors: list[str]) -> DataFrame:
     return each.groupBy("factor").agg(F.sum(F.col("n") * F.col("s2")).alias("ssw")).join(total, "factor").select("factor", (1 - F.try_divide("ssw", "sst")).alias("q"))
 
 
+def factor_test(rows: DataFrame, y: str, factors: list[str]) -> DataFrame:
+    """(factor, q, f, p): the factor's share of the variation, and the chance of an F value as large under the noncentral distribution that its strata's means give."""
+    long = rows.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])).alias("f")).select("y", "f.*")
+    each = long.groupBy("factor", "level").agg(F.count("y").alias("n"), F.avg("y").alias("m"))
+    sums = each.groupBy("factor").agg(F.sum("n").alias("n"), F.count("*").alias("strata"), F.sum(F.col("m") ** 2).alias("squares"), F.sum(F.sqrt("n") * F.col("m")).alias("weighed"))
+    spread = long.groupBy("factor").agg(F.var_samp("y").alias("variance"))
+    known = {r["factor"]: r["q"] for r in factor_detector(rows.where(F.col(y).isNotNull()), y, factors).collect()}
+    found = []
+    for r in sums.join(spread, "factor").collect():  # a row a factor
+        q, n, strata = known[r["factor"]], r["n"], r["strata"]
+        f = (n - strata) / (strata - 1) * q / (1 - q) if strata > 1 and q is not None and q < 1 and n > strata else None
+        shift = (r["squares"] - r["weighed"] ** 2 / n) / r["variance"] if r["variance"] else None
+        found.append((r["factor"], q, f, f_tail(f, strata - 1, n - strata, max(shift, 0.0)) if f is not None and shift is not None else None))
+    return rows.sparkSession.createDataFrame(found, "factor string, q double, f double, p double")
+
+
 def interaction_detector(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
     joined = rows.withColumn("_ab", F.concat_ws("\u0001", F.col(a).cast("string"), F.col(b).cast("string")))
     q = {r["factor"]: r["q"] for r in factor_detector(joined, y, [a, b, "_ab"]).collect()}

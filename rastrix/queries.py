@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, overlay, regression, spatial, statistics, terrain, zonal
+from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, multiscale, overlay, permutation, regression, spatial, splines, statistics, terrain, zonal
 from .plans import catalogue
 from .plans.expression import Place, compile_graph
 from .sources import files
@@ -403,3 +403,33 @@ query("zonal_mask", f"{_under} SELECT band, id, px, py, {_r('value')} AS value F
 query("zonal_histogram", f"{_under} SELECT band, id, CAST(floor(value / 50) AS BIGINT) AS bin, count(*) AS n FROM frames JOIN relief ON cx = px AND cy = py GROUP BY ALL", lambda s, d: zonal.histogram(fx.relief(s, d), frames(s, d), 50.0))
 query("zonal_facts", f"{_under}, zone AS (SELECT id, sum(value) AS total FROM frames JOIN relief ON cx = px AND cy = py GROUP BY id), fact AS (SELECT ps AS id, count(*) AS parts FROM (SELECT l_suppkey AS ps FROM lineitem) GROUP BY ps) SELECT id, parts, {_r('total / parts')} AS rate FROM zone JOIN fact USING (id)", lambda s, d: zonal.with_facts(zonal.zonal(fx.relief(s, d), frames(s, d)), fx.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("parts")), "parts").select("id", "parts", "rate"))
 query("zonal_rasterise", f"{E} SELECT cx AS px, cy AS py, max(id) AS value FROM frames GROUP BY ALL", lambda s, d: zonal.rasterised(frames(s, d).withColumn("v", F.col("id")), 1.0))
+
+# inference by permutation and simulation, with the same whole-number hashes in SQL
+
+_mixed = lambda x, k: permutation.MIXED_SQL.format(x=x, k=k)
+_perm = f"{_knn}, numbered AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r, v - avg(v) OVER () AS z, var_pop(v) OVER () AS s2, count(*) OVER () AS n FROM pts), p AS (SELECT t, a.id, 0.25 AS w, a.r AS ri, b.r AS rj, a.z AS zi, a.n, a.s2, row_number() OVER (PARTITION BY t, i ORDER BY j) - 1 AS m FROM knn JOIN numbered a ON a.id = i JOIN numbered b ON b.id = j, range(0, 20) x(t))"
+_moved = lambda row, t, n: permutation.MOVED_SQL.format(row=row, n=n, keys=permutation.KEYS_SQL.format(t=t))
+_pseudo = "count(*) FILTER (t > 0 AND value >= own) AS above, count(*) FILTER (t > 0) AS k, max(own) AS observed, avg(value) FILTER (t > 0) AS mean, stddev_samp(value) FILTER (t > 0) AS sd"
+query("moran_permutation", f"{_perm}, e AS (SELECT t, w, s2, CASE WHEN t = 0 THEN ri ELSE {_moved('ri', 't', 'n')} END AS a, CASE WHEN t = 0 THEN rj ELSE {_moved('rj', 't', 'n')} END AS b FROM p), st AS (SELECT t, sum(w * za.z * zb.z) / sum(w) / any_value(e.s2) AS value FROM e JOIN numbered za ON za.r = a JOIN numbered zb ON zb.r = b GROUP BY t), o AS (SELECT *, max(value) FILTER (t = 0) OVER () AS own FROM st), f AS (SELECT {_pseudo} FROM o) SELECT {_r('observed')} AS observed, {_r('mean')} AS mean, {_r('sd')} AS sd, {_r('(least(above, k - above) + 1) / (k + 1)')} AS p FROM f", lambda s, d: permutation.moran_permuted(fx.suppliers(s, d), weights(s, d), 19))
+query("moran_local_permutation", f"{_perm}, e AS (SELECT t, id, w, s2, zi, CASE WHEN t = 0 THEN rj ELSE o + CAST(o >= ri AS INT) END AS r FROM (SELECT *, {_moved('m', '(t * n + ri)', '(n - 1)')} AS o FROM p)), st AS (SELECT e.id, t, max(zi) * sum(w * z) / any_value(e.s2) AS value FROM e JOIN numbered USING (r) GROUP BY ALL), o AS (SELECT *, max(value) FILTER (t = 0) OVER (PARTITION BY id) AS own FROM st), f AS (SELECT id, {_pseudo} FROM o GROUP BY id) SELECT id, {_r('observed')} AS observed, {_r('mean')} AS mean, {_r('sd')} AS sd, {_r('(least(above, k - above) + 1) / (k + 1)')} AS p FROM f", lambda s, d: permutation.moran_local_permuted(fx.suppliers(s, d), weights(s, d), 19))
+_draw = lambda k: f"{_mixed(_mixed('i', f't * 2 + {k}'), str(k + 11))} / 2147483647.0::DOUBLE"
+query("ripley_envelope", f"{P}, b AS (SELECT count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) - min(x) AS w, max(y) - min(y) AS h FROM pts), every AS (SELECT 0 AS t, id AS i, x - x0 AS x, y - y0 AS y FROM pts, b UNION ALL SELECT t, i, {_draw(0)} * w, {_draw(1)} * h FROM b, range(n) r(i), range(1, 10) q(t)), pairs AS (SELECT a.t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM every a JOIN every b ON a.t = b.t AND a.i <> b.i), st AS (SELECT k, t, greatest(w, h) / 4 / 10 * k AS r, sqrt(w * h * (SELECT count(*) FROM pairs p WHERE p.t = q.t AND p.d < greatest(w, h) / 4 / 10 * k) / (pi() * n * (n - 1))) AS l FROM b, range(1, 11) x(k), range(10) q(t)) SELECT {_r('r')} AS d, {_r('max(l) FILTER (t = 0)')} AS l, {_r('min(l) FILTER (t > 0)')} AS low, {_r('max(l) FILTER (t > 0)')} AS high FROM st GROUP BY k, r", lambda s, d: permutation.ripley_envelope(fx.suppliers(s, d), 10, 9))
+query("geodetector_test", None, lambda s, d: statistics.factor_test(fx.table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linenumber"]))
+query("multiscale_regression", None, lambda s, d: multiscale.multiscale_regression(fx.suppliers(s, d).withColumns({"a": F.col("x"), "b": (F.col("id") * 29 % 31).cast("double")}), "v", ["a", "b"], [20.0, 40.0, 90.0], rounds=4)[0])
+
+# surfaces of splines
+
+
+def _spline_sql(levels: int, first: int) -> str:
+    at = "least(greatest(({c} - {c}0) / ({c}1 - {c}0) * {n}, 0), {n})"
+    parts = ["pow(1 - {t}, 3) / 6", "(3 * pow({t}, 3) - 6 * pow({t}, 2) + 4) / 6", "(-3 * pow({t}, 3) + 3 * pow({t}, 2) + 3 * {t} + 1) / 6", "pow({t}, 3) / 6"]
+    around = lambda rows, n: f"SELECT r.*, i + p AS k, j + q AS l, a[p + 1] * b[q + 1] AS w, list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x)) AS squares FROM (SELECT s.*, [{', '.join(x.format(t='(u - i)') for x in parts)}] AS a, [{', '.join(x.format(t='(v2 - j)') for x in parts)}] AS b FROM (SELECT *, least(floor(u), {n} - 1) AS i, least(floor(v2), {n} - 1) AS j FROM (SELECT t.*, {at.format(c='x', n=n)} AS u, {at.format(c='y', n=n)} AS v2 FROM {rows} t, box)) s) r, range(4) f(p), range(4) g(q)"
+    out = [f"{P}, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), cells AS (SELECT c AS id, x0 + (c % 20 + 0.5) * ((x1 - x0) / 20) AS x, y0 + (c // 20 + 0.5) * ((y1 - y0) / 20) AS y FROM box, range(400) r(c)), left0 AS (SELECT id, x, y, CAST(v AS DOUBLE) AS v FROM pts)"]
+    for k in range(levels):
+        n = first << k
+        out.append(f"lattice{k} AS (SELECT k, l, sum(pow(w, 3) * v / squares) / nullif(sum(w * w), 0) AS phi FROM ({around(f'left{k}', n)}) GROUP BY ALL), at{k} AS (SELECT id, sum(w * coalesce(phi, 0)) AS s FROM ({around(f'left{k}', n)}) JOIN lattice{k} USING (k, l) GROUP BY id), left{k + 1} AS (SELECT id, x, y, v - s AS v FROM left{k} JOIN at{k} USING (id)), cell{k} AS (SELECT id, sum(w * coalesce(phi, 0)) AS s FROM ({around('cells', n)}) JOIN lattice{k} USING (k, l) GROUP BY id)")
+    every = " UNION ALL ".join(f"SELECT * FROM cell{k}" for k in range(levels))
+    return ", ".join(out) + f" SELECT id, {_r('sum(s)')} AS v FROM ({every}) GROUP BY id"
+
+
+query("spline_surface", _spline_sql(3, 2), lambda s, d: splines.spline_surface(fx.suppliers(s, d), cells(s, d), 3, 2))
