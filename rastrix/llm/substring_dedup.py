@@ -18,8 +18,8 @@ texts by their suffixes:
    repeats, of `least` bytes or more, are found alike; they stay, and n_repeated says how many bytes they cover. That takes anchors of
    smaller windows, which are more.
 
-Anchors with over `hot` different contexts don't go to one task: their windows are counted by 128-bit hashes over all tasks,
-which gives the same result.
+Anchors with over `hot` different contexts don't go to one task: blocks of their windows are counted by 128-bit hashes over all
+tasks and cut where they decide nothing, which gives the same result.
 
 Defined results: null and empty texts have 0 bytes and no spans; texts shorter than `length` stay as they are; repeated rows
 count as documents of their own; other columns are ignored; an empty table gives an empty result.
@@ -40,8 +40,8 @@ from .common import KeyFilter, SharedTable, as_batch, chunks, written
 LENGTH, GRAM, HOT = 400, 60, 20_000
 #: Contexts that a task takes up before it builds their order.
 BLOCK = 30_000
-#: Two odd multipliers of the rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: An odd multiplier of the rolling hash.
+BASE = 0x9E3779B97F4A7C15
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int,
     empty = (np.array([], np.int64),) * 2 + (np.array([], np.uint64),) * 3 + (np.array([], np.int64),) * 2
     if len(data) < least:
         return empty
-    hashes = Rolling(data, BASES[0]).all(gram)
+    hashes = Rolling(data, BASE).all(gram)
     width = least - gram + 1
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     place = (np.uint64(1) << bits) - np.uint64(1)
@@ -229,32 +229,64 @@ def repeated_spans(rows: DataFrame, length: int, least: int, gram: int, hot: int
 
     spans = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(order, "gram long, k1 long, k2 long, whole boolean, low int, high int")
 
-    def windows(batches):
-        schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                code, before = np.frombuffer(row["context"], np.uint8), row["before"]
-                for size in sizes:
-                    begin, end = max(0, before + gram - size), min(len(code) - size, before)  # windows that hold the anchor
-                    if begin > end:
-                        continue
-                    w1, w2 = (Rolling(code, b).all(size)[begin : end + 1].view(np.int64) for b in BASES)
-                    low = np.arange(begin, end + 1, dtype=np.int32) - before
-                    yield as_batch(schema, low=low, w1=w1, w2=w2, whole=[size == length] * len(w1), **{c: [row[c]] * len(w1) for c in ("gram", "k1", "k2", "n")})
-
-    many = with_text(mixed.where(F.col("contexts") > hot)).mapInArrow(take, kinds).mapInArrow(windows, "gram long, k1 long, k2 long, n long, whole boolean, low int, w1 long, w2 long")
-    # contexts of neighbouring anchors overlap, so windows are told apart by anchor and place under it as well
-    same = ["gram", "whole", "low", "w1", "w2"]
-    twice = many.groupBy(*same).agg(F.sum("n").alias("all")).where("all > 1").select(*same)
+    hot_bytes = written(with_text(mixed.where(F.col("contexts") > hot)).mapInArrow(take, kinds), "hot")
     size = F.when(F.col("whole"), length).otherwise(least)
-    spread = many.where("n = 1").join(twice, same, "left_semi").groupBy(*KEYS, "whole").agg(F.min("low").alias("low"), F.max(F.col("low") + size).cast("int").alias("high"))
+    for one in sizes if hot_bytes.take(1) else ():
+        spans = spans.union(hot_spans(hot_bytes, one, gram).select(*KEYS, F.lit(one == length).alias("whole"), "low", "high"))
     copied = contexts.where("n > 1").select(*KEYS, F.explode(F.array(*(F.lit(x == length) for x in sizes))).alias("whole"), (-F.col("before")).alias("low"), F.col("size").alias("high"))
-    spans = spans.union(spread).union(copied)
+    spans = spans.union(copied)
     spans = written(spans.where(F.col("high") - F.col("low") >= size).groupBy(*KEYS, "whole").agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans")
     hits = found.select("row", "pos", *KEYS).join(spans, KEYS)
     return hits.groupBy("row").agg(F.collect_set(F.struct((F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"), "whole")).alias("spans"))
 
 
+def hot_spans(contexts: DataFrame, size: int, gram: int) -> DataFrame:
+    """(gram, k1, k2, low, high): of the contexts (gram, k1, k2, n, before, context) of anchors that too many share for one task, stretches of windows that other contexts have as well.
+
+    Windows are looked at in blocks of neighbouring starts. What all windows of a block have in common must occur twice for one of them to be
+    repeated, and if what the block covers occurs twice, all are. Blocks between the two are cut in four, with all contexts that share their
+    middle, until they are single windows; so a passage that very many texts share costs a context a few blocks at its ends.
+    """
+    room, width, live, found = size - gram, -(-(size - gram + 1) // 4), None, None
+    schema = pa.schema([*((k, pa.int64()) for k in (*KEYS, "n")), ("at", pa.int32()), *((k, pa.int64()) for k in ("m1", "m2", "c1", "c2"))])
+
+    def keyed(width: int, last: int):
+        def run(batches):
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    code, before = row["context"], row["before"]
+                    low, high = max(-before, -room), min(len(code) - before - size, 0)
+                    blocks = range(-room, 1, width) if row["blocks"] is None else [x for b in row["blocks"] for x in range(b, min(b + last, 1), width)]
+                    for a in blocks:
+                        b = min(a + width - 1, 0)
+                        if a > high or b < low or low > high:
+                            continue
+                        middle = np.frombuffer(xxhash.xxh3_128_digest(code[before + b : before + a + size]), ">i8").tolist()
+                        cover = np.frombuffer(xxhash.xxh3_128_digest(code[before + a : before + b + size]), ">i8").tolist() if a >= low and b <= high else [None, None]
+                        out.append((row["gram"], row["k1"], row["k2"], row["n"], a, *middle, *cover))
+                if out:
+                    yield as_batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+
+        return run
+
+    last = width
+    while True:
+        asked = contexts.withColumn("blocks", F.lit(None).cast("array<int>")) if live is None else contexts.join(live, KEYS)
+        rows = written(asked.mapInArrow(keyed(width, last), "gram long, k1 long, k2 long, n long, at int, m1 long, m2 long, c1 long, c2 long"), "blocks")
+        middle, cover = ["gram", "at", "m1", "m2"], ["gram", "at", "c1", "c2"]
+        twice = lambda keys, rows=rows: rows.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).count().where("count > 1").drop("count")
+        own, covered = rows.where("n = 1"), written(twice(cover), "covered")
+        sure = own.join(covered, cover, "left_semi").select(*KEYS, F.col("at").alias("low"), (F.least(F.col("at") + width - 1, F.lit(0)) + size).cast("int").alias("high"))
+        sure = sure.groupBy(*KEYS).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        found = sure if found is None else found.union(sure)
+        if width == 1:
+            return found
+        open_ = own.join(covered, cover, "left_anti").select(*middle).distinct().join(twice(middle), middle, "left_semi")
+        live = rows.join(open_, middle, "left_semi").groupBy(*KEYS).agg(F.collect_set("at").alias("blocks"))
+        last, width = width, -(-width // 4)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs covered by spans."""
     out: list[tuple[int, int]] = []
