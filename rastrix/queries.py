@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, multiscale, overlay, permutation, regression, spatial, splines, statistics, terrain, zonal
+from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, multiscale, overlay, permutation, regression, spatial, splines, statistics, terrain, triangulation, warp, zonal
 from .plans import catalogue
 from .plans.expression import Place, compile_graph
 from .sources import files
@@ -433,3 +433,20 @@ def _spline_sql(levels: int, first: int) -> str:
 
 
 query("spline_surface", _spline_sql(3, 2), lambda s, d: splines.spline_surface(fx.suppliers(s, d), cells(s, d), 3, 2))
+
+# the triangle around each cell's middle; places are moved a little, so that no four lie on a circle
+
+jittered = lambda s, d: fx.suppliers(s, d).withColumns({"x": F.col("x") + F.col("id") * F.col("id") % 89 / 1000.0, "y": F.col("y") + F.col("id") * F.col("id") * F.col("id") % 97 / 1000.0})
+_tin = f"WITH pts AS (SELECT s_suppkey AS id, s_suppkey * 37 % 101 + s_suppkey * s_suppkey % 89 / 1000.0::DOUBLE AS x, s_suppkey * 53 % 97 + s_suppkey * s_suppkey * s_suppkey % 97 / 1000.0::DOUBLE AS y, s_acctbal AS v FROM supplier), box AS (SELECT min(s_suppkey * 37 % 101) AS x0, max(s_suppkey * 37 % 101) AS x1, min(s_suppkey * 53 % 97) AS y0, max(s_suppkey * 53 % 97) AS y1 FROM supplier), cells AS (SELECT c AS id, x0 + (c % 20 + 0.5) * ((x1 - x0) / 20) AS qx, y0 + (c // 20 + 0.5) * ((y1 - y0) / 20) AS qy FROM box, range(400) r(c)), tri AS (SELECT a.id AS i, b.id AS j, c.id AS k, a.x AS ax, a.y AS ay, a.v AS av, b.x - a.x AS bx, b.y - a.y AS b_y, b.v AS bv, c.x - a.x AS cx, c.y - a.y AS cy, c.v AS cv, (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) AS w FROM pts a JOIN pts b ON a.id < b.id JOIN pts c ON b.id < c.id), circ AS (SELECT *, (cy * (bx * bx + b_y * b_y) - b_y * (cx * cx + cy * cy)) / (2 * w) AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + b_y * b_y)) / (2 * w) AS uy FROM tri WHERE abs(w) > 1e-9), del AS (SELECT * FROM circ t WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.id <> t.i AND p.id <> t.j AND p.id <> t.k AND pow(p.x - t.ax - t.ux, 2) + pow(p.y - t.ay - t.uy, 2) < (t.ux * t.ux + t.uy * t.uy) * (1 - 1e-12))), hit AS (SELECT q.id, av + ((qx - ax) * cy - cx * (qy - ay)) / w * (bv - av) + (bx * (qy - ay) - (qx - ax) * b_y) / w * (cv - av) AS v FROM cells q JOIN del ON ((qx - ax) * cy - cx * (qy - ay)) / w >= 0 AND (bx * (qy - ay) - (qx - ax) * b_y) / w >= 0 AND ((qx - ax) * cy - cx * (qy - ay)) / w + (bx * (qy - ay) - (qx - ax) * b_y) / w <= 1)"
+query("tin_interpolation", f"{_tin} SELECT cells.id, {_r('any_value(v)')} AS v FROM cells LEFT JOIN hit USING (id) GROUP BY cells.id", lambda s, d: triangulation.tin(jittered(s, d), cells(s, d)))
+
+# other grids: cells half as large again, a quarter of a cell off, and the web's Mercator projection
+
+_target = "tgt AS (SELECT px, py, {u} AS u, {v} AS v FROM range({x0}, {x1}) a(px), range({y0}, {y1}) b(py)), nb AS (SELECT t.px, t.py, t.u, t.v, floor(u - 0.5) + i AS nx, floor(v - 0.5) + j AS ny, (1 - abs(u - 0.5 - floor(u - 0.5) - i)) * (1 - abs(v - 0.5 - floor(v - 0.5) - j)) AS w FROM tgt t, range(2) c(i), range(2) d(j))"
+_bilinear = f"SELECT a.band, nb.px, nb.py, {_r('sum(w * value) / sum(w)')} AS value FROM nb JOIN a ON a.px = nx AND a.py = ny GROUP BY a.band, nb.px, nb.py, nb.u, nb.v HAVING bool_or(nx = floor(u) AND ny = floor(v))"
+_shifted = _target.format(u="0.25 + (px + 0.5) * 1.5", v="0.25 + (py + 0.5) * 1.5", x0=-2, x1=14, y0=-2, y1=14)
+query("warp_bilinear", f"{ALL}, {_shifted} {_bilinear}", lambda s, d: warp.warped(every_year(s, d), warp.Grid(), warp.Grid(0.25, 0.25, 1.5, 1.5)))
+query("warp_nearest", f"{ALL}, {_shifted} SELECT a.band, t.px, t.py, {_r('value')} AS value FROM tgt t JOIN a ON a.px = floor(u) AND a.py = floor(v)", lambda s, d: warp.warped(every_year(s, d), warp.Grid(), warp.Grid(0.25, 0.25, 1.5, 1.5), "nearest"))
+_mercator = _target.format(u="degrees((px + 0.5) * 100000 / 6378137) / 1.0", v="degrees(atan(exp((py + 0.5) * 100000 / 6378137)) * 2 - pi() / 2)", x0=-1, x1=20, y0=-1, y1=20)
+query("warp_mercator", f"{ALL}, {_mercator} {_bilinear}", lambda s, d: warp.warped(every_year(s, d), warp.Grid(), warp.Grid(0.0, 0.0, 100000.0, 100000.0, "EPSG:3857")))
+query("warp_aligned_add", f"{ALL}, {_target.format(u='(px + 0.5) / 1.6 - 0.3 / 1.6', v='(py + 0.5) / 1.6 - 0.3 / 1.6', x0=-1, x1=28, y0=-1, y1=28)}, other AS ({_bilinear.replace('JOIN a ON', 'JOIN b a ON')}) SELECT a.band, a.px, a.py, {_r('a.value + o.value')} AS value FROM a JOIN other o USING (band, px, py)", lambda s, d: coverage.binary(*warp.aligned(every_year(s, d), warp.Grid(), every_year(s, d, 1), warp.Grid(0.3, 0.3, 1.6, 1.6)), "add"))
