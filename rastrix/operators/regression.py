@@ -31,15 +31,19 @@ def _design(columns: list[str]) -> list[Column]:
 
 
 def linear(rows: DataFrame, y: str, columns: list[str]) -> DataFrame:
-    """(term, coefficient), and r2 and aic repeated in each row."""
-    x, t = _design(columns), F.col(y).cast("double")
-    row = rows.agg(*_sums(x, t, F.lit(1.0)), F.sum(t * t).alias("yy"), F.sum(t).alias("sy"), F.count("*").alias("n")).first()
-    a, b = _system(row, len(x))
+    """(term, coefficient), and r2 and aic repeated in each row. Sums are taken of values less their means, which a first pass gives, so large values cost no digits."""
+    kept = rows.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate([*columns, y])])
+    k = len(columns)
+    mean = [v or 0.0 for v in kept.agg(*[F.avg(c) for c in kept.columns]).first()]
+    away = [F.col(c) - m for c, m in zip(kept.columns, mean)]
+    row = kept.agg(*_sums([F.lit(1.0), *away[:k]], away[k], F.lit(1.0)), F.sum(away[k] * away[k]).alias("yy"), F.count("*").alias("n")).first()
+    a, b = _system(row, k + 1)
     beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    n, rss = row["n"], (row["yy"] or 0.0) - beta @ b
-    sst = (row["yy"] or 0.0) - (row["sy"] or 0.0) ** 2 / max(1, n)
+    n, sst = row["n"], row["yy"] or 0.0
+    rss = sst - beta @ b
+    beta[0] += mean[k] - sum(v * m for v, m in zip(beta[1:], mean))
     r2 = 1 - rss / sst if sst else None
-    aic = n * np.log(2 * np.pi * rss / n) + n + 2 * (len(x) + 1) if n and rss > 0 else None
+    aic = n * np.log(2 * np.pi * rss / n) + n + 2 * (k + 2) if n and rss > 0 else None
     out = [(t, float(v), r2 and float(r2), aic and float(aic)) for t, v in zip(["intercept", *columns], beta)]
     return rows.sparkSession.createDataFrame(out, "term string, coefficient double, r2 double, aic double")
 
@@ -252,17 +256,21 @@ def linear_diagnostics(rows: DataFrame, y: str, columns: list[str]) -> DataFrame
     return rows.sparkSession.createDataFrame(out, "term string, coefficient double, error double, t double, r2 double, adjusted double, f double")
 
 
-def predicted(rows: DataFrame, columns: list[str], model: DataFrame, id_col: str, family: str = "linear") -> DataFrame:
-    """(id, yhat) by a model's (term, coefficient)."""
+def scored(rows: DataFrame, columns: list[str], model: DataFrame, family: str = "linear") -> DataFrame:
+    """The rows with yhat by a model's (term, coefficient)."""
     beta = {r["term"]: r["coefficient"] for r in model.collect()}
     eta = sum((F.col(c).cast("double") * beta[c] for c in columns), F.lit(beta["intercept"]))
-    return rows.select(id_col, (1 / (1 + F.exp(-eta)) if family == "logistic" else F.exp(eta) if family == "poisson" else eta).alias("yhat"))
+    return rows.withColumn("yhat", 1 / (1 + F.exp(-eta)) if family == "logistic" else F.exp(eta) if family == "poisson" else eta)
+
+
+def predicted(rows: DataFrame, columns: list[str], model: DataFrame, id_col: str, family: str = "linear") -> DataFrame:
+    """(id, yhat) by a model's (term, coefficient)."""
+    return scored(rows, columns, model, family).select(id_col, "yhat")
 
 
-def deviance(rows: DataFrame, y: str, fitted: DataFrame, id_col: str, family: str, terms: int) -> DataFrame:
-    """(deviance, null_deviance, pseudo_r2, aic) of predictions (id, yhat) of a logistic or Poisson model with so many terms."""
-    both = rows.select(id_col, F.col(y).cast("double").alias("_y")).join(fitted, id_col)
-    both = both.join(F.broadcast(both.agg(F.avg("_y").alias("_m"))))  # one row
+def deviance(rows: DataFrame, y: str, family: str, terms: int) -> DataFrame:
+    """(deviance, null_deviance, pseudo_r2, aic) of rows with the yhat of a logistic or Poisson model with so many terms, in one pass after the mean's."""
+    both = rows.select(F.col(y).cast("double").alias("_y"), "yhat").withColumn("_m", F.lit(rows.agg(F.avg(F.col(y).cast("double"))).first()[0]).cast("double"))
 
     def of(m: Column) -> Column:
         if family == "logistic":

@@ -319,9 +319,9 @@ query("gwr_bandwidth_cv", f"{P} {_cv}", lambda s, d: regression.bandwidth_scores
 
 
 def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "lineitem").withColumn("late", (F.col("l_returnflag") == "R").cast("int")).withColumn("id", F.struct("l_orderkey", "l_linenumber"))
+    rows = fx.table(spark, sf_dir, "lineitem").withColumn("late", (F.col("l_returnflag") == "R").cast("int"))
     fit = regression.generalised(rows, "late", ["l_quantity", "l_discount"], "logistic")
-    return regression.deviance(rows, "late", regression.predicted(rows, ["l_quantity", "l_discount"], fit, "id", "logistic"), "id", "logistic", 3)
+    return regression.deviance(regression.scored(rows, ["l_quantity", "l_discount"], fit, "logistic"), "late", "logistic", 3)
 
 
 query("moran_local_test", f"{_z}, b AS (SELECT avg(pow(z, 4)) / pow(any_value(s2), 2) AS b2 FROM z), m AS (SELECT i AS id, any_value(zi) / any_value(s2) * sum(w * zj) AS i, sum(w) AS w, sum(w * w) AS w2, any_value(n) AS n FROM wz GROUP BY wz.i), v AS (SELECT m.*, -w / (n - 1) AS e, w2 * (n - b2) / (n - 1) + (w * w - w2) * (2 * b2 - n) / ((n - 1) * (n - 2)) - pow(w / (n - 1), 2) AS var FROM m, b) SELECT id, {_r('i')} AS i, {_r('e')} AS expected, {_r('var')} AS variance, {_r('(i - e) / sqrt(var)')} AS z FROM v", lambda s, d: statistics.moran_local_test(values(s, d), weights(s, d)))
@@ -395,7 +395,7 @@ measured = lambda df, key: df.select(F.col(key).alias("g"), boundary.area_of(F.c
 ring_pairs = lambda s, d: fx.ells(s, d).select("id", F.col("rings").alias("a")).join(fx.frames(s, d).select("id", F.col("rings").alias("b")), "id")
 for _op, _set in (("union", "SELECT * FROM ells UNION SELECT * FROM frames"), ("intersection", "SELECT * FROM ells INTERSECT SELECT * FROM frames"), ("difference", "SELECT * FROM ells EXCEPT SELECT * FROM frames"), ("symmetric_difference", "(SELECT * FROM ells UNION SELECT * FROM frames) EXCEPT (SELECT * FROM ells INTERSECT SELECT * FROM frames)")):
     query(f"poly_{_op}", f"{E}, cells AS (SELECT id AS g, cx, cy FROM ({_set})), {_measured} SELECT p.id AS g, {_measures} FROM places p LEFT JOIN sized s ON s.g = p.id LEFT JOIN beside b ON b.g = p.id", lambda s, d, op=_op: measured(boundary.paired(ring_pairs(s, d), op), "id"))
-query("poly_dissolve", f"{E}, cells AS (SELECT DISTINCT id % 7 AS g, cx, cy FROM (SELECT * FROM ells UNION ALL SELECT * FROM frames)), {_measured} SELECT s.g, {_measures} FROM sized s LEFT JOIN beside b USING (g)", lambda s, d: measured(boundary.dissolved(fx.ells(s, d).withColumn("id", F.col("id") * 2).unionByName(fx.frames(s, d).withColumn("id", F.col("id") * 2 + 1)).withColumn("g", F.floor(F.col("id") / 2) % 7), "g"), "g"))
+query("poly_union_groups", f"{E}, cells AS (SELECT DISTINCT id % 7 AS g, cx, cy FROM (SELECT * FROM ells UNION ALL SELECT * FROM frames)), {_measured} SELECT s.g, {_measures} FROM sized s LEFT JOIN beside b USING (g)", lambda s, d: measured(boundary.dissolved(fx.ells(s, d).withColumn("id", F.col("id") * 2).unionByName(fx.frames(s, d).withColumn("id", F.col("id") * 2 + 1)).withColumn("g", F.floor(F.col("id") / 2) % 7), "g"), "g"))
 _under = f"{E}, {fx.RELIEF}"
 frames = lambda s, d: fx.frames(s, d)
 query("zonal_statistics", f"{_under} SELECT band, id, count(*) AS n, {_r('sum(value)')} AS total, {_r('min(value)')} AS least, {_r('max(value)')} AS most, {_r('avg(value)')} AS mean FROM frames JOIN relief ON cx = px AND cy = py GROUP BY ALL", lambda s, d: zonal.zonal(fx.relief(s, d), frames(s, d)))
@@ -450,3 +450,43 @@ query("warp_nearest", f"{ALL}, {_shifted} SELECT a.band, t.px, t.py, {_r('value'
 _mercator = _target.format(u="degrees((px + 0.5) * 100000 / 6378137) / 1.0", v="degrees(atan(exp((py + 0.5) * 100000 / 6378137)) * 2 - pi() / 2)", x0=-1, x1=20, y0=-1, y1=20)
 query("warp_mercator", f"{ALL}, {_mercator} {_bilinear}", lambda s, d: warp.warped(every_year(s, d), warp.Grid(), warp.Grid(0.0, 0.0, 100000.0, 100000.0, "EPSG:3857")))
 query("warp_aligned_add", f"{ALL}, {_target.format(u='(px + 0.5) / 1.6 - 0.3 / 1.6', v='(py + 0.5) / 1.6 - 0.3 / 1.6', x0=-1, x1=28, y0=-1, y1=28)}, other AS ({_bilinear.replace('JOIN a ON', 'JOIN b a ON')}) SELECT a.band, a.px, a.py, {_r('a.value + o.value')} AS value FROM a JOIN other o USING (band, px, py)", lambda s, d: coverage.binary(*warp.aligned(every_year(s, d), warp.Grid(), every_year(s, d, 1), warp.Grid(0.3, 0.3, 1.6, 1.6)), "add"))
+
+# SQL of regressions by Newton steps, one common table a step, solved by determinants
+
+
+def _newton(family: str, y: str, steps: int = 12) -> str:
+    mean = "1 / (1 + exp(-eta))" if family == "logistic" else "exp(eta)"
+    weight = f"({mean}) * (1 - {mean})" if family == "logistic" else mean
+    minor = {"a": "r0 * (s11 * s22 - s12 * s12) - s1 * (r1 * s22 - s12 * r2) + s2 * (r1 * s12 - s11 * r2)", "b": "s0 * (r1 * s22 - s12 * r2) - r0 * (s1 * s22 - s12 * s2) + s2 * (s1 * r2 - r1 * s2)", "e": "s0 * (s11 * r2 - r1 * s12) - s1 * (s1 * r2 - r1 * s2) + r0 * (s1 * s12 - s11 * s2)"}
+    whole_ = "(s0 * (s11 * s22 - s12 * s12) - s1 * (s1 * s22 - s12 * s2) + s2 * (s1 * s12 - s11 * s2))"
+    start = "ln(avg(t))" if family == "poisson" else "avg(t) * 0"
+    out = [f"d AS MATERIALIZED (SELECT CAST({y} AS DOUBLE) AS t, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS c FROM lineitem)", f"b0 AS MATERIALIZED (SELECT {start} AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS e FROM d)"]
+    for k in range(steps):
+        sums = ", ".join(f"sum(w{''.join(' * ' + x for x in by)}) AS {name}" for name, by in (("s0", ""), ("s1", "q"), ("s2", "c"), ("s11", "qq"), ("s12", "qc"), ("s22", "cc"), ("r0", "z"), ("r1", "qz"), ("r2", "cz")))
+        out.append(f"m{k} AS MATERIALIZED (SELECT {sums} FROM (SELECT q, c, w, eta + (t - m) / w AS z FROM (SELECT t, q, c, eta, {mean} AS m, {weight} AS w FROM (SELECT d.*, a + b * q + e * c AS eta FROM d, b{k}))))")
+        out.append(f"b{k + 1} AS MATERIALIZED (SELECT {', '.join(f'({v}) / {whole_} AS {n}' for n, v in minor.items())} FROM m{k})")
+    return "WITH " + ", ".join(out) + f", fit AS (SELECT * FROM b{steps})"
+
+
+_late = "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"
+_terms = " UNION ALL ".join(f"SELECT '{t}' AS term, {_r(c)} AS coefficient FROM fit" for t, c in (("intercept", "a"), ("l_quantity", "b"), ("l_discount", "e")))
+_scored = "f AS (SELECT t, 1 / (1 + exp(-(a + b * q + e * c))) AS m, avg(t) OVER () AS m0 FROM d, fit), g AS (SELECT sum(-2 * CASE WHEN t > 0 THEN ln(m) ELSE ln(1 - m) END) AS dev, sum(-2 * CASE WHEN t > 0 THEN ln(m0) ELSE ln(1 - m0) END) AS nul FROM f)"
+_flat = "WITH d AS (SELECT CAST(l_extendedprice AS DOUBLE) AS p, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS c FROM lineitem), m AS (SELECT avg(q) AS mq, avg(c) AS mc, avg(p) AS mp, var_pop(p) AS vp, count(*) AS n, var_pop(q) AS vq, var_pop(c) AS vc, covar_pop(q, c) AS qc, covar_pop(q, p) AS qp, covar_pop(c, p) AS cp FROM d), s AS (SELECT *, (vc * qp - qc * cp) / (vq * vc - qc * qc) AS b, (vq * cp - qc * qp) / (vq * vc - qc * qc) AS e FROM m), fit AS (SELECT mp - b * mq - e * mc AS a, b, e, (b * qp + e * cp) / vp AS r2, n * (ln(2 * pi() * (vp - b * qp - e * cp)) + 1) + 8 AS aic FROM s)"
+_turn = "((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x))"
+ORACLE_SQL |= {
+    "ols_2": f"{_flat} SELECT term, coefficient, {_r('r2')} AS r2, {_r('aic')} AS aic FROM ({_terms}) t, fit",
+    "logistic": f"{_newton('logistic', _late)} {_terms}",
+    "poisson": f"{_newton('poisson', 'l_linenumber')} {_terms}",
+    "logistic_deviance": f"{_newton('logistic', _late)}, {_scored} SELECT {_r('dev')} AS deviance, {_r('nul')} AS null_deviance, {_r('1 - dev / nul')} AS pseudo_r2, {_r('dev + 6')} AS aic FROM g",
+    # an edge of the hull has no point on its right, and none on its line beyond its ends
+    "feat_convex_hull": f"{C}, e AS (SELECT a.g, a.x, a.y, b.x AS bx, b.y AS b_y FROM pts a JOIN pts b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.g = a.g AND ({_turn} < 0 OR ({_turn} = 0 AND ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) < 0 OR (p.x - b.x) * (a.x - b.x) + (p.y - b.y) * (a.y - b.y) < 0))))) SELECT g, {_r('abs(sum(x * b_y - bx * y)) / 2')} AS area, count(*) AS corners FROM e GROUP BY g",
+}
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "lineitem")
+    fit = regression.generalised(rows, "l_linenumber", ["l_quantity", "l_discount"], "poisson")
+    return regression.deviance(regression.scored(rows, ["l_quantity", "l_discount"], fit, "poisson"), "l_linenumber", "poisson", 3)
+
+
+query("poisson_deviance", f"{_newton('poisson', 'l_linenumber')}, f AS (SELECT t, exp(a + b * q + e * c) AS m, avg(t) OVER () AS m0 FROM d, fit), g AS (SELECT sum(2 * (CASE WHEN t > 0 THEN t * ln(t / m) ELSE 0 END - t + m)) AS dev, sum(2 * (CASE WHEN t > 0 THEN t * ln(t / m0) ELSE 0 END - t + m0)) AS nul, sum(-2 * (t * ln(m) - m - lgamma(t + 1))) AS like2 FROM f) SELECT {_r('dev')} AS deviance, {_r('nul')} AS null_deviance, {_r('1 - dev / nul')} AS pseudo_r2, {_r('like2 + 6')} AS aic FROM g", _counted)
