@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, multiscale, overlay, permutation, regression, spatial, splines, statistics, terrain, triangulation, warp, zonal
+from .operators import autoregression, boundary, composite, coverage, cube, feature, image, interpolation, multiscale, overlay, permutation, regression, sight, spatial, splines, statistics, terrain, triangulation, warp, zonal
 from .plans import catalogue
 from .plans.expression import Place, compile_graph
 from .sources import files
@@ -490,3 +490,16 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("poisson_deviance", f"{_newton('poisson', 'l_linenumber')}, f AS (SELECT t, exp(a + b * q + e * c) AS m, avg(t) OVER () AS m0 FROM d, fit), g AS (SELECT sum(2 * (CASE WHEN t > 0 THEN t * ln(t / m) ELSE 0 END - t + m)) AS dev, sum(2 * (CASE WHEN t > 0 THEN t * ln(t / m0) ELSE 0 END - t + m0)) AS nul, sum(-2 * (t * ln(m) - m - lgamma(t + 1))) AS like2 FROM f) SELECT {_r('dev')} AS deviance, {_r('nul')} AS null_deviance, {_r('1 - dev / nul')} AS pseudo_r2, {_r('like2 + 6')} AS aic FROM g", _counted)
+
+# horizons
+
+_view = f"""{R}, ray AS (SELECT face * 41 + k + 20 AS ray, face, k, m, k * m / 20.0::DOUBLE AS off, CASE WHEN face % 2 = 0 THEN 1 ELSE -1 END AS ahead FROM range(4) f(face), range(-20, 21) t(k), range(1, 21) u(m)),
+beside AS (SELECT ray, m, k, CASE WHEN face < 2 THEN 60 + ahead * m ELSE 60 + floor(off) + i END AS px, CASE WHEN face < 2 THEN 8 + floor(off) + i ELSE 8 + ahead * m END AS py, CASE WHEN i = 0 THEN 1 - (off - floor(off)) ELSE off - floor(off) END AS w FROM ray, range(2) s(i)),
+h AS (SELECT ray, m, k, sum(w * value) / sum(w) AS h FROM beside JOIN relief USING (px, py) WHERE w > 0 GROUP BY ALL), eye AS (SELECT value + 30 AS eye FROM relief WHERE px = 60 AND py = 8),
+horizon AS (SELECT ray, m, eye, max((h - eye) / (m * sqrt(1 + k * k / 400.0::DOUBLE))) OVER (PARTITION BY ray ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM h, eye),
+aim AS (SELECT ray, m, CASE WHEN face < 2 THEN 60 + ahead * m ELSE 60 + floor(off + 0.5) END AS px, CASE WHEN face < 2 THEN 8 + floor(off + 0.5) ELSE 8 + ahead * m END AS py, abs(off - floor(off + 0.5)) AS miss FROM ray),
+near AS (SELECT r.band, r.px, r.py, r.value, ray, m FROM aim JOIN relief r ON r.px = aim.px AND r.py = aim.py QUALIFY row_number() OVER (PARTITION BY r.band, r.px, r.py ORDER BY miss, ray, m) = 1)
+SELECT band, px, py, CAST(coalesce((value - eye) / sqrt((px - 60) * (px - 60) + (py - 8) * (py - 8)) >= top, true) AS INT) AS value FROM near JOIN horizon USING (ray, m) UNION ALL SELECT band, px, py, 1 FROM relief WHERE px = 60 AND py = 8 AND EXISTS (SELECT 1 FROM eye)"""
+query("terrain_viewshed", _view, lambda s, d: sight.viewshed(fx.relief(s, d), 60, 8, 30.0, 20))
+_sun = "tan(radians(50)) * sqrt(1 + pow(tan(radians(25)), 2)) * 20"
+query("terrain_shadows", f"{R}, p AS (SELECT *, floor(py - px * tan(radians(25)) + 0.5) AS ray, value + px * {_sun} AS level FROM relief), q AS (SELECT *, max(level) OVER (PARTITION BY ray ORDER BY px ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p) SELECT band, px, py, CAST(coalesce(top > level + 1e-9, false) AS INT) AS value FROM q", lambda s, d: sight.shadows(fx.relief(s, d), 295.0, 50.0, 20.0))
