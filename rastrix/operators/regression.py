@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel, space_time_distance
+from ..functions.stored import stored
 from .spatial import within_distance
 
 
@@ -68,11 +69,21 @@ def generalised(rows: DataFrame, y: str, columns: list[str], family: str, rounds
     return rows.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(["intercept", *columns], beta)], "term string, coefficient double")
 
 
-def _pairs(points: DataFrame, columns: list[str], width: float, kind: str) -> DataFrame:
-    """Every point's neighbours within the kernel's reach, with their values and weights."""
-    far = width if kind in ("bisquare", "tricube", "boxcar") else 8 * width
-    near = within_distance(points, points.withColumn("v", F.struct(*columns)), far)
-    return near.select("i", "d", kernel(F.col("d"), width, kind).alias("w"), "vj.*").where("w > 0")
+def reach(width: float, kind: str) -> float:
+    """How far a kernel is followed."""
+    return width if kind in ("bisquare", "tricube", "boxcar") else 8 * width
+
+
+def near_pairs(points: DataFrame, columns: list[str], far: float) -> DataFrame:
+    """(i, j, d, and the neighbour's columns) of all points up to a distance apart, written for several fits."""
+    return stored(within_distance(points, points.withColumn("v", F.struct(*columns)), far).select("i", "j", "d", "vj.*"), "near")
+
+
+def _pairs(points: DataFrame, columns: list[str], width: float, kind: str, near: DataFrame | None = None) -> DataFrame:
+    """Every point's neighbours within the kernel's reach, with their values and weights; `near` are pairs that near_pairs has found."""
+    if near is None:
+        near = within_distance(points, points.withColumn("v", F.struct(*columns)), reach(width, kind)).select("i", "d", "vj.*")
+    return near.where(F.col("d") <= reach(width, kind)).select("i", "d", kernel(F.col("d"), width, kind).alias("w"), *columns).where("w > 0")
 
 
 def weighted_regression(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
@@ -82,13 +93,21 @@ def weighted_regression(points: DataFrame, y: str, columns: list[str], width: fl
 
 def space_time_regression(points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float = 0.05, kind: str = "bisquare") -> DataFrame:
     """As weighted_regression, by distance in space and time; what comes later than a point takes no part. The kernel must end (bisquare, tricube, boxcar) and share be over 0, which bounds the distance in space."""
+    return _fitted(points, _space_time_pairs(points, points, y, columns, time, width, share, kind), y, columns)
+
+
+def space_time_prediction(points: DataFrame, places: DataFrame, y: str, columns: list[str], time: str, width: float, share: float = 0.05, kind: str = "bisquare") -> DataFrame:
+    """(id, beta, yhat) at places (id, x, y, the time and the columns) by the points around and before them; places out of reach of all go."""
+    return _fitted(places.withColumn(y, F.lit(0.0)), _space_time_pairs(places, points, y, columns, time, width, share, kind), y, columns).select("id", "beta", "yhat")
+
+
+def _space_time_pairs(places: DataFrame, points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float, kind: str) -> DataFrame:
     if kind not in ("bisquare", "tricube", "boxcar") or not 0 < share <= 1:
         raise ValueError("a kernel that ends and a share over 0 up to 1")
-    near = within_distance(points, points.withColumn("v", F.struct(F.col(time).alias("_tj"), y, *columns)), width / share)
-    late = near.join(points.select(F.col("id").alias("i"), F.col(time).alias("_ti")), "i").withColumn("ago", (F.col("_ti") - F.col("vj._tj")).cast("double")).where("ago >= 0")
+    near = within_distance(places, points.withColumn("v", F.struct(F.col(time).alias("_tj"), y, *columns)), width / share)
+    late = near.join(places.select(F.col("id").alias("i"), F.col(time).alias("_ti")), "i").withColumn("ago", (F.col("_ti") - F.col("vj._tj")).cast("double")).where("ago >= 0")
     apart = space_time_distance(F.col("d"), F.col("ago"), share)
-    pairs = late.withColumn("w", kernel(apart, width, kind)).where("w > 0").select("i", "w", *[F.col(f"vj.{c}").alias(c) for c in (y, *columns)])
-    return _fitted(points, pairs, y, columns)
+    return late.withColumn("w", kernel(apart, width, kind)).where("w > 0").select("i", "w", *[F.col(f"vj.{c}").alias(c) for c in (y, *columns)])
 
 
 def _fitted(points: DataFrame, pairs: DataFrame, y: str, columns: list[str]) -> DataFrame:
@@ -291,16 +310,16 @@ def weighted_prediction(points: DataFrame, places: DataFrame, y: str, columns: l
     return _fitted(places.withColumn(y, F.lit(0.0)), pairs, y, columns).select("id", "beta", "yhat")
 
 
-def bandwidth_scores(points: DataFrame, y: str, columns: list[str], widths: list[float], kind: str = "bisquare") -> DataFrame:
+def bandwidth_scores(points: DataFrame, y: str, columns: list[str], widths: list[float], kind: str = "bisquare", near: DataFrame | None = None) -> DataFrame:
     """(width, cv): for each width the sum of squares of what each point's neighbours without itself miss it by; one job for all widths.
 
     A width at which a point has too few neighbours for a fit (singular) has no score there.
     """
-    far = max(widths) if kind in ("bisquare", "tricube", "boxcar") else 8 * max(widths)
-    near = within_distance(points, points.withColumn("v", F.struct(y, *columns)), far).where("i <> j")
-    each = near.select("i", "d", "vj.*", F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"))
+    if near is None:
+        near = within_distance(points, points.withColumn("v", F.struct(y, *columns)), reach(max(widths), kind)).select("i", "j", "d", "vj.*")
+    each = near.where("i <> j").select("i", "d", y, *columns, F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"))
     weight = kernel_of_column(F.col("d"), F.col("width"), kind)
-    pairs = each.withColumn("w", weight).where("w > 0").select(F.struct("i", "width").alias("i"), "w", y, *columns)
+    pairs = each.where(F.col("d") <= F.col("width") * reach(1.0, kind)).withColumn("w", weight).where("w > 0").select(F.struct("i", "width").alias("i"), "w", y, *columns)
     asked = points.select(F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"), "id", y, *columns).select(F.struct(F.col("id").alias("i"), "width").alias("id"), y, *columns)
     fit = _fitted(asked, pairs, y, columns)
     return fit.groupBy(F.col("id.width").alias("width")).agg(F.sum(F.col("residual") ** 2).alias("cv"))
@@ -315,10 +334,17 @@ def kernel_of_column(d: Column, width: Column, kind: str) -> Column:
     return F.exp(-0.5 * u * u) if kind == "gaussian" else F.exp(-u)
 
 
-def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, high: float, kind: str = "bisquare", rounds: int = 12) -> float:
-    """The width between two bounds with the least cross-validation score, by golden section; each round is one job."""
+def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, high: float, kind: str = "bisquare", rounds: int = 12, approach: str = "cv", near: DataFrame | None = None) -> float:
+    """The width between two bounds with the least cross-validation score or corrected criterion ("aicc"), by golden section; pairs are found once, and each round is one job over them."""
     share = (5**0.5 - 1) / 2
-    score = lambda w: bandwidth_scores(points, y, columns, [w], kind).first()["cv"]
+    if near is None:
+        near = near_pairs(points, [y, *columns], reach(high, kind))
+
+    def score(w: float) -> float:
+        found = bandwidth_scores(points, y, columns, [w], kind, near).first() if approach == "cv" else weighted_diagnostics(points, y, columns, w, kind, near).first()
+        value = found[approach] if found else None
+        return value if value is not None and value == value else float("inf")
+
     a, b = high - share * (high - low), low + share * (high - low)
     fa, fb = score(a), score(b)
     for _ in range(rounds):
@@ -333,10 +359,10 @@ def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, hi
     return a if fa < fb else b
 
 
-def weighted_diagnostics(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
+def weighted_diagnostics(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare", near: DataFrame | None = None) -> DataFrame:
     """(rss, trace, aicc, r2) of a geographically weighted regression: the trace of its hat matrix is the sum of what each point weighs in its own fit."""
     k, kind_of_id = len(columns) + 1, points.schema["id"].dataType.simpleString()
-    sums = _pairs(points, [y, *columns], width, kind).groupBy("i").agg(*_sums(_design(columns), F.col(y).cast("double"), F.col("w")))
+    sums = _pairs(points, [y, *columns], width, kind, near).groupBy("i").agg(*_sums(_design(columns), F.col(y).cast("double"), F.col("w")))
     own = points.select(F.col("id").alias("i"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(columns)])
 
     def run(batches):
@@ -355,12 +381,26 @@ def weighted_diagnostics(points: DataFrame, y: str, columns: list[str], width: f
     return one.select("rss", "trace", aicc.alias("aicc"), (1 - F.col("rss") / F.col("tss")).alias("r2"))
 
 
-def forward_selection(points: DataFrame, y: str, candidates: list[str], width: float, kind: str = "bisquare") -> DataFrame:
-    """(step, column, aicc): columns in the order in which each lowers the corrected criterion most; candidates are few, and each fit is one job."""
+def forward_selection(points: DataFrame, y: str, candidates: list[str], width: float, kind: str = "bisquare", near: DataFrame | None = None) -> DataFrame:
+    """(step, column, aicc): columns in the order in which each lowers the corrected criterion most; candidates are few, pairs are found once, and each fit is one job over them."""
     chosen, out = [], []
+    near = near_pairs(points, [y, *candidates], reach(width, kind)) if near is None else near
     while len(chosen) < len(candidates):
-        scores = [(weighted_diagnostics(points, y, [*chosen, c], width, kind).first()["aicc"], c) for c in candidates if c not in chosen]
+        scores = [(weighted_diagnostics(points, y, [*chosen, c], width, kind, near).first()["aicc"], c) for c in candidates if c not in chosen]
         best = min((s, c) for s, c in scores if s is not None and s == s)
         chosen.append(best[1])
         out.append((len(chosen), best[1], float(best[0])))
     return points.sparkSession.createDataFrame(out, "step int, column string, aicc double")
+
+
+def auto_fit(points: DataFrame, y: str, candidates: list[str], low: float, high: float, kind: str = "bisquare", approach: str = "aicc", gain: float = 3.0, rounds: int = 12) -> tuple[DataFrame, list[str], float]:
+    """A regression that chooses for itself: columns in forward order at the widest bandwidth, as long as each lowers the corrected criterion by `gain`, then the bandwidth. The fit, the columns and the width."""
+    near = near_pairs(points, [y, *candidates], reach(high, kind))
+    steps = forward_selection(points, y, candidates, high, kind, near).orderBy("step").collect()  # a row a candidate
+    kept = [steps[0]["column"]]
+    for before, now in zip(steps, steps[1:]):
+        if before["aicc"] - now["aicc"] < gain:
+            break
+        kept.append(now["column"])
+    width = best_bandwidth(points, y, kept, low, high, kind, rounds, approach, near)
+    return _fitted(points, _pairs(points, [y, *kept], width, kind, near), y, kept), kept, width

@@ -503,3 +503,7 @@ SELECT band, px, py, CAST(coalesce((value - eye) / sqrt((px - 60) * (px - 60) +
 query("terrain_viewshed", _view, lambda s, d: sight.viewshed(fx.relief(s, d), 60, 8, 30.0, 20))
 _sun = "tan(radians(50)) * sqrt(1 + pow(tan(radians(25)), 2)) * 20"
 query("terrain_shadows", f"{R}, p AS (SELECT *, floor(py - px * tan(radians(25)) + 0.5) AS ray, value + px * {_sun} AS level FROM relief), q AS (SELECT *, max(level) OVER (PARTITION BY ray ORDER BY px ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p) SELECT band, px, py, CAST(coalesce(top > level + 1e-9, false) AS INT) AS value FROM q", lambda s, d: sight.shadows(fx.relief(s, d), 295.0, 50.0, 20.0))
+
+
+query("gwr_auto_fit", None, lambda s, d: regression.auto_fit(fx.suppliers(s, d).withColumns({"east": F.col("x"), "north": F.col("y")}), "v", ["east", "north"], 50.0, 120.0, rounds=4)[0])
+query("gtwr_predict", None, lambda s, d: regression.space_time_prediction(space_time_events(s, d), space_time_events(s, d).where("id % 3 = 0").drop("v").withColumn("x", F.col("x") + 1.0), "v", ["x"], "t", 8.0, 0.5))

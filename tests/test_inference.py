@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrix.functions.special import beta_share, f_tail
-from rastrix.operators import autoregression, multiscale, permutation, spatial, splines, statistics
+from rastrix.operators import autoregression, multiscale, permutation, regression, spatial, splines, statistics
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
@@ -176,3 +176,39 @@ def test_splines_by_loops(spark):
     found = splines.spline_lattices(points, 3, 2)[2]
     assert found == pytest.approx(missed) and found == sorted(found, reverse=True)
     assert {r["v"] for r in splines.spline_surface(points.limit(0), places).collect()} == {None}
+
+
+def test_auto_fit_chooses_columns_and_width(spark):
+    rng = np.random.default_rng(6)
+    p, a, b = rng.random((90, 2)) * 10, rng.normal(size=90), rng.normal(size=90)
+    y = 1 + a * (1 + p[:, 0] / 3) + 0.2 * rng.normal(size=90)
+    rows = spark.createDataFrame([(k, *map(float, p[k]), float(a[k]), float(b[k]), float(y[k])) for k in range(90)], "id long, x double, y double, a double, b double, v double")
+    fit, columns, width = regression.auto_fit(rows, "v", ["b", "a"], 3.0, 14.0, rounds=5)
+    assert columns == ["a"] and 3.0 < width < 14.0
+    d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    X = np.stack([np.ones(90), a], axis=1)
+
+    def dense(bw):
+        w = np.where(d < bw, (1 - (d / bw) ** 2) ** 2, 0)
+        betas = np.array([np.linalg.solve((X * w[i][:, None]).T @ X, (X * w[i][:, None]).T @ y) for i in range(90)])
+        hat = sum(X[i] @ np.linalg.solve((X * w[i][:, None]).T @ X, X[i]) for i in range(90))
+        rss = ((y - (X * betas).sum(axis=1)) ** 2).sum()
+        return 90 * np.log(rss / 90) + 90 * np.log(2 * np.pi) + 90 * (90 + hat) / (88 - hat), betas
+
+    assert np.allclose([r["beta"] for r in sorted(fit.collect(), key=lambda r: r["id"])], dense(width)[1])
+    assert dense(width)[0] <= min(dense(w)[0] for w in (4.0, 8.0, 13.0)) + 1e-6
+
+
+def test_space_time_prediction(spark):
+    rng = np.random.default_rng(7)
+    p, t, x = rng.random((50, 2)) * 6, rng.integers(0, 5, 50), rng.normal(size=50)
+    y = 2 + x + 0.1 * t
+    rows = spark.createDataFrame([(k, *map(float, p[k]), int(t[k]), float(x[k]), float(y[k])) for k in range(50)], "id long, x double, y double, t int, a double, v double")
+    places = spark.createDataFrame([(k, float(k), 3.0, 4, 0.5) for k in range(5)], "id long, x double, y double, t int, a double")
+    got = {r["id"]: r["yhat"] for r in regression.space_time_prediction(rows, places, "v", ["a"], "t", 6.0, 0.6).collect()}
+    for k in range(5):
+        s, ago = np.hypot(p[:, 0] - k, p[:, 1] - 3), 4.0 - t
+        d = 0.6 * s + 0.4 * ago + 2 * np.sqrt(0.24 * s * ago)
+        w = np.where((ago >= 0) & (d <= 6), (1 - (d / 6) ** 2) ** 2, 0)
+        X = np.stack([np.ones(50), x], axis=1)
+        assert got[k] == pytest.approx(np.linalg.solve((X * w[:, None]).T @ X, (X * w[:, None]).T @ y) @ [1, 0.5])
