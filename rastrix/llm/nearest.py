@@ -3,12 +3,12 @@
 A bounded sample of the vectors is split again and again into balanced clusters until each is small; their centroids name the
 posting lists. Centroids are searched by an in-memory graph: each is linked to its nearest ones, and a search walks from fixed
 entry points along the links with a beam. Every vector is indexed under its nearest centroid and, as a boundary vector, under
-others that are hardly farther (unless a chosen centroid is nearer to that one than the vector is). A query reads all lists
-whose centroid's distance is within a ratio of the nearest's, however many. Nearness is the cosine in double precision.
+others that are hardly farther (unless a chosen centroid is nearer to that one than the vector is). A query reads the nearest lists
+whose centroid's distance is within a ratio of the nearest's. Nearness is the cosine in double precision.
 
-The ratio follows the data: PROBED queries, those of the smallest hash, are answered exactly by one pass over all vectors, and the ratio is the
-least that would have led to the share AIM of their true neighbours. So recall doesn't fall as lists become more or dimensions higher;
-where no distance tells lists apart, more of them are read.
+How many lists and what ratio follow from the data: PROBED queries, those of the smallest hash, are answered exactly by one pass over all vectors;
+the number is the least that would have led to the share AIM of their true neighbours, and the ratio the least that loses none of these. So recall
+doesn't fall as lists become more or dimensions higher; where no distance tells lists apart, more of them are read.
 
 Equal vectors are folded before anything is shuffled: only their smallest ids can be among the nearest, so a group of copies
 is one entry. Lists are cut into blocks of vectors, and a list's queries into blocks, so that a large list is many rows; block
@@ -38,8 +38,8 @@ LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 100, 8192, 8
 LINKS, BEAM = 24, 64
 #: Lists a vector stands in at most, and how much farther they may be.
 COPIES, NEAR = 4, 1.15
-#: Queries that are answered exactly to find the ratio, and the share of their neighbours that it must lead to.
-PROBED, AIM = 200, 0.97
+#: Queries that are answered exactly to find how many lists are read, and the share of their neighbours that these must lead to; the ratio where the number is given.
+PROBED, AIM, RATIO = 200, 0.96, 1.6
 #: Vectors and queries in a block, and query blocks that meet a block of vectors in one task.
 BLOCK, QUERY_BLOCK, ASKS = 512, 128, 16
 
@@ -143,26 +143,19 @@ def lists_of_vector(graph: CentroidGraph, x: np.ndarray, copies: int = COPIES, f
     return out
 
 
-def lists_of_query(graph: CentroidGraph, x: np.ndarray, ratio: float) -> list[np.ndarray]:
-    """The lists that each unit query reads: the beam widens until a list beyond the ratio is found."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(x)
-    open_, beam = np.arange(len(x)), BEAM
-    while len(open_):
-        found, near = graph.search(x[open_], beam, step=max(4, beam // 16))
-        apart = _apart(near)
-        within = apart <= ratio * apart[:, :1]
-        full = within[:, -1] & (found.shape[1] == beam) & (beam < len(graph.centroids))
-        for k in np.flatnonzero(~full):
-            out[open_[k]] = found[k][within[k]].astype(np.int32)
-        open_, beam = open_[full], beam * 2
-    return out
+def lists_of_query(graph: CentroidGraph, x: np.ndarray, probes: int, ratio: float) -> list[np.ndarray]:
+    """The lists that each unit query reads: the nearest `probes`, but for those beyond the ratio. The beam is wider than they are many."""
+    beam = max(BEAM, probes + probes // 3)
+    found, near = graph.search(x, beam, step=max(4, beam // 16))
+    apart = _apart(near)
+    return [lists[:probes][d[:probes] <= ratio * d[0]].astype(np.int32) for lists, d in zip(found, apart, strict=True)]
 
 
-def ratio_for(nodes: DataFrame, asked: DataFrame, graph: CentroidGraph, dim: int, k: int, aim: float, probed: int) -> float:
-    """The least ratio of distances at which `probed` of the queries would meet the share `aim` of their k nearest vectors."""
+def reading_for(nodes: DataFrame, asked: DataFrame, graph: CentroidGraph, dim: int, k: int, aim: float, probed: int) -> tuple[int, float]:
+    """How many lists must be read for `probed` of the queries to meet the share `aim` of their k nearest vectors, and the least ratio of distances that loses none of these."""
     few = [r["vec"] for r in asked.orderBy(F.xxhash64("vec"), "vec").select("vec").limit(probed).collect()]
     if not few:
-        return 1.0
+        return 1, 1.0
     held = nodes.sparkSession.sparkContext.broadcast(_unit(few, dim))
     schema = pa.schema([("query", pa.int32()), ("near", pa.float32()), ("vec", pa.binary())])
 
@@ -182,11 +175,14 @@ def ratio_for(nodes: DataFrame, asked: DataFrame, graph: CentroidGraph, dim: int
         best = best.select(*keys, F.explode("best").alias("b")).select(*keys, "b.*")
     pairs = [(r["query"], r["vec"]) for r in best.collect() if r["vec"] != few[r["query"]]]  # (k + 1) * probed rows
     if not pairs:
-        return 1.0
+        return 1, 1.0
     lists = lists_of_vector(graph, _unit([v for _, v in pairs], dim))
     apart = _apart(held.value @ graph.centroids.T)
-    need = sorted(float(apart[q, own].min() / apart[q].min()) for (q, _), own in zip(pairs, lists, strict=True))
-    return need[min(len(need) - 1, int(np.ceil(aim * len(need))))] * (1 + 1e-6)
+    rank = np.argsort(np.argsort(apart, axis=1, kind="stable"), axis=1)
+    need = np.array([rank[q, own].min() + 1 for (q, _), own in zip(pairs, lists, strict=True)])
+    ratio = np.array([apart[q, own].min() / apart[q].min() for (q, _), own in zip(pairs, lists, strict=True)])
+    probes = int(np.sort(need)[min(len(need) - 1, int(np.ceil(aim * len(need))))])
+    return probes, float(ratio[need <= probes].max()) * (1 + 1e-6)
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -263,8 +259,8 @@ def _placed(nodes: DataFrame, graph, chooser) -> DataFrame:
     return nodes.select("vec", "ids").mapInArrow(run, "list int, vec binary, ids array<long>")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST_SIZE, aim: float = AIM, probed: int = PROBED, ratio: float | None = None) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: for each query row its k nearest other rows found. is_query is a condition on the id column; `ratio` is found for `aim` unless given."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST_SIZE, aim: float = AIM, probed: int = PROBED, probes: int | None = None, ratio: float = RATIO) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: for each query row its k nearest other rows found. is_query is a condition on the id column; `probes` and `ratio` are found for `aim` unless given."""
     keep = k + 1
     rows = valid(vectors, id_col, vector_col)
     nodes = written(folded(rows, keep), "nodes")
@@ -284,9 +280,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     blocks = written(blocks.groupBy("list", "block").agg(F.collect_list("vec").alias("vecs"), F.collect_list("ids").alias("ids")), "blocks")
     named = written(rows.withColumnRenamed("id", id_col).where(is_query).select(F.col(id_col).alias("id"), "v"), "queries")
     asked = written(folded(named, 1).where(F.col("dim") == dim), "asked")
-    if n and ratio is None:
-        ratio = ratio_for(nodes, asked, graph, dim, k, aim, probed)
-    reads = _placed(asked, graph, lambda g, x: lists_of_query(g, x, ratio)).select("list", "vec")
+    if n and probes is None:
+        probes, ratio = reading_for(nodes, asked, graph, dim, k, aim, probed)
+    reads = _placed(asked, graph, lambda g, x: lists_of_query(g, x, probes, ratio)).select("list", "vec")
     best = written(best_of(blocks, parts, reads, dim, keep), "best")
     few = asked.join(best.where(F.size("best") >= min(keep, known)), "vec", "left_anti").select("vec")
     rest = written(few, "few")
@@ -310,23 +306,34 @@ def best_of(blocks: DataFrame, parts: DataFrame, reads: DataFrame, dim: int, kee
 
     def look(batches):
         for batch in batches:
-            for vecs, ids, asks in zip(*(batch.column(c) for c in range(3)), strict=True):
-                names = ids.as_py()
-                x, q = (scaled(np.frombuffer(b"".join(b.as_py()), np.float64).reshape(len(b.as_py()), dim)) for b in (vecs, asks))
+            for row in range(len(batch)):
+                vecs, ids, asks = (batch.column(c)[row].values for c in range(3))
+                x, q = (scaled(np.frombuffer(b"".join(b.to_pylist()), np.float64).reshape(len(b), dim)) for b in (vecs, asks))
                 nx, nq = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 near = (q / nq[:, None]) @ (x / nx[:, None]).T
-                limit = np.partition(near, max(0, near.shape[1] - keep), axis=1)[:, max(0, near.shape[1] - keep)] - 1e-9
-                out = []
-                for row in range(len(q)):
-                    few = np.flatnonzero(near[row] >= limit[row])
-                    score = (x[few] * q[row]).sum(axis=1) / (nx[few] * nq[row])
-                    pairs = sorted((-s, i) for s, j in zip(score.tolist(), few.tolist(), strict=True) for i in names[j])
-                    out.append([{"score": -s, "id": i} for s, i in pairs[:keep]])
-                yield as_batch(schema, vec=asks.as_py(), best=out)
+                at = max(0, near.shape[1] - keep)
+                limit = np.partition(near, at, axis=1)[:, at] - 1e-9
+                asked, held = np.nonzero(near >= limit[:, None])
+                score = (x[held] * q[asked]).sum(axis=1) / (nx[held] * nq[asked])
+                # a row for each id of a vector, then each query's best
+                sizes = np.array(ids.value_lengths())
+                begin, n = (np.cumsum(sizes) - sizes)[held], sizes[held]
+                name = np.asarray(ids.flatten())[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                asked, score = np.repeat(asked, n), np.repeat(score, n)
+                order = np.lexsort((name, -score, asked))
+                asked, score, name = asked[order], score[order], name[order]
+                first = np.searchsorted(asked, np.arange(len(q)))
+                kept = np.arange(len(asked)) - first[asked] < keep
+                ends = np.cumsum(np.bincount(asked[kept], minlength=len(q)))
+                pairs = pa.StructArray.from_arrays([pa.array(score[kept]), pa.array(name[kept], pa.int64())], ["score", "id"])
+                best = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([asks.cast(pa.binary()), best.cast(schema.field(1).type)], schema=schema)
 
     looked = laid.join(asks, ["list", "block", "group"]).select("vecs", "ids", "asks").mapInArrow(look, "vec binary, best array<struct<score:double,id:long>>")
-    order = F.transform(F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("best"))), lambda b: F.struct((-b.score).alias("far"), b.id.alias("id")))), lambda b: F.struct((-b.far).alias("score"), b.id.alias("id")))
-    return looked.groupBy("vec").agg(F.slice(order, 1, keep).alias("best"))
+    # sorted, an entry that several lists gave stands next to itself
+    sort = F.array_sort(F.transform(F.flatten(F.collect_list("best")), lambda b: F.struct((-b.score).alias("far"), b.id.alias("id"))))
+    found = looked.groupBy("vec").agg(sort.alias("all")).select("vec", F.filter("all", lambda b, k: (k == 0) | (b != F.get("all", k - 1))).alias("all"))
+    return found.select("vec", F.transform(F.slice("all", 1, keep), lambda b: F.struct((-b.far).alias("score"), b.id.alias("id"))).alias("best"))
 
 
 def _with_bytes(rows: DataFrame) -> DataFrame:

@@ -90,13 +90,13 @@ def test_nearest_recall_where_lists_are_pruned(spark, kind):
     truth = np.argpartition(-near, 5, axis=1)[:, :5]
     recall = sum(len(found[50 * k] & set(t.tolist())) for k, t in enumerate(truth)) / truth.size
     print(kind, recall)
-    assert recall >= 0.94
+    assert recall >= 0.93
 
 
 def test_nearest_fills_up(spark):
     rng = np.random.default_rng(13)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
-    found = Counter(r["query_id"] for r in nearest.nearest(table, F.col("vec_id") % 50 == 0, list_size=2, ratio=1.0).collect())
+    found = Counter(r["query_id"] for r in nearest.nearest(table, F.col("vec_id") % 50 == 0, list_size=2, probes=1).collect())
     assert found == {k: 5 for k in range(0, 600, 50)}
 
 
