@@ -449,7 +449,7 @@ query("warp_bilinear", f"{ALL}, {_shifted} {_bilinear}", lambda s, d: warp.warpe
 query("warp_nearest", f"{ALL}, {_shifted} SELECT a.band, t.px, t.py, {_r('value')} AS value FROM tgt t JOIN a ON a.px = floor(u) AND a.py = floor(v)", lambda s, d: warp.warped(every_year(s, d), warp.Grid(), warp.Grid(0.25, 0.25, 1.5, 1.5), "nearest"))
 _mercator = _target.format(u="degrees((px + 0.5) * 100000 / 6378137) / 1.0", v="degrees(atan(exp((py + 0.5) * 100000 / 6378137)) * 2 - pi() / 2)", x0=-1, x1=20, y0=-1, y1=20)
 query("warp_mercator", f"{ALL}, {_mercator} {_bilinear}", lambda s, d: warp.warped(every_year(s, d), warp.Grid(), warp.Grid(0.0, 0.0, 100000.0, 100000.0, "EPSG:3857")))
-query("warp_aligned_add", f"{ALL}, {_target.format(u='(px + 0.5) / 1.6 - 0.3 / 1.6', v='(py + 0.5) / 1.6 - 0.3 / 1.6', x0=-1, x1=28, y0=-1, y1=28)}, other AS ({_bilinear.replace('JOIN a ON', 'JOIN b a ON')}) SELECT a.band, a.px, a.py, {_r('a.value + o.value')} AS value FROM a JOIN other o USING (band, px, py)", lambda s, d: coverage.binary(*warp.aligned(every_year(s, d), warp.Grid(), every_year(s, d, 1), warp.Grid(0.3, 0.3, 1.6, 1.6)), "add"))
+query("warp_aligned_add", f"{ALL}, {_target.format(u='(px + 0.13) / 1.6::DOUBLE', v='(py + 0.13) / 1.6::DOUBLE', x0=-1, x1=28, y0=-1, y1=28)}, other AS ({_bilinear.replace('JOIN a ON', 'JOIN b a ON')}) SELECT a.band, a.px, a.py, {_r('a.value + o.value')} AS value FROM a JOIN other o USING (band, px, py)", lambda s, d: coverage.binary(*warp.aligned(every_year(s, d), warp.Grid(), every_year(s, d, 1), warp.Grid(0.37, 0.37, 1.6, 1.6)), "add"))
 
 # SQL of regressions by Newton steps, one common table a step, solved by determinants
 
