@@ -10,12 +10,12 @@ from rastrix.llm import queries
 
 def canonical(names, found):
     order = sorted(range(len(names)), key=names.__getitem__)
-    return sorted(tuple(round(r[k], 6) if isinstance(r[k], float) else r[k] for k in order) for r in found)
+    return sorted((tuple(round(r[k], 6) if isinstance(r[k], float) else r[k] for k in order) for r in found), key=str)
 
 
 def test_oracles(spark, sf_dir):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, sf_dir)
