@@ -48,4 +48,4 @@ def test_stages_on_messy_tables(spark, sf_dir, messy, no_docs):
 
 
 def test_queries_are_all_there():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11)) and os.path.exists(corpus_pipeline.__file__)
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14)) and os.path.exists(corpus_pipeline.__file__)
