@@ -126,8 +126,10 @@ def texture(cells: DataFrame, dx: int = 1, dy: int = 0) -> DataFrame:
     right = cells.select("band", (F.col("px") - dx).alias("px"), (F.col("py") - dy).alias("py"), F.floor("value").alias("b"))
     pairs = left.join(right, CELL).groupBy("band", "a", "b").agg(F.count("*").alias("n"))
     total = pairs.groupBy("band").agg(F.sum("n").alias("all"))
-    p, gap = F.col("n") / F.col("all"), F.col("a") - F.col("b")
-    return pairs.join(total, "band").groupBy("band").agg(F.sum(p * gap * gap).alias("contrast"), F.sum(p * p).alias("energy"), F.sum(p / (1 + gap * gap)).alias("homogeneity"), (-F.sum(p * F.log2(p))).alias("entropy"))
+    n, every, gap = F.col("n"), F.max("all"), F.col("a") - F.col("b")
+    # whole numbers are summed and divided once, so that contrast and energy do not depend on the order of rows
+    alike = pairs.withColumn("gap", gap * gap).groupBy("band", "gap").agg(F.sum("n").alias("n"), F.sum(n * n).alias("squares"), F.sum(n * F.log2("n")).alias("bits")).join(total, "band")
+    return alike.groupBy("band").agg((F.sum(n * F.col("gap")) / every).alias("contrast"), (F.sum("squares") / (every * every)).alias("energy"), (F.sum(n / (1 + F.col("gap"))) / every).alias("homogeneity"), (F.log2(every) - F.sum("bits") / every).alias("entropy"))
 
 
 def latitude(cells: DataFrame, top: float, size: float) -> DataFrame:
