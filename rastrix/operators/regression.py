@@ -1,12 +1,14 @@
 """Linear, logistic and Poisson regression, and geographically weighted models.
 
 Global models gather X'X and X'y in one aggregate; iterated ones repeat that until the coefficients settle. Geographically
-weighted models aggregate the same sums for each location over its pairs from a bounded-reach distance join, so that no task
-holds more than a location's few sums; small systems are solved by the driver (global) or in batches of rows (local).
+weighted models fold the rows of each place into such sums first, which the weights of a bounded-reach join of places then add up, so that rows that
+share places cost no more than one, and no task holds more than a place's few sums; small systems are solved by the driver (global) or in batches of rows (local).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel, space_time_distance
 from ..functions.stored import stored
-from .spatial import within_distance
+from .spatial import near_places, within_distance
 
 
 def _sums(x: list[Column], y: Column, w: Column) -> list[Column]:
@@ -45,7 +47,7 @@ def linear(rows: DataFrame, y: str, columns: list[str]) -> DataFrame:
     beta[0] += mean[k] - sum(v * m for v, m in zip(beta[1:], mean))
     r2 = 1 - rss / sst if sst else None
     aic = n * np.log(2 * np.pi * rss / n) + n + 2 * (k + 2) if n and rss > 0 else None
-    out = [(t, float(v), r2 and float(r2), aic and float(aic)) for t, v in zip(["intercept", *columns], beta)]
+    out = [(t, float(v), r2 if r2 is None else float(r2), aic if aic is None else float(aic)) for t, v in zip(["intercept", *columns], beta)]
     return rows.sparkSession.createDataFrame(out, "term string, coefficient double, r2 double, aic double")
 
 
@@ -74,47 +76,89 @@ def reach(width: float, kind: str) -> float:
     return width if kind in ("bisquare", "tricube", "boxcar") else 8 * width
 
 
-def near_pairs(points: DataFrame, columns: list[str], far: float) -> DataFrame:
-    """(i, j, d, and the neighbour's columns) of all points up to a distance apart, written for several fits."""
-    return stored(within_distance(points, points.withColumn("v", F.struct(*columns)), far).select("i", "j", "d", "vj.*"), "near")
+ONE = "_one"
 
 
-def _pairs(points: DataFrame, columns: list[str], width: float, kind: str, near: DataFrame | None = None) -> DataFrame:
-    """Every point's neighbours within the kernel's reach, with their values and weights; `near` are pairs that near_pairs has found."""
-    if near is None:
-        near = within_distance(points, points.withColumn("v", F.struct(*columns)), reach(width, kind)).select("i", "d", "vj.*")
-    return near.where(F.col("d") <= reach(width, kind)).select("i", "d", kernel(F.col("d"), width, kind).alias("w"), *columns).where("w > 0")
+def _term(a: str, b: str) -> str:
+    """The name of the folded product of two columns."""
+    return "|".join(sorted((a, b)))
+
+
+def _products(columns: list[str]) -> dict[str, Column]:
+    """Products of all pairs of the columns and one."""
+    value = {ONE: F.lit(1.0)} | {c: F.col(c).cast("double") for c in columns}
+    return {_term(a, b): value[a] * value[b] for a in value for b in value if a <= b}
+
+
+def _folded(points: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y, by, the sums): a row a place."""
+    return points.groupBy("x", "y", *by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def near_sums(points: DataFrame, columns: list[str]) -> DataFrame:
+    """Each place's sums of products of all pairs of the columns and one, written for several fits."""
+    return stored(_folded(points, _products(columns)), "places")
+
+
+def _around(places: DataFrame, held: DataFrame, width: float, kind: str) -> DataFrame:
+    """Each place's neighbours among the folded ones within the kernel's reach, with their sums and the weight w; the asked place is ax, ay."""
+    pairs = near_places(places.select("x", "y").distinct(), held, reach(width, kind))
+    return pairs.withColumn("w", kernel(F.col("d"), width, kind)).where("w > 0")
+
+
+def _local(pairs: DataFrame, sums: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    return pairs.groupBy("ax", "ay", *by).agg(*sums).withColumnsRenamed({"ax": "x", "ay": "y"})
+
+
+def _system_sums(y: str, columns: list[str], w: Column) -> list[Column]:
+    """The weighted sums of a fit from folded products."""
+    x = [ONE, *columns]
+    k = range(len(x))
+    return [F.sum(w * F.col(_term(x[a], x[b]))).alias(f"a{a}_{b}") for a in k for b in k if b >= a] + [F.sum(w * F.col(_term(x[a], y))).alias(f"b{a}") for a in k]
 
 
 def weighted_regression(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
     """(id, beta: array with the intercept first, yhat, residual): weighted least squares at each point; singular systems get 1e-6 on the diagonal."""
-    return _fitted(points, _pairs(points, [y, *columns], width, kind), y, columns)
+    return _fitted(points, _local_systems(points, points, y, columns, width, kind), y, columns)
+
+
+def _local_systems(places: DataFrame, points: DataFrame, y: str, columns: list[str], width: float, kind: str, held: DataFrame | None = None) -> DataFrame:
+    held = _folded(points, _products([y, *columns])) if held is None else held
+    return _local(_around(places, held, width, kind), _system_sums(y, columns, F.col("w")))
 
 
 def space_time_regression(points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float = 0.05, kind: str = "bisquare") -> DataFrame:
     """As weighted_regression, by distance in space and time; what comes later than a point takes no part. The kernel must end (bisquare, tricube, boxcar) and share be over 0, which bounds the distance in space."""
-    return _fitted(points, _space_time_pairs(points, points, y, columns, time, width, share, kind), y, columns)
+    return _fitted(points, _space_time_systems(points, points, y, columns, time, width, share, kind), y, columns, (time,))
 
 
 def space_time_prediction(points: DataFrame, places: DataFrame, y: str, columns: list[str], time: str, width: float, share: float = 0.05, kind: str = "bisquare") -> DataFrame:
     """(id, beta, yhat) at places (id, x, y, the time and the columns) by the points around and before them; places out of reach of all go."""
-    return _fitted(places.withColumn(y, F.lit(0.0)), _space_time_pairs(places, points, y, columns, time, width, share, kind), y, columns).select("id", "beta", "yhat")
+    return _fitted(places.withColumn(y, F.lit(0.0)), _space_time_systems(places, points, y, columns, time, width, share, kind), y, columns, (time,)).select("id", "beta", "yhat")
 
 
-def _space_time_pairs(places: DataFrame, points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float, kind: str) -> DataFrame:
+def _space_time_systems(places: DataFrame, points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float, kind: str) -> DataFrame:
+    """The sums of a fit at each place and time: rows alike in both are folded, and a place meets another once, with all its times."""
     if kind not in ("bisquare", "tricube", "boxcar") or not 0 < share <= 1:
         raise ValueError("a kernel that ends and a share over 0 up to 1")
-    near = within_distance(places, points.withColumn("v", F.struct(F.col(time).alias("_tj"), y, *columns)), width / share)
-    late = near.join(places.select(F.col("id").alias("i"), F.col(time).alias("_ti")), "i").withColumn("ago", (F.col("_ti") - F.col("vj._tj")).cast("double")).where("ago >= 0")
-    apart = space_time_distance(F.col("d"), F.col("ago"), share)
-    return late.withColumn("w", kernel(apart, width, kind)).where("w > 0").select("i", "w", *[F.col(f"vj.{c}").alias(c) for c in (y, *columns)])
+    held = _folded(points, _products([y, *columns]), (time,))
+    names = [c for c in held.columns if c not in ("x", "y", time)]
+    asked = places.select("x", "y", time).distinct().select(F.struct("x", "y", time).alias("id"), "x", "y")
+    held = held.select(F.struct("x", "y", time).alias("id"), "x", "y", F.struct(F.col(time).alias("_tj"), *[F.col(f"`{c}`") for c in names]).alias("v"))
+    ago = (F.col(f"i.{time}") - F.col("vj._tj")).cast("double")
+    late = within_distance(asked, held, width / share).withColumn("ago", ago).where("ago >= 0")
+    near = late.withColumn("w", kernel(space_time_distance(F.col("d"), F.col("ago"), share), width, kind)).where("w > 0")
+    return near.select("i.*", "w", *[F.col(f"vj.`{c}`").alias(c) for c in names]).groupBy("x", "y", time).agg(*_system_sums(y, columns, F.col("w")))
 
 
-def _fitted(points: DataFrame, pairs: DataFrame, y: str, columns: list[str]) -> DataFrame:
-    x = _design(columns)
-    local = pairs.groupBy("i").agg(*_sums(x, F.col(y).cast("double"), F.col("w")))
-    own = points.select(F.col("id").alias("i"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
-    k = len(x)
+def _fitted(points: DataFrame, local: DataFrame, y: str, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, beta, yhat, residual) from the sums at each place (x, y, by)."""
+    own = points.select(F.col("id").alias("i"), "x", "y", *by, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)])
+    return _solved(local.join(own, ["x", "y", *by]), points, columns)
+
+
+def _solved(systems: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
+    k = len(columns) + 1
     kind_of_id = points.schema["id"].dataType.simpleString()
 
     def solve(batches):
@@ -131,14 +175,19 @@ def _fitted(points: DataFrame, pairs: DataFrame, y: str, columns: list[str]) ->
             yhat = (beta * at).sum(axis=1)
             yield pd.DataFrame({"id": t["i"], "beta": list(beta), "yhat": yhat, "residual": t["_y"] - yhat})
 
-    return local.join(own, "i").mapInPandas(solve, f"id {kind_of_id}, beta array<double>, yhat double, residual double")
+    return systems.mapInPandas(solve, f"id {kind_of_id}, beta array<double>, yhat double, residual double")
+
+
+def _at_points(points: DataFrame, local: DataFrame) -> DataFrame:
+    """The sums of each point's place, by its id as i."""
+    return points.select(F.col("id").alias("i"), "x", "y").join(local, ["x", "y"]).drop("x", "y")
 
 
 def weighted_average(points: DataFrame, y: str, width: float, kind: str = "bisquare") -> DataFrame:
     """(id, mean, variance, skewness) of the neighbours, weighed."""
-    p = _pairs(points, [y], width, kind)
-    w, v = F.col("w"), F.col(y)
-    m = p.groupBy("i").agg(F.sum(w).alias("s"), F.sum(w * v).alias("m1"), F.sum(w * v * v).alias("m2"), F.sum(w * v * v * v).alias("m3"))
+    v, w = F.col(y).cast("double"), F.col("w")
+    held = _folded(points, {"s": F.lit(1.0), "m1": v, "m2": v * v, "m3": v * v * v})
+    m = _at_points(points, _local(_around(points, held, width, kind), [F.sum(w * F.col(c)).alias(c) for c in ("s", "m1", "m2", "m3")]))
     mean = F.col("m1") / F.col("s")
     var = F.greatest(F.col("m2") / F.col("s") - mean * mean, F.lit(0.0))
     third = F.col("m3") / F.col("s") - 3 * mean * F.col("m2") / F.col("s") + 2 * mean * mean * mean
@@ -147,27 +196,49 @@ def weighted_average(points: DataFrame, y: str, width: float, kind: str = "bisqu
 
 def weighted_correlation(points: DataFrame, a: str, b: str, width: float, kind: str = "bisquare") -> DataFrame:
     """(id, covariance, r): weighed, the covariance over 1 - sum of squared shares."""
-    p = _pairs(points, [a, b], width, kind)
-    w, x, y = F.col("w"), F.col(a), F.col(b)
-    m = p.groupBy("i").agg(F.sum(w).alias("s"), F.sum(w * w).alias("q"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy"))
+    w, x, y = F.col("w"), F.col(a).cast("double"), F.col(b).cast("double")
+    held = _folded(points, {"s": F.lit(1.0), "sx": x, "sy": y, "xx": x * x, "yy": y * y, "xy": x * y})
+    m = _at_points(points, _local(_around(points, held, width, kind), [*[F.sum(w * F.col(c)).alias(c) for c in ("s", "sx", "sy", "xx", "yy", "xy")], F.sum(w * w * F.col("s")).alias("q")]))
     s = F.col("s")
     cov = lambda u, v, uv: F.col(uv) / s - F.col(u) / s * F.col(v) / s
-    vx, vy = cov("x", "x", "xx"), cov("y", "y", "yy")
-    return m.select(F.col("i").alias("id"), F.try_divide(cov("x", "y", "xy"), 1 - F.col("q") / s / s).alias("covariance"), F.when((vx > 1e-9) & (vy > 1e-9), cov("x", "y", "xy") / F.sqrt(vx * vy)).alias("r"))
+    vx, vy = cov("sx", "sx", "xx"), cov("sy", "sy", "yy")
+    return m.select(F.col("i").alias("id"), F.try_divide(cov("sx", "sy", "xy"), 1 - F.col("q") / s / s).alias("covariance"), F.when((vx > 1e-9) & (vy > 1e-9), cov("sx", "sy", "xy") / F.sqrt(vx * vy)).alias("r"))
 
 
 def weighted_quantiles(points: DataFrame, y: str, width: float, kind: str = "bisquare", shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """(id, one column q<percent> a share): the least value at which the neighbours' weights come to the share."""
-    p = _pairs(points, [y], width, kind)
-    upto = p.groupBy("i", F.col(y).alias("v")).agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(Window.partitionBy("i").orderBy("v")))
-    whole = upto.withColumn("all", F.sum("w").over(Window.partitionBy("i")))
-    return whole.groupBy(F.col("i").alias("id")).agg(*[F.min(F.when(F.col("upto") >= F.col("all") * q - 1e-12, F.col("v"))).alias(f"q{round(q * 100)}") for q in shares])
-
+    """(id, one column q<percent> a share): the least value at which the neighbours' weights come to the share.
 
-def _moment_sums(columns: list[str]) -> list[Column]:
+    The weights of QUANTILE_BINS ranges of values are summed for each place first; only the values of the ranges in which its shares fall are then gone through.
+    """
+    v, w = F.col(y), F.col("w")
+    edges = sorted(set(points.select(v.cast("double").alias("v")).approxQuantile("v", [k / QUANTILE_BINS for k in range(1, QUANTILE_BINS)], 0.005)))
+    binned = points.withColumn("_bin", sum((F.when(v > e, 1).otherwise(0) for e in edges), F.lit(0)))
+    bins = range(len(edges) + 1)
+    held = _folded(binned, {f"n{k}": F.when(F.col("_bin") == k, 1.0).otherwise(0.0) for k in bins})
+    upto = _local(_around(points, held, width, kind), [F.sum(w * F.col(f"n{k}")).alias(f"n{k}") for k in bins])
+    upto = upto.select("x", "y", F.array(*[sum((F.col(f"n{m}") for m in range(k + 1)), F.lit(0.0)) for k in bins]).alias("upto"))
+    asked = upto.select("x", "y", "upto", F.element_at("upto", -1).alias("all"), F.explode(F.array(*map(F.lit, shares))).alias("q")).withColumn("least", F.col("all") * F.col("q") - 1e-12)
+    at = F.least(F.size(F.filter("upto", lambda u: u < F.col("least"))), F.lit(len(edges)))
+    asked = stored(asked.withColumn("_bin", at).select("x", "y", "q", "least", "_bin", F.when(F.col("_bin") > 0, F.get("upto", F.col("_bin") - 1)).otherwise(0.0).alias("before")), "shares")
+    values = binned.groupBy("x", "y", "_bin", v.alias("v")).agg(F.count("*").alias("n"))
+    near = near_places(asked.select("x", "y", "_bin").distinct(), values, reach(width, kind), by=("_bin",)).withColumn("w", kernel(F.col("d"), width, kind)).where("w > 0")
+    each = _local(near, [F.sum(w * F.col("n")).alias("w")], ("_bin", "v")).withColumn("upto", F.sum("w").over(Window.partitionBy("x", "y", "_bin").orderBy("v")))
+    found = asked.join(each, ["x", "y", "_bin"])
+    here = lambda q: F.col("q") == q
+    best = lambda q: F.coalesce(F.min(F.when(here(q) & (F.col("before") + F.col("upto") >= F.col("least")), F.col("v"))), F.max(F.when(here(q), F.col("v"))))  # noqa: E731  the last one, where rounding leaves none
+    return _at_points(points, found.groupBy("x", "y").agg(*[best(q).alias(f"q{round(q * 100)}") for q in shares])).withColumnRenamed("i", "id")
+
+
+#: Ranges of values whose weights are summed before single values are looked at.
+QUANTILE_BINS = 24
+
+
+def _moment_sums(columns: list[str]) -> tuple[dict[str, Column], list[Column]]:
+    """Sums to fold by place, and those of the folded ones by weight: s of the weights, n of rows, m of values, c of products."""
     k, w = range(len(columns)), F.col("w")
     x = [F.col(c).cast("double") for c in columns]
-    return [F.sum(w).alias("s"), F.count("*").alias("n"), *[F.sum(w * x[a]).alias(f"m{a}") for a in k], *[F.sum(w * x[a] * x[b]).alias(f"c{a}_{b}") for a in k for b in k if b >= a]]
+    sums = {"s": F.lit(1.0), **{f"m{a}": x[a] for a in k}, **{f"c{a}_{b}": x[a] * x[b] for a in k for b in k if b >= a}}
+    return sums, [*[F.sum(w * F.col(c)).alias(c) for c in sums], F.sum("s").alias("n")]
 
 
 def _mean_covariance(t: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +251,8 @@ def _mean_covariance(t: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 def weighted_components(points: DataFrame, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
     """(id, variances, loadings): principal components of the neighbours, largest first; a loading's largest entry is positive. Five neighbours or fewer give zeros."""
     k, kind_of_id = len(columns), points.schema["id"].dataType.simpleString()
-    local = _pairs(points, columns, width, kind).groupBy("i").agg(*_moment_sums(columns))
+    sums, weighed = _moment_sums(columns)
+    local = _at_points(points, _local(_around(points, _folded(points, sums), width, kind), weighed))
 
     def solve(batches):
         for t in batches:
@@ -198,10 +270,12 @@ def weighted_discriminant(points: DataFrame, label: str, columns: list[str], wid
     """(id, predicted, share, entropy): the class that the neighbours' weighted priors, means and covariances (one, or one a class) make likeliest, ties to the first in order, with its probability and the bits of entropy of all."""
     k = len(columns)
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    local = _pairs(points, [label, *columns], width, kind).groupBy("i", F.col(label).alias("label")).agg(*_moment_sums(columns))
-    fields = [c for c in local.columns if c != "i"]
-    each = local.groupBy("i").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("classes"))  # one entry a class
-    own = points.select(F.col("id").alias("i"), F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
+    sums, weighed = _moment_sums(columns)
+    held = _folded(points.withColumn("label", F.col(label)), sums, ("label",))
+    local = _local(_around(points, held, width, kind), weighed, ("label",))
+    fields = [c for c in local.columns if c not in ("x", "y")]
+    each = local.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("classes"))  # one entry a class
+    own = points.select(F.col("id").alias("i"), "x", "y", F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
 
     def judged(classes, at) -> tuple:
         t = pd.DataFrame([c if isinstance(c, dict) else c.asDict() for c in classes])
@@ -222,36 +296,43 @@ def weighted_discriminant(points: DataFrame, label: str, columns: list[str], wid
             found = [judged(c, a) for c, a in zip(t["classes"], t["at"])]
             yield pd.DataFrame({"id": t["i"], "predicted": [f[0] for f in found], "share": [f[1] for f in found], "entropy": [f[2] for f in found]})
 
-    return each.join(own, "i").mapInPandas(solve, f"id {kinds['id']}, predicted {kinds[label]}, share double, entropy double")
+    return each.join(own, ["x", "y"]).mapInPandas(solve, f"id {kinds['id']}, predicted {kinds[label]}, share double, entropy double")
 
 
 def weighted_generalised(points: DataFrame, y: str, columns: list[str], width: float, family: str = "poisson", kind: str = "bisquare", rounds: int = 6) -> DataFrame:
-    """(id, beta): a Poisson or logistic model at each point, by that many rounds of weighted least squares; a round joins the last coefficients to the pairs, which are dealt by location once."""
-    k, kind_of_id = len(columns) + 1, points.schema["id"].dataType.simpleString()
-    pairs = _pairs(points, [y, *columns], width, kind).repartition("i")
-    x, t = _design(columns), F.col(y).cast("double")
+    """(id, beta): a Poisson or logistic model at each point, by that many rounds of weighted least squares; rows alike in place and columns are folded, and a round joins the last coefficients to the pairs of places."""
+    k = len(columns) + 1
+    t = F.col(y).cast("double")
+    first = t + 0.1 if family == "poisson" else (t + 0.5) / 2
+    link = F.log(first) if family == "poisson" else F.log(first / (1 - first))
+    bent = first if family == "poisson" else first * (1 - first)
+    known = points.where(t.isNotNull()).withColumns({f"_c{c}": F.col(name).cast("double") for c, name in enumerate(columns)})
+    held = stored(_folded(known, {"n": F.lit(1.0), "t": t, "bent": bent, "start": bent * link + (t - first)}, tuple(f"_c{c}" for c in range(k - 1))), "places")
+    pairs = _around(points, held, width, kind)
+    x = [F.lit(1.0), *[F.col(f"_c{c}") for c in range(k - 1)]]
 
     def solve(batches):
         for b in batches:
             a = np.array([[b[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]).transpose(2, 0, 1)
             right = np.stack([b[f"b{i}"] for i in range(k)], axis=1)
             a = a + 1e-9 * np.maximum(1e-9, np.trace(a, axis1=1, axis2=2))[:, None, None] * np.eye(k)
-            yield pd.DataFrame({"i": b["i"], "beta": list(np.linalg.solve(a, right[:, :, None])[:, :, 0])})
+            yield pd.DataFrame({"x": b["x"], "y": b["y"], "beta": list(np.linalg.solve(a, right[:, :, None])[:, :, 0])})
 
-    beta = None
+    beta, kinds = None, {f.name: f.dataType.simpleString() for f in points.schema}
     for _ in range(rounds):
         if beta is None:
-            now, mean = pairs, t + 0.1 if family == "poisson" else (t + 0.5) / 2
-            eta = F.log(mean) if family == "poisson" else F.log(mean / (1 - mean))
+            now, curve, part = pairs, F.col("bent"), F.col("start")
         else:
-            now = pairs.join(beta, "i")
+            now = pairs.join(beta.withColumnsRenamed({"x": "ax", "y": "ay"}), ["ax", "ay"])
             eta = sum((x[c] * F.col("beta")[c] for c in range(k)), F.lit(0.0))
             eta = F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))
             mean = F.exp(eta) if family == "poisson" else 1 / (1 + F.exp(-eta))
-        curve = mean if family == "poisson" else mean * (1 - mean)
-        sums = now.groupBy("i").agg(*_sums(x, eta + (t - mean) / curve, F.col("w") * curve))
-        beta = sums.mapInPandas(solve, f"i {kind_of_id}, beta array<double>")
-    return beta.withColumnRenamed("i", "id")
+            curve = F.col("n") * (mean if family == "poisson" else mean * (1 - mean))
+            part = curve * eta + F.col("t") - F.col("n") * mean
+        w = F.col("w")
+        sums = [F.sum(w * curve * x[a] * x[b]).alias(f"a{a}_{b}") for a in range(k) for b in range(a, k)] + [F.sum(w * x[a] * part).alias(f"b{a}") for a in range(k)]
+        beta = stored(_local(now, sums).mapInPandas(solve, f"x {kinds['x']}, y {kinds['y']}, beta array<double>"), "beta")
+    return _at_points(points, beta).withColumnRenamed("i", "id")
 
 
 def linear_diagnostics(rows: DataFrame, y: str, columns: list[str]) -> DataFrame:
@@ -304,41 +385,37 @@ def deviance(rows: DataFrame, y: str, family: str, terms: int) -> DataFrame:
 
 def weighted_prediction(points: DataFrame, places: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare") -> DataFrame:
     """(id, beta, yhat) at places (id, x, y and the columns) by the points around them; places out of reach of all go."""
-    far = width if kind in ("bisquare", "tricube", "boxcar") else 8 * width
-    near = within_distance(places, points.withColumn("v", F.struct(y, *columns)), far)
-    pairs = near.select("i", kernel(F.col("d"), width, kind).alias("w"), "vj.*").where("w > 0")
-    return _fitted(places.withColumn(y, F.lit(0.0)), pairs, y, columns).select("id", "beta", "yhat")
+    return _fitted(places.withColumn(y, F.lit(0.0)), _local_systems(places, points, y, columns, width, kind), y, columns).select("id", "beta", "yhat")
 
 
 def bandwidth_scores(points: DataFrame, y: str, columns: list[str], widths: list[float], kind: str = "bisquare", near: DataFrame | None = None) -> DataFrame:
-    """(width, cv): for each width the sum of squares of what each point's neighbours without itself miss it by; one job for all widths.
+    """(width, cv): for each width the sum of squares of what each point's neighbours without itself miss it by; `near` are a table's near_sums.
 
     A width at which a point has too few neighbours for a fit (singular) has no score there.
     """
-    if near is None:
-        near = within_distance(points, points.withColumn("v", F.struct(y, *columns)), reach(max(widths), kind)).select("i", "j", "d", "vj.*")
-    each = near.where("i <> j").select("i", "d", y, *columns, F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"))
-    weight = kernel_of_column(F.col("d"), F.col("width"), kind)
-    pairs = each.where(F.col("d") <= F.col("width") * reach(1.0, kind)).withColumn("w", weight).where("w > 0").select(F.struct("i", "width").alias("i"), "w", y, *columns)
-    asked = points.select(F.explode(F.array(*[F.lit(float(w)) for w in widths])).alias("width"), "id", y, *columns).select(F.struct(F.col("id").alias("i"), "width").alias("id"), y, *columns)
-    fit = _fitted(asked, pairs, y, columns)
-    return fit.groupBy(F.col("id.width").alias("width")).agg(F.sum(F.col("residual") ** 2).alias("cv"))
+    near = near_sums(points, [y, *columns]) if near is None else near
+    return reduce(DataFrame.unionByName, [_cross_validated(points, near, y, columns, float(w), kind) for w in widths])
 
 
-def kernel_of_column(d: Column, width: Column, kind: str) -> Column:
-    """A kernel whose width is a column."""
-    u = d / width
-    inside = {"bisquare": (1 - u * u) ** 2, "tricube": (1 - u * u * u) ** 3, "boxcar": F.lit(1.0)}
-    if kind in inside:
-        return F.when(u <= 1, inside[kind]).otherwise(0.0)
-    return F.exp(-0.5 * u * u) if kind == "gaussian" else F.exp(-u)
+def _cross_validated(points: DataFrame, near: DataFrame, y: str, columns: list[str], width: float, kind: str) -> DataFrame:
+    """(width, cv). A point's own share is taken from the sums of its place only, so that no large sum is lessened by a small one."""
+    x = [ONE, *columns]
+    terms = {f"a{a}_{b}": _term(x[a], x[b]) for a in range(len(x)) for b in range(a, len(x))} | {f"b{a}": _term(x[a], y) for a in range(len(x))}
+    others = _local(_around(near, near, width, kind).where("d > 0"), [*_system_sums(y, columns, F.col("w")), F.sum(_term(ONE, ONE)).alias("others")])
+    here = near.select("x", "y", *[F.col(t).alias(f"here_{n}") for n, t in terms.items()])
+    mine = _products([y, *columns])
+    own = points.select(F.col("id").alias("i"), "x", "y", F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)], *[mine[t].alias(f"own_{n}") for n, t in terms.items()])
+    every = own.join(here, ["x", "y"]).join(others, ["x", "y"], "left").where((F.coalesce("others", F.lit(0.0)) + F.col("here_a0_0")) > 1.5)
+    less = lambda n: (F.coalesce(n, F.lit(0.0)) + (F.coalesce(f"here_{n}", F.lit(0.0)) - F.coalesce(f"own_{n}", F.lit(0.0)))).alias(n)
+    systems = every.select("i", "_y", *[f"_x{k}" for k in range(len(columns))], *[less(n) for n in terms])
+    return _solved(systems, points, columns).groupBy(F.lit(width).alias("width")).agg(F.sum(F.col("residual") ** 2).alias("cv"))
 
 
 def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, high: float, kind: str = "bisquare", rounds: int = 12, approach: str = "cv", near: DataFrame | None = None) -> float:
-    """The width between two bounds with the least cross-validation score or corrected criterion ("aicc"), by golden section; pairs are found once, and each round is one job over them."""
+    """The width between two bounds with the least cross-validation score or corrected criterion ("aicc"), by golden section; places are folded once, and each round is one job over their pairs."""
     share = (5**0.5 - 1) / 2
     if near is None:
-        near = near_pairs(points, [y, *columns], reach(high, kind))
+        near = near_sums(points, [y, *columns])
 
     def score(w: float) -> float:
         found = bandwidth_scores(points, y, columns, [w], kind, near).first() if approach == "cv" else weighted_diagnostics(points, y, columns, w, kind, near).first()
@@ -362,7 +439,7 @@ def best_bandwidth(points: DataFrame, y: str, columns: list[str], low: float, hi
 def weighted_diagnostics(points: DataFrame, y: str, columns: list[str], width: float, kind: str = "bisquare", near: DataFrame | None = None) -> DataFrame:
     """(rss, trace, aicc, r2) of a geographically weighted regression: the trace of its hat matrix is the sum of what each point weighs in its own fit."""
     k, kind_of_id = len(columns) + 1, points.schema["id"].dataType.simpleString()
-    sums = _pairs(points, [y, *columns], width, kind, near).groupBy("i").agg(*_sums(_design(columns), F.col(y).cast("double"), F.col("w")))
+    sums = _at_points(points, _local_systems(points, points, y, columns, width, kind, near))
     own = points.select(F.col("id").alias("i"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(columns)])
 
     def run(batches):
@@ -382,9 +459,9 @@ def weighted_diagnostics(points: DataFrame, y: str, columns: list[str], width: f
 
 
 def forward_selection(points: DataFrame, y: str, candidates: list[str], width: float, kind: str = "bisquare", near: DataFrame | None = None) -> DataFrame:
-    """(step, column, aicc): columns in the order in which each lowers the corrected criterion most; candidates are few, pairs are found once, and each fit is one job over them."""
+    """(step, column, aicc): columns in the order in which each lowers the corrected criterion most; candidates are few, places are folded once, and each fit is one job over their pairs."""
     chosen, out = [], []
-    near = near_pairs(points, [y, *candidates], reach(width, kind)) if near is None else near
+    near = near_sums(points, [y, *candidates]) if near is None else near
     while len(chosen) < len(candidates):
         scores = [(weighted_diagnostics(points, y, [*chosen, c], width, kind, near).first()["aicc"], c) for c in candidates if c not in chosen]
         best = min((s, c) for s, c in scores if s is not None and s == s)
@@ -395,7 +472,7 @@ def forward_selection(points: DataFrame, y: str, candidates: list[str], width: f
 
 def auto_fit(points: DataFrame, y: str, candidates: list[str], low: float, high: float, kind: str = "bisquare", approach: str = "aicc", gain: float = 3.0, rounds: int = 12) -> tuple[DataFrame, list[str], float]:
     """A regression that chooses for itself: columns in forward order at the widest bandwidth, as long as each lowers the corrected criterion by `gain`, then the bandwidth. The fit, the columns and the width."""
-    near = near_pairs(points, [y, *candidates], reach(high, kind))
+    near = near_sums(points, [y, *candidates])
     steps = forward_selection(points, y, candidates, high, kind, near).orderBy("step").collect()  # a row a candidate
     kept = [steps[0]["column"]]
     for before, now in zip(steps, steps[1:]):
@@ -403,4 +480,4 @@ def auto_fit(points: DataFrame, y: str, candidates: list[str], low: float, high:
             break
         kept.append(now["column"])
     width = best_bandwidth(points, y, kept, low, high, kind, rounds, approach, near)
-    return _fitted(points, _pairs(points, [y, *kept], width, kind, near), y, kept), kept, width
+    return _fitted(points, _local_systems(points, points, y, kept, width, kind, near), y, kept), kept, width
