@@ -7,15 +7,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import nearest, within_distance
+from ..functions.stored import stored
+from .spatial import near_places, nearest
 
 
 def variogram(points: DataFrame, reach: float, bins: int = 20) -> DataFrame:
     """(bin, n, d, gamma): mean distance and half the mean squared difference of the pairs in each of `bins` steps up to the reach."""
     step = reach / bins
-    pairs = within_distance(points, points, reach).where("i < j").join(points.select(F.col("id").alias("i"), F.col("v").alias("vi")), "i")
+    mean = points.agg(F.avg(F.col("v").cast("double"))).first()[0] or 0.0
+    v = F.col("v").cast("double") - mean
+    places = stored(points.groupBy("x", "y").agg(F.count("*").alias("n"), F.count("v").alias("k"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("q")), "places")
+    other = places.withColumnsRenamed({"n": "m", "k": "l", "s": "t", "q": "r"})
+    # of two places each pair comes twice; within one, n rows form n (n - 1) / 2 pairs, whose squared differences sum up to k q - s s
+    one = F.col("d") == 0
+    part = lambda inside, between: F.when(one, inside).otherwise(between) / 2
+    pairs = near_places(places, other, reach).select(
+        "d",
+        part(F.col("n") * (F.col("n") - 1), F.col("n") * F.col("m")).alias("n"),
+        part(F.col("k") * (F.col("k") - 1), F.col("k") * F.col("l")).alias("k"),
+        part(2 * (F.col("k") * F.col("q") - F.col("s") * F.col("s")), F.col("l") * F.col("q") + F.col("k") * F.col("r") - 2 * F.col("s") * F.col("t")).alias("square"),
+    ).where("n > 0")
     binned = F.least(F.floor(F.col("d") / step), F.lit(bins - 1)).alias("bin")
-    return pairs.groupBy(binned).agg(F.count("*").alias("n"), F.avg("d").alias("d"), (F.avg((F.col("vi") - F.col("vj")) * (F.col("vi") - F.col("vj"))) / 2).alias("gamma"))
+    return pairs.groupBy(binned).agg(F.round(F.sum("n")).cast("long").alias("n"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("d"), (F.try_divide(F.sum("square"), F.sum("k")) / 2).alias("gamma"))
 
 
 def fitted_variogram(points: DataFrame, reach: float, bins: int = 20) -> dict[str, float]:
