@@ -1,8 +1,8 @@
 """Multiscale geographically weighted regression by backfitting.
 
 Each column has a bandwidth of its own. The model is a sum of one term for each column (x times a local coefficient); in turn, each term is fitted
-anew to what the others leave: a smoothing of that partial residual over the pairs within the column's bandwidth. Pairs are found once,
-within the widest bandwidth, and written; a smoothing is one join with the written residuals and one aggregate. A column's bandwidth is the one of the
+anew to what the others leave: a smoothing of that partial residual over the pairs within the column's bandwidth. Pairs of places are found once,
+within the widest bandwidth, and written; a smoothing is one join with the places' sums of residuals and one aggregate. A column's bandwidth is the one of the
 candidates with the least leave-one-out error, chosen in each round until a round keeps it; all candidates are summed up in one pass.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import kernel
 from ..functions.stored import stored
 from .regression import linear
-from .spatial import within_distance
+from .spatial import near_places
 
 
 def multiscale_regression(rows: DataFrame, y: str, columns: list[str], widths: list[float], kind: str = "bisquare", rounds: int = 50, tolerance: float = 1e-8) -> tuple[DataFrame, dict[str, float]]:
@@ -23,8 +23,9 @@ def multiscale_regression(rows: DataFrame, y: str, columns: list[str], widths: l
     xs = ["_one", *[f"_{c}" for c in columns]]
     beta = {r["term"]: r["coefficient"] for r in linear(rows, y, columns).collect()}
     start = [float(v) for v in beta.values()]
-    pairs = stored(within_distance(base, base.withColumn("v", F.lit(0.0)), max(widths)).select("i", "j", "d"), "pairs")
-    state = base.select("id", *xs, "_y", *[F.lit(b).alias(f"b{k}") for k, b in enumerate(start)])
+    places = stored(base.where("x is not null and y is not null").select("x", "y").distinct().withColumn("i", F.monotonically_increasing_id()), "places")
+    pairs = stored(near_places(places, places.withColumnRenamed("i", "j"), max(widths)).select("i", "j", "d"), "pairs")
+    state = base.join(places, ["x", "y"], "left").select("id", "i", *xs, "_y", *[F.lit(b).alias(f"b{k}") for k, b in enumerate(start)])
     state = stored(state.withColumn("r", F.col("_y") - sum((F.col(x) * F.col(f"b{k}") for k, x in enumerate(xs)), F.lit(0.0))), "state")
     chosen: list[float | None] = [None] * len(xs)
     settled = [len(widths) == 1] * len(xs)
@@ -34,23 +35,25 @@ def multiscale_regression(rows: DataFrame, y: str, columns: list[str], widths: l
     for _ in range(rounds):
         for k, x in enumerate(xs):
             part = F.col("r") + F.col(x) * F.col(f"b{k}")
-            other = state.select(F.col("id").alias("j"), F.col(x).alias("xj"), part.alias("pj"))
-            met = pairs.join(other, "j")
+            here = state.groupBy("i").agg(F.sum(F.col(x) * part).alias("u"), F.sum(F.col(x) ** 2).alias("v"))
+            met = pairs.join(here.withColumnRenamed("i", "j"), "j")
             if not settled[k]:
                 sums = []
                 for n, width in enumerate(widths):
                     w = F.when((F.col("d") < width) & (F.col("i") != F.col("j")), kernel(F.col("d"), width, kind)).otherwise(0.0)
-                    sums += [F.sum(w * F.col("xj") * F.col("pj")).alias(f"u{n}"), F.sum(w * F.col("xj") ** 2).alias(f"v{n}")]
-                own = state.select(F.col("id").alias("i"), F.col(x).alias("xi"), part.alias("pi"))
-                tried = met.groupBy("i").agg(*sums).join(own, "i")
+                    sums += [F.sum(w * F.col("u")).alias(f"u{n}"), F.sum(w * F.col("v")).alias(f"v{n}")]
+                # a row's own share goes from the sums of its place, which weigh 1
+                own = state.select("i", F.col(x).alias("xi"), part.alias("pi")).join(here, "i")
+                rest = {"u": F.col("u") - F.col("xi") * F.col("pi"), "v": F.col("v") - F.col("xi") ** 2}
+                tried = met.groupBy("i").agg(*sums).join(own, "i").select("xi", "pi", *[(F.col(f"{c}{n}") + rest[c]).alias(f"{c}{n}") for c in rest for n in range(len(widths))])
                 missed = [F.sum((F.col("pi") - F.col("xi") * F.try_divide(F.col(f"u{n}"), F.col(f"v{n}"))) ** 2).alias(f"m{n}") for n in range(len(widths))]
                 lone = [F.count_if(F.col(f"v{n}") == 0).alias(f"l{n}") for n in range(len(widths))]  # a width at which a row has no other to go by has no score
                 score = tried.agg(*missed, *lone).first()
                 best = min((n for n in range(len(widths)) if not score[f"l{n}"]), key=lambda n: (score[f"m{n}"], n), default=len(widths) - 1)
                 settled[k], chosen[k] = chosen[k] == widths[best], widths[best]
             w = kernel(F.col("d"), chosen[k], kind)
-            fitted = met.where(F.col("d") < chosen[k]).groupBy(F.col("i").alias("id")).agg(F.try_divide(F.sum(w * F.col("xj") * F.col("pj")), F.sum(w * F.col("xj") ** 2)).alias("_fitted"))
-            state = state.join(fitted, "id", "left").withColumn("r", part - F.col(x) * F.coalesce("_fitted", F.lit(0.0))).withColumn(f"b{k}", F.coalesce("_fitted", F.lit(0.0))).drop("_fitted")
+            fitted = met.where(F.col("d") < chosen[k]).groupBy("i").agg(F.try_divide(F.sum(w * F.col("u")), F.sum(w * F.col("v"))).alias("_fitted"))
+            state = state.join(fitted, "i", "left").withColumn("r", part - F.col(x) * F.coalesce("_fitted", F.lit(0.0))).withColumn(f"b{k}", F.coalesce("_fitted", F.lit(0.0))).drop("_fitted")
             state = stored(state, "state")
         now = state.agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0
         if all(settled) and abs(before - now) <= tolerance * max(now, 1e-12):
