@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .feature import area, bounds, contains
+from .spatial import blocks, meeting
 
 
 def edges(ring: Column) -> Column:
@@ -144,18 +145,20 @@ def clipped_area(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Co
 
 
 def polygon_join(a: DataFrame, b: DataFrame, side: float, predicate: Callable[[Column, Column], Column] = intersects) -> DataFrame:
-    """(i, j) of polygons of a and b (id, ring) for which a predicate that needs a common point holds."""
+    """(i, j) of polygons of a and b (id, ring) for which a predicate that needs a common point holds. Rings that are equal meet once, with all their ids."""
 
     def dealt(polygons: DataFrame, name: str) -> DataFrame:
-        boxed = polygons.select(F.col("id").alias(name), F.col("ring").alias(f"_{name}"), bounds(F.col("ring")).alias(f"box_{name}"))
+        rings = blocks(polygons.select("id", "ring"), ["ring"], f"ids_{name}", [F.col("id").alias(name)])
+        boxed = rings.select(F.col(f"ids_{name}"), F.col("ring").alias(f"_{name}"), bounds(F.col("ring")).alias(f"box_{name}"))
         cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"box_{name}.{low}") / side), F.floor(F.col(f"box_{name}.{high}") / side)))
         return boxed.withColumn("cx", cells("x0", "x1")).withColumn("cy", cells("y0", "y1"))
 
-    pairs = dealt(a, "i").join(dealt(b, "j"), ["cx", "cy"])
+    # a predicate costs about as much as sixteen rows
+    pairs = meeting(dealt(a, "i"), dealt(b, "j"), ["cx", "cy"], "_i", ("greatest(4, size(ids_i))", "greatest(4, size(ids_j))"))
     low = lambda c: F.floor(F.greatest(F.col(f"box_i.{c}"), F.col(f"box_j.{c}")) / side)
     meet = (F.col("box_i.x0") <= F.col("box_j.x1")) & (F.col("box_j.x0") <= F.col("box_i.x1")) & (F.col("box_i.y0") <= F.col("box_j.y1")) & (F.col("box_j.y0") <= F.col("box_i.y1"))
-    once = pairs.where(meet & (F.col("cx") == low("x0")) & (F.col("cy") == low("y0")))
-    return once.where(predicate(F.col("_i"), F.col("_j"))).select("i", "j")
+    once = pairs.where(meet & (F.col("cx") == low("x0")) & (F.col("cy") == low("y0"))).where(predicate(F.col("_i"), F.col("_j")))
+    return once.select(F.explode("ids_i").alias("_a"), "ids_j").select("_a", F.explode("ids_j").alias("_b")).select("_a.i", "_b.j")
 
 
 def convex_hull(points: DataFrame, group: str) -> DataFrame:
