@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import kernel, space_time_distance
+from ..functions.kernels import distance, kernel, space_time_distance
 from ..functions.stored import stored
-from .spatial import near_places, within_distance
+from .spatial import meeting, near_places
 
 
 def _sums(x: list[Column], y: Column, w: Column) -> list[Column]:
@@ -137,18 +137,40 @@ def space_time_prediction(points: DataFrame, places: DataFrame, y: str, columns:
     return _fitted(places.withColumn(y, F.lit(0.0)), _space_time_systems(places, points, y, columns, time, width, share, kind), y, columns, (time,)).select("id", "beta", "yhat")
 
 
+#: Steps that the longest time back is cut into, and sides of cells at most, for pairs by how far back they lie.
+STEPS_BACK, SIDES = 16, 5
+
+
+def _earlier(places: DataFrame, held: DataFrame, time: str, width: float, share: float) -> DataFrame:
+    """(ax, ay, _t, bx, by, the time and the other columns of held) of places and what is held around and before them, if it may lie within the width. The farther
+    back, the nearer it must be: share * space <= (sqrt(width) - sqrt((1 - share) * time)) ** 2. So rows meet by steps of time and by cells whose side is that of the step."""
+    if share < 1:
+        step = width / (1 - share) / STEPS_BACK
+        far = [(width**0.5 - ((1 - share) * step * max(0, k - 1)) ** 0.5) ** 2 / share for k in range(STEPS_BACK + 2)]
+    else:  # time doesn't count, so nothing is too far back
+        step, far = None, [width]
+    level = [min(SIDES - 1, int(np.log(far[0] / max(r, far[0] * 1e-3)) / np.log(1.5))) for r in far]
+    sides = {n: max(far[0] * 1e-3, *(r for r, own in zip(far, level) if own == n)) * (1 + 1e-9) for n in set(level)}
+    bin_of = lambda t: F.floor(t.cast("double") / step) if step else F.when(t.isNotNull(), F.lit(0).cast("long"))
+    cell = lambda c: F.floor(F.col(c) / F.col("_s.side"))
+    back = F.array(*[F.struct(F.lit(k).alias("back"), F.lit(n).alias("level"), F.lit(sides[n]).alias("side")) for k, n in enumerate(level)])
+    near = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(side).alias("side"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, side in sides.items() for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left = places.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col(time).alias("_t"), F.explode(back).alias("_s")).withColumns({"_cx": cell("ax"), "_cy": cell("ay"), "_bin": bin_of(F.col("_t")) - F.col("_s.back"), "_level": F.col("_s.level")}).drop("_s")
+    right = held.withColumnsRenamed({"x": "bx", "y": "by"}).withColumn("_s", F.explode(near)).withColumns({"_cx": cell("bx") + F.col("_s.a"), "_cy": cell("by") + F.col("_s.b"), "_bin": bin_of(F.col(time)), "_level": F.col("_s.level")}).drop("_s")
+    keys = ["_level", "_cx", "_cy", "_bin"]
+    return meeting(left, right, keys, "ax, ay").drop(*keys)
+
+
 def _space_time_systems(places: DataFrame, points: DataFrame, y: str, columns: list[str], time: str, width: float, share: float, kind: str) -> DataFrame:
-    """The sums of a fit at each place and time: rows alike in both are folded, and a place meets another once, with all its times."""
+    """The sums of a fit at each place and time: rows alike in both are folded, and meet those that may lie within the width only."""
     if kind not in ("bisquare", "tricube", "boxcar") or not 0 < share <= 1:
         raise ValueError("a kernel that ends and a share over 0 up to 1")
     held = _folded(points, _products([y, *columns]), (time,))
-    names = [c for c in held.columns if c not in ("x", "y", time)]
-    asked = places.select("x", "y", time).distinct().select(F.struct("x", "y", time).alias("id"), "x", "y")
-    held = held.select(F.struct("x", "y", time).alias("id"), "x", "y", F.struct(F.col(time).alias("_tj"), *[F.col(f"`{c}`") for c in names]).alias("v"))
-    ago = (F.col(f"i.{time}") - F.col("vj._tj")).cast("double")
-    late = within_distance(asked, held, width / share).withColumn("ago", ago).where("ago >= 0")
-    near = late.withColumn("w", kernel(space_time_distance(F.col("d"), F.col("ago"), share), width, kind)).where("w > 0")
-    return near.select("i.*", "w", *[F.col(f"vj.`{c}`").alias(c) for c in names]).groupBy("x", "y", time).agg(*_system_sums(y, columns, F.col("w")))
+    pairs = _earlier(places.select("x", "y", time).distinct(), held, time, width, share)
+    late = pairs.withColumn("ago", (F.col("_t") - F.col(time)).cast("double")).where("ago >= 0")
+    apart = space_time_distance(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), F.col("ago"), share)
+    near = late.withColumn("w", kernel(apart, width, kind)).where("w > 0")
+    return near.groupBy("ax", "ay", "_t").agg(*_system_sums(y, columns, F.col("w"))).withColumnsRenamed({"ax": "x", "ay": "y", "_t": time})
 
 
 def _fitted(points: DataFrame, local: DataFrame, y: str, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:

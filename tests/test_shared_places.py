@@ -123,3 +123,22 @@ def test_equal_rings(spark):
     left = {k: 3 * (k % 2) + k // 6 for k in range(12)}
     found = overlay.polygon_join(polygons, polygons, 4.0).collect()
     assert sorted((r["i"], r["j"]) for r in found) == sorted((i, j) for i in left for j in left if abs(left[i] - left[j]) <= 2)
+
+
+@pytest.mark.parametrize("share", [0.5, 1.0])
+def test_far_times_do_not_meet(spark, monkeypatch, share):
+    """400 times at one place, each farther back than the width but for the own one and the next two: 400 * 400 pairs were formed before."""
+    formed = []
+
+    def joined(*given):
+        formed.append(spatial.meeting(*given))
+        return formed[-1]
+
+    monkeypatch.setattr(regression, "meeting", joined, raising=False)
+    times = spark.createDataFrame([(k, 1.0, 1.0, float(k % 7), 3 * k) for k in range(400)], "id long, x double, y double, v double, t int")
+    found = {r["id"]: r["yhat"] for r in regression.space_time_regression(times, "v", [], "t", 4.0, share).collect()}
+    weight = [(1 - ((1 - share) * 3 * back / 4) ** 2) ** 2 for back in range(400 if share == 1 else 3)]
+    for k in range(400):
+        w = weight[: k + 1]
+        assert found[k] == pytest.approx(sum(w[b] * ((k - b) % 7) for b in range(len(w))) / sum(w))
+    assert formed[0].count() <= (400 * 400 if share == 1 else 400 * 4)
