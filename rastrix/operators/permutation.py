@@ -8,6 +8,10 @@ numbers below 2**62, the same in any SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,25 @@ def moved(row: Column, rounds: Column, size: Column) -> Column:
     return F.aggregate(rounds, row.cast("long"), step)
 
 
+def moved_by(size: int) -> Callable[[Column, Column], Column]:
+    """moved(row, keys(name), size) of columns (name, row) without nulls, a batch of rows at a time."""
+
+    def mixed_(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+        one = (x + key) % PRIME
+        return ((one * one) % PRIME + key) % PRIME * FACTOR % PRIME
+
+    def move(name: pd.Series, row: pd.Series) -> pd.Series:
+        first, now = mixed_(name.to_numpy(np.int64), 7), row.to_numpy(np.int64)
+        for k in range(1, ROUNDS + 1):
+            key = mixed_(first, k)
+            other = (key - now) % size
+            now = np.where(mixed_(np.maximum(now, other), key) % 2 == 1, other, now)
+        return pd.Series(now)
+
+    each = F.pandas_udf(move, "long")
+    return lambda name, row: each(name.cast("long"), row.cast("long"))
+
+
 #: moved() in DuckDB's SQL, from a list of keys with the row number before them.
 MOVED_SQL = "list_reduce(list_prepend({row}, {keys}), lambda a, k: CASE WHEN " + MIXED_SQL.format(x="greatest(a, (k - a % {n} + {n} * 2147483648) % {n})", k="k") + " % 2 = 1 THEN (k - a % {n} + {n} * 2147483648) % {n} ELSE a END)"
 KEYS_SQL = "list_transform(range(1, 17), lambda i: " + MIXED_SQL.format(x=MIXED_SQL.format(x="{t}", k="7"), k="i") + ")"
@@ -71,15 +94,15 @@ def own_over(keys_: list[str]) -> Column:
 def moran_permuted(values: DataFrame, weights: DataFrame, times: int = 99) -> DataFrame:
     """(observed, mean, sd, p) of Moran's I under `times` permutations of the values (id, v) over the places."""
     rows, n, s2 = _rows(values)
-    spark = values.sparkSession
     number = rows.select("id", "r")
     pairs = weights.join(number.select(F.col("id").alias("i"), F.col("r").alias("ri")), "i").join(number.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j").select("ri", "rj", "w")
-    drawn = spark.range(times + 1).select(F.col("id").cast("int").alias("t")).withColumn("keys", F.when(F.col("t") > 0, keys(F.col("t"))).otherwise(F.array().cast("array<long>")))
-    size = F.lit(n).cast("long")
-    each = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(times)))).join(F.broadcast(drawn), "t")  # a row a permutation
-    each = each.select("t", "w", moved(F.col("ri"), F.col("keys"), size).alias("a"), moved(F.col("rj"), F.col("keys"), size).alias("b"))
     z = rows.select("r", "z")
-    sums = each.join(z.select(F.col("r").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("r").alias("b"), F.col("z").alias("zb")), "b").groupBy("t").agg((F.sum(F.col("w") * F.col("za") * F.col("zb")) / F.sum("w") / F.lit(s2)).alias("value"))
+    every = z.select("r", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("t"))
+    drawn = every.withColumn("at", moved_by(n)(F.col("t"), F.col("r")))  # a row a permutation and place
+    values_ = drawn.join(z.withColumnRenamed("r", "at"), "at").select("t", "r", "z").unionByName(z.select(F.lit(0).alias("t"), "r", "z"))
+    each = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(times))))
+    side = lambda k: values_.select("t", F.col("r").alias(f"r{k}"), F.col("z").alias(f"z{k}"))
+    sums = each.join(side("i"), ["t", "ri"]).join(side("j"), ["t", "rj"]).groupBy("t").agg((F.sum(F.col("w") * F.col("zi") * F.col("zj")) / F.sum("w") / F.lit(s2)).alias("value"))
     return _pseudo(sums, [])
 
 
@@ -90,8 +113,8 @@ def moran_local_permuted(values: DataFrame, weights: DataFrame, times: int = 99)
     pairs = weights.withColumn("m", rank).join(rows.select(F.col("id").alias("i"), F.col("r").alias("ri"), F.col("z").alias("zi")), "i").join(rows.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j")
     each = pairs.select("i", "ri", "zi", "rj", "m", "w", F.explode(F.sequence(F.lit(0), F.lit(times))).alias("t"))
     # a permutation of the other places for each place and time: its first numbers are the neighbours
-    other = moved(F.col("m"), keys(F.col("t").cast("long") * n + F.col("ri")), F.lit(n - 1).cast("long"))
-    drawn = F.when(F.col("t") == 0, F.col("rj")).otherwise(other + (other >= F.col("ri")).cast("int"))
+    each = each.withColumn("other", moved_by(n - 1)(F.col("t").cast("long") * n + F.col("ri"), F.col("m")))
+    drawn = F.when(F.col("t") == 0, F.col("rj")).otherwise(F.col("other") + (F.col("other") >= F.col("ri")).cast("int"))
     got = each.select(F.col("i").alias("id"), "t", "zi", "w", drawn.alias("r")).join(rows.select("r", "z"), "r")
     return _pseudo(got.groupBy("id", "t").agg((F.max("zi") * F.sum(F.col("w") * F.col("z")) / F.lit(s2)).alias("value")), ["id"])
 

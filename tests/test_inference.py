@@ -212,3 +212,11 @@ def test_space_time_prediction(spark):
         w = np.where((ago >= 0) & (d <= 6), (1 - (d / 6) ** 2) ** 2, 0)
         X = np.stack([np.ones(50), x], axis=1)
         assert got[k] == pytest.approx(np.linalg.solve((X * w[:, None]).T @ X, (X * w[:, None]).T @ y) @ [1, 0.5])
+
+
+@pytest.mark.parametrize("n", [2, 97, 1000])
+def test_permutation_of_batches(spark, n):
+    """The same as by columns, of keys far beyond the number of rows too; local permutations evaluated it by columns, row by row and twice."""
+    rows = spark.range(n).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("name", F.col("t") * 123456789)
+    got = rows.select(permutation.moved_by(n)(F.col("name"), F.col("id")).alias("a"), permutation.moved(F.col("id"), permutation.keys(F.col("name")), F.lit(n).cast("long")).alias("b")).collect()
+    assert len(got) == 5 * n and all(r["a"] == r["b"] for r in got)
