@@ -220,3 +220,21 @@ def test_permutation_of_batches(spark, n):
     rows = spark.range(n).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("name", F.col("t") * 123456789)
     got = rows.select(permutation.moved_by(n)(F.col("name"), F.col("id")).alias("a"), permutation.moved(F.col("id"), permutation.keys(F.col("name")), F.lit(n).cast("long")).alias("b")).collect()
     assert len(got) == 5 * n and all(r["a"] == r["b"] for r in got)
+
+
+def test_weights_are_worked_out_once_and_not_broadcast(spark, monkeypatch):
+    """Weights were worked out again in each step of the expansion, and small tables went to all tasks by way of the driver."""
+    tables = []
+
+    def kept(df, label):
+        tables.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, label)
+
+    stored = autoregression.stored
+    monkeypatch.setattr(autoregression, "stored", kept)
+    n = 40
+    weights = spark.createDataFrame([(k, (k + d) % n, 0.5) for k in range(n) for d in (1, -1)], "i long, j long, w double")
+    rows = spark.createDataFrame([(k, float(k * 7 % 11), float(k * 5 % 13)) for k in range(n)], "id long, x double, y double")
+    autoregression.lag_model(rows, weights, "y", ["x"], dense=0, order=3, probes=4).collect()
+    assert [label for label, _ in tables] == ["weights", "probes", "probes", "probes", "probes"]
+    assert not any("BroadcastHashJoin" in plan for _, plan in tables)
