@@ -67,3 +67,13 @@ def test_runs_of_irregular_polygons(spark):
     assert got == {k: (len(v), sum(x[2] for x in v), min(x[2] for x in v), max(x[2] for x in v), pytest.approx(np.mean([x[2] for x in v]))) for k, v in under.items() if v}
     assert {(r["id"], r["px"], r["py"], r["value"]) for r in zonal.masked(raster, table, size).collect()} == {(k, *c) for k, v in under.items() for c in v}
     assert zonal.zonal(raster.limit(0), table).count() == zonal.zonal(raster, table.limit(0)).count() == 0
+
+
+def test_equal_pieces_are_folded(spark, monkeypatch):
+    """30 squares in a row of half steps, three of each: their pieces were kept once for each polygon (before: 4 a polygon at least)."""
+    tables, stored = [], boundary.stored
+    monkeypatch.setattr(boundary, "stored", lambda df, label: tables.append(stored(df, label)) or tables[-1])
+    shapes = [(0, k, [ring([(x, 0), (x + 1, 0), (x + 1, 1), (x, 1)])]) for k in range(90) for x in [k % 30 / 2]]
+    got = boundary.dissolved(spark.createDataFrame(shapes, f"g int, id long, rings {RINGS}"), "g").select(boundary.area_of(F.col("rings")).alias("a"), boundary.length_of(F.col("rings")).alias("l"), F.size("rings").alias("n")).first()
+    assert (got["a"], got["l"], got["n"]) == (15.5, 33.0, 1)
+    assert tables[-1].count() <= 31 * 2 + 32
