@@ -76,3 +76,18 @@ def test_messy(messy, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == messy.columns and sorted(ids, key=str) == sorted([1, 3, 6, 7, 8, 9, None], key=str)
     assert near_copies.keep_one(no_docs).count() == 0
+
+
+def test_pairs_judged_are_not_judged_again(spark, monkeypatch):
+    """Two texts that share bands and are no copies have been held against each other: neither goes to the blocks."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, edited(rng, words, 10))]  # a similarity of about 0.7
+    asked = []
+    inner = near_copies.joining
+    monkeypatch.setattr(near_copies, "joining", lambda own, *rest: asked.append(own.count()) or inner(own, *rest))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert near_copies.keep_one(docs).count() == 40
+    assert asked == [0]
