@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from rastrix.llm import near_copies
+from rastrix.llm.simhash import fingerprint
 
 
 def shingles(text):
@@ -91,3 +92,29 @@ def test_pairs_judged_are_not_judged_again(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert near_copies.keep_one(docs).count() == 40
     assert asked == [0]
+
+
+def test_candidates_come_from_simhash(spark):
+    """Texts whose fingerprints differ in at most 3 bits meet by the fingerprint's blocks, whatever their MinHash bands are."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        texts += [(2 * k, str(2 * k), " ".join(words)), (2 * k + 1, str(2 * k + 1), edited(rng, words, 1 + k % 5))]
+    fps = {i: fingerprint(t, near_copies.WIDTH) for i, _, t in texts}
+    minima = {i: set(near_copies.band_values(near_copies.shingle_set(near_copies.split(t)))) for i, _, t in texts}
+    found = near_copies.sketches(spark.createDataFrame(texts, "key long, id string, text string"), near_copies.WIDTH).collect()
+    blocks = {r["key"]: set(r["bands"]) - minima[r["key"]] for r in found}
+    near = [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert len(near) > 5 and any(fps[a] != fps[b] for a, b in near)
+    assert all(blocks[a] & blocks[b] for a, b in near)
+
+
+def test_fingerprints_of_three_bits_share_blocks():
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        fp = int(rng.integers(0, 1 << 63)) << 1 | 1
+        other = fp
+        for bit in rng.choice(64, 3, replace=False).tolist():
+            other ^= 1 << bit
+        assert set(near_copies.block_values(fp)) & set(near_copies.block_values(other))
