@@ -45,7 +45,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_texts=False)
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), least=substring_dedup.PASSAGE, with_texts=False)
+    # n_repeated counts repeats of the length that is removed; shorter ones, which stay, have a column of their own
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_removed").alias("n_repeated"), F.col("n_repeated").alias(f"n_repeated_{substring_dedup.PASSAGE}"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

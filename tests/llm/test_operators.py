@@ -308,6 +308,36 @@ def test_substring_dedup_documents(spark, sf_dir, texts):
     assert [found[k] for k in texts] == removed(texts.values(), 400, 400)
 
 
+def test_substring_dedup_passages(spark, tmp_path):
+    """Passages of over 50 words that take less than 400 bytes stay, and are told of."""
+    passage = " ".join(f"w{k:04d}" for k in range(51))
+    own = lambda n: " ".join(f"{n}o{k:04d}" for k in range(90))
+    docs = [passage, f"{own(1)} {passage}", f"{passage} {own(2)} {passage}", own(3), f"{own(4)} {passage[:270]}", None]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op5_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [found[k]["n_removed"] for k in range(6)] == [0] * 6
+    assert [found[k]["n_repeated_280"] for k in range(6)] == [r[-1] for r in removed(docs, 400, 280)]
+    assert [found[k]["n_repeated_280"] > 0 for k in range(6)] == [True] * 3 + [False] * 3
+
+
+@pytest.mark.parametrize("length,least,gram,hot", [(40, 40, 10, 20_000), (40, 25, 10, 3), (60, 30, 12, 20_000)])
+def test_substring_dedup_periods(spark, length, least, gram, hot):
+    """Stretches with a period, of all lengths about those that repeat themselves, at all phases, next to each other and to other text."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    units = ["a", "ab", "the ", "aab", "Is onhe. ", "aba", word(12), word(14), word(17), word(25)]
+    stretch = lambda: (units[rng.integers(len(units))] * 90)[(k := int(rng.integers(0, 12))) : k + int(rng.integers(20, 95))]
+    docs = ["".join(stretch() if rng.random() < 0.6 else word(int(rng.integers(0, 50))) for _ in range(int(rng.integers(1, 6)))) for _ in range(150)]
+    docs += [(u * 90)[k : k + n] for u in units for k, n in ((0, length - 1), (1, length), (2, length + len(u) - 1), (0, length + len(u)), (3, 2 * length))]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r["doc_id"]: tuple(r[c] for c in SPANS) for r in substring_dedup.remove_repeats(table, length, least, gram, hot, with_texts=False).collect()}
+    assert [found[k] for k in range(len(docs))] == removed(docs, length, least)
+    # a stretch has a few anchors, however long it is
+    codes = np.frombuffer((word(200) + "the " * 500 + word(200)).encode(), np.uint8)
+    (_, at, *_), runs = substring_dedup.anchors(codes, np.array([0]), np.array([len(codes)]), length, least, gram)
+    assert len(runs) == 1 and runs[0][2] - runs[0][1] >= 2000 and ((at > 200) & (at < 2200)).sum() <= 8
+
+
 def test_substring_dedup_rows_of_one_id(spark):
     a, b = "x".join(map(str, range(300))), "y".join(map(str, range(300, 600)))
     table = spark.createDataFrame([(1, a), (1, b), (2, b + "z"), (3, "q" * 5000)], "doc_id long, text string")
