@@ -11,12 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import distance, kernel, space_time_distance
+from ..functions.kernels import distance, kernel, reach, space_time_distance
 from ..functions.stored import stored
-from .spatial import meeting, near_places
+from .spatial import kernel_sums, meeting, near_places
 
 
 def _sums(x: list[Column], y: Column, w: Column) -> list[Column]:
@@ -71,11 +72,6 @@ def generalised(rows: DataFrame, y: str, columns: list[str], family: str, rounds
     return rows.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(["intercept", *columns], beta)], "term string, coefficient double")
 
 
-def reach(width: float, kind: str) -> float:
-    """How far a kernel is followed."""
-    return width if kind in ("bisquare", "tricube", "boxcar") else 8 * width
-
-
 ONE = "_one"
 
 
@@ -292,33 +288,38 @@ def weighted_discriminant(points: DataFrame, label: str, columns: list[str], wid
     """(id, predicted, share, entropy): the class that the neighbours' weighted priors, means and covariances (one, or one a class) make likeliest, ties to the first in order, with its probability and the bits of entropy of all."""
     k = len(columns)
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    sums, weighed = _moment_sums(columns)
-    held = _folded(points.withColumn("label", F.col(label)), sums, ("label",))
-    local = _local(_around(points, held, width, kind), weighed, ("label",))
-    fields = [c for c in local.columns if c not in ("x", "y")]
-    each = local.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("classes"))  # one entry a class
+    sums = _moment_sums(columns)[0]
+    held = stored(_folded(points.withColumn("label", F.col(label)), sums, ("label",)), "places")
+    names = list(sums)
+    local = kernel_sums(held.select("x", "y").distinct(), held, names, [width], kind, "label")
+    each = local.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("label", *names))).alias("classes"))  # one entry a class
     own = points.select(F.col("id").alias("i"), "x", "y", F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
 
-    def judged(classes, at) -> tuple:
-        t = pd.DataFrame([c if isinstance(c, dict) else c.asDict() for c in classes])
-        mean, cov = _mean_covariance(t, k)
-        prior = t["s"].to_numpy() / t["s"].sum()
-        second = np.trace(cov, axis1=1, axis2=2) + (mean * mean).sum(axis=1)
-        if not quadratic:
-            cov, second = np.broadcast_to((cov * prior[:, None, None]).sum(axis=0), cov.shape), np.full(len(prior), second @ prior)
-        cov = cov + 1e-6 * np.eye(k) * np.maximum(1.0, second)[:, None, None]  # a class of one point has none
-        off = np.asarray(at) - mean
-        score = np.log(prior) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ca,ca->c", off, np.linalg.solve(cov, off[:, :, None])[:, :, 0])
-        p = np.exp(score - score.max())
-        p /= p.sum()
-        return t["label"][int(p.argmax())], float(p.max()), float(-(p[p > 0] * np.log2(p[p > 0])).sum())
-
     def solve(batches):
-        for t in batches:
-            found = [judged(c, a) for c, a in zip(t["classes"], t["at"])]
-            yield pd.DataFrame({"id": t["i"], "predicted": [f[0] for f in found], "share": [f[1] for f in found], "entropy": [f[2] for f in found]})
-
-    return each.join(own, ["x", "y"]).mapInPandas(solve, f"id {kinds['id']}, predicted {kinds[label]}, share double, entropy double")
+        for batch in batches:
+            if not len(batch):
+                continue
+            classes, lengths = batch.column("classes"), batch.column("classes").value_lengths().to_numpy()
+            flat, row = classes.flatten(), np.repeat(np.arange(len(batch)), lengths)
+            starts = np.cumsum(lengths) - lengths
+            t = pd.DataFrame({c: flat.field(c).to_numpy(zero_copy_only=False) for c in names})
+            over = lambda v, how=np.add: how.reduceat(v, starts, axis=0)[row]  # noqa: B023, E731
+            mean, cov = _mean_covariance(t, k)
+            prior = t["s"].to_numpy() / over(t["s"].to_numpy())
+            second = np.trace(cov, axis1=1, axis2=2) + (mean * mean).sum(axis=1)
+            if not quadratic:
+                cov, second = over(cov * prior[:, None, None]), over(second * prior)
+            cov = cov + 1e-6 * np.eye(k) * np.maximum(1.0, second)[:, None, None]  # a class of one point has none
+            off = batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)[row] - mean
+            score = np.log(prior) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ca,ca->c", off, np.linalg.solve(cov, off[:, :, None])[:, :, 0])
+            p = np.exp(score - over(score, np.maximum))
+            p /= over(p)
+            best = np.flatnonzero((p == over(p, np.maximum)) | np.isnan(p))
+            best = best[np.unique(row[best], return_index=True)[1]]
+            bits = np.add.reduceat(-p * np.log2(np.where(p > 0, p, 1.0)), starts)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), flat.field("label").take(pa.array(best)), pa.array(p[best]), pa.array(bits)], names=["id", "predicted", "share", "entropy"])
+
+    return each.join(own, ["x", "y"]).select("i", "at", "classes").mapInArrow(solve, f"id {kinds['id']}, predicted {kinds[label]}, share double, entropy double")
 
 
 def weighted_generalised(points: DataFrame, y: str, columns: list[str], width: float, family: str = "poisson", kind: str = "bisquare", rounds: int = 6) -> DataFrame:

@@ -142,3 +142,26 @@ def test_far_times_do_not_meet(spark, monkeypatch, share):
         w = weight[: k + 1]
         assert found[k] == pytest.approx(sum(w[b] * ((k - b) % 7) for b in range(len(w))) / sum(w))
     assert formed[0].count() <= (400 * 400 if share == 1 else 400 * 4)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 40])
+def test_discriminant_forms_no_pairs(spark, monkeypatch, most):
+    """No pair of places is a row, in whole cells and in cells cut into parts; places' rows were copied to each part of a cell before, which filled the disk."""
+    monkeypatch.setattr(spatial, "GROUP_ROWS", most)
+    monkeypatch.setattr(spatial, "near_places", None)
+    monkeypatch.setattr(regression, "near_places", None)
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.random((500, 2)) * 8, rng.random((100, 2)) * 30])
+    v, g = rng.normal(size=600) + p[:, 0], np.where(np.arange(600) < 3, 2, rng.integers(0, 2, 600))
+    points = spark.createDataFrame([(k, float(p[k, 0]), float(p[k, 1]), float(v[k]), int(g[k])) for k in range(600)], "id long, x double, y double, v double, g int")
+    found = {r["id"]: r for r in regression.weighted_discriminant(points, "g", ["v"], 5.0).collect()}
+    assert len(found) == 600
+    for k in range(600):
+        w = (1 - np.minimum(((p - p[k]) ** 2).sum(axis=1) / 25, 1)) ** 2
+        kinds = [c for c in range(3) if w[g == c].sum() > 0]
+        s, m, q = (np.array([(w * v**a)[g == c].sum() for c in kinds]) for a in (0, 1, 2))
+        m, q, share = m / s, q / s, s / s.sum()
+        spread = (share * (q - m * m)).sum() + 1e-6 * max(1, (share * q).sum())
+        score = np.log(share) - (v[k] - m) ** 2 / spread / 2
+        e = np.exp(score - score.max())
+        assert found[k]["predicted"] == kinds[int(score.argmax())] and found[k]["share"] == pytest.approx(e.max() / e.sum(), rel=1e-7)
