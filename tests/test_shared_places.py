@@ -165,3 +165,20 @@ def test_discriminant_forms_no_pairs(spark, monkeypatch, most):
         score = np.log(share) - (v[k] - m) ** 2 / spread / 2
         e = np.exp(score - score.max())
         assert found[k]["predicted"] == kinds[int(score.argmax())] and found[k]["share"] == pytest.approx(e.max() / e.sum(), rel=1e-7)
+
+
+def test_backfitting_goes_on_until_it_stands(spark):
+    """Four rounds, as many as the query had, leave coefficients far from where plain rounds end."""
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 6, (80, 2)).astype(float)
+    a, v = p[:, 0] + rng.random(80), rng.normal(size=80) + p[:, 0] * np.sin(p[:, 1] / 3)
+    points = spark.createDataFrame([(k, float(p[k, 0]), float(p[k, 1]), float(a[k]), float(v[k])) for k in range(80)], "id long, x double, y double, a double, v double")
+    found, _ = multiscale.multiscale_regression(points, "v", ["a"], [5.0])
+    w = np.maximum(1 - ((p[:, None] - p[None]) ** 2).sum(axis=2) / 25, 0) ** 2
+    x, b, after = np.stack([np.ones(80), a], axis=1), np.tile(np.linalg.lstsq(np.stack([np.ones(80), a], axis=1), v, rcond=None)[0], (80, 1)), []
+    for done in range(5000):
+        for k in range(2):
+            b[:, k] = (w @ (x[:, k] * (v - x[:, 1 - k] * b[:, 1 - k]))) / (w @ x[:, k] ** 2)
+        after += [b.copy()] * (done in (3, 4998))
+    assert np.abs(b - after[1]).max() < 1e-9 and np.abs(b - after[0]).max() > 1e-2
+    assert np.allclose(np.array([r["beta"] for r in sorted(found.collect(), key=lambda r: r["id"])]), b, atol=1e-4)
