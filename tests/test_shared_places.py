@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rastrix import queries
 from rastrix.operators import interpolation, multiscale, overlay, regression, spatial, statistics
+from rastrix.sources import fixtures as fx
 
 WIDTH = 2.5
 
@@ -39,6 +41,15 @@ def test_pairs(points, rows, monkeypatch):
         assert len(found) == len(truth) and {(r["i"], r["j"]): (round(r["d"], 9), r["vj"]) for r in found} == truth
 
 
+def test_weights_are_rounded_once_a_pair_of_places(spark, sf_dir):
+    """The query's weights are rounded below the explosion into pairs of rows, whose number grows with the square of the rows of a place."""
+    df = queries.QUERIES["kernel_weights_gaussian"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and plan.index("Generate explode(_left") < plan.index("round(")
+    truth = {(r["i"], r["j"]): round(r["w"], 6) for r in spatial.kernel_weights(fx.suppliers(spark, sf_dir), 10.0, "gaussian").collect()}
+    assert {(r["i"], r["j"]): r["w"] for r in df.collect()} == truth
+
+
 def test_width_zero_has_no_weight(points, rows):
     """Six rows and more share a place, so the sixth nearest is no way off; a division by zero stopped the job."""
     found = spatial.adaptive_weights(points, 3, "bisquare").collect()
