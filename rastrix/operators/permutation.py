@@ -8,6 +8,7 @@ numbers below 2**62, the same in any SQL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,9 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import within_distance
+from ..functions.kernels import counts_apart
+from .spatial import near_places
 from .statistics import numbered
 
+#: Points of a random pattern that a task draws at once.
+SLICE = 1 << 14
 #: A prime, a multiplier, and rounds of a permutation; fixed values.
 PRIME, FACTOR, ROUNDS = 2147483647, 48271, 16
 
@@ -46,19 +50,21 @@ def moved(row: Column, rounds: Column, size: Column) -> Column:
     return F.aggregate(rounds, row.cast("long"), step)
 
 
+def mixed_numbers(x: np.ndarray, key: np.ndarray | int) -> np.ndarray:
+    """mixed() of arrays."""
+    one = (x + key) % PRIME
+    return ((one * one) % PRIME + key) % PRIME * FACTOR % PRIME
+
+
 def moved_by(size: int) -> Callable[[Column, Column], Column]:
     """moved(row, keys(name), size) of columns (name, row) without nulls, a batch of rows at a time."""
 
-    def mixed_(x: np.ndarray, key: np.ndarray) -> np.ndarray:
-        one = (x + key) % PRIME
-        return ((one * one) % PRIME + key) % PRIME * FACTOR % PRIME
-
     def move(name: pd.Series, row: pd.Series) -> pd.Series:
-        first, now = mixed_(name.to_numpy(np.int64), 7), row.to_numpy(np.int64)
+        first, now = mixed_numbers(name.to_numpy(np.int64), 7), row.to_numpy(np.int64)
         for k in range(1, ROUNDS + 1):
-            key = mixed_(first, k)
+            key = mixed_numbers(first, k)
             other = (key - now) % size
-            now = np.where(mixed_(np.maximum(now, other), key) % 2 == 1, other, now)
+            now = np.where(mixed_numbers(np.maximum(now, other), key) % 2 == 1, other, now)
         return pd.Series(now)
 
     each = F.pandas_udf(move, "long")
@@ -122,15 +128,32 @@ def moran_local_permuted(values: DataFrame, weights: DataFrame, times: int = 99)
 def ripley_envelope(points: DataFrame, steps: int = 10, times: int = 19) -> DataFrame:
     """(d, l, low, high): L at `steps` distances up to a quarter of the longer side, and the least and largest L of `times` patterns of as many random points in the box."""
     box = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    n, step = box["n"], max(box["w"], box["h"]) / 4 / steps
-    far = 2 * (box["w"] + step * steps)  # patterns lie too far apart to meet
+    n, wide, high, step = box["n"], box["w"], box["h"], max(box["w"], box["h"]) / 4 / steps
     spark = points.sparkSession
-    at = lambda k: mixed(mixed(F.col("k"), F.col("t").cast("long") * 2 + k), F.lit(k + 11).cast("long")) / float(PRIME)
-    random = spark.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("t")).select((F.col("t").cast("long") * n + F.col("k")).alias("id"), (at(0) * box["w"] + F.col("t") * far).alias("x"), (at(1) * box["h"]).alias("y"))
-    own = numbered(points, ["id"]).join(points, "id").select(F.col("number").alias("id"), (F.col("x") - box["x0"]).alias("x"), (F.col("y") - box["y0"]).alias("y"))
-    every = own.unionByName(random).withColumn("v", F.lit(0.0))
-    pairs = within_distance(every, every, step * steps).where("i <> j")
-    first = pairs.groupBy(F.floor(F.col("i") / n).cast("int").alias("t"), (F.floor(F.col("d") / step) + 1).cast("int").alias("k")).agg(F.count("*").alias("m"))
+    places = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    own = near_places(places, places.withColumnRenamed("n", "m"), step * steps).withColumn("n", F.col("n") * F.col("m") - F.when(F.col("d") == 0, F.col("n")).otherwise(0))
+    own = own.groupBy(F.lit(0).alias("t"), (F.floor(F.col("d") / step) + 1).cast("int").alias("k")).agg(F.sum("n").alias("m"))
+    # a task draws two slices of a pattern and counts their pairs; a slice's own points and a slice before another one count both ways
+    slices = math.ceil(n / SLICE)
+    drawn = spark.range(times * slices * slices).select((F.col("id") % times + 1).alias("t"), F.floor(F.col("id") / times % slices).alias("a"), F.floor(F.col("id") / times / slices).alias("b")).where("a <= b")
+
+    def place(t: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+        k = np.arange(of * SLICE, min(n, (of + 1) * SLICE), dtype=np.int64)
+        x, y = (mixed_numbers(mixed_numbers(k, 2 * t + c), c + 11) / float(PRIME) * side for c, side in ((0, wide), (1, high)))
+        return x, y
+
+    def counted(batches):
+        for batch in batches:
+            for t, a, b in zip(batch["t"].tolist(), batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                found = counts_apart(place(t, a), place(t, b), step, steps)
+                found = found * 2 if a < b else found
+                found[0] -= n_of(a) if a == b else 0  # a point and itself
+                yield pd.DataFrame({"t": np.full(steps, t, np.int32), "k": np.arange(1, steps + 1, dtype=np.int32), "m": found})
+
+    n_of = lambda of: min(n, (of + 1) * SLICE) - of * SLICE
+    tasks = max(1, min(4096, times * slices * (slices + 1) // 2))
+    random = drawn.repartition(tasks, "t", "a", "b").mapInPandas(counted, "t int, k int, m long").groupBy("t", "k").agg(F.sum("m").alias("m"))
+    first = own.unionByName(random)
     grid = spark.range(1, steps + 1).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(times))).alias("t"))
     upto = F.sum(F.coalesce("m", F.lit(0))).over(Window.partitionBy("t").orderBy("k"))
     found = grid.join(first, ["t", "k"], "left").withColumn("l", F.sqrt(F.lit(box["w"] * box["h"]) * upto / (F.pi() * n * (n - 1))))

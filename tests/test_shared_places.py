@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrix import queries
-from rastrix.operators import interpolation, multiscale, overlay, regression, spatial, statistics
+from rastrix.operators import interpolation, multiscale, overlay, permutation, regression, spatial, statistics
 from rastrix.sources import fixtures as fx
 
 WIDTH = 2.5
@@ -193,3 +193,23 @@ def test_backfitting_goes_on_until_it_stands(spark):
         after += [b.copy()] * (done in (3, 4998))
     assert np.abs(b - after[1]).max() < 1e-9 and np.abs(b - after[0]).max() > 1e-2
     assert np.allclose(np.array([r["beta"] for r in sorted(found.collect(), key=lambda r: r["id"])]), b, atol=1e-4)
+
+
+def test_envelope_draws_patterns_in_tasks(spark, points, rows, monkeypatch):
+    """Patterns are drawn slice by slice where their pairs are counted; each pair was a row before."""
+    monkeypatch.setattr(permutation, "SLICE", 37)
+    monkeypatch.setattr(permutation, "within_distance", None, raising=False)
+    found = sorted(permutation.ripley_envelope(points, 4, 3).collect(), key=lambda r: r["d"])
+    x, y = (np.array([p[c] for p in rows]) for c in (1, 2))
+    wide, high = np.ptp(x), np.ptp(y)
+    step = max(wide, high) / 16
+
+    def upto(x, y):
+        d = np.hypot(x[:, None] - x, y[:, None] - y)[~np.eye(len(x), dtype=bool)]
+        return [math.sqrt(wide * high * (np.floor(d / step) < k).sum() / (math.pi * 120 * 119)) for k in range(1, 5)]
+
+    k = np.arange(120)
+    mixed = lambda x, key: (((x + key) % permutation.PRIME) ** 2 % permutation.PRIME + key) % permutation.PRIME * permutation.FACTOR % permutation.PRIME
+    drawn = np.array([upto(*(mixed(mixed(k, 2 * t + c), c + 11) / permutation.PRIME * side for c, side in ((0, wide), (1, high)))) for t in (1, 2, 3)])
+    assert [r["l"] for r in found] == pytest.approx(upto(x, y))
+    assert [r["low"] for r in found] == pytest.approx(drawn.min(axis=0)) and [r["high"] for r in found] == pytest.approx(drawn.max(axis=0))
