@@ -118,3 +118,16 @@ def test_fingerprints_of_three_bits_share_blocks():
         for bit in rng.choice(64, 3, replace=False).tolist():
             other ^= 1 << bit
         assert set(near_copies.block_values(fp)) & set(near_copies.block_values(other))
+
+
+def test_fingerprints_within_three_bits_are_links(spark):
+    """Texts mostly made of one repeated passage: fingerprints within 3 bits, sets of shingles less than 0.8 alike. Such links were dropped."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for k in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 30)] * 40
+        texts |= {2 * k + side: " ".join([*words, *(f"own{x}" for x in rng.integers(0, 1 << 40, 12))]) for side in (0, 1)}
+    near = [k for k in range(6) if (fingerprint(texts[2 * k], near_copies.WIDTH) ^ fingerprint(texts[2 * k + 1], near_copies.WIDTH)).bit_count() <= 3]
+    assert near and all(jaccard(shingles(texts[2 * k]), shingles(texts[2 * k + 1])) < 0.8 for k in near)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()} == set(texts) - {2 * k + 1 for k in near}
